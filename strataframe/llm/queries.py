@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules
+from . import decontaminate, packing, quality_rules, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM bits
 """
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.judge(documents, benchmark).select(
@@ -107,9 +118,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return records.round_trip(spark, documents, tokenizer_file("word_bpe_49k.json"), end_id=1, digest=True)
+
+
 QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
+    "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op10_token_records": op10_token_records,
 }
 
 ORACLES: dict[str, str] = {
