@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, records
+from . import decontaminate, language, packing, quality_model, quality_rules, records
+from .textarrays import crc32_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc32_mod("doc_id", 5) == 0
+    model = quality_model.fit(documents, labels.filter(~held_out))
+    return quality_model.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc32_mod("doc_id", 4) == 2
+    profiles = language.learn(documents.filter(~held_out))
+    return language.identify(documents, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules.measure(table(spark, sf_dir, "documents"))
     base = quality_rules.policy_mask("base")
@@ -124,6 +139,8 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_model": op1_quality_model,
+    "op2_language": op2_language,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
