@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality_model, quality_rules, records
+from . import decontaminate, language, packing, quality_model, quality_rules, records, url_filter
 from .textarrays import crc32_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,19 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules.measure(table(spark, sf_dir, "documents"))
     base = quality_rules.policy_mask("base")
@@ -141,6 +154,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_model": op1_quality_model,
     "op2_language": op2_language,
+    "op3_url_filter": op3_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,

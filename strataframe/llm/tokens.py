@@ -15,13 +15,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept in a task's memory; beyond that it starts anew.
-CACHE_PIECES = 250_000
+#: Pieces kept in a task's memory (about 200 bytes each); beyond that it starts anew.
+CACHE_PIECES = 900_000
 #: Bytes of text whose pieces are looked up at once.
 SLICE_BYTES = 1 << 20
+#: Unknown pieces that go to the tokenizer as one text.
+_TOGETHER = 64
 
-_SPACE_THEN_SPACE = re.compile(r" \s| \Z")
-_CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
+#: White space to Python but not to the tokenizer.
+_CONTROL_SPACE = "\x1c\x1d\x1e\x1f"
+_INNER_SPACE = re.compile(r"\S\s|\s\s")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -40,6 +43,11 @@ class Encoder:
         # space before a word belongs to it.
         sample = [x.ids for x in self.tokenizer.encode_batch(["a b", "a", "b"], add_special_tokens=False)]
         self.drops_space = sample[0] == sample[1] + sample[2]
+        # Between pieces that go together stands a mark that is a token of its own.
+        self.mark, self.between = ("|", " | ") if self.drops_space else ("\n", "\n")
+        mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = mark_ids[0] if len(mark_ids) == 1 else None
+        self.ends = dict(zip(",.", self._encode([",", "."]), strict=True))
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = self.first if self.drops_space else {}
 
@@ -47,40 +55,83 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], before: str) -> None:
-        if len(cache) + len(pieces) > CACHE_PIECES:
-            cache.clear()
-        missing = list(pieces.difference(cache))
-        if missing:
-            cache.update(zip(missing, self._encode([before + x for x in missing]), strict=True))
+    def _encode_together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space inside and without the mark."""
+        groups = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self._encode([self.between.join(g) for g in groups]), strict=True):
+            marks = np.flatnonzero(np.frombuffer(ids, self.dtype) == self.mark_id) * self.width
+            if len(marks) != len(group) - 1:  # a piece that holds the mark's id in some other way
+                out += self._encode(group)
+                continue
+            at = 0
+            for mark in marks.tolist():
+                out.append(ids[at:mark])
+                at = mark + self.width
+            out.append(ids[at:])
+        return out
+
+    def _learn(self, cache: dict[str, bytes], missing: set[str], before: str) -> None:
+        # A comma or full stop after a letter is a token of its own in any case.
+        ended = {x for x in missing if len(x) > 1 and x[-1] in ",." and x[-2].isalpha()}
+        pieces = [before + x for x in (missing - ended) | {x[:-1] for x in ended}.difference(cache)]
+        if self.mark_id is None:
+            alone, together = pieces, []
+        else:
+            alone = [x for x in pieces if self.mark in x or _INNER_SPACE.search(x) or not x.strip()]
+            together = list(set(pieces).difference(alone)) if alone else pieces
+        cut = len(before)
+        cache.update(zip([x[cut:] for x in alone], self._encode(alone), strict=True))
+        cache.update(zip([x[cut:] for x in together], self._encode_together(together), strict=True))
+        cache.update((x, cache[x[:-1]] + self.ends[x[-1]]) for x in ended)
+
+    def _look_up(self, cache: dict[str, bytes], pieces: list[str], before: str) -> list[bytes | None]:
+        """Ids of each piece; None where the cut before it isn't certain."""
+        found = list(map(cache.get, pieces))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            missing = {pieces[i] for i in gaps}
+            if before:
+                missing = {x for x in missing if x and not x[0].isspace()}
+            if len(cache) + len(missing) > CACHE_PIECES:
+                cache.clear()
+                missing = set(pieces) if not before else {x for x in pieces if x and not x[0].isspace()}
+            self._learn(cache, missing, before)
+            for i in gaps:
+                found[i] = cache.get(pieces[i])
+        return found
 
     def _cut(self, text: str) -> list[str] | None:
-        if self.drops_space:
-            return None if _CONTROL_SPACE.search(text) else text.split()
-        return None if _SPACE_THEN_SPACE.search(text) else text.split(" ")
+        if not self.drops_space:
+            return text.split(" ")
+        if any(c in text for c in _CONTROL_SPACE):
+            return None
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # the same as the tokenizer's own for these letters
+            except UnicodeEncodeError:
+                pass
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self._cut(text) for text in texts]
-        firsts = {cut[0] for cut in cuts if cut}
-        later = set()
+        firsts = iter(self._look_up(self.first, [cut[0] for cut in cuts if cut], ""))
+        later = self._look_up(self.later, [piece for cut in cuts if cut for piece in cut[1:]], "" if self.drops_space else " ")
+        out: list[bytes | None] = []
+        at = 0
         for cut in cuts:
-            if cut:
-                later.update(cut[1:])
-        if self.drops_space:
-            self._learn(self.first, firsts | later, "")
-        else:
-            self._learn(self.first, firsts, "")
-            self._learn(self.later, later, " ")
-        whole = [i for i, cut in enumerate(cuts) if cut is None]
-        whole_ids = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True)) if whole else {}
-        out = []
-        for i, cut in enumerate(cuts):
-            if cut is None:
-                out.append(whole_ids[i])
-            elif not cut:
-                out.append(b"")
-            else:
-                out.append(self.first[cut[0]] + b"".join(map(self.later.__getitem__, cut[1:])))
+            if not cut:
+                out.append(None if cut is None else b"")
+                continue
+            end = at + len(cut) - 1
+            ids = later[at:end]
+            first = next(firsts)
+            out.append(None if None in ids else first + b"".join(ids))
+            at = end
+        whole = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]) if whole else [], strict=True):
+            out[i] = ids
         return out
 
 
