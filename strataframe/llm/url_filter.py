@@ -2,7 +2,10 @@
 
 Concatenated names in hosts and paths are cut into words by the most likely
 path through a unigram model (Viterbi).  A multinomial naive Bayes model over
-those words learns from the urls that a rule decides and judges the others.
+those words learns from all distinct urls: those with a seed word in the host
+count as blocked, the others as allowed.  So words that keep company with seed
+words come to weigh as well.  Rules decide first and teach the model nothing,
+since they are about sites, not about words.
 """
 
 from __future__ import annotations
@@ -24,6 +27,11 @@ DICTIONARY = 50_000
 LONGEST = 24
 #: Distinct tokens up to which their weights are broadcast.
 BROADCAST_TOKENS = 500_000
+#: Words of host names that mark a url as an example of what to block.
+SEEDS = (
+    "ads", "adult", "bet", "bets", "betting", "casino", "dating", "escort", "gambling", "hack", "jackpot", "loan", "loans",
+    "lottery", "malware", "payday", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "tracker", "viagra", "warez", "xxx",
+)
 _CACHE = 200_000
 _NAME = re.compile(r"[^\W\d_]+|\d+")
 
@@ -137,7 +145,13 @@ def bayes_weights(labelled: DataFrame) -> tuple[DataFrame, float, float, int]:
     return counts.select("token", (F.log(F.col("b") + 1) - F.log(F.col("a") + 1) + base).alias("weight")), prior, base, v
 
 
-def judge(pages: DataFrame, rules: list[Rule], page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def with_seeds(counts: dict[str, int], seeds: tuple[str, ...]) -> dict[str, int]:
+    """Counts in which each seed is at least as frequent as one word in ten thousand."""
+    least = max(1, sum(counts.values()) // 10_000)
+    return counts | {seed: max(least, counts.get(seed, 0)) for seed in seeds}
+
+
+def judge(pages: DataFrame, rules: list[Rule], seeds: tuple[str, ...] = SEEDS, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page, host, path, rule, verdict, score) of every page.
 
     ``verdict`` is the rule's, else ``block`` where the model's log odds are above
@@ -150,8 +164,10 @@ def judge(pages: DataFrame, rules: list[Rule], page: str = "page_id", url: str =
     rule, verdict = matching_rule(rules, F.col("host"), F.col("path"))
     # Each distinct address is cut and scored once, however many pages share it.
     urls = parsed.select("host", "path").distinct()
-    tokens = url_tokens(urls, Segmenter(word_counts(pages, html))).withColumn("rule", rule).withColumn("ruled", verdict)
-    weights, prior, unseen, distinct = bayes_weights(tokens.filter(F.col("ruled").isNotNull()).select("tokens", (F.col("ruled") == "block").alias("blocked")))
+    segmenter = Segmenter(with_seeds(word_counts(pages, html), seeds))
+    tokens = url_tokens(urls, segmenter).withColumn("rule", rule).withColumn("ruled", verdict)
+    blocked = F.arrays_overlap("tokens", F.array(*[F.lit(f"h:{seed}") for seed in seeds]))
+    weights, prior, unseen, distinct = bayes_weights(tokens.select("tokens", F.coalesce(blocked, F.lit(False)).alias("blocked")))
     if distinct <= BROADCAST_TOKENS:
         weights = F.broadcast(weights)
     each = tokens.select("host", "path", "rule", "ruled", F.explode_outer("tokens").alias("token"))
