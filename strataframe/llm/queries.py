@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality_model, quality_rules, records, url_filter
+from . import decontaminate, jaccard, language, packing, quality_model, quality_rules, records, url_filter
 from .textarrays import crc32_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,30 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+_OP4_SQL = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+inter AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM inter JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+)
+SELECT documents.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = documents.doc_id GROUP BY documents.doc_id
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules.measure(table(spark, sf_dir, "documents"))
     base = quality_rules.policy_mask("base")
@@ -155,6 +179,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_model": op1_quality_model,
     "op2_language": op2_language,
     "op3_url_filter": op3_url_filter,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
@@ -162,6 +187,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": _OP4_SQL,
     "op6_quality_rules": _OP6_SQL,
     "op8_decontamination": _OP8_SQL,
 }
