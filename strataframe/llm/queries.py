@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality_model, quality_rules, records, url_filter
+from . import decontaminate, jaccard, language, packing, quality_model, quality_rules, records, suffix_dedup, url_filter
 from .textarrays import crc32_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,36 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = documents.doc_
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, spans = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return words.join(spans, "doc", "left").select(
+        F.col("doc").alias("doc_id"),
+        "n_words",
+        F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"),
+        F.col("n_repeated").isNotNull().alias("has_repeats"),
+        F.coalesce(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), F.array().cast("array<string>")).alias("spans"),
+    )
+
+
+_OP5_SQL = """
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), k AS (
+    SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS k
+    FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)
+), marks AS (
+    SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS lowest FROM k) WHERE doc_id > lowest
+), islands AS (
+    SELECT doc_id, i, sum((p IS NULL OR p + 50 < i)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island
+    FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM marks)
+), spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM islands GROUP BY doc_id, island),
+found AS (SELECT doc_id, list(a || '-' || b ORDER BY a) AS spans, sum(b - a)::BIGINT AS n FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, n IS NOT NULL AS has_repeats,
+       coalesce(spans, []::VARCHAR[]) AS spans
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules.measure(table(spark, sf_dir, "documents"))
     base = quality_rules.policy_mask("base")
@@ -180,6 +210,7 @@ QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
@@ -188,6 +219,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op4_jaccard_join": _OP4_SQL,
+    "op5_suffix_dedup": _OP5_SQL,
     "op6_quality_rules": _OP6_SQL,
     "op8_decontamination": _OP8_SQL,
 }
