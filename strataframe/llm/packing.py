@@ -2,7 +2,7 @@
 
 A document's hashed bag of words is projected to four dimensions; the Hilbert
 key of its cell orders all documents so that similar ones lie near each other.
-Documents are range-sorted by key, tokenized in that order and laid end to end;
+Documents are sorted by ranges of keys, tokenized in that order and laid end to end;
 cutting that one stream every 1024 ids packs neighbours together and leaves at
 most one sequence short.  Texts are shuffled once and tokenized once.
 """
@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,10 @@ from .tokens import encoder, text_slices
 SEQUENCE = 1024
 DIMENSIONS = 4
 BITS = 15
+#: One document in so many, by hash, tells where to cut the curve into stretches.
+BOUNDS_SHARE = 25
+#: Stretches of the curve for each shuffle partition.
+STRETCHES = 4
 
 
 def project(block: Block) -> np.ndarray:
@@ -72,33 +75,57 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def with_keys(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, text, key) of each row; other columns are dropped, rows are not."""
+def _keys(docs: DataFrame, bounds: np.ndarray, doc: str, text: str) -> DataFrame:
+    """(doc, text, key, stretch) of each row; other columns are dropped, rows are not."""
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batch: pa.RecordBatch, block: Block) -> pa.RecordBatch:
-        key = pa.array(hilbert_keys(project(block)), pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(doc), batch.column(text), key], [doc, text, "key"])
+        keys = hilbert_keys(project(block))
+        stretch = pa.array(np.searchsorted(bounds, keys, side="right").astype(np.int32))
+        return pa.RecordBatch.from_arrays([batch.column(doc), batch.column(text), pa.array(keys), stretch], [doc, text, "key", "stretch"])
 
-    return map_text(docs, [doc], text, run, f"{doc} {kind}, {text} string, key long")
+    return map_text(docs, [doc], text, run, f"{doc} {kind}, {text} string, key long, stretch int")
+
+
+def curve_bounds(docs: DataFrame, stretches: int, doc: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Keys that cut the curve into about equal stretches.
+
+    They only balance the work; the order of documents doesn't depend on them.
+    A range shuffle would compute the keys of all texts twice to find its own.
+    """
+    sample = docs.filter(F.pmod(F.xxhash64(doc), F.lit(BOUNDS_SHARE)) == 0)
+    keys = _keys(sample, np.zeros(0, np.int64), doc, text)
+    shares = [k / stretches for k in range(1, stretches)]
+    found = keys.agg(F.percentile_approx("key", shares, 10_000).alias("b")).first()["b"] if shares else None
+    return np.unique(np.array(found or [], np.int64))
 
 
 def _tokenized(ordered: DataFrame, doc: str, text: str, kind: str, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc, key, part, before, n_tokens, ids): ``before`` counts ids of the task so far."""
+    """(doc, key, stretch, before, n_tokens, ids): ``before`` counts ids of the stretch so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end, before = encode.dtype.type(end_id).tobytes(), 0
+        encode = encoder(tokenizer)
+        end, current, before = encode.dtype.type(end_id).tobytes(), None, 0
         for batch in batches:
             for rows, texts in text_slices(batch, text):
                 ids = [x + end for x in encode.encode(texts)]
                 counts = np.array([len(x) // encode.width for x in ids], np.int64)
-                starts = before + np.cumsum(counts) - counts
-                before += int(counts.sum())
-                columns = [rows.column(doc), rows.column("key"), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [doc, "key", "part", "before", "n_tokens", "ids"])
+                starts = np.cumsum(counts) - counts
+                stretches = rows.column("stretch").to_numpy(zero_copy_only=False)
+                for lo, hi in zip(*_equal_runs(stretches), strict=True):
+                    before = before if stretches[lo] == current else 0
+                    current = stretches[lo]
+                    starts[lo:hi] += before - starts[lo]
+                    before = int(starts[hi - 1] + counts[hi - 1])
+                columns = [rows.column(doc), rows.column("key"), rows.column("stretch"), pa.array(starts), pa.array(counts), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [doc, "key", "stretch", "before", "n_tokens", "ids"])
+
+    return ordered.mapInArrow(run, f"{doc} {kind}, key long, stretch int, before long, n_tokens long, ids binary")
+
 
-    return ordered.mapInArrow(run, f"{doc} {kind}, key long, part int, before long, n_tokens long, ids binary")
+def _equal_runs(values: np.ndarray) -> tuple[list[int], list[int]]:
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    return [0, *cuts.tolist()], [*cuts.tolist(), len(values)]
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = SEQUENCE, doc: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -110,13 +137,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = SEQUENC
     (key, doc, text hash).  An empty table gives no pieces.
     """
     kind = docs.schema[doc].dataType.simpleString()
-    order = ["key", doc, "tie"]
-    keyed = with_keys(docs, doc, text).withColumn("tie", F.xxhash64(text))
-    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    stretches = STRETCHES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = _keys(docs, curve_bounds(docs, stretches, doc, text), doc, text)
+    # Whole stretches go to a task, which sorts them along the curve.
+    ordered = keyed.repartition("stretch").sortWithinPartitions("stretch", "key", doc, F.xxhash64(text))
     width = encoder(tokenizer).width
     stream = written(_tokenized(ordered, doc, text, kind, tokenizer, end_id), "packed-tokens")
-    # One number for each task of the tokenizing step.
-    totals = {r["part"]: r["n"] for r in stream.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    # One number for each stretch.
+    totals = {r["stretch"]: r["n"] for r in stream.groupBy("stretch").agg(F.sum("n_tokens").alias("n")).collect()}
     base, at = {}, 0
     for part in sorted(totals):
         base[part] = at
@@ -125,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = SEQUENC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            rows = zip(batch.column("part").to_pylist(), batch.column("before").to_pylist(), batch.column("ids"), strict=True)
+            rows = zip(batch.column("stretch").to_pylist(), batch.column("before").to_pylist(), batch.column("ids"), strict=True)
             picks = []
             for k, (part, before, value) in enumerate(rows):
                 ids = np.frombuffer(value.as_buffer(), f"<u{width}").astype("<u4")
@@ -146,7 +174,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = SEQUENC
             yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
 
     schema = f"{doc} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return stream.select(doc, "part", "before", "ids").mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    return stream.select(doc, "stretch", "before", "ids").mapInArrow(run, schema + (", ids binary" if with_ids else ""))
 
 
 def padded_length(used: int, length: int = SEQUENCE) -> int:

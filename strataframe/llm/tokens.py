@@ -47,6 +47,7 @@ class Encoder:
         self.mark, self.between = ("|", " | ") if self.drops_space else ("\n", "\n")
         mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = mark_ids[0] if len(mark_ids) == 1 else None
+        self.line_break = b"" if self.drops_space else self._encode(["\n"])[0]
         self.ends = dict(zip(",.", self._encode([",", "."]), strict=True))
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = self.first if self.drops_space else {}
@@ -72,6 +73,18 @@ class Encoder:
         return out
 
     def _learn(self, cache: dict[str, bytes], missing: set[str], before: str) -> None:
+        if before:
+            # A line break between two letters or marks is alone and nothing crosses it.
+            lines = {x: x.split("\n") for x in missing if "\n" in x and len(x.split()) == x.count("\n") + 1}
+            if lines:
+                missing = missing - lines.keys()
+                heads = dict(zip(lines, self._look_up(cache, [x[0] for x in lines.values()], before), strict=True))
+                tails = iter(self._look_up(self.first, [y for x in lines.values() for y in x[1:]], ""))
+                for piece, parts in lines.items():
+                    found = heads[piece]
+                    for _ in parts[1:]:
+                        found += self.line_break + next(tails)
+                    cache[piece] = found
         # A comma or full stop after a letter is a token of its own in any case.
         ended = {x for x in missing if len(x) > 1 and x[-1] in ",." and x[-2].isalpha()}
         pieces = [before + x for x in (missing - ended) | {x[:-1] for x in ended}.difference(cache)]
