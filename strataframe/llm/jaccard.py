@@ -10,9 +10,9 @@ ones m - 1.
 
 Candidates are verified on whole sets.  Each set is first compared with the one
 lowest neighbour it shares most signatures with; then only sets that meet in a
-signature but lie in different components yet are compared pairwise.  So no
-group of copies is expanded into all its pairs and no link between components
-is lost.
+signature but lie in different components yet are compared, and of those only
+ones whose sizes and bitmaps allow the similarity.  So no group of copies is
+expanded into all its pairs and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -34,10 +34,13 @@ SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 80
 #: Counters of the frequency sketch: 2 to this power.  Wider keeps more classes apart at scale.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Candidate ids up to which they are broadcast to the texts; beyond it both sides shuffle.
 BROADCAST_IDS = 2_000_000
-_CHUNKS = 32
+#: Bits of a parity bitmap, 2 to this power, that go along with signatures, and at most.
+SHORT_BITS, LONG_BITS = 8, 22
+_SHORT = [f"b{k}" for k in range((1 << SHORT_BITS) // 64)]
+_CHUNKS = 64
 _SMALL = 8
 _bands = 1.25 ** np.arange(160)
 
@@ -69,14 +72,28 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).astype(np.int64)), int(b.sum(dtype=np.uint64).astype(np.int64))
 
 
+def parity_bitmap(values: np.ndarray) -> np.ndarray:
+    """Bits (as 0 and 1), two to four for each shingle, of which each shingle flips one.
+
+    Two sets differ in at least as many shingles as their bitmaps in bits.
+    """
+    bits = 1 << min(LONG_BITS, max(SHORT_BITS, (2 * len(values)).bit_length()))
+    return (np.bincount((values >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap that the same set would have with fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
 def digests(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """One row per document (doc, n, h1, h2), and rows (chunk, counts) of the sketch.
+    """One row per document (doc, n, h1, h2, b0.., bits) and rows (chunk, counts) of the sketch.
 
     The sketch counts, for each slot, the documents of a task that hold a
     shingle falling there; exact copies within a task count once.
     """
     kind = docs.schema[doc].dataType.simpleString()
-    names = ["doc", "n", "h1", "h2", "chunk", "counts"]
+    names = ["doc", "n", "h1", "h2", *_SHORT, "bits", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -84,29 +101,32 @@ def digests(docs: DataFrame, doc: str, text: str) -> DataFrame:
         for batch in batches:
             for block in text_blocks(batch.column(text)):
                 sets = shingle_sets(block)
-                rows = [(len(s), *_digest(s)) for s in sets]
+                maps = [parity_bitmap(s) for s in sets]
+                short = [np.packbits(folded(m, 1 << SHORT_BITS)).view(np.int64).tolist() for m in maps]
+                rows = [(len(s), *_digest(s), *b) for s, b in zip(sets, short, strict=True)]
                 fresh = []
-                for s, (n, *h) in zip(sets, rows, strict=True):
-                    if n and tuple(h) not in seen:
+                for s, row in zip(sets, rows, strict=True):
+                    if row[0] and row[1:3] not in seen:
                         fresh.append(s)
-                        seen.add(tuple(h))
+                        seen.add(row[1:3])
                 if fresh:
                     slots = (np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                     counts += np.bincount(slots, minlength=1 << SKETCH_BITS)
                 if len(seen) > 500_000:
                     seen.clear()
-                n, h1, h2 = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
-                empty = pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(doc).slice(block.lo, len(rows)), n, h1, h2, *empty], names)
+                numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3 + len(_SHORT))]
+                bits = pa.array([np.packbits(m).tobytes() for m in maps], pa.binary())
+                empty = bits, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(doc).slice(block.lo, len(rows)), *numbers, *empty], names)
         chunks = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(counts, _CHUNKS)]
-        nothing = [pa.nulls(_CHUNKS, pa.int64())] * 3
+        nothing = [pa.nulls(_CHUNKS, pa.int64())] * (3 + len(_SHORT)) + [pa.nulls(_CHUNKS, pa.binary())]
         kind_type = batch_type[0]
         yield pa.RecordBatch.from_arrays([pa.nulls(_CHUNKS, kind_type), *nothing, pa.array(range(_CHUNKS), pa.int32()), pa.array(chunks, pa.binary())], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = [to_arrow_type(docs.schema[doc].dataType)]
-    return docs.select(doc, text).mapInArrow(run, f"doc {kind}, n long, h1 long, h2 long, chunk int, counts binary")
+    return docs.select(doc, text).mapInArrow(run, f"doc {kind}, n long, h1 long, h2 long, " + "".join(f"{b} long, " for b in _SHORT) + "bits binary, chunk int, counts binary")
 
 
 def frequent_slots(passed: DataFrame) -> np.ndarray:
@@ -126,7 +146,7 @@ def frequent_slots(passed: DataFrame) -> np.ndarray:
     for row in chunks.mapInArrow(run, "chunk int, counts binary").collect():  # one row of a fixed size per chunk
         counts[row.chunk * width : (row.chunk + 1) * width] += np.frombuffer(zlib.decompress(row["counts"]), "<i8")
     mean = counts.mean()
-    return counts > mean + 6 * np.sqrt(mean) + 32
+    return counts > mean + 4 * np.sqrt(mean) + 8
 
 
 def _tag(tokens: np.ndarray, band: int) -> np.ndarray:
@@ -193,34 +213,63 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray, doc: str, text: str) -
     return docs.select(doc, text).mapInArrow(run, f"sig long, doc {kind}")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, tokens) of the documents whose id is in ``ids``."""
-    kind = docs.schema[doc].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in text_blocks(batch.column(text)):
-                sets = [s.view(np.int64) for s in shingle_sets(block)]
-                bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                tokens = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(doc).slice(block.lo, len(sets)), tokens], ["doc", "tokens"])
-
+def _texts(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, text) of the documents whose id is in ``ids``."""
     ids = ids.select(F.col("doc").alias("_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    chosen = docs.select(doc, text).join(ids, F.col(doc) == F.col("_id"), "left_semi")
-    # Rows that share an id are one node here; the first set stands for it.
-    return chosen.mapInArrow(run, f"doc {kind}, tokens array<long>").dropDuplicates(["doc"])
+    chosen = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    return chosen.join(ids, F.col("doc") == F.col("_id"), "left_semi")
+
 
+def plausible(pairs: DataFrame, passed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of (a, b) whose sizes and bitmaps leave room for the similarity."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, m, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                total, ok = x + y, min(x, y) * 100 >= max(x, y) * percent
+                if ok:
+                    left, right = (np.unpackbits(np.frombuffer(b, np.uint8)) for b in (m, n))
+                    size = min(len(left), len(right))
+                    apart = int(np.count_nonzero(folded(left, size) != folded(right, size)))
+                    ok = (total - apart) * (100 + percent) >= total * 2 * percent
+                keep.append(ok)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    maps = passed.filter("n > 0")
+    both = pairs.join(maps.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+    both = both.join(maps.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, percent: int = PERCENT) -> DataFrame:
+    """Those of (a, b) whose sets reach the similarity, found from their whole texts.
+
+    Texts move rather than sets, since they are a fraction of the size.
+    """
+    kind = docs.schema[doc].dataType.simpleString()
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of (a, b) whose sets reach the similarity."""
-    left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a")
-    near = F.least(F.size("ta"), F.size("tb")) * 100 >= F.greatest(F.size("ta"), F.size("tb")) * percent
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(near).filter(common * 100 >= (F.size("ta") + F.size("tb") - common) * percent).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[s for block in text_blocks(batch.column(k)) for s in shingle_sets(block)] for k in (2, 3)]
+            keep = []
+            for x, y in zip(*sets, strict=True):
+                small, large = min(len(x), len(y)), max(len(x), len(y))
+                common = 0
+                if small * 100 >= large * percent and small:
+                    both = np.sort(np.concatenate([x, y]))
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(common > 0 and common * 100 >= (len(x) + len(y) - common) * percent)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
+    texts = _texts(docs, ids, doc, text)
+    both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+    both = both.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -245,19 +294,27 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
     low = met.groupBy("sig").agg(F.min("doc").alias("lo"))
     shared = met.join(low, "sig").filter("doc != lo").groupBy("doc", "lo").agg(F.count(F.lit(1)).alias("n"))
     first = shared.groupBy("doc").agg(F.max_by("lo", F.struct("n", -F.col("lo"))).alias("lo"))
-    first = written(first.select(F.col("doc").alias("b"), F.col("lo").alias("a")), "first-pairs")
-    sets = written(sets_of(docs, met.select("doc"), doc, text), "sets")
-    links = written(verified(first, sets, percent), "first-links")
+    first = written(plausible(first.select(F.col("lo").alias("a"), F.col("doc").alias("b")), passed, percent), "first-pairs")
+    links = written(verified(first, docs, doc, text, percent), "first-links")
     parts = components(links)
 
     placed = met.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
     split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
-    placed = placed.join(split, "sig").join(sets.select("doc", F.size("tokens").alias("n")), "doc")
-    one = placed.select("sig", F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    two = placed.select("sig", F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = (F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")) & (F.col("na") * 100 >= F.col("nb") * percent) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-    rest = one.join(two, "sig").filter(near).select("a", "b").distinct()
-    more = verified(rest, sets, percent)
+    sizes = passed.filter("n > 0").groupBy("doc").agg(F.max(F.struct("n", *_SHORT)).alias("s")).select("doc", "s.*")
+    placed = placed.join(split, "sig").join(sizes, "doc")
+    one, two = (placed.select([F.col(c).alias(f"{c}_{side}") for c in placed.columns]) for side in "ab")
+    total = F.col("n_a") + F.col("n_b")
+    apart = F.expr(" + ".join(f"bit_count({m}_a ^ {m}_b)" for m in _SHORT))
+    near = (
+        (F.col("sig_a") == F.col("sig_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & (F.struct("n_a", "doc_a") < F.struct("n_b", "doc_b"))
+        & (F.col("n_a") * 100 >= F.col("n_b") * percent)
+        & ((total - apart) * (100 + percent) >= total * 2 * percent)
+    )
+    rest = one.join(two, near).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    rest = written(plausible(rest, passed, percent), "rest-pairs")
+    more = verified(rest, docs, doc, text, percent)
     copied = reps.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     final = components(links.unionByName(more).unionByName(copied)).select(F.col("node").alias("doc"), "component")
     joined = rows.join(final, "doc", "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality_model, quality_rules, records, suffix_dedup, url_filter
+from . import attention_lm, decontaminate, jaccard, language, packing, quality_model, quality_rules, records, suffix_dedup, url_filter
 from .textarrays import crc32_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +200,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc32_mod("doc_id", 7) == 2
+    scored = attention_lm.score(documents, documents.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return records.round_trip(spark, documents, tokenizer_file("word_bpe_49k.json"), end_id=1, digest=True)
@@ -214,6 +221,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_attention_lm": op9_attention_lm,
     "op10_token_records": op10_token_records,
 }
 
