@@ -1 +1 @@
-
+"""Operators over pixel, scene, observation and target relations."""

@@ -1,4 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import raster, relations  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-
+"""Structured Streaming over field observations and events."""
