@@ -111,12 +111,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
-    bad = judge(docs, benchmark, doc, text, item, length).filter("contaminated").select(F.col(doc).alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    same = F.col(doc).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_key"))
+    bad = judge(docs, benchmark, doc, text, item, length).filter("contaminated").select(F.col(doc).alias("__sf_doc"), F.col("text_key").alias("__sf_key"), F.col("spans").alias("__sf_spans"))
+    same = F.col(doc).eqNullSafe(F.col("__sf_doc")) & (F.xxhash64(text) == F.col("__sf_key"))
     if remove == "documents":
         return docs.join(bad, same, "left_anti")
     pieces = F.regexp_extract_all(F.col(text), F.lit(_WORD_AND_GAP), F.lit(0))
     head = F.regexp_extract(F.col(text), "^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*", 0)
-    kept = F.filter(pieces, lambda x, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["end"])))
-    cleaned = F.when(F.col("_spans").isNotNull(), F.concat(head, F.array_join(kept, ""))).otherwise(F.col(text))
+    kept = F.filter(pieces, lambda x, i: ~F.exists("__sf_spans", lambda s: (i >= s["start"]) & (i < s["end"])))
+    cleaned = F.when(F.col("__sf_spans").isNotNull(), F.concat(head, F.array_join(kept, ""))).otherwise(F.col(text))
     return docs.join(bad, same, "left").withColumn(text, cleaned).select(*docs.columns)

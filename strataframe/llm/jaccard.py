@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import limit_batches, written
 from .textarrays import ASCII_LOWER, Block, Words, find_words, gram_hashes, gram_starts, mix64, range_hashes, text_blocks
 
 SHINGLE = 5
@@ -96,7 +96,7 @@ def digests(docs: DataFrame, doc: str, text: str) -> DataFrame:
     names = ["doc", "n", "h1", "h2", *_SHORT, "bits", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for block in text_blocks(batch.column(text)):
@@ -110,9 +110,9 @@ def digests(docs: DataFrame, doc: str, text: str) -> DataFrame:
                         fresh.append(s)
                         seen.add(row[1:3])
                 if fresh:
-                    slots = (np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                    counts += np.bincount(slots, minlength=1 << SKETCH_BITS)
-                if len(seen) > 500_000:
+                    slots, times = np.unique((np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                    counts[slots] += times.astype(np.uint32)
+                if len(seen) > 200_000:
                     seen.clear()
                 numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3 + len(_SHORT))]
                 bits = pa.array([np.packbits(m).tobytes() for m in maps], pa.binary())
@@ -203,7 +203,7 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray, doc: str, text: str) -
                         seen.add(key)
                         found.append(signatures(values, flags))
                         picks.append(i)
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 if found:
                     rows = np.repeat(np.array(picks) + block.lo, [len(x) for x in found])
@@ -215,11 +215,11 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray, doc: str, text: str) -
 
 def _texts(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, text) of the documents whose id is in ``ids``."""
-    ids = ids.select(F.col("doc").alias("_id")).distinct()
+    ids = ids.select(F.col("doc").alias("__sf_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     chosen = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    return chosen.join(ids, F.col("doc") == F.col("_id"), "left_semi")
+    return chosen.join(ids, F.col("doc") == F.col("__sf_id"), "left_semi")
 
 
 def plausible(pairs: DataFrame, passed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -227,7 +227,7 @@ def plausible(pairs: DataFrame, passed: DataFrame, percent: int = PERCENT) -> Da
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (large.slice(k, 500) for large in batches for k in range(0, large.num_rows, 500)):
             keep = []
             for x, y, m, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
                 total, ok = x + y, min(x, y) * 100 >= max(x, y) * percent
@@ -253,7 +253,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, percent: in
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (large.slice(k, 100) for large in batches for k in range(0, large.num_rows, 100)):
             sets = [[s for block in text_blocks(batch.column(k)) for s in shingle_sets(block)] for k in (2, 3)]
             keep = []
             for x, y in zip(*sets, strict=True):
@@ -280,6 +280,7 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
     links with nothing.  Rows that share an id are one node; a null id stays
     alone, with a null component.
     """
+    limit_batches(docs.sparkSession)
     passed = written(digests(docs, doc, text), "digests")
     rows = passed.filter("chunk is null").select("doc", "n", "h1", "h2")
     copies = rows.filter("n > 0 and doc is not null").groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
@@ -323,5 +324,5 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document, the lowest id, of each component; all its columns."""
-    kept = link(docs, doc, text, percent).filter(F.col(doc).isNull() | (F.col(doc) == F.col("component_id"))).select(F.col(doc).alias("_kept")).distinct()
-    return docs.join(kept, F.col(doc).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = link(docs, doc, text, percent).filter(F.col(doc).isNull() | (F.col(doc) == F.col("component_id"))).select(F.col(doc).alias("__sf_kept")).distinct()
+    return docs.join(kept, F.col(doc).eqNullSafe(F.col("__sf_kept")), "left_semi")

@@ -9,18 +9,21 @@ that isn't in it.  The nearest language wins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textarrays import Block, map_text, text_blocks
+from .shared import limit_batches
+from .textarrays import Block, text_blocks
 
 PROFILE = 300
 UNKNOWN = "und"
+#: Bytes of text at once; each takes up to a hundred bytes of memory meanwhile.
+BLOCK_BYTES = 1 << 19
 _EDGE = 1
 _GRAM_BITS = 48
 #: Distinct n-grams that a task gathers before it passes them on.
@@ -116,7 +119,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             return pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(grams), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
         for batch in batches:
-            for block in text_blocks(batch.column(text)):
+            for block in text_blocks(batch.column(text), BLOCK_BYTES):
                 labels = batch.column(lang).slice(block.lo, block.hi - block.lo).to_pylist()
                 groups = np.array([names.setdefault(x, len(names)) for x in labels])
                 found = runs(block_grams(block, groups))
@@ -132,6 +135,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         if held:
             yield batch_of(*merged())
 
+    limit_batches(docs.sparkSession)
     counted = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias(lang), text).mapInArrow(run, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -176,6 +180,34 @@ def distances(block: Block, profiles: Profiles) -> tuple[np.ndarray, np.ndarray]
     return out, used
 
 
+def predictor(profiles: Profiles) -> Callable[[Column], Column]:
+    """A column function from text to ``struct<lang_pred, score>``; see ``identify``."""
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        names: list[str] = []
+        scores = [np.zeros(0)]
+        for block in text_blocks(texts, BLOCK_BYTES):
+            far, used = distances(block, profiles)
+            n = len(used)
+            if far.shape[1] == 0:
+                names += [UNKNOWN] * n
+                scores.append(np.zeros(n))
+                continue
+            best = np.argmin(far, axis=1)
+            names += [profiles.langs[k] if u else UNKNOWN for k, u in zip(best, used, strict=True)]
+            if far.shape[1] == 1:
+                scores.append((used > 0).astype(float))
+            else:
+                two = np.partition(far, 1, axis=1)[:, :2]
+                total = two.sum(axis=1)
+                scores.append(np.where(used > 0, np.where(total > 0, two[:, 1] / np.maximum(total, 1), 0.5), 0.0))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
+
+    # Called so, it isn't computed again for every filter on its result.
+    return predict.asNondeterministic()
+
+
 def identify(docs: DataFrame, profiles: Profiles, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, lang_pred, score) for every row.
 
@@ -184,22 +216,4 @@ def identify(docs: DataFrame, profiles: Profiles, doc: str = "doc_id", text: str
     of the two nearest (1 if there is only one language); equal distances go
     to the first language by name.
     """
-    kind = docs.schema[doc].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch, block: Block) -> pa.RecordBatch:
-        far, used = distances(block, profiles)
-        n = len(used)
-        if far.shape[1] == 0:
-            names, score = [UNKNOWN] * n, np.zeros(n)
-        else:
-            best = np.argmin(far, axis=1)
-            names = [profiles.langs[k] if u else UNKNOWN for k, u in zip(best, used, strict=True)]
-            if far.shape[1] == 1:
-                score = (used > 0).astype(float)
-            else:
-                two = np.partition(far, 1, axis=1)[:, :2]
-                total = two.sum(axis=1)
-                score = np.where(used > 0, np.where(total > 0, two[:, 1] / np.maximum(total, 1), 0.5), 0.0)
-        return pa.RecordBatch.from_arrays([batch.column(doc), pa.array(names, pa.string()), pa.array(score)], [doc, "lang_pred", "score"])
-
-    return map_text(docs, [doc], text, run, f"{doc} {kind}, lang_pred string, score double")
+    return docs.select(doc, predictor(profiles)(F.col(text)).alias("_found")).select(doc, "_found.lang_pred", "_found.score")

@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, written
+from .shared import limit_batches, new_folder, written
 from .tokens import encoder, text_slices
 
 FILE_BYTES = 64 << 20
 INDEX_ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
+#: Stored in place of a null id.
+NULL_ID = -(1 << 63)
 _HEAD = "<QI"
 _DOC = "<qB"
 _DOC_BYTES = struct.calcsize(_DOC)
@@ -97,8 +99,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc
 
     Returns the list of files (path, part, file, n_docs, n_tokens), already
     written.  A null text is encoded as empty; rows that share an id all stay,
-    next to each other; rows with a null id are an error, since a record must
-    carry one.  A task that runs again writes files of its own; only those of
+    next to each other; a null id comes first, is stored as the lowest number and
+    is read back as null.  A task that runs again writes files of its own; only those of
     the attempt that ended well are listed.
     """
 
@@ -109,8 +111,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc
         for batch in batches:
             for rows, texts in text_slices(batch, text):
                 for doc_id, ids in zip(rows.column(doc).to_pylist(), encode.encode(texts), strict=True):
-                    if doc_id is None:
-                        raise ValueError(f"a record needs a {doc}")
+                    doc_id = NULL_ID if doc_id is None else doc_id
                     if shard is None or shard.size >= file_bytes:
                         if shard is not None:
                             done.append(shard.close())
@@ -122,6 +123,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "part", "file", "n_docs", "n_tokens"])
 
+    limit_batches(docs.sparkSession)
     ordered = docs.select(doc, text).repartitionByRange(doc, F.xxhash64(text)).sortWithinPartitions(doc, F.xxhash64(text))
     return written(ordered.mapInArrow(run, _FILES), "record-files")
 
@@ -162,6 +164,7 @@ def read_records(files: DataFrame, digest: bool = False) -> DataFrame:
                     doc_id, width = struct.unpack_from(_DOC, payload)
                     ids = bytes(payload[_DOC_BYTES :])
                     n_tokens = len(ids) // width
+                    doc_id = None if doc_id == NULL_ID else doc_id
                     out.append((doc_id, start, n_tokens, *((ids_crc32(ids, width),) if digest else (ids, width))))
                     start += n_tokens
                     if len(out) >= 2000:

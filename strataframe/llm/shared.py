@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows that go to Python at once, so that a task's memory doesn't hang on the length of texts.
+BATCH_BYTES = "8m"
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Sets the size of Arrow batches for what is planned from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only if it is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

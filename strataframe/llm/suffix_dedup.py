@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import limit_batches, written
 from .textarrays import Block, Words, find_words, gram_hashes, gram_starts, mix64, range_hashes, text_blocks
 
 PASSAGE = 50
@@ -158,10 +158,10 @@ def _window_rows(docs: DataFrame, edges: DataFrame, doc: str, text: str) -> Data
 
 def _only(docs: DataFrame, ids: DataFrame, doc: str, how: str = "left_semi") -> DataFrame:
     """Rows whose id is among ``ids`` (or isn't), by a broadcast if these are few."""
-    ids = ids.select(F.col("doc").alias("_id")).distinct()
+    ids = ids.select(F.col("doc").alias("__sf_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, F.col(doc) == F.col("_id"), how)
+    return docs.join(ids, F.col(doc) == F.col("__sf_id"), how)
 
 
 def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -171,6 +171,7 @@ def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     are integers; a row with a null id takes no part.  Rows that share an id
     count as one document, so they don't repeat each other.
     """
+    limit_batches(docs.sparkSession)
     scanned = written(_scan(docs, doc, text), "suffixes")
     anchor = Window.partitionBy("anchor").orderBy("content", "doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     content = Window.partitionBy("anchor", "content").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -223,14 +224,14 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     _, spans = repeated_spans(docs, doc, text)
     spans = written(spans, "repeated-spans")
     others = [c for c in docs.columns if c != text]
-    keyed = docs.withColumn("_doc", F.col(doc).cast("long"))
-    rest = _only(keyed, spans.select("doc"), "_doc", "left_anti").select(*docs.columns)
-    hit = _only(keyed, spans.select("doc"), "_doc").join(spans.select(F.col("doc").alias("_hit"), F.col("spans").alias("_spans")), F.col("_doc") == F.col("_hit"))
-    hit = hit.select(*docs.columns, "_spans")
+    keyed = docs.withColumn("__sf_doc", F.col(doc).cast("long"))
+    rest = _only(keyed, spans.select("doc"), "__sf_doc", "left_anti").select(*docs.columns)
+    hit = _only(keyed, spans.select("doc"), "__sf_doc").join(spans.select(F.col("doc").alias("__sf_hit"), F.col("spans").alias("__sf_spans")), F.col("__sf_doc") == F.col("__sf_hit"))
+    hit = hit.select(*docs.columns, "__sf_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cleaned = pa.array(cut_words(batch.column(text), batch.column("_spans")), pa.string())
+            cleaned = pa.array(cut_words(batch.column(text), batch.column("__sf_spans")), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), cleaned], [*others, text])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others, text).schema)

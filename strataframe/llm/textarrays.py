@@ -15,7 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 2 << 20
+from .shared import limit_batches
+
+#: Bytes of text at once; some forty times as much memory is in use meanwhile.
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -186,4 +189,5 @@ def map_text(
                 if out.num_rows:
                     yield out
 
+    limit_batches(df.sparkSession)
     return df.select(*keys, text).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept in a task's memory (about 200 bytes each); beyond that it starts anew.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 700_000
 #: Bytes of text whose pieces are looked up at once.
 SLICE_BYTES = 1 << 20
 #: Unknown pieces that go to the tokenizer as one text.
