@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .textarrays import ASCII_LOWER, Block, find_words, map_text, range_hashes
+from .shared import limit_batches, written
+from .textarrays import ASCII_LOWER, Block, find_words, range_hashes, text_blocks
 from .tokens import encoder, text_slices
 
 SEQUENCE = 1024
@@ -77,14 +77,16 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def _keys(docs: DataFrame, bounds: np.ndarray, doc: str, text: str) -> DataFrame:
     """(doc, text, key, stretch) of each row; other columns are dropped, rows are not."""
-    kind = docs.schema[doc].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch, block: Block) -> pa.RecordBatch:
-        keys = hilbert_keys(project(block))
-        stretch = pa.array(np.searchsorted(bounds, keys, side="right").astype(np.int32))
-        return pa.RecordBatch.from_arrays([batch.column(doc), batch.column(text), pa.array(keys), stretch], [doc, text, "key", "stretch"])
+    @F.arrow_udf("struct<key: long, stretch: int>")
+    def place(texts: pa.Array) -> pa.Array:
+        found = [hilbert_keys(project(block)) for block in text_blocks(texts)]
+        keys = np.concatenate(found) if found else np.zeros(0, np.int64)
+        stretch = np.searchsorted(bounds, keys, side="right").astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array(stretch)], ["key", "stretch"])
 
-    return map_text(docs, [doc], text, run, f"{doc} {kind}, {text} string, key long, stretch int")
+    # Only the key comes back from Python; the text stays where it is.
+    return docs.select(doc, text, place(F.col(text)).alias("_place")).select(doc, text, "_place.key", "_place.stretch")
 
 
 def curve_bounds(docs: DataFrame, stretches: int, doc: str = "doc_id", text: str = "text") -> np.ndarray:
@@ -136,6 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = SEQUENC
     and so only its end id; rows that share an id or a key all stay, ordered by
     (key, doc, text hash).  An empty table gives no pieces.
     """
+    limit_batches(docs.sparkSession)
     kind = docs.schema[doc].dataType.simpleString()
     stretches = STRETCHES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keys(docs, curve_bounds(docs, stretches, doc, text), doc, text)

@@ -9,7 +9,7 @@ from strataframe.llm.tokens import Encoder
 
 TEXTS = [
     "plain words, here.\nand there", "", None, " lead", "trail ", "two  spaces", "tab\there \n\n new", "it's  I'll x", "É Ünï <|endoftext|> x",
-    "a\x1cb c", "\n", "   ", "x \n y\n  z", "ΑΣ ΣΑΣ σ", "日本 語テキスト", "word " * 3000, "1234 $$$ 5%", "a | b|c || d", "x\ny z\n\nw \n", "a b.\nC d\n e\tf g,\n\"H\" i\nj\nk, l\n m", "same", "same",
+    "a\x1cb c", "\n", "   ", "x \n y\n  z", "ΑΣ ΣΑΣ σ", "déjà ÉTÉ Straße, ÿ ŒUVRE naïve. µ ª ǅ İI ﬁ e\u0301a", "한국어 кириллица עברית", "日本 語テキスト", "word " * 3000, "1234 $$$ 5%", "a | b|c || d", "x\ny z\n\nw \n", "a b.\nC d\n e\tf g,\n\"H\" i\nj\nk, l\n m", "same", "same",
 ]
 
 
