@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import lower_ascii
+from .shared import written
 
 #: Words of the unigram model at most, the most frequent ones of all pages.
 DICTIONARY = 50_000
@@ -67,11 +68,21 @@ def matching_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column
 
 
 def word_counts(pages: DataFrame, text: str = "html") -> dict[str, int]:
-    """The ``DICTIONARY`` most frequent words of all pages, tags left out; ties by word."""
+    """The most frequent words of all pages, ``DICTIONARY`` at most, tags left out.
+
+    Words of equal frequency are in or out together.
+    """
     plain = F.lower(F.regexp_replace(F.col(text), "<[^>]*>", " "))
     words = pages.select(F.explode(F.split(plain, "[^\\p{L}]+")).alias("word")).filter(F.length("word").between(2, LONGEST))
-    top = words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(DICTIONARY)
-    return {r["word"]: r["count"] for r in top.collect()}
+    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "page-words")
+    # The lowest count to take, from how many words have each, so that only those taken are collected.
+    levels = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("v")).collect()
+    least, held = 1 << 62, 0
+    for level in sorted(levels, key=lambda r: -r.n):
+        if held + level.v > DICTIONARY:
+            break
+        least, held = level.n, held + level.v
+    return {r["word"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}
 
 
 class Segmenter:
