@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 
-def _runs(cells: DataFrame) -> DataFrame:
-    """Adds ``run``: the lowest column of the unbroken stretch of its row."""
+def _runs(cells: DataFrame, label: str | None) -> DataFrame:
+    """Adds ``run``: the lowest column of the unbroken stretch (of one label) of its row."""
     line = Window.partitionBy("r").orderBy("c")
-    breaks = cells.withColumn("_new", (F.col("c") - F.coalesce(F.lag("c").over(line), F.lit(-9)) > 1).cast("int"))
+    apart = F.col("c") - F.coalesce(F.lag("c").over(line), F.lit(-9)) > 1
+    if label:
+        apart = apart | ~F.lag(label).over(line).eqNullSafe(F.col(label))
+    breaks = cells.withColumn("_new", apart.cast("int"))
     grouped = breaks.withColumn("_g", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.withColumn("run", F.min("c").over(Window.partitionBy("r", "_g"))).drop("_new", "_g")
 
@@ -23,20 +26,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def connected(cells: DataFrame, width: int) -> DataFrame:
-    """Adds ``component`` to cells (r, c) that touch by side or corner: the lowest r * width + c.
+def connected(cells: DataFrame, width: int, label: str | None = None, corners: bool = True) -> DataFrame:
+    """Adds ``component`` to cells (r, c) that touch: the lowest r * width + c.
 
-    Stretches of rows are joined to those they touch in the next row; then lowest
-    labels spread over these links, a label's own label being followed each time,
-    until none changes.  Stretches shrink the graph before the first round.
+    Cells touch by a side or, with ``corners``, by a corner, and with ``label`` only
+    where it is the same.  Stretches of rows are joined to those they touch in
+    the next row; then lowest labels spread over these links, a label's own
+    label being followed each time, until none changes.  Stretches shrink the
+    graph before the first round.
     """
-    runs = settled(_runs(cells))
+    runs = settled(_runs(cells, label))
     ends = runs.groupBy("r", "run").agg(F.max("c").alias("last")).withColumn("node", F.col("r") * width + F.col("run"))
-    touching = []
-    for step in (-1, 0, 1):
-        moved = runs.select((F.col("r") + 1).alias("r"), (F.col("c") + step).alias("c"), (F.col("r") * width + F.col("run")).alias("a"))
-        touching.append(moved.join(runs.select("r", "c", (F.col("r") * width + F.col("run")).alias("b")), ["r", "c"]).select("a", "b"))
-    links = touching[0].unionByName(touching[1]).unionByName(touching[2]).distinct()
+    keys = ["r", "c"] + ([label] if label else [])
+    also = [label] if label else []
+    node = F.col("r") * width + F.col("run")
+    links = None
+    for step in (-1, 0, 1) if corners else (0,):
+        moved = runs.select((F.col("r") + 1).alias("r"), (F.col("c") + step).alias("c"), *also, node.alias("a"))
+        met = moved.join(runs.select("r", "c", *also, node.alias("b")), keys).select("a", "b")
+        links = met if links is None else links.unionByName(met)
+    links = links.distinct()
     edges = settled(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = ends.select("node", F.col("node").alias("label"))
     before = None
@@ -65,6 +74,27 @@ def component_statistics(cells: DataFrame, score: str, kind: str, least: int, ar
     return sizes.join(kinds, "component").select("component", "pixels", (F.col("pixels") * area_ha).alias("area_ha"), "mean_score", "peak_score", "x", "y", "kind", rank.alias("rank_score"))
 
 
+def sieve(df: DataFrame, label: str, width: int, least: int, out: str) -> DataFrame:
+    """Adds the label with patches of fewer than ``least`` pixels given to their largest neighbour.
+
+    Patches touch by sides.  Of equally large neighbours the one that begins
+    first counts; a patch without neighbours keeps its label.
+    """
+    parts = settled(connected(df.select("r", "c", label), width, label, corners=False))
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.first(label).alias("_label"))
+    borders = None
+    for dr, dc in ((0, 1), (1, 0)):
+        moved = parts.select((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.col("component").alias("a"))
+        met = moved.join(parts.select("r", "c", F.col("component").alias("b")), ["r", "c"]).filter("a != b").select("a", "b")
+        borders = met if borders is None else borders.unionByName(met)
+    both = borders.unionByName(borders.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    small = sizes.filter(F.col("n") < least).select(F.col("component").alias("a"))
+    near = both.join(small, "a").join(sizes.select(F.col("component").alias("b"), F.col("n").alias("_n"), "_label"), "b")
+    taken = near.groupBy("a").agg(F.max_by("_label", F.struct("_n", -F.col("b"))).alias("_to"))
+    placed = parts.join(taken, F.col("component") == F.col("a"), "left").select("r", "c", F.coalesce("_to", label).alias(out))
+    return df.join(placed, ["r", "c"])
+
+
 def top_per_group(targets: DataFrame, group: str, n: int) -> DataFrame:
     order = Window.partitionBy(group).orderBy(F.col("rank_score").desc(), "component")
     return targets.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
