@@ -1,24 +1,26 @@
 """Language-model scores from causal self-attention over subword ids, in numpy.
 
-A word has two subword ids, hashed from its first and its last three bytes, and
-a class, hashed from its last two.  One attention layer reads the subword ids
-of the words so far and gives a distribution over the next word's class; the
-word itself then has its share of the class by counts over all training texts::
-
-    P(word | before) = P(class | before) * (c + 1) / (N_class + V_class + 1)
-
-so known words and one unseen word of each class sum to one.  Texts are cut into
-windows of 32 words that overlap by half: each word is scored once, with at
-least 16 words before it where there are so many.
-
-Counting and scoring cover all texts.  The layer starts out as the class
-frequencies and is trained by Adam on a fixed share of the training texts: each
-task trains on its own, then the weights are averaged, twice.
+A word has two subword ids, hashed from its first and its last three bytes; both
+together are its class.  One attention layer reads the subword ids of the words
+so far and gives a distribution over the next word's first id and, given that,
+over its last; the word itself then has its share of the class by counts over
+all training texts::
+
+    P(word | before) = P(first | before) * P(last | first, before) * (c + 1) / (N_class + V_class + 1)
+
+so known words and one unseen word of each class sum to one.  Each id is told in
+two steps, its group and its place in the group, so that no step has more than
+64 outcomes.  Texts are cut into windows of 32 words that overlap by half: each
+word is scored once, with at least 16 words before it where there are so many.
+
+Counting, training and scoring cover all texts.  The layer starts out as the
+frequencies of ids and is trained by Adam in rounds, each training document in
+one of them: each task trains on its own, then the weights are averaged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +32,18 @@ from pyspark.sql import functions as F
 from .shared import limit_batches, written
 from .textarrays import ASCII_LOWER, Block, Words, find_words, mix64, range_hashes, text_blocks
 
-CLASSES = 128
 SUBWORDS = 2048
+#: A first and a last id; classes of words are ``first * SUBWORDS + last``.
+CLASSES = SUBWORDS * SUBWORDS
+#: An id is ``group * MEMBERS + place in the group``.
+GROUPS, MEMBERS = 64, 32
 WIDTH = 16
 CONTEXT = 32
 STRIDE = 16
-#: One training document in so many, by hash, teaches the layer in each of the two rounds.
-TRAIN_SHARE = 32
+#: Rounds of training between which weights are averaged; each document is in one, by hash.
+ROUNDS = 3
 #: A task with few texts goes over them again until it has made so many steps.
+#: Longer ones are learned in stretches of so many, so that memory doesn't grow with the task.
 MIN_STEPS = 60
 STEP_WINDOWS = 64
 RATE = 0.01
@@ -45,11 +51,12 @@ RATE = 0.01
 HELD_WORDS = 400_000
 #: Hash and class of the end of a text.
 END_HASH, END_CLASS = -1, 0
-_ROUNDS = 2
 _LN10 = np.log(10.0)
 _SHAPES = {
     "first": (SUBWORDS, WIDTH), "last": (SUBWORDS, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH),
-    "mix": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,), "distance": (CONTEXT,),
+    "mix": (WIDTH, WIDTH), "distance": (CONTEXT,), "told_group": (GROUPS, WIDTH), "told_first": (SUBWORDS, WIDTH), "told_last": (GROUPS, WIDTH),
+    "out_1": (WIDTH, GROUPS), "out_2": (WIDTH, MEMBERS), "out_3": (WIDTH, GROUPS), "out_4": (WIDTH, MEMBERS),
+    "bias_1": (1, GROUPS), "bias_2": (GROUPS, MEMBERS), "bias_3": (GROUPS, GROUPS), "bias_4": (GROUPS, MEMBERS),
 }
 
 
@@ -78,10 +85,9 @@ def code_block(block: Block) -> Coded:
     data = ASCII_LOWER[block.data]
     hashes = range_hashes(data, words.starts, words.ends).view(np.int64)
     hashes = np.where(hashes == END_HASH, 0, hashes)
-    classes = 1 + (_edge_code(data, words, 2, True) % np.uint64(CLASSES - 1)).astype(np.int32)
     first = 1 + (_edge_code(data, words, 3, False) % np.uint64(SUBWORDS - 1)).astype(np.int32)
     last = 1 + (_edge_code(data, words, 3, True) % np.uint64(SUBWORDS - 1)).astype(np.int32)
-    return Coded(words, hashes, classes, first, last)
+    return Coded(words, hashes, first * SUBWORDS + last, first, last)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -136,9 +142,11 @@ class Counts:
 
 
 def summarise(counted: DataFrame) -> Counts:
-    """Collects one row per class and at most ``HELD_WORDS`` words."""
-    by_class = {r["class"]: (r.n, r.v) for r in counted.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    totals = np.array([by_class.get(k, (0, 0)) for k in range(CLASSES)], np.int64)
+    """Collects one row per class that occurs and at most ``HELD_WORDS`` words."""
+    by_class = counted.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+    totals = np.zeros((2, CLASSES), np.int64)
+    for row, name in zip(totals, ("n", "v"), strict=True):
+        row[by_class["class"].to_numpy()] = by_class[name].to_numpy()
     # Few words have high counts: the lowest count that can be held, from how many words have each.
     levels = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("v")).collect()
     least, held = 1 << 62, 0
@@ -149,17 +157,23 @@ def summarise(counted: DataFrame) -> Counts:
     top = counted.filter((F.col("n") >= least) | (F.col("hash") == END_HASH)).select("hash", "n").toArrow()
     hashes, counts = top["hash"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(hashes)
-    return Counts(int(totals[:, 0].sum()), int(totals[:, 1].sum()), totals[:, 0], totals[:, 1], hashes[order], counts[order], least)
+    return Counts(int(totals[0].sum()), int(totals[1].sum()), totals[0], totals[1], hashes[order], counts[order], least)
 
 
 def initial(counts: Counts, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights that predict each class by its frequency, whatever came before."""
+    """Weights that predict each id's group and place by their frequency, whatever came before."""
     rng = np.random.Generator(np.random.PCG64(seed))
     weights = {k: rng.normal(0, 0.3, shape).astype(np.float32) for k, shape in _SHAPES.items()}
-    weights["out"] *= 0
+    for name in ("told_group", "told_first", "told_last", "out_1", "out_2", "out_3", "out_4"):
+        weights[name] *= np.float32(0.1) if name.startswith("told") else np.float32(0)
     weights["distance"] = (-0.1 * np.arange(CONTEXT)).astype(np.float32)
-    share = (counts.class_total + 1) / (counts.total + CLASSES)
-    weights["bias"] = np.log(share).astype(np.float32)
+    pairs = counts.class_total.reshape(GROUPS, MEMBERS, GROUPS, MEMBERS)
+    words = pairs.sum(axis=(0, 1))  # the end of a text has no last id
+    words[0, 0] -= counts.class_total[END_CLASS]
+    between = pairs.sum(axis=(1, 3))
+    between[0, 0] -= counts.class_total[END_CLASS]
+    for name, n in (("bias_1", pairs.sum(axis=(1, 2, 3))[None]), ("bias_2", pairs.sum(axis=(2, 3))), ("bias_3", between), ("bias_4", words)):
+        weights[name] = np.log((n + 1) / (n.sum(axis=1, keepdims=True) + n.shape[1])).astype(np.float32)
     return weights
 
 
@@ -199,12 +213,41 @@ def _reach() -> tuple[np.ndarray, np.ndarray]:
     return np.clip(gap, 0, CONTEXT - 1), gap < 0
 
 
+def _split(target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First id, and group and place of the first and of the last id."""
+    first, last = target // SUBWORDS, target % SUBWORDS
+    return first, first // MEMBERS, first % MEMBERS, last // MEMBERS, last % MEMBERS
+
+
+def _outcomes(weights: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray):
+    """Of each of four steps: its input, the row of its bias, weights of outcomes and their sum,
+    the outcome, and the log probability of that."""
+    first, group, place, last_group, last_place = _split(target)
+    with_first = h + weights["told_first"][first]
+    steps = (
+        (h, np.zeros_like(group), group),
+        (h + weights["told_group"][group], group, place),
+        (with_first, group, last_group),
+        (with_first + weights["told_last"][last_group], last_group, last_place),
+    )
+    at = np.arange(len(target))
+    for k, (x, row, outcome) in enumerate(steps, 1):
+        p = x @ weights[f"out_{k}"]
+        p += weights[f"bias_{k}"][row] if k > 1 else weights["bias_1"]
+        p -= p.max(axis=1, keepdims=True)
+        chosen = p[at, outcome]
+        np.exp(p, out=p)
+        total = p @ np.ones(p.shape[1], p.dtype)
+        yield x, row, p, total, outcome, chosen - np.log(total)
+
+
 def forward(weights: dict[str, np.ndarray], laid: Windows, picked: slice | np.ndarray, keep: bool = False):
     """Log probabilities (windows by stride) of the targets; places that are none give 0."""
     keys, unseen = laid.keys[picked], laid.unseen[picked]
     x = weights["first"][laid.first[keys]] + weights["last"][laid.last[keys]]
-    own = x[:, CONTEXT - STRIDE :]
-    q, k, v = own @ weights["query"], x @ weights["key"], x @ weights["value"]
+    own = np.ascontiguousarray(x[:, CONTEXT - STRIDE :])
+    times = lambda a, name: (a.reshape(-1, WIDTH) @ weights[name]).reshape(a.shape)
+    q, k, v = times(own, "query"), times(x, "key"), times(x, "value")
     gap, ahead = _reach()
     score = q @ k.transpose(0, 2, 1)
     score *= np.float32(WIDTH**-0.5)
@@ -215,29 +258,48 @@ def forward(weights: dict[str, np.ndarray], laid: Windows, picked: slice | np.nd
     np.exp(score, out=score)
     score /= score.sum(axis=2, keepdims=True)
     seen = score @ v
-    h = own + seen @ weights["mix"]
-    logits = h @ weights["out"] + weights["bias"]
-    logits -= logits.max(axis=2, keepdims=True)
+    h = own + times(seen, "mix")
     target = laid.target[keys[:, CONTEXT - STRIDE :]]
-    chosen = np.take_along_axis(logits, target[:, :, None], 2)[:, :, 0]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=2)
+    steps = list(_outcomes(weights, h.reshape(-1, WIDTH), target.ravel()))
     real = ~unseen[:, CONTEXT - STRIDE :]
-    logp = np.where(real, chosen - np.log(total), np.float32(0))
-    return (logp, real, keys, x, own, q, k, v, score, seen, h, logits / total[:, :, None], target) if keep else logp
+    # The end of a text is a first id that has no last.
+    logs = steps[0][-1] + steps[1][-1] + np.where(target.ravel() == END_CLASS, np.float32(0), steps[2][-1] + steps[3][-1])
+    logp = np.where(real, logs.reshape(target.shape), np.float32(0))
+    return (logp, real, keys, x, own, q, k, v, score, seen, steps, (steps[0][2] / steps[0][3][:, None]).reshape(*target.shape, -1), target) if keep else logp
+
+
+def _add_rows(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each id."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    ranked = ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[ranked[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
 
 
 def gradients(weights: dict[str, np.ndarray], laid: Windows, picked: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean negative log probability over some windows."""
-    _, real, keys, x, own, q, k, v, score, seen, h, p, target = forward(weights, laid, picked, keep=True)
-    error = p
-    np.put_along_axis(error, target[:, :, None], np.take_along_axis(error, target[:, :, None], 2) - 1, 2)
-    error *= (real / max(1, real.sum()))[:, :, None].astype(np.float32)
+    _, real, keys, x, own, q, k, v, score, seen, steps, _, target = forward(weights, laid, picked, keep=True)
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"out": flat(h).T @ flat(error), "bias": flat(error).sum(0)}
-    dh = error @ weights["out"].T
+    flat_target = target.ravel()
+    first, group, _, last_group, _ = _split(flat_target)
+    share = (real.ravel() / max(1, real.sum())).astype(np.float32)
+    word_share = np.where(flat_target == END_CLASS, np.float32(0), share)
+    at = np.arange(len(flat_target))
+    g, back = {}, []
+    for n, (inputs, row, error, total, outcome, _) in enumerate(steps, 1):
+        weight = share if n < 3 else word_share
+        error *= (weight / total)[:, None]
+        error[at, outcome] -= weight
+        g[f"out_{n}"] = inputs.T @ error
+        g[f"bias_{n}"] = error.sum(0, keepdims=True) if n == 1 else _add_rows(row, error, GROUPS)
+        back.append(error @ weights[f"out_{n}"].T)
+    g["told_group"], g["told_last"] = _add_rows(group, back[1], GROUPS), _add_rows(last_group, back[3], GROUPS)
+    g["told_first"] = _add_rows(first, back[2] + back[3], SUBWORDS)
+    dh = sum(back).reshape(own.shape)
     g["mix"] = flat(seen).T @ flat(dh)
-    dseen = dh @ weights["mix"].T
+    dseen = (flat(dh) @ weights["mix"].T).reshape(own.shape)
     dv = score.transpose(0, 2, 1) @ dseen
     dscore = dseen @ v.transpose(0, 2, 1)
     dscore = score * (dscore - (dscore * score).sum(axis=2, keepdims=True))
@@ -246,43 +308,66 @@ def gradients(weights: dict[str, np.ndarray], laid: Windows, picked: np.ndarray)
     dscore *= np.float32(WIDTH**-0.5)
     dq, dk = dscore @ k, dscore.transpose(0, 2, 1) @ q
     g["query"], g["key"], g["value"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ weights["key"].T + dv @ weights["value"].T
-    dx[:, CONTEXT - STRIDE :] += dh + dq @ weights["query"].T
+    dx = (flat(dk) @ weights["key"].T + flat(dv) @ weights["value"].T).reshape(x.shape)
+    dx[:, CONTEXT - STRIDE :] += dh + (flat(dq) @ weights["query"].T).reshape(own.shape)
     for name, ids in (("first", laid.first), ("last", laid.last)):
-        g[name] = np.zeros(_SHAPES[name], np.float32)
-        np.add.at(g[name], ids[keys].ravel(), flat(dx))
+        g[name] = _add_rows(ids[keys].ravel(), flat(dx), SUBWORDS)
     return g
 
 
-def train_on(weights: dict[str, np.ndarray], blocks: list[Windows], seed: int = 3) -> tuple[dict[str, np.ndarray], int]:
-    """Adam steps over all windows of some blocks, in random order."""
-    weights = {k: v.copy() for k, v in weights.items()}
-    steps = [(b, chunk) for b in blocks if len(b.keys) for chunk in np.array_split(np.random.Generator(np.random.PCG64(seed)).permutation(len(b.keys)), max(1, len(b.keys) // STEP_WINDOWS))]
-    if not steps:
-        return weights, 0
-    mean = {k: np.zeros_like(v) for k, v in weights.items()}
-    square = {k: np.zeros_like(v) for k, v in weights.items()}
-    rng, total = np.random.Generator(np.random.PCG64(seed)), max(len(steps), MIN_STEPS)
-    order = np.concatenate([rng.permutation(len(steps)) for _ in range(-(-total // len(steps)))])[:total]
-    for step, i in enumerate(order):
-        rate = RATE * (1 - step / total)
-        for name, g in gradients(weights, *steps[i]).items():
-            mean[name] += 0.1 * (g - mean[name])
-            square[name] += 0.01 * (g * g - square[name])
-            weights[name] -= rate * (mean[name] / (1 - 0.9 ** (step + 1))) / (np.sqrt(square[name] / (1 - 0.99 ** (step + 1))) + 1e-6)
-    return weights, sum(len(b.target) for b in blocks)
+def train_on(weights: dict[str, np.ndarray], blocks: Iterable[Windows], seed: int = 3, rate: float = RATE) -> tuple[dict[str, np.ndarray], int]:
+    """Adam steps over all windows of some blocks, in random order within stretches of blocks."""
+    flat = np.concatenate([weights[k].ravel() for k in _SHAPES])
+    ends = np.cumsum([weights[k].size for k in _SHAPES])
+    weights = {k: part.reshape(shape) for (k, shape), part in zip(_SHAPES.items(), np.split(flat, ends[:-1]), strict=True)}
+    mean, square, g, change = (np.zeros_like(flat) for _ in range(4))
+    rng = np.random.Generator(np.random.PCG64(seed))
+    steps: list[tuple[Windows, np.ndarray]] = []
+    made = size = 0
+
+    def learn(order: np.ndarray) -> None:
+        nonlocal made, flat, mean, square, g, change
+        for i in order:
+            made += 1
+            found = gradients(weights, *steps[i])
+            np.concatenate([found[k].ravel() for k in _SHAPES], out=g)
+            np.multiply(g, g, out=change)
+            change -= square
+            change *= np.float32(0.01)
+            square += change
+            g -= mean
+            g *= np.float32(0.1)
+            mean += g
+            np.multiply(square, np.float32(1 / (1 - 0.99**made)), out=change)
+            np.sqrt(change, out=change)
+            change += np.float32(1e-6)
+            np.divide(mean, change, out=change)
+            change *= np.float32(rate / (1 - 0.9**made))
+            np.subtract(flat, change, out=flat)
+
+    for b in blocks:
+        size += len(b.target)
+        if len(b.keys):
+            steps += [(b, chunk) for chunk in np.array_split(rng.permutation(len(b.keys)), max(1, len(b.keys) // STEP_WINDOWS))]
+        if len(steps) >= MIN_STEPS:
+            learn(rng.permutation(len(steps)))
+            steps.clear()
+    if steps:
+        total = max(len(steps), MIN_STEPS - made)
+        learn(np.concatenate([rng.permutation(len(steps)) for _ in range(-(-total // len(steps)))])[:total])
+    return weights, size
 
 
 def train(docs: DataFrame, weights: dict[str, np.ndarray], doc: str = "doc_id", text: str = "text") -> dict[str, np.ndarray]:
-    """Two rounds of training in all tasks and averaging, each on its own share of documents."""
+    """Rounds of training in all tasks and averaging; every document is in one of them."""
     names = list(_SHAPES)
-    for part in range(_ROUNDS):
-        share = docs.filter(F.pmod(F.xxhash64(doc), F.lit(TRAIN_SHARE)) == part).select(text)
-        begin = weights
+    for part in range(ROUNDS):
+        share = docs.filter(F.pmod(F.xxhash64(doc), F.lit(ROUNDS)) == part).select(text)
+        begin, rate = weights, RATE * (1 - part / ROUNDS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks = [lay_out(code_block(block)) for batch in batches for block in text_blocks(batch.column(0))]
-            learned, size = train_on(begin, blocks)
+            blocks = (lay_out(code_block(block)) for batch in batches for block in text_blocks(batch.column(0)))
+            learned, size = train_on(begin, blocks, rate=rate)
             if size:
                 parts = [(learned[name] * size).astype("<f8").tobytes() for name in names]
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([size] * len(names), pa.int64()), pa.array(parts, pa.binary())], ["name", "size", "weights"])
@@ -321,15 +406,15 @@ def _scored(docs: DataFrame, counts: Counts, weights: dict[str, np.ndarray], doc
     """Rows of documents (row, doc, n_tokens, known, logs, attention) and of words whose
     count isn't held (row, hash, times)."""
     kind = docs.schema[doc].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((counts, weights))
+    class_cost = np.log10((counts.class_total + counts.class_distinct + 1).astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast((counts.hashes, counts.counts, class_cost, weights))
     names = ["row", "doc", "n_tokens", "known", "logs", "attention", "hash", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, weights = shared.value
+        held_hashes, held_counts, class_cost, weights = shared.value
         at_row = TaskContext.get().partitionId() << 36
-        class_cost = np.log10(counts.class_total + counts.class_distinct + 1)
-        end = int(np.searchsorted(counts.hashes, END_HASH))
-        end_count = int(counts.counts[end]) if end < len(counts.hashes) and counts.hashes[end] == END_HASH else 0
+        end = int(np.searchsorted(held_hashes, END_HASH))
+        end_count = int(held_counts[end]) if end < len(held_hashes) and held_hashes[end] == END_HASH else 0
         for batch in batches:
             for block in text_blocks(batch.column(text)):
                 coded = code_block(block)
@@ -338,9 +423,9 @@ def _scored(docs: DataFrame, counts: Counts, weights: dict[str, np.ndarray], doc
                 ranked = coded.hashes[order]
                 new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
                 distinct = ranked[new]
-                place = np.minimum(np.searchsorted(counts.hashes, distinct), max(0, len(counts.hashes) - 1))
-                held = counts.hashes[place] == distinct if len(counts.hashes) else np.zeros(len(distinct), bool)
-                c = np.where(held, counts.counts[place], 0) if len(counts.hashes) else np.zeros(len(distinct), np.int64)
+                place = np.minimum(np.searchsorted(held_hashes, distinct), max(0, len(held_hashes) - 1))
+                held = held_hashes[place] == distinct if len(held_hashes) else np.zeros(len(distinct), bool)
+                c = np.where(held, held_counts[place], 0) if len(held_hashes) else np.zeros(len(distinct), np.int64)
                 group = np.cumsum(new) - 1
                 row, is_held = rows[order], held[group]
                 logs = np.bincount(row, weights=np.log10(c + 1.0)[group] * is_held, minlength=n) + np.log10(end_count + 1)

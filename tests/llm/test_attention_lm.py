@@ -88,3 +88,35 @@ def test_training_lowers_the_loss():
     learned, _ = a.train_on(start, [laid])
     before, after = (a.forward(w, laid, slice(None)).sum() for w in (start, learned))
     assert after > before * 0.6
+
+
+def test_every_training_document_reaches_the_layer(spark):
+    """What only documents of one remainder say is learned, whichever it is."""
+    df = spark.range(640).selectExpr("id doc_id", "pmod(xxhash64(id), 32) part")
+    counts = a.Counts(0, 0, np.zeros(a.CLASSES, np.int64), np.zeros(a.CLASSES, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
+    start = a.initial(counts)
+    for part in (0, 9, 31):
+        text = f"repeat(if(part = {part}, 'blue sky ', 'red sand '), 30) text"
+        learned = a.train(df.selectExpr("doc_id", text).coalesce(1), start)
+        blue = a.lay_out(coded(["blue sky blue sky blue sky"]))
+        assert a.forward(learned, blue, slice(None))[0, 3] > a.forward(start, blue, slice(None))[0, 3] + 4
+
+
+def test_words_of_one_ending_are_told_apart_by_what_came_before():
+    laid = a.lay_out(coded(["red nation blue station " * 12] * 30))
+    counts = a.Counts(0, 0, np.zeros(a.CLASSES, np.int64), np.zeros(a.CLASSES, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
+    learned, _ = a.train_on(a.initial(counts), [laid] * 4)
+    good, bad = (a.forward(learned, a.lay_out(coded([t])), slice(None))[0, 3] for t in ("blue station red nation", "blue station red station"))
+    assert good > bad + 2
+
+
+def test_probabilities_of_all_classes_sum_to_one():
+    """Of every first id that it can begin with, all last ids; an end of text has none."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    weights = {k: rng.normal(0, 0.3, s) for k, s in a._SHAPES.items()}
+    h = np.repeat(rng.normal(0, 1, (1, a.WIDTH)), a.SUBWORDS, axis=0)
+    ids = np.arange(a.SUBWORDS)
+    firsts = [x[-1] for x in a._outcomes(weights, h, ids * a.SUBWORDS)][:2]
+    assert abs(np.exp(firsts[0] + firsts[1]).sum() - 1) < 1e-9
+    lasts = [x[-1] for x in a._outcomes(weights, h, 77 * a.SUBWORDS + ids)][2:]
+    assert abs(np.exp(lasts[0] + lasts[1]).sum() - 1) < 1e-9
