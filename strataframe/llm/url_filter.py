@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .decontaminate import lower_ascii
 from .shared import written
 
-#: Words of the unigram model at most, the most frequent ones of all pages.
-DICTIONARY = 50_000
+#: Words of pages that occur in names of urls, up to which they are held in each task; more are joined.
+BROADCAST_WORDS = 500_000
+#: Short words are parts of many names: they are joined in so many shares.
+SHARES = 32
 #: Letters of the longest word that a name may be cut into.
 LONGEST = 24
 #: Distinct tokens up to which their weights are broadcast.
@@ -67,29 +69,24 @@ def matching_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column
     return text, verdict
 
 
-def word_counts(pages: DataFrame, text: str = "html") -> dict[str, int]:
-    """The most frequent words of all pages, ``DICTIONARY`` at most, tags left out.
-
-    Words of equal frequency are in or out together.
-    """
+def counted_words(pages: DataFrame, text: str = "html") -> DataFrame:
+    """(word, n) of all words of all pages, tags left out."""
     plain = F.lower(F.regexp_replace(F.col(text), "<[^>]*>", " "))
     words = pages.select(F.explode(F.split(plain, "[^\\p{L}]+")).alias("word")).filter(F.length("word").between(2, LONGEST))
-    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "page-words")
-    # The lowest count to take, from how many words have each, so that only those taken are collected.
-    levels = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("v")).collect()
-    least, held = 1 << 62, 0
-    for level in sorted(levels, key=lambda r: -r.n):
-        if held + level.v > DICTIONARY:
-            break
-        least, held = level.n, held + level.v
-    return {r["word"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_counts(pages: DataFrame, text: str = "html") -> dict[str, int]:
+    """All words of pages that are few enough to collect."""
+    return {r["word"]: r["n"] for r in counted_words(pages, text).collect()}
 
 
 class Segmenter:
     """Cuts a name into words; a part that is no word costs more with each letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total`` counts all words, if ``counts`` holds only those that names can have."""
+        total = max(1, sum(counts.values()) if total is None else total)
         self.cost = {word: -math.log(n / total) for word, n in counts.items()}
         self.unknown = math.log(total)
         self.seen: dict[str, list[str]] = {}
@@ -129,8 +126,10 @@ class Segmenter:
 
 def url_tokens(urls: DataFrame, segmenter: Segmenter) -> DataFrame:
     """(host, path, tokens) of distinct (host, path)."""
+    shared = urls.sparkSession.sparkContext.broadcast(segmenter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = shared.value
         for batch in batches:
             pairs = zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)
             tokens = [segmenter.tokens(host, "h:") + segmenter.tokens(path, "p:") for host, path in pairs]
@@ -139,6 +138,68 @@ def url_tokens(urls: DataFrame, segmenter: Segmenter) -> DataFrame:
     return urls.select("host", "path").mapInArrow(run, "host string, path string, tokens array<string>")
 
 
+def url_names(urls: DataFrame) -> DataFrame:
+    """(host, path, at, kind, name) of all names and numbers of urls; one row with nulls if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                found = [(kind, name) for kind, text in (("h:", host), ("p:", path)) for name in _NAME.findall(text.lower())]
+                rows += [(host, path, at, *x) for at, x in enumerate(found or [(None, None)])]
+            if not rows:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["host", "path", "at", "kind", "name"])
+
+    return urls.select("host", "path").mapInArrow(run, "host string, path string, at int, kind string, name string")
+
+
+def name_parts(names: DataFrame) -> DataFrame:
+    """(name, word) of all stretches of names that words could be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                words = sorted({name[i:j] for i in range(len(name)) for j in range(i + 2, min(len(name), i + LONGEST) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array(words, pa.string())], ["name", "word"])
+
+    return names.select("name").mapInArrow(run, "name string, word string")
+
+
+def joined_tokens(listed: DataFrame, names: DataFrame, known: DataFrame, seeds: dict[str, int], total: int) -> DataFrame:
+    """The same as ``url_tokens`` if the words are too many for a task: each name meets its own by a join."""
+    short = F.length("word") <= 4
+    parts = name_parts(names).withColumn("share", F.when(short, F.pmod(F.hash("name"), F.lit(SHARES))).otherwise(0))
+    shares = F.when(short, F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    met = parts.join(known.withColumn("share", F.explode(shares)), ["word", "share"]).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(batch.column("name").to_pylist(), batch.column("counts").to_pylist(), strict=True)
+            cuts = [Segmenter(dict(counts or ()) | seeds, total).cut(name) for name, counts in found]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(cuts, pa.list_(pa.string()))], ["name", "words"])
+
+    cut = names.join(met, "name", "left").mapInArrow(run, "name string, words array<string>")
+    words = F.coalesce("words", F.when(F.col("name").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("#"), F.length("name").cast("string")))))
+    each = listed.join(cut, "name", "left").select("host", "path", "at", F.transform(words, lambda w: F.concat("kind", w)).alias("words"))
+    gathered = each.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("all"))
+    return gathered.select("host", "path", F.flatten("all.words").alias("tokens"))
+
+
+def cut_urls(urls: DataFrame, counts: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
+    """(host, path, tokens) of urls, by all words of ``counts`` (word, n) however many."""
+    listed = url_names(urls)
+    names = written(listed.filter("name is not null and not name rlike '^\\\\p{Nd}+$'").select("name").distinct(), "url-names")
+    known = written(counts.join(name_parts(names).select("word").distinct(), "word", "left_semi"), "url-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = {r["word"]: r["n"] for r in counts.filter(F.col("word").isin(*seeds)).collect()}
+    raised = {seed: max(1, total // 10_000, found.get(seed, 0)) for seed in seeds}
+    total += sum(n - found.get(seed, 0) for seed, n in raised.items())
+    if known.count() > BROADCAST_WORDS:
+        return joined_tokens(listed, names, known, raised, total)
+    return url_tokens(urls, Segmenter({r["word"]: r["n"] for r in known.collect()} | raised, total))
+
+
 def bayes_weights(labelled: DataFrame) -> tuple[DataFrame, float, float, int]:
     """(token, weight) from (tokens, blocked), the prior, an unseen token's weight, distinct tokens.
 
@@ -175,8 +236,8 @@ def judge(pages: DataFrame, rules: list[Rule], seeds: tuple[str, ...] = SEEDS, p
     rule, verdict = matching_rule(rules, F.col("host"), F.col("path"))
     # Each distinct address is cut and scored once, however many pages share it.
     urls = parsed.select("host", "path").distinct()
-    segmenter = Segmenter(with_seeds(word_counts(pages, html), seeds))
-    tokens = url_tokens(urls, segmenter).withColumn("rule", rule).withColumn("ruled", verdict)
+    counts = written(counted_words(pages, html), "page-words")
+    tokens = written(cut_urls(urls, counts, seeds), "url-tokens").withColumn("rule", rule).withColumn("ruled", verdict)
     blocked = F.arrays_overlap("tokens", F.array(*[F.lit(f"h:{seed}") for seed in seeds]))
     weights, prior, unseen, distinct = bayes_weights(tokens.select("tokens", F.coalesce(blocked, F.lit(False)).alias("blocked")))
     if distinct <= BROADCAST_TOKENS:

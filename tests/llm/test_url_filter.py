@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+import pytest
+
 from strataframe.llm import url_filter as u
 from strataframe.llm.queries import URL_RULES
 
@@ -73,3 +75,20 @@ def test_segmentation():
 
 def test_empty_pages(spark):
     assert u.judge(frame(spark, []), URL_RULES).collect() == []
+
+
+@pytest.mark.parametrize("held", [0, 500_000])
+def test_all_words_of_large_pages_count(spark, monkeypatch, held):
+    """More words of one frequency than any cap; 'alphabet' is no bet, 'downloads' no ads."""
+    monkeypatch.setattr(u, "BROADCAST_WORDS", held)
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in f"{i:05}") for i in range(60_000)]
+    rows = [(1, "http://alphabet.net/downloads/7", " ".join([*words, "alphabet", "downloads"])), (2, "http://bestcasino.net", "best"), (3, None, "")]
+    got = {r.page_id: r for r in u.judge(frame(spark, rows), []).collect()}
+    assert (got[1].verdict, got[2].verdict) == ("allow", "block")
+
+
+def test_judged_alike_with_words_held_or_joined(spark, monkeypatch):
+    held = sorted(u.judge(frame(spark), URL_RULES).collect())
+    monkeypatch.setattr(u, "BROADCAST_WORDS", 0)
+    assert sorted(u.judge(frame(spark), URL_RULES).collect()) == held
