@@ -13,19 +13,25 @@ from strataframe.llm import decontaminate, jaccard, language, packing, suffix_de
 from strataframe.llm.queries import table, tokenizer_file
 from strataframe.llm.shared import written
 
-#: A text's language is doubtful below this share of the second nearest distance.
-LEAST_MARGIN = 0.5
+#: A text's language is doubtful below this share of the second nearest distance, which is 0.5 for a tie.
+LEAST_MARGIN = 0.505
+#: Share of a language's own texts that tells its reach, and how far beyond that a text may lie.
+REACH_SHARE, REACH_SLACK = 0.99, 1.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is found and sets ``lang`` to it.
 
     Profiles are learned from all rows with a language.  Texts that are null or
-    without letters go.
+    without letters go, and so do those about as near to a second language and
+    those farther from the nearest than its own texts are.
     """
     predict = language.predictor(language.learn(docs))
+    near = F.lit(False)
+    for lang, reach in language.reaches(docs, predict, REACH_SHARE).items():
+        near = near | ((F.col("_found.lang_pred") == lang) & (F.col("_found.far") <= reach * REACH_SLACK))
     found = docs.withColumn("_found", predict(F.col("text")))
-    kept = found.filter((F.col("_found.lang_pred") != language.UNKNOWN) & (F.col("_found.score") >= LEAST_MARGIN))
+    kept = found.filter((F.col("_found.lang_pred") != language.UNKNOWN) & (F.col("_found.score") >= LEAST_MARGIN) & near)
     return kept.withColumn("lang", F.col("_found.lang_pred")).select(*docs.columns)
 
 

@@ -181,20 +181,25 @@ def distances(block: Block, profiles: Profiles) -> tuple[np.ndarray, np.ndarray]
 
 
 def predictor(profiles: Profiles) -> Callable[[Column], Column]:
-    """A column function from text to ``struct<lang_pred, score>``; see ``identify``."""
+    """A column function from text to ``struct<lang_pred, score, far>``; see ``identify``.
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    ``far`` is the nearest distance per compared n-gram, null without any.
+    """
+
+    @F.arrow_udf("struct<lang_pred: string, score: double, far: double>")
     def predict(texts: pa.Array) -> pa.Array:
         names: list[str] = []
-        scores = [np.zeros(0)]
+        scores, each = [np.zeros(0)], [np.zeros(0)]
         for block in text_blocks(texts, BLOCK_BYTES):
             far, used = distances(block, profiles)
             n = len(used)
             if far.shape[1] == 0:
                 names += [UNKNOWN] * n
                 scores.append(np.zeros(n))
+                each.append(np.full(n, np.nan))
                 continue
             best = np.argmin(far, axis=1)
+            each.append(np.where(used > 0, far.min(axis=1) / np.maximum(used, 1), np.nan))
             names += [profiles.langs[k] if u else UNKNOWN for k, u in zip(best, used, strict=True)]
             if far.shape[1] == 1:
                 scores.append((used > 0).astype(float))
@@ -202,12 +207,19 @@ def predictor(profiles: Profiles) -> Callable[[Column], Column]:
                 two = np.partition(far, 1, axis=1)[:, :2]
                 total = two.sum(axis=1)
                 scores.append(np.where(used > 0, np.where(total > 0, two[:, 1] / np.maximum(total, 1), 0.5), 0.0))
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(each), from_pandas=True)], ["lang_pred", "score", "far"])
 
     # Called so, it isn't computed again for every filter on its result.
     return predict.asNondeterministic()
 
 
+def reaches(docs: DataFrame, predict: Callable[[Column], Column], share: float, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """Distance per n-gram within which a share of each language's own texts lie, of those found to be in it."""
+    found = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), predict(F.col(text)).alias("_found"))
+    own = found.filter(F.col("_found.lang_pred") == F.col("lang")).groupBy("lang").agg(F.percentile_approx("_found.far", share).alias("far"))
+    return {r.lang: r.far for r in own.collect()}
+
+
 def identify(docs: DataFrame, profiles: Profiles, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, lang_pred, score) for every row.
 

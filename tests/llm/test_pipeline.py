@@ -1,7 +1,9 @@
 import importlib
+import random
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from strataframe.llm import queries
@@ -27,6 +29,17 @@ def test_stages_hand_on_documents(spark):
     assert len({r.sequence_id for r in packed}) == (total + 1023) // 1024
 
 
+def test_foreign_and_random_texts_go_and_clean_ones_stay(spark):
+    rng = random.Random(1)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (80, 300, 3000)]
+    foreign = ["Съешь ещё этих мягких французских булок да выпей чаю", "Talo on suuri ja kissa istuu katolla, mutta koira juoksee metsässä koko päivän", "Dom jest duży, a kot siedzi na dachu, ale pies biegnie przez las cały dzień"]
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    kind = docs.schema["doc_id"].dataType
+    more = spark.createDataFrame([(900_000_000 + i, t) for i, t in enumerate([*noise, *foreign])], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    kept = p.identify_language(spark, docs.unionByName(more, allowMissingColumns=True), "")
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 @pytest.mark.parametrize("missing", ["corpus_pipeline", "strataframe.llm"])
 def test_entry_works_without(monkeypatch, missing):
     for name in list(sys.modules):
