@@ -23,10 +23,14 @@ from .tokens import encoder, text_slices
 
 SEQUENCE = 1024
 DIMENSIONS = 4
-BITS = 15
+BITS = 13
+#: Bits of a document's hash below its place on the curve, by which equal texts are spread.
+TIE_BITS = 11
 #: One document in so many, by hash, tells where to cut the curve into stretches.
 BOUNDS_SHARE = 25
-#: Stretches of the curve for each shuffle partition.
+#: Bytes of text in a stretch of the curve, about, and in the stretches of one task.
+STRETCH_BYTES, TASK_BYTES = 8 << 20, 32 << 20
+#: Stretches for each shuffle partition at least, so that small tables are dealt evenly too.
 STRETCHES = 4
 
 
@@ -76,17 +80,23 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, bounds: np.ndarray, doc: str, text: str) -> DataFrame:
-    """(doc, text, key, stretch) of each row; other columns are dropped, rows are not."""
+    """(doc, text, key, stretch) of each row; other columns are dropped, rows are not.
+
+    A key is the place on the curve, then a hash of the document's id: a group of
+    equal texts of any size is dealt over many stretches.
+    """
 
     @F.arrow_udf("struct<key: long, stretch: int>")
-    def place(texts: pa.Array) -> pa.Array:
+    def place(texts: pa.Array, ties: pa.Array) -> pa.Array:
         found = [hilbert_keys(project(block)) for block in text_blocks(texts)]
         keys = np.concatenate(found) if found else np.zeros(0, np.int64)
+        keys = keys << TIE_BITS | ties.to_numpy(zero_copy_only=False)
         stretch = np.searchsorted(bounds, keys, side="right").astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(keys), pa.array(stretch)], ["key", "stretch"])
 
+    tie = F.pmod(F.xxhash64(doc), F.lit(1 << TIE_BITS))
     # Only the key comes back from Python; the text stays where it is.
-    return docs.select(doc, text, place(F.col(text)).alias("_place")).select(doc, text, "_place.key", "_place.stretch")
+    return docs.select(F.col(doc), F.col(text), place(F.col(text), tie).alias("_place")).select(doc, text, "_place.key", "_place.stretch")
 
 
 def curve_bounds(docs: DataFrame, stretches: int, doc: str = "doc_id", text: str = "text") -> np.ndarray:
@@ -98,7 +108,7 @@ def curve_bounds(docs: DataFrame, stretches: int, doc: str = "doc_id", text: str
     sample = docs.filter(F.pmod(F.xxhash64(doc), F.lit(BOUNDS_SHARE)) == 0)
     keys = _keys(sample, np.zeros(0, np.int64), doc, text)
     shares = [k / stretches for k in range(1, stretches)]
-    found = keys.agg(F.percentile_approx("key", shares, 10_000).alias("b")).first()["b"] if shares else None
+    found = keys.agg(F.percentile_approx("key", shares, max(10_000, 4 * stretches)).alias("b")).first()["b"] if shares else None
     return np.unique(np.array(found or [], np.int64))
 
 
@@ -136,14 +146,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = SEQUENC
     Columns: doc, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     ``ids`` (little-endian unsigned 32-bit) if asked for.  A null text is empty
     and so only its end id; rows that share an id or a key all stay, ordered by
-    (key, doc, text hash).  An empty table gives no pieces.
+    (key, doc, text hash).  A very long text is one row of one task and is cut over as
+    many sequences as it needs.  An empty table gives no pieces.  Other columns,
+    whatever their names, are not read.
     """
     limit_batches(docs.sparkSession)
+    docs = docs.select(doc, text)
     kind = docs.schema[doc].dataType.simpleString()
-    stretches = STRETCHES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretches = max(STRETCHES * partitions, -(-size // STRETCH_BYTES))
     keyed = _keys(docs, curve_bounds(docs, stretches, doc, text), doc, text)
     # Whole stretches go to a task, which sorts them along the curve.
-    ordered = keyed.repartition("stretch").sortWithinPartitions("stretch", "key", doc, F.xxhash64(text))
+    tasks = max(partitions, -(-size // TASK_BYTES))
+    ordered = keyed.repartition(tasks, "stretch").sortWithinPartitions("stretch", "key", doc, F.xxhash64(text))
     width = encoder(tokenizer).width
     stream = written(_tokenized(ordered, doc, text, kind, tokenizer, end_id), "packed-tokens")
     # One number for each stretch.

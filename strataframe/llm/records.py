@@ -4,7 +4,8 @@ A record file is a row of frames::
 
     length   8 bytes, unsigned, of the payload
     check    4 bytes, masked CRC-32 of the 8 length bytes
-    payload  doc_id (8 bytes, signed), bytes per id (1 byte), ids
+    payload  doc_id (8 bytes, signed), bytes per id (1 byte, 128 added if the
+             doc_id is null), ids
     check    4 bytes, masked CRC-32 of the payload
 
 All numbers are little-endian.  The mask rotates a CRC right by 15 bits and adds
@@ -32,8 +33,8 @@ from .tokens import encoder, text_slices
 
 FILE_BYTES = 64 << 20
 INDEX_ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
-#: Stored in place of a null id.
-NULL_ID = -(1 << 63)
+#: Stored in place of a null id, and what marks it as one.
+NULL_ID, NULL_FLAG = -(1 << 63), 128
 _HEAD = "<QI"
 _DOC = "<qB"
 _DOC_BYTES = struct.calcsize(_DOC)
@@ -80,8 +81,10 @@ class _Shard:
         self.out = self.system.open_output_stream(self.place + ".records")
         self.size, self.n_tokens, self.rows = 0, 0, []
 
-    def add(self, doc_id: int, ids: bytes, width: int) -> None:
-        data = frame(struct.pack(_DOC, doc_id, width) + ids)
+    def add(self, doc_id: int | None, ids: bytes, width: int) -> None:
+        flag = 0 if doc_id is not None else NULL_FLAG
+        doc_id = NULL_ID if doc_id is None else doc_id
+        data = frame(struct.pack(_DOC, doc_id, width | flag) + ids)
         self.out.write(data)
         self.rows.append((doc_id, self.size, len(ids) // width))
         self.size += len(data)
@@ -98,9 +101,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc
     """Encodes every text, appends ``end_id`` and writes files in ascending ``doc`` order.
 
     Returns the list of files (path, part, file, n_docs, n_tokens), already
-    written.  A null text is encoded as empty; rows that share an id all stay,
-    next to each other; a null id comes first, is stored as the lowest number and
-    is read back as null.  A task that runs again writes files of its own; only those of
+    written.  Ids are integers.  A null text is encoded as empty; rows that share an
+    id all stay, next to each other in the order of their texts' hashes; a null id
+    comes first and is read back as null.  An empty table writes no file.  A very long
+    text is one record.  Other columns, whatever their names, are not read.  A task that runs again writes files of its own; only those of
     the attempt that ended well are listed.
     """
 
@@ -111,7 +115,6 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc
         for batch in batches:
             for rows, texts in text_slices(batch, text):
                 for doc_id, ids in zip(rows.column(doc).to_pylist(), encode.encode(texts), strict=True):
-                    doc_id = NULL_ID if doc_id is None else doc_id
                     if shard is None or shard.size >= file_bytes:
                         if shard is not None:
                             done.append(shard.close())
@@ -162,9 +165,9 @@ def read_records(files: DataFrame, digest: bool = False) -> DataFrame:
                         raise ValueError(f"the index of {row['path']} doesn't fit its records")
                     payload, at = unframe(data, at)
                     doc_id, width = struct.unpack_from(_DOC, payload)
+                    doc_id, width = (None if width & NULL_FLAG else doc_id), width & ~NULL_FLAG
                     ids = bytes(payload[_DOC_BYTES :])
                     n_tokens = len(ids) // width
-                    doc_id = None if doc_id == NULL_ID else doc_id
                     out.append((doc_id, start, n_tokens, *((ids_crc32(ids, width),) if digest else (ids, width))))
                     start += n_tokens
                     if len(out) >= 2000:
@@ -174,7 +177,8 @@ def read_records(files: DataFrame, digest: bool = False) -> DataFrame:
                     raise ValueError(f"{row['path']} holds more than its index")
                 yield rows_batch(out)
 
-    spread = _starts(files).select("path", "base").repartition("path")
+    # A number of its own, which isn't merged into fewer: one file a task.
+    spread = _starts(files).select("path", "base").repartition(max(1, files.count()))
     return spread.mapInArrow(run, schema)
 
 
@@ -191,7 +195,7 @@ def read_one(path: str, doc_id: int) -> np.ndarray:
         head = f.read(12)
         data = memoryview(head + f.read(struct.unpack(_HEAD, head)[0] + 4))
     payload, _ = unframe(data, 0)
-    return np.frombuffer(payload[_DOC_BYTES :], f"<u{struct.unpack_from(_DOC, payload)[1]}")
+    return np.frombuffer(payload[_DOC_BYTES :], f"<u{struct.unpack_from(_DOC, payload)[1] & ~NULL_FLAG}")
 
 
 def ids_crc32(ids: bytes, width: int) -> int:

@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept in a task's memory (about 200 bytes each); beyond that it starts anew.
-CACHE_PIECES = 1_300_000
+#: Bytes of kept pieces in a Python worker, over all caches of an encoder.
+CACHE_BYTES = 128 << 20
+#: Bytes that an entry takes besides its letters and ids.
+_ENTRY_BYTES = 170
 #: Bytes of text whose pieces are looked up at once.
 SLICE_BYTES = 1 << 20
 #: Unknown pieces that go to the tokenizer as one text.
@@ -31,6 +33,39 @@ _INNER_SPACE = re.compile(r"\S\s|\s\s")
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Pieces:
+    """Ids of pieces in two generations; what isn't asked for in one of them goes."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def find(self, pieces: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """Ids of each piece or None, and where the Nones are."""
+        found = list(map(self.young.get, pieces))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if self.old and gaps:
+            for i in gaps:
+                found[i] = ids = self.old.get(pieces[i])
+                if ids is not None:
+                    self._put(pieces[i], ids)
+            gaps = [i for i in gaps if found[i] is None]
+        return found, gaps
+
+    def _put(self, piece: str, ids: bytes) -> None:
+        if piece not in self.young:
+            self.young[piece] = ids
+            self.size += len(piece) + len(ids) + _ENTRY_BYTES
+
+    def keep(self, learned: dict[str, bytes]) -> None:
+        self.young.update(learned)
+        self.size += sum(map(len, learned)) + sum(map(len, learned.values())) + _ENTRY_BYTES * len(learned)
+
+    def grow_old(self) -> None:
+        self.old, self.young, self.size = self.young, {}, 0
+
+
 class Encoder:
     """Ids as little-endian unsigned numbers of 2 bytes, or 4 if ids need them."""
 
@@ -53,8 +88,8 @@ class Encoder:
         self.line_break = b"" if self.drops_space else self._encode(["\n"])[0]
         self.takes_letters = self._takes_letters()
         self.ends = dict(zip(",.", self._encode([",", "."]), strict=True))
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = self.first if self.drops_space else {}
+        self.first = _Pieces()
+        self.later = self.first if self.drops_space else _Pieces()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -93,7 +128,9 @@ class Encoder:
         except Exception:  # a model of another kind
             return False
 
-    def _learn(self, cache: dict[str, bytes], missing: set[str], before: str) -> None:
+    def _learn(self, cache: _Pieces, missing: set[str], before: str) -> dict[str, bytes]:
+        """Ids of pieces that aren't kept; some that they are made of may be among them."""
+        learned: dict[str, bytes] = {}
         letters = [x for x in missing if x.isalpha()]
         other = missing.difference(letters)
         if before and other:
@@ -107,42 +144,47 @@ class Encoder:
                     found = heads[piece]
                     for _ in parts[1:]:
                         found += self.line_break + next(tails)
-                    cache[piece] = found
+                    learned[piece] = found
         # A comma or full stop after a letter is a token of its own in any case.
         ended = [x for x in other if len(x) > 1 and x[-1] in ",." and x[-2].isalpha()]
         if ended:
             other = other.difference(ended)
-            bases = {x[:-1] for x in ended}.difference(cache, letters)
-            letters += [x for x in bases if x.isalpha()]
-            other |= {x for x in bases if not x.isalpha()}
+            bases = list({x[:-1] for x in ended}.difference(letters))
+            known, gaps = cache.find(bases)
+            learned.update((x, ids) for x, ids in zip(bases, known, strict=True) if ids is not None)
+            unknown = [bases[i] for i in gaps]
+            letters += [x for x in unknown if x.isalpha()]
+            other |= {x for x in unknown if not x.isalpha()}
         if self.takes_letters:
             # Others begin as more bytes, with which going together is as fast.
             plain = [x for x in letters if x.isascii()]
-            cache.update(zip(plain, self._encode_letters(plain, before), strict=True))
+            learned.update(zip(plain, self._encode_letters(plain, before), strict=True))
             letters = [x for x in letters if not x.isascii()]
         if self.mark_id is None:
             alone, together = [*other, *letters], []
         else:
             alone = [x for x in other if self.mark in x or _INNER_SPACE.search(x) or not x.strip()]
             together = letters + list(other.difference(alone))
-        cache.update(zip(alone, self._encode([before + x for x in alone]), strict=True))
-        cache.update(zip(together, self._encode_together(together, before), strict=True))
-        cache.update((x, cache[x[:-1]] + self.ends[x[-1]]) for x in ended)
+        learned.update(zip(alone, self._encode([before + x for x in alone]), strict=True))
+        learned.update(zip(together, self._encode_together(together, before), strict=True))
+        learned.update((x, learned[x[:-1]] + self.ends[x[-1]]) for x in ended)
+        return learned
 
-    def _look_up(self, cache: dict[str, bytes], pieces: list[str], before: str) -> list[bytes | None]:
+    def _look_up(self, cache: _Pieces, pieces: list[str], before: str) -> list[bytes | None]:
         """Ids of each piece; None where the cut before it isn't certain."""
-        found = list(map(cache.get, pieces))
-        gaps = [i for i, x in enumerate(found) if x is None]
+        found, gaps = cache.find(pieces)
         if gaps:
             missing = {pieces[i] for i in gaps}
             if before:
                 missing = {x for x in missing if x and not x[0].isspace()}
-            if len(cache) + len(missing) > CACHE_PIECES:
-                cache.clear()
-                missing = set(pieces) if not before else {x for x in pieces if x and not x[0].isspace()}
-            self._learn(cache, missing, before)
+            learned = self._learn(cache, missing, before)
             for i in gaps:
-                found[i] = cache.get(pieces[i])
+                found[i] = learned.get(pieces[i])
+            cache.keep(learned)
+            caches = {id(x): x for x in (self.first, self.later)}.values()
+            if sum(x.size for x in caches) > CACHE_BYTES // 2:
+                for x in caches:
+                    x.grow_old()
         return found
 
     def _cut(self, text: str) -> list[str] | None:

@@ -102,3 +102,41 @@ def test_hilbert_neighbours_touch():
     path = cells[np.argsort(keys)]
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
     assert packing.padded_length(512) == 512 and packing.padded_length(700) == 1024
+
+
+def test_a_small_cache_gives_the_same_ids(monkeypatch):
+    from strataframe.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 4000)
+    encode = Encoder(queries.tokenizer_file("byte_bpe_50k.json"))
+    texts = [f"word{i} number{i % 7}, and more{i}\nline{i}" for i in range(200)]
+    for _ in range(2):
+        for at in range(0, 200, 20):
+            whole = [e.ids for e in encode.tokenizer.encode_batch(texts[at : at + 20], add_special_tokens=False)]
+            assert [np.frombuffer(x, encode.dtype).tolist() for x in encode.encode(texts[at : at + 20])] == whole
+        assert encode.first.size + encode.later.size <= 4000
+    assert encode.later.old
+
+
+def test_equal_texts_are_spread_along_the_curve_and_order_follows_it(spark):
+    docs = frame(spark, ["same text again"] * 300 + [f"other words {i} here" for i in range(200)]).withColumn("offset", F.lit(1)).withColumn("_place", F.lit(2))
+    keyed = packing._keys(docs, packing.curve_bounds(docs, 8), "doc_id", "text").collect()
+    assert len({r.stretch for r in keyed if r.doc_id < 300}) > 1
+    order = {r.doc_id: (r.key, r.doc_id) for r in keyed}
+    rows = packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), length=32).collect()
+    places = sorted((r.sequence_id, r.offset, r.doc_id, r.start) for r in rows)
+    found = [doc for _, _, doc, start in places if start == 0]
+    assert found == sorted(order, key=order.get) and len(found) == 500
+
+
+def test_records_keep_repeated_and_lowest_ids(spark):
+    lowest = -(1 << 63)
+    docs = spark.createDataFrame([(lowest, "a b"), (None, "c"), (7, "x y z"), (7, "x y z"), (7, None)], "doc_id long, text string")
+    got = records.round_trip(spark, docs, queries.tokenizer_file("word_bpe_49k.json"), 1).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, lowest), (False, 7), (False, 7), (False, 7), (True, 0)]
+
+
+def test_records_are_read_in_a_task_a_file(spark, tmp_path):
+    files = records.write_records(frame(spark), f"file://{tmp_path}/many", queries.tokenizer_file("word_bpe_49k.json"), 1, file_bytes=200)
+    tasks = records.read_records(files).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == files.count() > 2
