@@ -1,6 +1,6 @@
 """Quality classifier with supervised subword embeddings.
 
-Words and byte n-grams are hashed to buckets that each have a learned vector; a
+Words and character n-grams are hashed to buckets that each have a learned vector; a
 document is the mean of its features' vectors, followed by a softmax over two
 labels.  Training is stochastic gradient descent in numpy on a bounded sample
 of labelled documents.  A trained bucket gives one number (its vector times
@@ -31,16 +31,28 @@ _ECHO = 1 << BUCKET_BITS
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
-    size = len(data) - n + 1
+def _gram_buckets(points: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of every n consecutive code points."""
+    size = len(points) - n + 1
     if size <= 0:
         return np.zeros(0, np.int64)
     code = np.full(size, n, np.uint64)
     for j in range(n):
-        code = code << np.uint64(8) | data[j : j + size].astype(np.uint64)
+        code = (code ^ points[j : j + size]) * _SPREAD  # odd, so that no point is lost before the top bits are taken
+        code ^= code >> np.uint64(32)
     return ((code * _SPREAD) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _code_points(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block and the rows' offsets in them."""
+    if not (block.data & 0x80).any():
+        return block.data.astype(np.uint64), block.offsets
+    points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    before = np.zeros(len(block.data) + 1, np.int64)
+    np.cumsum((block.data & 0xC0) != 0x80, out=before[1:])
+    return points, before[block.offsets]
+
+
 def features(block: Block) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(buckets, from, to) for each kind: row i has ``buckets[from[i]:to[i]]``."""
     words = find_words(block)
@@ -48,12 +60,14 @@ def features(block: Block) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     echo = np.zeros(len(hashes), bool)
     echo[1:] = hashes[1:] == hashes[:-1]
     echo[words.bounds[:-1][words.bounds[:-1] < len(echo)]] = False
+    # The pair of a word and itself has a bucket of its own.
     buckets = np.where(echo, _ECHO, (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
     out = [(buckets, words.bounds[:-1], words.bounds[1:])]
+    points, offsets = _code_points(block)
     for n in GRAMS:
-        grams = _gram_buckets(block.data, n)
-        start = np.minimum(block.offsets[:-1], len(grams))
-        out.append((grams, start, np.maximum(start, np.minimum(block.offsets[1:] - n + 1, len(grams)))))
+        grams = _gram_buckets(points, n)
+        start = np.minimum(offsets[:-1], len(grams))
+        out.append((grams, start, np.maximum(start, np.minimum(offsets[1:] - n + 1, len(grams)))))
     return out
 
 
@@ -119,14 +133,18 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Trains on at most ``SAMPLE_ROWS`` labelled documents and ``SAMPLE_BYTES`` of text.
 
-    Rows with a null label or id are passed over; a null text is empty.
+    Rows with a null label or id are passed over; a null text is empty.  Labels
+    of equal hash go by id and label; a label or document that is there twice
+    teaches twice.  A very long text counts whole, if it is within the bytes or the first.
+    Without labels the score is one half for every text.  Other columns, whatever
+    their names, are not read.
     """
     # The ids are chosen from the small table of labels, so few texts move.
     chosen = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull()).select(doc, F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64(doc), doc, "_label").limit(SAMPLE_ROWS)
-    sample = docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), doc)
+    sample = docs.select(F.col(doc), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), doc)
     texts, y, size = [], [], 0
     for row in sample.orderBy(F.xxhash64(doc), doc, "_label").toLocalIterator():
-        size += len(row["_text"])
+        size += len(row["_text"].encode())
         if size > SAMPLE_BYTES and texts:
             break
         texts.append(row["_text"])
@@ -135,7 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 
 
 def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc, score, predicted) for every row; a null text scores like an empty one."""
+    """(doc, score, predicted) for every row, repeated ones too.
+
+    A null text scores like an empty one: by the share of labels alone.  A score that
+    equals the threshold predicts 1.  A very long text is scored whole, within one task; an
+    empty table gives an empty one.  Other columns, whatever their names, are not read.
+    """
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batch: pa.RecordBatch, block: Block) -> pa.RecordBatch:
