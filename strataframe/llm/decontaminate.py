@@ -50,19 +50,19 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", length: int = WINDOW_WORDS) -> DataFrame:
-    """Rows (doc, text_key, n_words, start, size, items): one for every window of a
+    """Rows (doc, row, text_key, n_words, start, size, items): one for every window of a
     document that the benchmark holds, and at least one, if with null ``start``.
 
-    ``text_key`` tells apart rows that share an id.  A null id is a value like others.
+    ``row`` tells apart rows that share an id.  A null id is a value like others.
     """
     windows = benchmark_windows(benchmark, item, "text", length)
     sizes = windows.select(F.size("window").alias("n")).agg(F.collect_set("n").alias("sizes"), F.count(F.lit(1)).alias("rows")).first()
-    if sizes.rows <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
-    parsed = docs.select(F.col(doc), F.xxhash64(text).alias("text_key"), words_of(F.col(text)).alias("words"))
+    # A row's number hangs on its file and place alone, so that a task that runs again gives the same.
+    parsed = docs.select(F.col(doc), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("text_key"), words_of(F.col(text)).alias("words"))
+    keys = [doc, "row", "text_key"]
     # One row per word, made, hashed and probed within one stage of generated
     # code: the array of words is only referred to, never copied.
-    at_word = parsed.select(doc, "text_key", "words", F.posexplode_outer("words").alias("at", "word"))
+    at_word = parsed.select(*keys, "words", F.posexplode_outer("words").alias("at", "word"))
     n_words = F.size("words")
     lengths = sorted(sizes.sizes) or [length]
     hashes = [F.when(F.col("at") + n <= n_words, _window_hash(F.col("words"), F.col("at"), n)) for n in lengths]
@@ -70,32 +70,43 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
         probed = at_word.withColumn("h", hashes[0])
     else:
         probed = at_word.withColumn("h", F.explode_outer(F.array(*hashes)))
-    joined = probed.join(windows, "h", "left")
     size = F.size("window")
     real = F.slice("words", F.col("at") + 1, F.greatest(F.lit(1), size)) == F.col("window")
+    if sizes.rows <= BROADCAST_WINDOWS:
+        joined = probed.join(F.broadcast(windows), "h", "left")
+    else:
+        # Only places and hashes move; the few that meet a window go back to their texts.
+        met = probed.filter(F.col("h").isNotNull()).select(F.col(doc).alias("_doc"), F.col("text_key").alias("_key"), "at", "h").join(windows, "h")
+        met = met.select("_doc", "_key", "at", "window", "items").dropDuplicates(["_doc", "_key", "at", "window"])
+        joined = parsed.join(met, F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left").drop("_doc", "_key")
     start = F.when(F.col("window").isNotNull() & real, F.col("at"))
     # The first word's row stays without a hit, so that every document has a row.
-    found = joined.withColumn("start", start).filter(F.col("at").isNull() | (F.col("at") == 0) | F.col("start").isNotNull())
+    found = joined.withColumn("start", start)
+    if sizes.rows <= BROADCAST_WINDOWS:
+        found = found.filter(F.col("at").isNull() | (F.col("at") == 0) | F.col("start").isNotNull())
     hit = F.col("start").isNotNull()
-    return found.select(
-        doc, "text_key", n_words.cast("long").alias("n_words"), "start", F.when(hit, size).alias("size"), F.when(hit, F.col("items")).alias("items")
-    )
+    return found.select(*keys, n_words.cast("long").alias("n_words"), "start", F.when(hit, size).alias("size"), F.when(hit, F.col("items")).alias("items"))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", length: int = WINDOW_WORDS) -> DataFrame:
-    """Per distinct (id, text): n_words, n_hit, items (sorted as strings), spans, contaminated.
+    """Per document: n_words, n_hit, items (sorted as strings), spans, contaminated, and text_key.
 
     ``spans`` are hit word ranges (start, end), in order and possibly overlapping.
+    Rows that share an id, repeated ones too, are judged each for itself.  Null and empty
+    texts have no words, on either side; an empty benchmark hits nothing and an empty
+    table of documents gives no rows.  A very long text is probed window by window in one
+    task.  Other columns, whatever their names, are not read.
     """
-    hits = find_hits(docs, benchmark, doc, text, item, length)
-    by_doc = Window.partitionBy(doc, "text_key").orderBy(F.col("start").asc_nulls_first(), "size")
+    hits = find_hits(docs.select(doc, text), benchmark.select(item, F.col("text")), doc, text, item, length)
+    keys = [doc, "row", "text_key"]
+    by_doc = Window.partitionBy(*keys).orderBy(F.col("start").asc_nulls_first(), "size")
     end = F.col("start") + F.col("size")
     reached = F.max(end).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(reached, F.lit(0))))
     merged = hits.withColumn("new", F.when(F.col("start").isNotNull(), new).otherwise(0))
     strings = F.transform(F.array_distinct(F.flatten(F.collect_list("items"))), lambda x: x.cast("string"))
     span = F.when(F.col("start").isNotNull(), F.struct(F.col("start"), end.alias("end")))
-    return merged.groupBy(doc, "text_key").agg(
+    return merged.groupBy(*keys).agg(
         F.max("n_words").alias("n_words"),
         F.sum("new").cast("long").alias("n_hit"),
         F.array_sort(strings).alias("items"),
@@ -112,6 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
     bad = judge(docs, benchmark, doc, text, item, length).filter("contaminated").select(F.col(doc).alias("__sf_doc"), F.col("text_key").alias("__sf_key"), F.col("spans").alias("__sf_spans"))
+    bad = bad.dropDuplicates(["__sf_doc", "__sf_key"])
     same = F.col(doc).eqNullSafe(F.col("__sf_doc")) & (F.xxhash64(text) == F.col("__sf_key"))
     if remove == "documents":
         return docs.join(bad, same, "left_anti")

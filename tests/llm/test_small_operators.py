@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from strataframe.llm import decontaminate as d
@@ -100,10 +101,38 @@ def test_quality_model_learns_and_scores_odd_texts(spark):
     assert sum((x.predicted == 1) == (x.doc_id < 150) for x in held) >= 0.95 * len(held)
     assert len(rows) == 300 + len(ODD) and all(0 <= x.score <= 1 for x in rows)
     assert m.train(["a"], [1]).scores(next(iter(text_blocks(pa.array(["b", ""])))))[0] > 0.5
+    assert m.score(docs.limit(0), model).count() == 0 and m.score(docs.union(docs), model).count() == 2 * len(rows)
+    clashing = docs.withColumns({"score": F.lit(1), "predicted": F.lit(2), "_label": F.lit(3), "_text": F.lit("x")})
+    again = m.fit(clashing, labels)
+    assert np.array_equal(again.weight, model.weight) and m.score(clashing, again).columns == ["doc_id", "score", "predicted"]
     none = m.fit(docs.limit(0), labels.limit(0))
     assert np.allclose(none.scores(next(iter(text_blocks(pa.array(["b", ""]))))), 0.5)
 
 
+def test_quality_features_are_words_and_character_grams():
+    """The features of each text, one at a time, are those of the whole block; grams are of code points."""
+    texts = ["été à la plage", "", "日本語のテキスト", "aa aa b", "x", None]
+    whole = m.features(next(iter(text_blocks(pa.array(texts)))))
+    for i, text in enumerate(texts):
+        alone = m.features(next(iter(text_blocks(pa.array([text, ""])))))
+        for (b, lo, hi), (c, start, end) in zip(whole, alone):
+            assert b[lo[i] : hi[i]].tolist() == c[start[0] : end[0]].tolist()
+        sizes = [int(end[0] - start[0]) for _, start, end in alone]
+        assert sizes == [len((text or "").split()), max(0, len(text or "") - 2), max(0, len(text or "") - 3)]
+
+
+def test_quality_scores_against_a_loop():
+    rng = np.random.Generator(np.random.PCG64(3))
+    model = m.Model(rng.normal(0, 1, m._ECHO + 1).astype(np.float32), 0.25)
+    texts = ["one two two é", "", "日本 語", "longer text with more words " * 40]
+    block = next(iter(text_blocks(pa.array(texts))))
+    got = model.scores(block)
+    for i in range(len(texts)):
+        buckets = [int(x) for b, lo, hi in m.features(block) for x in b[lo[i] : hi[i]]]
+        logit = sum(float(model.weight[b]) for b in buckets) / max(1, len(buckets)) + 0.25
+        assert abs(got[i] - 1 / (1 + np.exp(-logit))) < 1e-6
+
+
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven"), (2, "Short Item!"), (3, None), (4, "..."), (5, "one two three four five six seven eight nine ten"), (10, "short item")]
 
 
@@ -112,7 +141,9 @@ def bench_words(text):
     return "".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or ord(c) > 127 else " " for c in low).split(" ")
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(d, "BROADCAST_WINDOWS", broadcast)
     texts = ODD + ["x One, two three four-five six seven eight nine ten! eleven y", "a short  ITEM b short item short item", "one two three four five six seven eight nine", "ten " + ITEMS[0][1] + " " + ITEMS[0][1], ITEMS[4][1]]
     docs = frame(spark, texts)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -142,4 +173,6 @@ def test_decontamination_against_brute_force(spark):
     assert d.judge(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert d.judge(docs.limit(0), bench).count() == 0
     doubled = docs.union(docs)
+    assert d.judge(doubled, bench).count() == 2 * len(texts)
+    assert sorted((x.n_words, x.n_hit) for x in d.judge(doubled, bench).collect()) == sorted(2 * [(x.n_words, x.n_hit) for x in got.values()])
     assert d.decontaminate(doubled, bench).count() == 2 * (len(texts) - len(dirty))
