@@ -1,25 +1,28 @@
 """Language-model scores from causal self-attention over subword ids, in numpy.
 
-A word has two subword ids, hashed from its first and its last three bytes; both
-together are its class.  One attention layer reads the subword ids of the words
-so far and gives a distribution over the next word's first id and, given that,
-over its last; the word itself then has its share of the class by counts over
-all training texts::
+A word's subword ids are the longest pieces of a public byte-level vocabulary
+that it begins and ends with; the most frequent pieces have a number of their own
+in the model and the others share some.  One attention layer reads both numbers
+of the words so far and gives a distribution over the number of the next word's
+first piece, its class; the word itself then has its share of the class by counts
+over all training texts::
 
-    P(word | before) = P(first | before) * P(last | first, before) * (c + 1) / (N_class + V_class + 1)
+    P(word | before) = P(class | before) * (c + 1) / (N_class + V_class + 1)
 
-so known words and one unseen word of each class sum to one.  Each id is told in
+so known words and one unseen word of each class sum to one.  A class is told in
 two steps, its group and its place in the group, so that no step has more than
-64 outcomes.  Texts are cut into windows of 32 words that overlap by half: each
-word is scored once, with at least 16 words before it where there are so many.
+32 outcomes.  Texts are scored in windows of 32 words that overlap by 8: each
+word is scored once, with at least 8 words before it where there are so many.
 
 Counting, training and scoring cover all texts.  The layer starts out as the
-frequencies of ids and is trained by Adam in rounds, each training document in
+frequencies of classes and is trained by Adam in rounds, each training document in
 one of them: each task trains on its own, then the weights are averaged.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,88 +33,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import limit_batches, written
-from .textarrays import ASCII_LOWER, Block, Words, find_words, mix64, range_hashes, text_blocks
-
-SUBWORDS = 2048
-#: A first and a last id; classes of words are ``first * SUBWORDS + last``.
-CLASSES = SUBWORDS * SUBWORDS
-#: An id is ``group * MEMBERS + place in the group``.
-GROUPS, MEMBERS = 64, 32
+from .textarrays import ASCII_LOWER, Block, Words, find_words, range_hashes, text_blocks
+
+#: Classes of words; a class is ``group * MEMBERS + place in the group``.  Class 0 is the end of a text.
+CLASSES, GROUPS, MEMBERS = 1024, 32, 32
+#: Classes that the rarer pieces share, by their id.
+SHARED_CLASSES = 64
+#: Bytes of the longest piece that words are told by.
+PIECE_BYTES = 8
 WIDTH = 16
 CONTEXT = 32
-STRIDE = 16
+STRIDE = 24
 #: Rounds of training between which weights are averaged; each document is in one, by hash.
 ROUNDS = 3
 #: A task with few texts goes over them again until it has made so many steps.
 #: Longer ones are learned in stretches of so many, so that memory doesn't grow with the task.
 MIN_STEPS = 60
-STEP_WINDOWS = 64
+STEP_WINDOWS = 128
 RATE = 0.01
+#: Sums of weights that are added up before the last sum.
+MERGERS = 32
 #: Words whose counts are held in each task; all others are joined.
 HELD_WORDS = 400_000
-#: Hash and class of the end of a text.
-END_HASH, END_CLASS = -1, 0
+#: Hash and pieces of the end of a text.
+END_HASH, END_PIECE = -1, -1
 _LN10 = np.log(10.0)
+_SPREADS = np.random.Generator(np.random.PCG64(5)).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _SHAPES = {
-    "first": (SUBWORDS, WIDTH), "last": (SUBWORDS, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH),
-    "mix": (WIDTH, WIDTH), "distance": (CONTEXT,), "told_group": (GROUPS, WIDTH), "told_first": (SUBWORDS, WIDTH), "told_last": (GROUPS, WIDTH),
-    "out_1": (WIDTH, GROUPS), "out_2": (WIDTH, MEMBERS), "out_3": (WIDTH, GROUPS), "out_4": (WIDTH, MEMBERS),
-    "bias_1": (1, GROUPS), "bias_2": (GROUPS, MEMBERS), "bias_3": (GROUPS, GROUPS), "bias_4": (GROUPS, MEMBERS),
+    "first": (CLASSES, WIDTH), "last": (CLASSES, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH),
+    "mix": (WIDTH, WIDTH), "distance": (CONTEXT,), "told": (GROUPS, WIDTH), "out_group": (WIDTH, GROUPS), "out_place": (WIDTH, MEMBERS),
+    "bias_group": (1, GROUPS), "bias_place": (GROUPS, MEMBERS),
 }
-
-
-def _edge_code(data: np.ndarray, words: Words, n: int, last: bool) -> np.ndarray:
-    size = words.ends - words.starts
-    code = np.minimum(size, n).astype(np.uint64)
-    for j in range(n):
-        at = words.ends - 1 - j if last else words.starts + j
-        code = code << np.uint64(8) | np.where(j < size, data[np.minimum(np.maximum(at, 0), len(data) - 1)], 0).astype(np.uint64)
-    return mix64(code)
+_SIZE = sum(int(np.prod(x)) for x in _SHAPES.values())
+_pieces: dict[str, "Pieces"] = {}
+
+
+class Pieces:
+    """The short pieces of a byte-level vocabulary file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        # Byte-level vocabularies write the bytes that print as themselves and the others from U+0100 on.
+        printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        letters = {chr(b): b for b in printed} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printed))}
+        found: dict[bytes, int] = {bytes([b]): 0 for b in range(256)}
+        for piece, number in vocabulary.items():
+            if all(c in letters for c in piece):
+                raw = bytes(letters[c] for c in piece).removeprefix(b" ")
+                if 0 < len(raw) <= PIECE_BYTES and raw == raw.lower():
+                    found[raw] = min(number, found.get(raw) or number)
+        self.size = max(vocabulary.values(), default=0) + 1
+        codes = np.array([int.from_bytes(x, "big") for x in found], np.uint64)
+        lengths, ids = np.array([len(x) for x in found]), np.array(list(found.values()), np.int32)
+        # Tables of slots for each length; pieces whose slot is taken go to a further, smaller one.
+        self.tables: list[list[tuple]] = []
+        for n in range(1, PIECE_BYTES + 1):
+            own, numbers, levels = codes[lengths == n], ids[lengths == n], []
+            while len(own):
+                bits = (8 * len(own)).bit_length()
+                spread, shift = _SPREADS[len(levels)], np.uint64(64 - bits)
+                slot, taken = np.unique(((own * spread) >> shift).astype(np.int64), return_index=True)
+                table, number = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits, np.int32)
+                table[slot], number[slot] = own[taken], numbers[taken]
+                levels.append((spread, shift, table, number))
+                own, numbers = np.delete(own, taken), np.delete(numbers, taken)
+            self.tables.append(levels)
+
+    def longest(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, last: bool) -> np.ndarray:
+        """Id of the longest piece at the start, or at the end, of each stretch of bytes."""
+        size = ends - starts
+        out = np.zeros(len(starts), np.int32)
+        code = np.zeros(len(starts), np.uint64)
+        rest = np.arange(len(starts))
+        for n in range(1, PIECE_BYTES + 1):
+            long_enough = size[rest] >= n
+            rest, code = rest[long_enough], code[long_enough]
+            if last:
+                code = code | data[ends[rest] - n].astype(np.uint64) << np.uint64(8 * n - 8)
+            else:
+                code = code << np.uint64(8) | data[starts[rest] + n - 1].astype(np.uint64)
+            for spread, shift, table, number in self.tables[n - 1]:
+                slot = (code * spread) >> shift
+                known = np.flatnonzero(table[slot] == code)
+                out[rest[known]] = number[slot[known]]
+        return out
+
+
+def pieces_of(path: str) -> Pieces:
+    if path not in _pieces:
+        _pieces[path] = Pieces(path)
+    return _pieces[path]
 
 
 @dataclass
 class Coded:
-    """Words of a block: hashes, classes and subword ids (0 is the start of a text)."""
+    """Words of a block: their hashes, and the ids of the pieces that they begin and end with."""
 
     words: Words
     hashes: np.ndarray
-    classes: np.ndarray
     first: np.ndarray
     last: np.ndarray
 
 
-def code_block(block: Block) -> Coded:
+def code_block(block: Block, vocabulary: str) -> Coded:
     words = find_words(block)
     data = ASCII_LOWER[block.data]
     hashes = range_hashes(data, words.starts, words.ends).view(np.int64)
     hashes = np.where(hashes == END_HASH, 0, hashes)
-    first = 1 + (_edge_code(data, words, 3, False) % np.uint64(SUBWORDS - 1)).astype(np.int32)
-    last = 1 + (_edge_code(data, words, 3, True) % np.uint64(SUBWORDS - 1)).astype(np.int32)
-    return Coded(words, hashes, first * SUBWORDS + last, first, last)
+    # Each distinct word is looked up once.
+    _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+    pieces, starts, ends = pieces_of(vocabulary), words.starts[one], words.ends[one]
+    return Coded(words, hashes, pieces.longest(data, starts, ends, False)[back], pieces.longest(data, starts, ends, True)[back])
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(hash, class, n) of all words, ends of texts included."""
+def word_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """(hash, first, last, n) of all words, ends of texts included."""
 
     def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        hashes, classes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes, first, last, counts = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(hashes)
         hashes = hashes[order]
         new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        return hashes[new], classes[order[new]], np.add.reduceat(counts[order], new)
+        return hashes[new], first[order[new]], last[order[new]], np.add.reduceat(counts[order], new)
 
-    def batch_of(hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(classes.astype(np.int32)), pa.array(counts.astype(np.int64))], ["hash", "class", "n"])
+    def batch_of(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(hashes), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(counts.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["hash", "first", "last", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         pending = ends = 0
         for batch in batches:
             for block in text_blocks(batch.column(0)):
-                coded = code_block(block)
+                coded = code_block(block, vocabulary)
                 ends += block.hi - block.lo
                 if len(coded.hashes):
-                    held.append(merged([(coded.hashes, coded.classes, np.ones(len(coded.hashes), np.int64))]))
+                    held.append(merged([(coded.hashes, coded.first, coded.last, np.ones(len(coded.hashes), np.int64))]))
                     pending += len(held[-1][0])
                 if pending > 2_000_000:
                     held = [merged(held)]
@@ -122,18 +180,20 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield batch_of(*merged(held))
         if ends:
-            yield batch_of(np.array([END_HASH]), np.array([END_CLASS]), np.array([ends]))
+            yield batch_of(np.array([END_HASH]), np.array([END_PIECE]), np.array([END_PIECE]), np.array([ends]))
 
-    rows = docs.select(text).mapInArrow(run, "hash long, class int, n long")
-    return rows.groupBy("hash").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+    rows = docs.select(text).mapInArrow(run, "hash long, first int, last int, n long")
+    return rows.groupBy("hash").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.sum("n").alias("n"))
 
 
 @dataclass
 class Counts:
-    """Totals, totals of each class, and the counts of the most frequent words."""
+    """Totals, classes of pieces, totals of each class, and the counts of the most frequent words."""
 
     total: int
     distinct: int
+    class_of: np.ndarray
+    last_class_of: np.ndarray
     class_total: np.ndarray
     class_distinct: np.ndarray
     hashes: np.ndarray
@@ -141,45 +201,55 @@ class Counts:
     least: int
 
 
-def summarise(counted: DataFrame) -> Counts:
-    """Collects one row per class that occurs and at most ``HELD_WORDS`` words."""
-    by_class = counted.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
-    totals = np.zeros((2, CLASSES), np.int64)
-    for row, name in zip(totals, ("n", "v"), strict=True):
-        row[by_class["class"].to_numpy()] = by_class[name].to_numpy()
-    # Few words have high counts: the lowest count that can be held, from how many words have each.
-    levels = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("v")).collect()
+def _classes(counted: DataFrame, column: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each piece, and tokens and distinct words of each class."""
+    rows = counted.filter(F.col(column) != END_PIECE).groupBy(column).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+    piece, n, v = (rows[c].to_numpy() for c in (column, "n", "v"))
+    own = CLASSES - 1 - SHARED_CLASSES
+    class_of = CLASSES - SHARED_CLASSES + np.arange(size) % SHARED_CLASSES
+    order = np.lexsort((piece, -n))[:own]
+    class_of[piece[order]] = 1 + np.arange(len(order))
+    return class_of, *(np.bincount(class_of[piece], weights=x, minlength=CLASSES).astype(np.int64) for x in (n, v))
+
+
+def summarise(counted: DataFrame, size: int) -> Counts:
+    """Collects one row per piece that occurs and at most ``HELD_WORDS`` words."""
+    class_of, total, distinct = _classes(counted, "first", size)
+    last_class_of = _classes(counted, "last", size)[0]
+    # Few words have high counts: the lowest count that can be held, from how many words
+    # have about each; levels are a hundredth of their count wide.
+    level = F.floor(F.log2("n") * 64).alias("level")
+    levels = counted.groupBy(level).agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("n")).collect()
     least, held = 1 << 62, 0
-    for level in sorted(levels, key=lambda r: -r.n):
-        if held + level.v > HELD_WORDS:
+    for row in sorted(levels, key=lambda r: -r.level):
+        if held + row.v > HELD_WORDS:
             break
-        least, held = level.n, held + level.v
+        least, held = row.n, held + row.v
     top = counted.filter((F.col("n") >= least) | (F.col("hash") == END_HASH)).select("hash", "n").toArrow()
     hashes, counts = top["hash"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(hashes)
-    return Counts(int(totals[0].sum()), int(totals[1].sum()), totals[0], totals[1], hashes[order], counts[order], least)
+    ends = int(counts[hashes == END_HASH].sum())
+    total[0], distinct[0] = ends, int(ends > 0)
+    return Counts(int(total.sum()), int(distinct.sum()), class_of, last_class_of, total, distinct, hashes[order], counts[order], least)
 
 
 def initial(counts: Counts, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights that predict each id's group and place by their frequency, whatever came before."""
+    """Weights that predict each class's group and place by their frequency, whatever came before."""
     rng = np.random.Generator(np.random.PCG64(seed))
     weights = {k: rng.normal(0, 0.3, shape).astype(np.float32) for k, shape in _SHAPES.items()}
-    for name in ("told_group", "told_first", "told_last", "out_1", "out_2", "out_3", "out_4"):
-        weights[name] *= np.float32(0.1) if name.startswith("told") else np.float32(0)
+    weights["told"] *= np.float32(0.1)
+    weights["out_group"][:], weights["out_place"][:] = 0, 0
     weights["distance"] = (-0.1 * np.arange(CONTEXT)).astype(np.float32)
-    pairs = counts.class_total.reshape(GROUPS, MEMBERS, GROUPS, MEMBERS)
-    words = pairs.sum(axis=(0, 1))  # the end of a text has no last id
-    words[0, 0] -= counts.class_total[END_CLASS]
-    between = pairs.sum(axis=(1, 3))
-    between[0, 0] -= counts.class_total[END_CLASS]
-    for name, n in (("bias_1", pairs.sum(axis=(1, 2, 3))[None]), ("bias_2", pairs.sum(axis=(2, 3))), ("bias_3", between), ("bias_4", words)):
+    places = counts.class_total.reshape(GROUPS, MEMBERS)
+    for name, n in (("bias_group", places.sum(axis=1)[None]), ("bias_place", places)):
         weights[name] = np.log((n + 1) / (n.sum(axis=1, keepdims=True) + n.shape[1])).astype(np.float32)
     return weights
 
 
 @dataclass
 class Windows:
-    """Inputs and targets of a block's positions, and the windows over them."""
+    """Inputs and targets of a block's positions, and the windows over them; the last
+    ``scored`` places of a window are those it predicts."""
 
     first: np.ndarray
     last: np.ndarray
@@ -187,85 +257,74 @@ class Windows:
     bounds: np.ndarray
     keys: np.ndarray
     unseen: np.ndarray
+    scored: int
 
 
-def lay_out(coded: Coded) -> Windows:
+def lay_out(coded: Coded, counts: Counts, scored: int) -> Windows:
     """A text of n words has n + 1 positions: each reads what came before and is to tell the next."""
     n = len(coded.words.bounds) - 1
     bounds = coded.words.bounds + np.arange(n + 1)
     size = int(bounds[-1])
     at = np.arange(len(coded.hashes)) + coded.words.rows
-    first, last = np.zeros(size, np.int32), np.zeros(size, np.int32)
-    first[at + 1], last[at + 1] = coded.first, coded.last
-    target = np.full(size, END_CLASS, np.int32)
-    target[at] = coded.classes
-    per_row = -(-np.diff(bounds) // STRIDE)
+    first, last, target = (np.zeros(size, np.int32) for _ in range(3))
+    target[at] = counts.class_of[coded.first]
+    first[at + 1], last[at + 1] = target[at], counts.last_class_of[coded.last]
+    per_row = -(-np.diff(bounds) // scored)
     row = np.repeat(np.arange(n), per_row)
-    begins = bounds[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row))
-    keys = begins[:, None] + np.arange(STRIDE - CONTEXT, STRIDE)[None, :]
+    begins = bounds[row] + scored * (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row))
+    keys = begins[:, None] + np.arange(scored - CONTEXT, scored)[None, :]
     unseen = (keys < bounds[row][:, None]) | (keys >= bounds[row + 1][:, None])
-    return Windows(first, last, target, bounds, np.clip(keys, 0, max(0, size - 1)), unseen)
+    return Windows(first, last, target, bounds, np.clip(keys, 0, max(0, size - 1)).astype(np.int32), unseen, scored)
 
 
-def _reach() -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def _reach(scored: int) -> tuple[np.ndarray, np.ndarray]:
     """Distance from each scored place of a window to each place, and which lie ahead."""
-    gap = (np.arange(STRIDE) + CONTEXT - STRIDE)[:, None] - np.arange(CONTEXT)[None, :]
+    gap = (np.arange(scored) + CONTEXT - scored)[:, None] - np.arange(CONTEXT)[None, :]
     return np.clip(gap, 0, CONTEXT - 1), gap < 0
 
 
-def _split(target: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First id, and group and place of the first and of the last id."""
-    first, last = target // SUBWORDS, target % SUBWORDS
-    return first, first // MEMBERS, first % MEMBERS, last // MEMBERS, last % MEMBERS
-
-
-def _outcomes(weights: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray):
-    """Of each of four steps: its input, the row of its bias, weights of outcomes and their sum,
-    the outcome, and the log probability of that."""
-    first, group, place, last_group, last_place = _split(target)
-    with_first = h + weights["told_first"][first]
-    steps = (
-        (h, np.zeros_like(group), group),
-        (h + weights["told_group"][group], group, place),
-        (with_first, group, last_group),
-        (with_first + weights["told_last"][last_group], last_group, last_place),
-    )
-    at = np.arange(len(target))
-    for k, (x, row, outcome) in enumerate(steps, 1):
-        p = x @ weights[f"out_{k}"]
-        p += weights[f"bias_{k}"][row] if k > 1 else weights["bias_1"]
-        p -= p.max(axis=1, keepdims=True)
-        chosen = p[at, outcome]
-        np.exp(p, out=p)
-        total = p @ np.ones(p.shape[1], p.dtype)
-        yield x, row, p, total, outcome, chosen - np.log(total)
+def _weights_of(p: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into weights of outcomes, in place; their sums and the log probability of one outcome each."""
+    np.clip(p, -60, 60, out=p)  # far beyond what training reaches; float32 holds exp(60)
+    chosen = p[np.arange(len(p)), outcome]
+    np.exp(p, out=p)
+    total = p @ np.ones(p.shape[1], p.dtype)
+    return total, chosen - np.log(total)
 
 
 def forward(weights: dict[str, np.ndarray], laid: Windows, picked: slice | np.ndarray, keep: bool = False):
-    """Log probabilities (windows by stride) of the targets; places that are none give 0."""
-    keys, unseen = laid.keys[picked], laid.unseen[picked]
-    x = weights["first"][laid.first[keys]] + weights["last"][laid.last[keys]]
-    own = np.ascontiguousarray(x[:, CONTEXT - STRIDE :])
+    """Log probabilities (windows by scored places) of the targets; places that are none give 0."""
+    keys, unseen, lead = laid.keys[picked], laid.unseen[picked], CONTEXT - laid.scored
+    x = weights["first"][laid.first[keys]]
+    x += weights["last"][laid.last[keys]]
+    own = np.ascontiguousarray(x[:, lead:])
     times = lambda a, name: (a.reshape(-1, WIDTH) @ weights[name]).reshape(a.shape)
     q, k, v = times(own, "query"), times(x, "key"), times(x, "value")
-    gap, ahead = _reach()
+    q *= np.float32(WIDTH**-0.5)
+    gap, ahead = _reach(laid.scored)
     score = q @ k.transpose(0, 2, 1)
-    score *= np.float32(WIDTH**-0.5)
     score += np.where(ahead, np.float32(-1e4), weights["distance"][gap])
-    hidden = np.flatnonzero(unseen[:, 0] | unseen[:, -1])
+    hidden = np.flatnonzero(unseen[:, 0])  # places after the end of a text lie ahead of all that count
     score[hidden] += np.where(unseen[hidden], np.float32(-1e4), np.float32(0))[:, None, :]
-    score -= score.max(axis=2, keepdims=True)
+    np.minimum(score, 60, out=score)
     np.exp(score, out=score)
-    score /= score.sum(axis=2, keepdims=True)
+    score /= (score.reshape(-1, CONTEXT) @ np.ones(CONTEXT, score.dtype)).reshape(len(keys), laid.scored, 1) + np.float32(1e-30)
     seen = score @ v
     h = own + times(seen, "mix")
-    target = laid.target[keys[:, CONTEXT - STRIDE :]]
-    steps = list(_outcomes(weights, h.reshape(-1, WIDTH), target.ravel()))
-    real = ~unseen[:, CONTEXT - STRIDE :]
-    # The end of a text is a first id that has no last.
-    logs = steps[0][-1] + steps[1][-1] + np.where(target.ravel() == END_CLASS, np.float32(0), steps[2][-1] + steps[3][-1])
-    logp = np.where(real, logs.reshape(target.shape), np.float32(0))
-    return (logp, real, keys, x, own, q, k, v, score, seen, steps, (steps[0][2] / steps[0][3][:, None]).reshape(*target.shape, -1), target) if keep else logp
+    h = h.reshape(-1, WIDTH)
+    target = laid.target[keys[:, lead:]].ravel()
+    group, place = target // MEMBERS, target % MEMBERS
+    p1 = h @ weights["out_group"]
+    p1 += weights["bias_group"]
+    h2 = h + weights["told"][group]
+    p2 = h2 @ weights["out_place"]
+    p2 += weights["bias_place"][group]
+    (total1, log1), (total2, log2) = _weights_of(p1, group), _weights_of(p2, place)
+    logs = log1 + log2
+    real = ~unseen[:, lead:]
+    logp = np.where(real, logs.reshape(real.shape), np.float32(0))
+    return (logp, real, keys, x, own, q, k, v, score, seen, h, h2, group, place, p1, p2, total1, total2) if keep else logp
 
 
 def _add_rows(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -280,38 +339,33 @@ def _add_rows(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 def gradients(weights: dict[str, np.ndarray], laid: Windows, picked: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean negative log probability over some windows."""
-    _, real, keys, x, own, q, k, v, score, seen, steps, _, target = forward(weights, laid, picked, keep=True)
+    _, real, keys, x, own, q, k, v, score, seen, h, h2, group, place, p1, p2, total1, total2 = forward(weights, laid, picked, keep=True)
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    flat_target = target.ravel()
-    first, group, _, last_group, _ = _split(flat_target)
     share = (real.ravel() / max(1, real.sum())).astype(np.float32)
-    word_share = np.where(flat_target == END_CLASS, np.float32(0), share)
-    at = np.arange(len(flat_target))
-    g, back = {}, []
-    for n, (inputs, row, error, total, outcome, _) in enumerate(steps, 1):
-        weight = share if n < 3 else word_share
-        error *= (weight / total)[:, None]
-        error[at, outcome] -= weight
-        g[f"out_{n}"] = inputs.T @ error
-        g[f"bias_{n}"] = error.sum(0, keepdims=True) if n == 1 else _add_rows(row, error, GROUPS)
-        back.append(error @ weights[f"out_{n}"].T)
-    g["told_group"], g["told_last"] = _add_rows(group, back[1], GROUPS), _add_rows(last_group, back[3], GROUPS)
-    g["told_first"] = _add_rows(first, back[2] + back[3], SUBWORDS)
-    dh = sum(back).reshape(own.shape)
-    g["mix"] = flat(seen).T @ flat(dh)
-    dseen = (flat(dh) @ weights["mix"].T).reshape(own.shape)
+    at = np.arange(len(group))
+    for p, total, outcome in ((p1, total1, group), (p2, total2, place)):
+        p *= (share / total)[:, None]
+        p[at, outcome] -= share
+    g = {"out_group": h.T @ p1, "bias_group": p1.sum(0, keepdims=True), "out_place": h2.T @ p2, "bias_place": _add_rows(group, p2, GROUPS)}
+    back = p2 @ weights["out_place"].T
+    g["told"] = _add_rows(group, back, GROUPS)
+    back += p1 @ weights["out_group"].T
+    dh = back.reshape(own.shape)
+    g["mix"] = flat(seen).T @ back
+    dseen = (back @ weights["mix"].T).reshape(own.shape)
     dv = score.transpose(0, 2, 1) @ dseen
     dscore = dseen @ v.transpose(0, 2, 1)
-    dscore = score * (dscore - (dscore * score).sum(axis=2, keepdims=True))
-    gap, ahead = _reach()
+    dscore -= (dseen * seen).sum(axis=2, keepdims=True)
+    dscore *= score
+    gap, ahead = _reach(laid.scored)
     g["distance"] = np.bincount(gap[~ahead], weights=dscore.sum(0)[~ahead], minlength=CONTEXT).astype(np.float32)
-    dscore *= np.float32(WIDTH**-0.5)
     dq, dk = dscore @ k, dscore.transpose(0, 2, 1) @ q
+    dq *= np.float32(WIDTH**-0.5)
     g["query"], g["key"], g["value"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
     dx = (flat(dk) @ weights["key"].T + flat(dv) @ weights["value"].T).reshape(x.shape)
-    dx[:, CONTEXT - STRIDE :] += dh + (flat(dq) @ weights["query"].T).reshape(own.shape)
+    dx[:, CONTEXT - laid.scored :] += dh + (flat(dq) @ weights["query"].T).reshape(own.shape)
     for name, ids in (("first", laid.first), ("last", laid.last)):
-        g[name] = _add_rows(ids[keys].ravel(), flat(dx), SUBWORDS)
+        g[name] = _add_rows(ids[keys].ravel(), flat(dx), CLASSES)
     return g
 
 
@@ -358,41 +412,48 @@ def train_on(weights: dict[str, np.ndarray], blocks: Iterable[Windows], seed: in
     return weights, size
 
 
-def train(docs: DataFrame, weights: dict[str, np.ndarray], doc: str = "doc_id", text: str = "text") -> dict[str, np.ndarray]:
+def train(docs: DataFrame, counts: Counts, vocabulary: str, doc: str = "doc_id", text: str = "text") -> dict[str, np.ndarray]:
     """Rounds of training in all tasks and averaging; every document is in one of them."""
-    names = list(_SHAPES)
+    weights = initial(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    schema = "merger int, size long, weights binary"
+
+    def batch_of(merger: int, size: int, total: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([merger], pa.int32()), pa.array([size], pa.int64()), pa.array([total.astype("<f8").tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["merger", "size", "weights"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total = 0, np.zeros(_SIZE)
+        for batch in batches:
+            for n, data in zip(batch.column("size").to_pylist(), batch.column("weights"), strict=True):
+                size += n
+                total += np.frombuffer(data.as_buffer(), "<f8")
+        if size:
+            yield batch_of(0, size, total)
+
     for part in range(ROUNDS):
         share = docs.filter(F.pmod(F.xxhash64(doc), F.lit(ROUNDS)) == part).select(text)
         begin, rate = weights, RATE * (1 - part / ROUNDS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks = (lay_out(code_block(block)) for batch in batches for block in text_blocks(batch.column(0)))
+            blocks = (lay_out(code_block(block, vocabulary), shared.value, CONTEXT) for batch in batches for block in text_blocks(batch.column(0)))
             learned, size = train_on(begin, blocks, rate=rate)
             if size:
-                parts = [(learned[name] * size).astype("<f8").tobytes() for name in names]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([size] * len(names), pa.int64()), pa.array(parts, pa.binary())], ["name", "size", "weights"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[str, list] = {}
-            for batch in batches:
-                for name, size, data in zip(batch.column("name").to_pylist(), batch.column("size").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                    held = sums.setdefault(name, [0, 0.0])
-                    held[0] += size
-                    held[1] = held[1] + np.frombuffer(data, "<f8")
-            columns = [pa.array(list(sums), pa.string()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["name", "size", "weights"])
-
-        schema = "name string, size long, weights binary"
-        # One set of weights comes back, however many tasks trained.
-        averaged = share.mapInArrow(run, schema).repartition("name").mapInArrow(add, schema).collect()
+                yield batch_of(TaskContext.get().partitionId() % MERGERS, size, np.concatenate([learned[k].ravel() for k in _SHAPES]) * float(size))
+
+        # Sums of sums: however many tasks trained, no task adds up more than its share and one row comes back.
+        some = share.mapInArrow(run, schema).repartition(MERGERS, "merger").mapInArrow(add, schema)
+        averaged = some.repartition(1).mapInArrow(add, schema).collect()
         if averaged:
-            weights = {r.name: (np.frombuffer(r.weights, "<f8") / r["size"]).reshape(_SHAPES[r.name]).astype(np.float32) for r in averaged}
+            mean = np.frombuffer(averaged[0].weights, "<f8") / averaged[0]["size"]
+            ends = np.cumsum([int(np.prod(x)) for x in _SHAPES.values()])
+            weights = {k: x.reshape(shape).astype(np.float32) for (k, shape), x in zip(_SHAPES.items(), np.split(mean, ends[:-1]), strict=True)}
     return weights
 
 
-def score_block(weights: dict[str, np.ndarray], coded: Coded, chunk: int = 256) -> np.ndarray:
+def score_block(weights: dict[str, np.ndarray], coded: Coded, counts: Counts, chunk: int = 192) -> np.ndarray:
     """Sum of the natural logs of P(class | before) over each text, its end included."""
-    laid = lay_out(coded)
+    laid = lay_out(coded, counts, STRIDE)
     total = np.zeros(len(laid.keys))
     for at in range(0, len(laid.keys), chunk):
         total[at : at + chunk] = forward(weights, laid, slice(at, at + chunk)).sum(axis=1)
@@ -402,22 +463,23 @@ def score_block(weights: dict[str, np.ndarray], coded: Coded, chunk: int = 256)
     return sums[ends] - sums[ends - per_row]
 
 
-def _scored(docs: DataFrame, counts: Counts, weights: dict[str, np.ndarray], doc: str, text: str) -> DataFrame:
+def _scored(docs: DataFrame, counts: Counts, weights: dict[str, np.ndarray], vocabulary: str, doc: str, text: str) -> DataFrame:
     """Rows of documents (row, doc, n_tokens, known, logs, attention) and of words whose
     count isn't held (row, hash, times)."""
     kind = docs.schema[doc].dataType.simpleString()
     class_cost = np.log10((counts.class_total + counts.class_distinct + 1).astype(np.float32))
-    shared = docs.sparkSession.sparkContext.broadcast((counts.hashes, counts.counts, class_cost, weights))
+    shared = docs.sparkSession.sparkContext.broadcast((counts, class_cost, weights))
     names = ["row", "doc", "n_tokens", "known", "logs", "attention", "hash", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_hashes, held_counts, class_cost, weights = shared.value
+        counts, class_cost, weights = shared.value
+        held_hashes, held_counts = counts.hashes, counts.counts
         at_row = TaskContext.get().partitionId() << 36
         end = int(np.searchsorted(held_hashes, END_HASH))
         end_count = int(held_counts[end]) if end < len(held_hashes) and held_hashes[end] == END_HASH else 0
         for batch in batches:
             for block in text_blocks(batch.column(text)):
-                coded = code_block(block)
+                coded = code_block(block, vocabulary)
                 n, rows = block.hi - block.lo, coded.words.rows
                 order = np.argsort(coded.hashes)
                 ranked = coded.hashes[order]
@@ -430,8 +492,8 @@ def _scored(docs: DataFrame, counts: Counts, weights: dict[str, np.ndarray], doc
                 row, is_held = rows[order], held[group]
                 logs = np.bincount(row, weights=np.log10(c + 1.0)[group] * is_held, minlength=n) + np.log10(end_count + 1)
                 known = np.bincount(row, weights=is_held, minlength=n).astype(np.int64) + (end_count > 0)
-                attention = score_block(weights, coded) / _LN10
-                attention -= np.bincount(rows, weights=class_cost[coded.classes], minlength=n) + class_cost[END_CLASS]
+                attention = score_block(weights, coded, counts) / _LN10
+                attention -= np.bincount(rows, weights=class_cost[counts.class_of[coded.first]], minlength=n) + class_cost[0]
                 key = at_row + np.arange(n)
                 columns = [pa.array(key), batch.column(doc).slice(block.lo, n), pa.array(coded.words.counts + 1), pa.array(known), pa.array(logs), pa.array(attention), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -449,17 +511,22 @@ def _scored(docs: DataFrame, counts: Counts, weights: dict[str, np.ndarray], doc
     return docs.select(doc, text).mapInArrow(run, f"row long, doc {kind}, n_tokens long, known long, logs double, attention double, hash long, times int")
 
 
-def score(docs: DataFrame, training: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, vocabulary: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
-    Null and empty texts are the end alone.  Rows that share an id are scored
-    each for itself.  Without training texts all counts are zero.
+    ``vocabulary`` is the file of a byte-level tokenizer.  Null and empty texts are
+    the end alone.  Rows that share an id, and repeated rows, are scored each for
+    itself and all stay.  Without training texts all counts are zero; without
+    ``docs`` there are no rows.  Pieces of equal frequency are ranked by their id.  A
+    very long text is one row of one task, read in windows.  Other columns, whatever
+    their names, are not read.
     """
     limit_batches(docs.sparkSession)
-    counted = written(word_counts(training, text), "word-counts")
-    counts = summarise(counted)
-    weights = train(training, initial(counts), doc, text)
-    scored = written(_scored(docs, counts, weights, doc, text), "lm-scores")
+    docs, training = docs.select(doc, text), training.select(doc, text)
+    counted = written(word_counts(training, vocabulary, text), "word-counts")
+    counts = summarise(counted, pieces_of(vocabulary).size)
+    weights = train(training, counts, vocabulary, doc, text)
+    scored = written(_scored(docs, counts, weights, vocabulary, doc, text), "lm-scores")
     rare = scored.filter("hash is not null").select("row", "hash", "times")
     tail = counted.filter(F.col("n") < counts.least).select("hash", "n")
     found = rare.join(tail, "hash").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"))

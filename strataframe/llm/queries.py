@@ -203,7 +203,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = crc32_mod("doc_id", 7) == 2
-    scored = attention_lm.score(documents, documents.filter(~held_out))
+    scored = attention_lm.score(documents, documents.filter(~held_out), tokenizer_file("byte_bpe_50k.json"))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
