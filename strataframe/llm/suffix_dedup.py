@@ -1,12 +1,14 @@
 """Removal of passages that repeat across documents, with sparse suffix arrays.
 
 Of all suffixes only those at minimisers are kept: in each window of 50 words the
-lowest hash of 25 words marks a position, so equal passages mark equal places.
-A kept suffix stands for the windows that chose it.  Suffixes are sorted by what
-follows their position and then by all that their windows cover, and compared
-with their neighbours: equal ones repeat as a whole.  Where neighbours share the
-position's 25 words but differ further on, the match is extended left and right,
-window by window, until it ends.
+lowest hash of 25 words, the anchor, marks a position, so equal passages mark equal
+places.  A kept suffix stands for the windows that chose it.  Those whose anchor
+occurs once go.  Those that agree in all that their windows cover repeat as a whole.
+The others are sorted by the words that follow the anchor; each is compared with its
+neighbours word by word, and the match is extended to the right as far as the common
+prefix reaches and to the left as far as the words before the anchor agree.  Only
+the group of an anchor that more than ``HOT_ROWS`` different suffixes share is not
+sorted in one task: its windows are grouped by two fingerprints instead.
 
 A word is repeated if it lies in a window of 50 words that a document of lower id
 holds too.  This is exact, whatever the number of copies: each task sorts its
@@ -15,7 +17,8 @@ own suffixes first and sends on one document of each run of equal ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,13 @@ ANCHOR = 25
 #: Document ids up to which they are broadcast to the texts; beyond it both sides shuffle.
 BROADCAST_IDS = 2_000_000
 _BASE = 0xD1342543DE82EF95
+#: Different suffixes of one anchor that are sorted in one task; more go by their windows.
+HOT_ROWS = 20_000
+#: Suffixes that a task compares at once.
+ROWS_AT_ONCE = 40_000
+_SIDE = PASSAGE - ANCHOR
 _DOCS, _SUFFIXES, _MARKS = 0, 1, 2
-_SCHEMA = "kind int, doc long, anchor long, content long, start int, size int"
+_SCHEMA = "kind int, doc long, anchor long, content long, start int, size int, lead int"
 
 
 def _prefix_sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,14 +73,15 @@ def lowest_within(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffixes(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor, content, start, windows) of each kept suffix of a block.
+    """(row, anchor, content, start, windows, lead) of each kept suffix of a block.
 
     ``start`` is the first word, within its row, of the first window that chose
-    the position; ``content`` tells apart what all its windows cover.
+    the position, which lies ``lead`` words on; ``content`` tells apart what all
+    its windows cover.
     """
     starts = gram_starts(words, PASSAGE)
     if len(starts) == 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     grams = gram_hashes(hashes, ANCHOR)
     chosen = lowest_within(grams, PASSAGE - ANCHOR + 1)[starts]
     rows = words.rows[starts]
@@ -80,16 +89,17 @@ def suffixes(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
     windows = np.diff(np.append(new, len(starts)))
     first, row = starts[new], rows[new]
     content = stretch_hashes(hashes, first, first + windows - 1 + PASSAGE)
-    content = mix64(content + (chosen[new] - first).astype(np.uint64))
-    return row, grams[chosen[new]], content, first - words.bounds[row], windows
+    lead = chosen[new] - first
+    content = mix64(content + lead.astype(np.uint64))
+    return row, grams[chosen[new]], content, first - words.bounds[row], windows, lead
 
 
-def _batch(kind: int, doc: np.ndarray, anchor, content, start, size) -> pa.RecordBatch:
+def _batch(kind: int, doc: np.ndarray, anchor, content, start, size, lead=None) -> pa.RecordBatch:
     def column(values, type_):
         return pa.nulls(len(doc), type_) if values is None else pa.array(values, type_)
 
-    columns = [pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc, pa.int64()), column(anchor, pa.int64()), column(content, pa.int64()), column(start, pa.int32()), column(size, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "doc", "anchor", "content", "start", "size"])
+    columns = [pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc, pa.int64()), column(anchor, pa.int64()), column(content, pa.int64()), column(start, pa.int32()), column(size, pa.int32()), column(lead, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "doc", "anchor", "content", "start", "size", "lead"])
 
 
 def _ids(batch: pa.RecordBatch, block: Block) -> np.ndarray:
@@ -100,15 +110,15 @@ def _scan(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Rows of ``_SCHEMA``: words of each document, kept suffixes, and marks found within a task."""
 
     def sorted_out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc_ids, anchor, content, start, windows = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc_ids, anchor, content, start, windows, lead = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((doc_ids, content, anchor))
-        doc_ids, anchor, content, start, windows = (x[order] for x in (doc_ids, anchor, content, start, windows))
+        doc_ids, anchor, content, start, windows, lead = (x[order] for x in (doc_ids, anchor, content, start, windows, lead))
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
         lowest = doc_ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         again = doc_ids > lowest
         yield _batch(_MARKS, doc_ids[again], None, None, start[again], windows[again] - 1 + PASSAGE)
         kept = ~again
-        yield _batch(_SUFFIXES, doc_ids[kept], anchor[kept].view(np.int64), content[kept].view(np.int64), start[kept], windows[kept])
+        yield _batch(_SUFFIXES, doc_ids[kept], anchor[kept].view(np.int64), content[kept].view(np.int64), start[kept], windows[kept], lead[kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -130,30 +140,140 @@ def _scan(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.filter(F.col(doc).isNotNull()).select(text, F.col(doc).cast("long").alias("_doc")).mapInArrow(run, _SCHEMA)
 
 
-def _window_rows(docs: DataFrame, edges: DataFrame, doc: str, text: str) -> DataFrame:
-    """(window, doc, start) of every window of the suffixes in ``edges``."""
+@dataclass
+class _Parts:
+    """Kept suffixes of a block's rows: their rows, anchors, first windows, windows and leads."""
+
+    row: np.ndarray
+    anchor: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    lead: np.ndarray
+
+
+def _of_parts(docs: DataFrame, parts: DataFrame, doc: str, text: str, make: Callable, schema: str) -> DataFrame:
+    """``make(words, hashes, doc ids of rows, parts)`` for blocks of the texts that have ``parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch.column(0)):
                 words = find_words(block)
                 hashes = range_hashes(block.data, words.starts, words.ends)
-                parts = batch.column(2).slice(block.lo, block.hi - block.lo)
-                flat = parts.flatten()
-                start = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                size = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
-                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                row, start = np.repeat(row, size), np.repeat(start, size) + inside
-                fits = words.bounds[row] + start + PASSAGE <= words.bounds[row + 1]  # rows that share an id may be shorter
-                row, start = row[fits], start[fits]
-                first = words.bounds[row] + start
-                found = stretch_hashes(hashes, first, first + PASSAGE).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(_ids(batch, block)[row]), pa.array(start, pa.int32())], ["window", "doc", "start"])
-
-    lists = edges.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("parts"))
-    texts = _only(docs.select(text, F.col(doc).cast("long").alias("_doc")), edges.select("doc"), "_doc")
-    return texts.join(lists, texts["_doc"] == lists["doc"]).select(text, "_doc", "parts").mapInArrow(run, "window long, doc long, start int")
+                lists = batch.column(2).slice(block.lo, block.hi - block.lo)
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                fields = [lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+                found = _Parts(row, fields[0].view(np.uint64), *fields[1:])
+                # Rows that share an id may be shorter, or have other words there.
+                fits = words.bounds[row] + found.start + found.size - 1 + PASSAGE <= words.bounds[row + 1]
+                grams = gram_hashes(hashes, ANCHOR)
+                place = words.bounds[row] + found.start + found.lead
+                fits[fits] = grams[place[fits]] == found.anchor[fits]
+                found = _Parts(*(x[fits] for x in (found.row, found.anchor, found.start, found.size, found.lead)))
+                if len(found.row):
+                    yield make(words, hashes, _ids(batch, block), found)
+
+    lists = parts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "size", "lead")).alias("parts"))
+    texts = _only(docs.select(text, F.col(doc).cast("long").alias("_doc")), parts.select("doc"), "_doc")
+    return texts.join(lists, texts["_doc"] == lists["doc"]).select(text, "_doc", "parts").mapInArrow(run, schema)
+
+
+def _windows(words: Words, hashes: np.ndarray, ids: np.ndarray, parts: _Parts) -> pa.RecordBatch:
+    """(window, other, doc, start): two fingerprints of every window of the suffixes."""
+    inside = np.arange(parts.size.sum()) - np.repeat(np.cumsum(parts.size) - parts.size, parts.size)
+    row, start = np.repeat(parts.row, parts.size), np.repeat(parts.start, parts.size) + inside
+    first = words.bounds[row] + start
+    found = [stretch_hashes(x, first, first + PASSAGE).view(np.int64) for x in (hashes, mix64(hashes ^ np.uint64(_BASE)))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(ids[row]), pa.array(start, pa.int32())], ["window", "other", "doc", "start"])
+
+
+def _sides(words: Words, hashes: np.ndarray, ids: np.ndarray, parts: _Parts) -> pa.RecordBatch:
+    """(anchor, right, left, doc, start, size, lead): the words after each anchor and, backwards,
+    those before it, as 64-bit codes; no code where the text has ended."""
+    place = words.bounds[parts.row] + parts.start + parts.lead
+    sides = []
+    for at in (place[:, None] + ANCHOR + np.arange(_SIDE), place[:, None] - 1 - np.arange(_SIDE)):
+        inside = (at >= words.bounds[parts.row][:, None]) & (at < words.bounds[parts.row + 1][:, None])
+        codes = np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)], np.uint64(0)).astype(">u8")
+        sides.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * _SIDE), len(place), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary()))
+    numbers = [pa.array(x, pa.int32()) for x in (parts.start, parts.size, parts.lead)]
+    return pa.RecordBatch.from_arrays([pa.array(parts.anchor.view(np.int64)), *sides, pa.array(ids[parts.row]), *numbers], ["anchor", "right", "left", "doc", "start", "size", "lead"])
+
+
+def _common(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Codes in which each row begins like the row before it; -1 where the key is another."""
+    out = np.full(len(keys), -1)
+    if len(keys) > 1:
+        same = codes[1:] == codes[:-1]
+        length = np.where(same.all(axis=1), codes.shape[1], np.argmin(same, axis=1))
+        out[1:] = np.where(keys[1:] == keys[:-1], length, -1)
+    return out
+
+
+def extended(anchor: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray, size: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first window, last window) of suffixes that hold windows of a lower document.
+
+    Rows are sorted by (anchor, right); ``right`` and ``left`` are codes of the words
+    after and, backwards, before the anchor.  A window that begins o words before the
+    anchor is that of another suffix if both go on alike for o words to the left and for
+    the rest of the window to the right: if no shorter common prefix lies between
+    them in either order.
+    """
+    n = len(anchor)
+    to_right = _common(anchor, right)
+    order = np.lexsort(tuple(left.T[::-1]) + (anchor,))
+    to_left = _common(anchor[order], left[order])
+    first, last = np.full(n, PASSAGE), np.full(n, -1)
+    for o in range(_SIDE + 1):
+        rows = np.flatnonzero((o <= lead) & (o > lead - size))
+        if len(rows) < 2:
+            continue
+        run = np.cumsum(to_right < _SIDE - o)
+        back = np.empty(n, np.int64)
+        back[order] = np.cumsum(to_left < o)
+        key = run[rows] * np.int64(n + 1) + back[rows]
+        ranked = rows[np.lexsort((doc[rows], key))]
+        keys = run[ranked] * np.int64(n + 1) + back[ranked]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        lowest = doc[ranked[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+        hit = ranked[doc[ranked] > lowest]
+        first[hit] = np.minimum(first[hit], lead[hit] - o)
+        last[hit] = np.maximum(last[hit], lead[hit] - o)
+    found = np.flatnonzero(last >= 0)
+    return found, first[found], last[found]
+
+
+def neighbour_marks(sides: DataFrame) -> DataFrame:
+    """(doc, start, end) of what suffixes share with a lower document's, by sorting them."""
+
+    def judged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        anchor, doc, start, size, lead = (table.column(c).to_numpy() for c in ("anchor", "doc", "start", "size", "lead"))
+        right, left = (np.frombuffer(b"".join(table.column(c).to_pylist()), ">u8").reshape(-1, _SIDE).astype(np.uint64) for c in ("right", "left"))
+        rows, first, last = extended(anchor, right, left, doc, size.astype(np.int64), lead.astype(np.int64))
+        begin = start[rows] + first
+        return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(begin, pa.int32()), pa.array(start[rows] + last + PASSAGE, pa.int32())], ["doc", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if size >= ROWS_AT_ONCE and batch.num_rows:
+                # All but the last anchor, which may go on.
+                anchors = [x.column("anchor").to_numpy() for x in held]
+                flat = np.concatenate(anchors)
+                cut = int(np.flatnonzero(flat != flat[-1])[-1]) + 1 if (flat != flat[-1]).any() else 0
+                if cut:
+                    table = pa.Table.from_batches(held)
+                    yield judged(table.slice(0, cut).to_batches())
+                    held = table.slice(cut).to_batches()
+                    size -= cut
+            held.append(batch)
+            size += batch.num_rows
+        if size:
+            yield judged(held)
+
+    ordered = sides.repartition("anchor").sortWithinPartitions("anchor", "right")
+    return ordered.mapInArrow(run, "doc long, start int, end int")
 
 
 def _only(docs: DataFrame, ids: DataFrame, doc: str, how: str = "left_semi") -> DataFrame:
@@ -169,25 +289,36 @@ def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
     ``spans`` are ranges (start, end) of words, apart and in order.  Documents
     are integers; a row with a null id takes no part.  Rows that share an id
-    count as one document, so they don't repeat each other.
+    count as one document, so they don't repeat each other.  A null or empty text has
+    no words; a very long one is cut into suffixes like any other, within one
+    task.  An empty table gives two empty ones.  Other columns, whatever their names,
+    are not read.
     """
     limit_batches(docs.sparkSession)
+    docs = docs.select(doc, text)
     scanned = written(_scan(docs, doc, text), "suffixes")
-    anchor = Window.partitionBy("anchor").orderBy("content", "doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    content = Window.partitionBy("anchor", "content").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = (
-        scanned.filter(F.col("kind") == _SUFFIXES)
-        .select("anchor", "content", "doc", "start", "size")
-        .withColumn("low", F.min("content").over(anchor))
-        .withColumn("high", F.max("content").over(anchor))
-        .withColumn("lowest", F.min("doc").over(content))
-        .withColumn("again", F.col("doc") > F.col("lowest"))
-    )
-    judged = written(ranked.filter("again or low < high").select("doc", "start", "size", "again"), "suffix-neighbours")
+    suffix = scanned.filter(F.col("kind") == _SUFFIXES).select("anchor", "content", "doc", "start", "size", "lead")
+    # Sums first, joined back from a table of their own, so that a hot anchor can be dealt over tasks.
+    shared = suffix.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).filter("n > 1")
+    shared = written(shared.select("anchor", (F.col("low") < F.col("high")).alias("differ")), "suffix-anchors")
+    met = written(suffix.join(shared, "anchor"), "suffix-groups")
+    lowest = written(met.groupBy("anchor", "content").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest")).filter("lowest < highest").drop("highest"), "suffix-lowest")
+    joined = met.join(lowest, ["anchor", "content"], "left")
+    again = F.coalesce(F.col("doc") > F.col("lowest"), F.lit(False))
+    judged = written(joined.filter(again | F.col("differ")).select("anchor", "doc", "start", "size", "lead", again.alias("again")), "suffix-neighbours")
     whole = judged.filter("again").select("doc", "start", (F.col("start") + F.col("size") - 1 + PASSAGE).alias("end"))
-    windows = written(_window_rows(docs, judged.filter("not again"), doc, text), "suffix-windows")
-    lowest = windows.groupBy("window").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest")).filter("lowest < highest")
-    parts = windows.join(lowest, "window").filter("doc > lowest").select("doc", "start", (F.col("start") + PASSAGE).alias("end"))
+    apart = judged.filter("not again").drop("again")
+    hot = written(apart.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).select("anchor"), "hot-anchors")
+    parts = None
+    if not hot.isEmpty():
+        windows = written(_of_parts(docs, apart.join(hot, "anchor", "left_semi"), doc, text, _windows, "window long, other long, doc long, start int"), "suffix-windows")
+        lows = windows.groupBy("window", "other").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest")).filter("lowest < highest")
+        lows = written(lows.drop("highest"), "window-lowest")
+        parts = windows.join(lows, ["window", "other"]).filter("doc > lowest").select("doc", "start", (F.col("start") + PASSAGE).alias("end"))
+        apart = apart.join(hot, "anchor", "left_anti")
+    sides = _of_parts(docs, apart, doc, text, _sides, "anchor long, right binary, left binary, doc long, start int, size int, lead int")
+    near = written(neighbour_marks(sides), "suffix-matches")
+    parts = near if parts is None else near.unionByName(parts)
     local = scanned.filter(F.col("kind") == _MARKS).select("doc", "start", (F.col("start") + F.col("size")).alias("end"))
     marks = local.unionByName(whole).unionByName(parts)
     by_doc = Window.partitionBy("doc").orderBy("start", "end")
@@ -219,7 +350,9 @@ def cut_words(texts: pa.Array, spans: pa.Array) -> list[str]:
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated words cut out of ``text``; all rows and columns stay.
 
-    The document of lowest id keeps a passage.  Other texts stay byte for byte.
+    The document of lowest id keeps a passage.  Other texts stay byte for byte, null
+    and empty ones and those of a null id among them; rows that share an id are each
+    cut at the spans of that id.  An empty table stays empty.
     """
     _, spans = repeated_spans(docs, doc, text)
     spans = written(spans, "repeated-spans")

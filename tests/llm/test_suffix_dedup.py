@@ -87,3 +87,50 @@ def test_lowest_within():
         values = rng.integers(0, 20, 60).astype(np.uint64)
         want = [k + int(np.argmin(values[k : k + width])) for k in range(60 - width + 1)]
         assert s.lowest_within(values, width).tolist() == want
+
+
+def test_groups_of_a_hot_anchor_go_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(s, "HOT_ROWS", 2)
+    rows = corpus(5)
+    _, spans = s.repeated_spans(frame(spark, rows))
+    got = {r.doc: {k for x in r.spans for k in range(x.start, x.end)} for r in spans.collect()}
+    assert got == {i: m for i, m in brute(rows).items() if m}
+
+
+def test_batches_of_sorted_suffixes(spark, monkeypatch):
+    monkeypatch.setattr(s, "ROWS_AT_ONCE", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        rows = corpus(6, 25)
+        _, spans = s.repeated_spans(frame(spark, rows))
+        got = {r.doc: {k for x in r.spans for k in range(x.start, x.end)} for r in spans.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: m for i, m in brute(rows).items() if m}
+
+
+def test_matches_are_extended_both_ways():
+    """Three suffixes of one anchor: the second shares 3 words to the left and 24 to the right with the first."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    right = np.tile(rng.integers(1, 1 << 60, 25, dtype=np.uint64), (3, 1))
+    left = np.tile(rng.integers(1, 1 << 60, 25, dtype=np.uint64), (3, 1))
+    right[1, 24:], left[1, 3:] = 5, 6
+    right[2, 10:], left[2, 10:] = 7, 8
+    order = np.lexsort(tuple(right.T[::-1]))
+    doc, full = np.array([1, 2, 3])[order], np.full(3, 26)
+    rows, first, last = s.extended(np.zeros(3, np.int64), right[order], left[order], doc, full, np.full(3, 25))
+    assert [(doc[r], f, l) for r, f, l in zip(rows, first, last)] == [(2, 22, 24)]
+
+
+def test_long_patterned_words_have_hashes_of_their_own():
+    pattern = "a"
+    while len(pattern) < 4096:
+        pattern += pattern.translate(str.maketrans("ab", "ba"))
+    import pyarrow as pa
+
+    from strataframe.llm.textarrays import find_words, range_hashes, text_blocks
+
+    block = next(iter(text_blocks(pa.array([pattern + " " + pattern.translate(str.maketrans("ab", "ba"))]))))
+    words = find_words(block)
+    one, other = range_hashes(block.data, words.starts, words.ends)
+    assert one != other
