@@ -24,15 +24,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Profiles are learned from all rows with a language.  Texts that are null or
     without letters go, and so do those about as near to a second language and
-    those farther from the nearest than its own texts are.
+    those farther from the nearest than its own texts are.  ``text`` and ``lang`` must be
+    there; a null ``lang`` teaches nothing.  Repeated rows are judged alike and all stay or
+    go; an empty table stays empty; a very long text is read whole.
     """
     predict = language.predictor(language.learn(docs))
     near = F.lit(False)
     for lang, reach in language.reaches(docs, predict, REACH_SHARE).items():
-        near = near | ((F.col("_found.lang_pred") == lang) & (F.col("_found.far") <= reach * REACH_SLACK))
-    found = docs.withColumn("_found", predict(F.col("text")))
-    kept = found.filter((F.col("_found.lang_pred") != language.UNKNOWN) & (F.col("_found.score") >= LEAST_MARGIN) & near)
-    return kept.withColumn("lang", F.col("_found.lang_pred")).select(*docs.columns)
+        near = near | ((F.col("__sf_found.lang_pred") == lang) & (F.col("__sf_found.far") <= reach * REACH_SLACK))
+    found = docs.withColumn("__sf_found", predict(F.col("text")))
+    kept = found.filter((F.col("__sf_found.lang_pred") != language.UNKNOWN) & (F.col("__sf_found.score") >= LEAST_MARGIN) & near)
+    return kept.withColumn("lang", F.col("__sf_found.lang_pred")).select(*docs.columns)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
