@@ -15,10 +15,39 @@ _BANDS = "CDEFGHJKLMNPQRSTUVWXX"
 MERCATOR = math.pi * _A
 
 _N = _F / (2 - _F)
-_RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
-_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
-_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+_RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
+
+
+def _series(*rows: tuple[float, ...]) -> tuple[float, ...]:
+    """Values of polynomials in the third flattening; the k-th begins with its k-th power."""
+    return tuple(sum(c * _N ** (k + j) for j, c in enumerate(row)) for k, row in enumerate(rows, 1))
+
+
+# The Krueger series of the transverse Mercator projection to the sixth order.
+_ALPHA = _series(
+    (1 / 2, -2 / 3, 5 / 16, 41 / 180, -127 / 288, 7891 / 37800),
+    (13 / 48, -3 / 5, 557 / 1440, 281 / 630, -1983433 / 1935360),
+    (61 / 240, -103 / 140, 15061 / 26880, 167603 / 181440),
+    (49561 / 161280, -179 / 168, 6601661 / 7257600),
+    (34729 / 80640, -3418889 / 1995840),
+    (212378941 / 319334400,),
+)
+_BETA = _series(
+    (1 / 2, -2 / 3, 37 / 96, -1 / 360, -81 / 512, 96199 / 604800),
+    (1 / 48, 1 / 15, -437 / 1440, 46 / 105, -1118711 / 3870720),
+    (17 / 480, -37 / 840, -209 / 4480, 5569 / 90720),
+    (4397 / 161280, -11 / 504, -830251 / 7257600),
+    (4583 / 161280, -108847 / 3991680),
+    (20648693 / 638668800,),
+)
+_DELTA = _series(
+    (2, -2 / 3, -2, 116 / 45, 26 / 45, -2854 / 675),
+    (7 / 3, -8 / 5, -227 / 45, 2704 / 315, 2323 / 945),
+    (56 / 15, -136 / 35, -1262 / 105, 73814 / 2835),
+    (4279 / 630, -332 / 35, -399572 / 14175),
+    (4174 / 315, -144838 / 6237),
+    (601676 / 22275,),
+)
 
 
 def utm_zone(lon: Column) -> Column:

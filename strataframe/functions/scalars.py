@@ -13,9 +13,18 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+#: What infinities are held to.
+LARGEST = 1.7976931348623157e308
+
+
+def is_finite(x: Column) -> Column:
+    """Whether x is a number, neither null nor NaN nor infinite."""
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(LARGEST))
+
+
 def finite(x: Column) -> Column:
-    """x, or 0 where it is null or NaN."""
-    return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
+    """x, or 0 where it is null or NaN, or the largest number of its sign where it is infinite."""
+    return F.least(F.greatest(F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)), F.lit(-LARGEST)), F.lit(LARGEST))
 
 
 def interpolate(x: Column, knots: Sequence[tuple[float, float]]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .classes import ALTERATION_WEIGHTS, BANDS, EPS, SCL_MASKED, SENSORS, SHADOW, SNOW, VEGETATION, WATER
-from .scalars import clip, finite, first_largest, mean_of
+from .scalars import clip, finite, first_largest, is_finite, mean_of
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -70,10 +70,10 @@ def hot_cloud(threshold: float = 0.08) -> Column:
 
 
 def valid(cloud: Column) -> Column:
-    """All bands there, not all zero, and no cloud."""
+    """All bands finite, not all zero, and no cloud."""
     there = F.lit(True)
     for x in BANDS:
-        there = there & F.col(x).isNotNull() & ~F.isnan(x)
+        there = there & is_finite(F.col(x))
     return there & (mean_of(BANDS) > 0) & ~cloud
 
 

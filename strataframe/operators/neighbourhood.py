@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 
 def _mirrored(df: DataFrame, axis: str, reach: int) -> DataFrame:
-    """Adds ghost pixels: the first and last ``reach`` of each line, mirrored."""
+    """Adds ghost pixels: the first and last ``reach`` of each line, mirrored.
+
+    A line's length comes from a window over that line, which the moving window that
+    follows needs to be in one place anyway: the raster is read and dealt out once.
+    """
     other = "c" if axis == "r" else "r"
-    size = df.agg((F.max(axis) + 1).alias("_size"))
-    sized = df.crossJoin(F.broadcast(size))
-    places = F.array(F.lit(0), F.when(F.col(axis) < reach, -2 * F.col(axis) - 1), F.when(F.col(axis) >= F.col("_size") - reach, 2 * (F.col("_size") - F.col(axis)) - 1))
+    sized = df.withColumn("_size", F.max(axis).over(Window.partitionBy(other)) + 1)
+    places = F.array(F.lit(0).cast("long"), F.when(F.col(axis) < reach, -2 * F.col(axis) - 1), F.when(F.col(axis) >= F.col("_size") - reach, 2 * (F.col("_size") - F.col(axis)) - 1))
     ghost = sized.withColumn("_shift", F.explode(F.array_compact(places)))
-    return ghost.withColumn("_ghost", F.col("_shift") != 0).withColumn(axis, F.col(axis) + F.col("_shift")).drop("_shift", "_size").withColumn(other, F.col(other))
+    return ghost.withColumn("_ghost", F.col("_shift") != 0).withColumn(axis, F.col(axis) + F.col("_shift")).drop("_shift", "_size")
 
 
 def _along(df: DataFrame, axis: str, reach: int, outs: dict[str, Column], make: Callable[[Column], Column]) -> DataFrame:
@@ -32,12 +35,17 @@ def _along(df: DataFrame, axis: str, reach: int, outs: dict[str, Column], make:
     return made.filter(~F.col("_ghost")).drop("_ghost")
 
 
-def box(df: DataFrame, values: dict[str, str], size: int, how: str = "avg") -> DataFrame:
-    """Adds, for each (new, old) in ``values``, the mean, max or min of old in a square of odd ``size``."""
+def box(df: DataFrame, values: dict[str, str], size: int, how: str = "avg", first: str = "c") -> DataFrame:
+    """Adds, for each (new, old) in ``values``, the mean, max or min of old in a square of odd ``size``.
+
+    ``first`` is the axis of the first pass.  A box whose first pass runs along the
+    axis of the last pass before it finds the raster dealt out already.
+    """
     make = {"avg": F.avg, "max": F.max, "min": F.min}[how]
     reach = size // 2
-    across = _along(df, "c", reach, {new: F.col(old) for new, old in values.items()}, make)
-    return _along(across, "r", reach, {new: F.col(new) for new in values}, make)
+    second = "r" if first == "c" else "c"
+    across = _along(df, first, reach, {new: F.col(old) for new, old in values.items()}, make)
+    return _along(across, second, reach, {new: F.col(new) for new in values}, make)
 
 
 def gradient(df: DataFrame, value: str, pixel: float) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def _runs(cells: DataFrame, label: str | None) -> DataFrame:
     """Adds ``run``: the lowest column of the unbroken stretch (of one label) of its row."""
     line = Window.partitionBy("r").orderBy("c")
@@ -100,21 +100,46 @@ def top_per_group(targets: DataFrame, group: str, n: int) -> DataFrame:
     return targets.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
+#: Targets of a group that are looked at together when some are chosen.
+HEAD = 1000
+
+
 def apart(targets: DataFrame, group: str, distance: float, most: int) -> DataFrame:
-    """Targets in order of rank, each kept if it lies ``distance`` from all kept before it.
+    """Targets in order of rank, each kept if it lies ``distance`` from all kept before it, ``most`` of a group.
 
-    Greedy, so sequential within a group; a group is a model's list of targets,
-    thousands at most, cut to areas that stand out before.
+    Whether a target is kept hangs only on those above it.  So the best ``HEAD`` of each
+    group are gone through one by one; if these don't give ``most``, all that lie
+    too near to a kept one are struck from the whole table and the best of the rest
+    come next.  Only heads meet in a task, however many targets there are.
     """
+    spark = targets.sparkSession
+    kept = spark.createDataFrame([], targets.schema)
+    rest, found = targets, {}
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["rank_score", "component"], ascending=[False, True])
-        kept: list[int] = []
-        for i, (x, y) in enumerate(zip(frame["x"], frame["y"], strict=True)):
-            if len(kept) < most and all(math.hypot(x - frame["x"].iloc[k], y - frame["y"].iloc[k]) >= distance for k in kept):
-                kept.append(i)
-        return frame.iloc[kept]
-
-    return targets.groupBy(group).applyInPandas(keep, targets.schema)
-
-
+        frame = frame.sort_values(["rank_score", "component"], ascending=[False, True]).reset_index(drop=True)
+        free = np.ones(len(frame), bool)
+        x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
+        chosen = []
+        for i in range(len(frame)):
+            if free[i] and len(chosen) < most:
+                chosen.append(i)
+                free &= np.hypot(x - x[i], y - y[i]) >= distance
+        return frame.assign(_seen=len(frame)).iloc[chosen]
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.schema)
+    schema = f"{fields}, _seen long"
+    while True:
+        rows = top_per_group(rest, group, HEAD).drop("place").groupBy(group).applyInPandas(keep, schema).collect()  # at most ``most`` rows a group
+        for row in rows:
+            have = found.setdefault(row[group], [])
+            if len(have) < most:
+                have.append(row)
+        open_groups = {row[group] for row in rows if row["_seen"] >= HEAD and len(found[row[group]]) < most}
+        if not open_groups:
+            break
+        near = spark.createDataFrame([(g, r["x"], r["y"]) for g in open_groups for r in found[g]], f"_group {targets.schema[group].dataType.simpleString()}, _x double, _y double")
+        close = (F.col(group) == F.col("_group")) & (F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) < distance)
+        rest = settled(rest.filter(F.col(group).isin(*open_groups)).join(F.broadcast(near), close, "left_anti"))  # ``most`` rows a group
+    chosen = [tuple(row)[:-1] for rows in found.values() for row in rows]
+    return kept.unionByName(spark.createDataFrame(chosen, targets.schema)) if chosen else kept

@@ -27,8 +27,8 @@ def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("surface_area_stats", PX + """
 , n AS (SELECT label, count(*) AS n FROM surface GROUP BY label),
-classes(id, name, rock) AS (VALUES (1, 'limestone/carbonate', true), (2, 'sandstone', true), (3, 'shale/mudstone', true), (4, 'granite/felsic', true),
-    (5, 'basalt/mafic', true), (6, 'metamorphic', true), (7, 'alluvium', true), (250, 'snow', false), (251, 'water', false), (252, 'vegetation', false), (253, 'shadow', false), (255, 'cloud/no data', false))
+classes(id, name, rock) AS (VALUES (1, 'Limestone / Carbonate', true), (2, 'Sandstone', true), (3, 'Shale / Mudstone', true), (4, 'Granite / Felsic Igneous', true),
+    (5, 'Basalt / Mafic Igneous', true), (6, 'Metamorphic (Schist / Gneiss)', true), (7, 'Alluvium / Quaternary Deposits', true), (250, 'Snow / Glacier / Ice', false), (251, 'Water', false), (252, 'Dense vegetation', false), (253, 'Terrain shadow', false), (255, 'Cloud / no data', false))
 SELECT id::INT AS class_id, name AS class_name, coalesce(n, 0)::BIGINT AS pixels, round(coalesce(n, 0) * (400 / 1e6), 6) AS km2,
        CASE WHEN rock THEN round(100e0 * coalesce(n, 0) / (SELECT sum(n) FROM n WHERE label <= 7), 6) END AS percent
 FROM classes LEFT JOIN n ON label = id WHERE rock OR n IS NOT NULL

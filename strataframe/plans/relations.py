@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hyperspectral
 from ..functions.classes import COMMODITY_MODELS, MASKS, ROCKS
-from ..operators import jobs, sampling, scenes, spatial, statistics
+from ..operators import jobs, lineaments, sampling, scenes, spatial, statistics
 from ..sources import vectors
 from ..sources.pixels import pixels, table
 from ..streaming import field
@@ -65,12 +65,31 @@ def mosaic_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.first_valid(reads, ["cell"], "ord", "v")
 
 
-@query("zonal_class_area", "SELECT r_name AS region, n_name AS zone, c_mktsegment AS class, count(*)::BIGINT AS pixels, round(count(*) * 0.0004e0, 6) AS km2 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+_DISTRICTS = """, shapes AS (SELECT n_nationkey AS ord, n_name AS district, (n_nationkey * 17) % 90 * 1e0 AS x, (n_nationkey * 29) % 90 * 1e0 AS y, 8e0 + n_nationkey % 5 AS s FROM nation)"""
+
+
+def district_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons with a cut corner and a hole, in pixel coordinates: (ord, district, class, rings)."""
+    k = F.col("n_nationkey")
+    sized = table(spark, sf_dir, "nation").select(
+        k.alias("ord"), F.col("n_name").alias("district"), (F.col("n_regionkey") + 1).alias("class"), ((k * 17) % 90).cast("double").alias("x"), ((k * 29) % 90).cast("double").alias("y"), (F.lit(8.0) + k % 5).alias("s")
+    )
+    ring = lambda *xy: F.array(*[F.array(F.col("x") + a, F.col("y") + b) for a, b in xy])
+    s, h, two, four, zero = F.col("s"), F.col("s") / 2, F.lit(2.0), F.lit(4.0), F.lit(0.0)
+    outer = ring((zero, zero), (s, zero), (s, h), (h, s), (zero, s), (zero, zero))
+    hole = ring((two, two), (four, two), (four, four), (two, four), (two, two))
+    return sized.select("ord", "district", "class", F.array(outer, hole).alias("rings"))
+
+
+@query("zonal_class_area", PX + _DISTRICTS + """, placed AS (SELECT r, c, arg_max(district, ord) AS district FROM px JOIN shapes ON c + 0.5e0 > x AND c + 0.5e0 < x + s AND r + 0.5e0 > y AND r + 0.5e0 < y + s AND (c + 0.5e0 - x) + (r + 0.5e0 - y) < 1.5e0 * s
+    AND NOT (c + 0.5e0 > x + 2 AND c + 0.5e0 < x + 4 AND r + 0.5e0 > y + 2 AND r + 0.5e0 < y + 4) GROUP BY r, c)
+SELECT district, label::INT AS label, count(*)::BIGINT AS pixels, round(count(*) * 0.0004e0, 6) AS km2 FROM surface JOIN placed USING (r, c) GROUP BY ALL""")
 def zonal_class_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    placed = table(spark, sf_dir, "customer").join(F.broadcast(zones), F.col("c_nationkey") == F.col("n_nationkey"))
-    counted = placed.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("zone"), F.col("c_mktsegment").alias("class")).agg(F.count(F.lit(1)).alias("pixels"))
-    return counted.withColumn("km2", F.round(F.col("pixels") * 0.0004, 6))
+    """Classes of the pixels in each district; where districts overlap the later one counts."""
+    df = surface(spark, sf_dir)
+    placed = spatial.rasterize(df, district_shapes(spark, sf_dir), "district")
+    counts = statistics.zonal_histogram(df.join(placed, ["r", "c"]).withColumn("label", F.col("label").cast("int")), "district", "label")
+    return counts.withColumn("km2", F.round(F.col("pixels") * 0.0004, 6))
 
 
 _POINTS = ", pts AS (SELECT s_suppkey AS k, (s_suppkey * 7) % (SELECT h FROM hw) AS r, (s_suppkey * 13) % 100 AS c FROM supplier)"
@@ -104,16 +123,7 @@ def occurrence_window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r, c, arg_max(class, ord)::INT AS class FROM px JOIN shapes ON c + 0.5e0 > x AND c + 0.5e0 < x + s AND r + 0.5e0 > y AND r + 0.5e0 < y + s AND (c + 0.5e0 - x) + (r + 0.5e0 - y) < 1.5e0 * s
     AND NOT (c + 0.5e0 > x + 2 AND c + 0.5e0 < x + 4 AND r + 0.5e0 > y + 2 AND r + 0.5e0 < y + 4) GROUP BY r, c""")
 def pip_rasterize_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("ord"), (F.col("n_regionkey") + 1).alias("class"), ((F.col("n_nationkey") * 17) % 90).cast("double").alias("x"),
-        ((F.col("n_nationkey") * 29) % 90).cast("double").alias("y"), (F.lit(8.0) + F.col("n_nationkey") % 5).alias("s"),
-    )
-    ring = lambda *xy: F.array(*[F.array(F.col("x") + a, F.col("y") + b) for a, b in xy])
-    s, h, two, four, zero = F.col("s"), F.col("s") / 2, F.lit(2.0), F.lit(4.0), F.lit(0.0)
-    outer = ring((zero, zero), (s, zero), (s, h), (h, s), (zero, s), (zero, zero))
-    hole = ring((two, two), (four, two), (four, four), (two, four), (two, two))
-    shapes = sized.select("ord", "class", F.array(outer, hole).alias("rings"))
-    return spatial.rasterize(pixels(spark, sf_dir), shapes, "class").select("r", "c", F.col("class").cast("int").alias("class"))
+    return spatial.rasterize(pixels(spark, sf_dir), district_shapes(spark, sf_dir), "class").select("r", "c", F.col("class").cast("int").alias("class"))
 
 
 @query("block_split_counts", PX + """, b AS (SELECT DISTINCT r // 32 AS yb, c // 32 AS xb FROM px), h AS (SELECT *, (((yb % 2147483648 * 1103515245 + 12345) % 2147483648 * 31 + xb) % 2147483648 * 1103515245 + 12345) % 2147483648 AS h FROM b),
@@ -138,8 +148,8 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _depth_sql(feature: tuple[float, float, float]) -> str | None:
-    bands = hyperspectral.feature_bands(WAVELENGTHS, feature)
-    if bands is None:
+    bands = hyperspectral.places(WAVELENGTHS, feature)
+    if not bands:
         return None
     left, centre, right = (f"s[{k + 1}]" for k in bands)
     t = (WAVELENGTHS[bands[1]] - WAVELENGTHS[bands[0]]) / (WAVELENGTHS[bands[2]] - WAVELENGTHS[bands[0]])
@@ -149,32 +159,52 @@ def _depth_sql(feature: tuple[float, float, float]) -> str | None:
 
 def _minerals_sql() -> dict[str, str]:
     out = {}
-    for m in hyperspectral.MINERALS:
-        depth = _depth_sql(m.main)
-        if depth is not None:
+    for name, main in hyperspectral.MAIN.items():
+        if depth := _depth_sql(main):
             checks = [f"({depth}) >= 0.03e0"]
-            checks += [f"({d}) >= ({depth}) * {share!r}e0" for f, share in m.needs if (d := _depth_sql(f))]
-            checks += [f"({d}) <= ({depth}) * {share!r}e0" for f, share in m.lacks if (d := _depth_sql(f))]
-            out[m.name] = f"CASE WHEN {' AND '.join(checks)} THEN {depth} ELSE 0e0 END"
+            checks += [f"({d}) {sense} ({depth}) * {share!r}e0" for m, f, sense, share in hyperspectral.CHECKS if m == name and (d := _depth_sql(f))]
+            out[name] = f"CASE WHEN {' AND '.join(checks)} THEN {depth} ELSE 0e0 END"
     return out
 
 
 @query("hyperspectral_band_depth", _CUBE + ", d AS (SELECT vec_id, " + ", ".join(f"{e} AS {k}" for k, e in _minerals_sql().items()) + " FROM cube) SELECT vec_id, " + ", ".join(f"round({k}, 6) AS {k}" for k in _minerals_sql()) + " FROM d")
 def hyperspectral_band_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    depths = hyperspectral.mineral_depths(F.col("s"), WAVELENGTHS)
-    return cube(spark, sf_dir).select("vec_id", *[F.round(v, 6).alias(k) for k, v in depths.items()])
+    made = hyperspectral.with_depths(cube(spark, sf_dir), "s", WAVELENGTHS)
+    return made.select("vec_id", *[F.round(k, 6).alias(k) for k in hyperspectral.MAIN if k in made.columns])
 
 
-@query("mineral_classes", _CUBE + ", d AS (SELECT vec_id, " + ", ".join(f"{e} AS {k}" for k, e in _minerals_sql().items()) + " FROM cube), m AS (SELECT *, greatest(" + ", ".join(_minerals_sql()) + ") AS top FROM d) SELECT vec_id, (CASE WHEN top < 0.03e0 THEN 0 " + " ".join(f"WHEN {k} = top THEN {i}" for i, m in enumerate(hyperspectral.MINERALS, 1) if (k := m.name) in _minerals_sql()) + " END)::INT AS mineral FROM m")
+@query("mineral_classes", _CUBE + ", d AS (SELECT vec_id, " + ", ".join(f"{e} AS {k}" for k, e in _minerals_sql().items()) + " FROM cube), m AS (SELECT *, greatest(" + ", ".join(_minerals_sql()) + ") AS top FROM d) SELECT vec_id, (CASE WHEN top < 0.03e0 THEN 0 " + " ".join(f"WHEN {k} = top THEN {i}" for i, k in enumerate(hyperspectral.MAIN, 1) if k in _minerals_sql()) + " END)::INT AS mineral FROM m")
 def mineral_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube(spark, sf_dir).select("vec_id", hyperspectral.dominant(hyperspectral.mineral_depths(F.col("s"), WAVELENGTHS)).cast("int").alias("mineral"))
+    made = hyperspectral.with_depths(cube(spark, sf_dir), "s", WAVELENGTHS)
+    return made.select("vec_id", hyperspectral.deepest([m for m in hyperspectral.MAIN if m in made.columns]).cast("int").alias("mineral"))
+
+
+@query("hyperspectral_area", _CUBE + ", d AS (SELECT " + ", ".join(f"{e} AS {k}" for k, e in _minerals_sql().items()) + " FROM cube) " + " UNION ALL ".join(f"SELECT '{k}' AS mineral, count(*) FILTER ({k} >= 0.03e0)::BIGINT AS pixels, count(*) FILTER ({k} >= 0.30e0)::BIGINT AS strong, round(count(*) FILTER ({k} >= 0.03e0) * 0.0009e0, 6) AS km2 FROM d" for k in _minerals_sql()))
+def hyperspectral_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of 30 m, strong ones and area of each mineral over a cube, from its depths."""
+    made = hyperspectral.with_depths(cube(spark, sf_dir), "s", WAVELENGTHS)
+    names = [m for m in hyperspectral.MAIN if m in made.columns]
+    rows = made.select(F.inline(F.array(*[F.struct(F.lit(m).alias("mineral"), F.col(m).alias("depth")) for m in names])))
+    counts = rows.groupBy("mineral").agg(F.count_if(F.col("depth") >= hyperspectral.MIN_DEPTH).alias("pixels"), F.count_if(F.col("depth") >= 0.3).alias("strong"))
+    return counts.withColumn("km2", F.round(F.col("pixels") * 0.0009, 6))
+
+
+@query("hyperspectral_needed_bands", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {WAVELENGTHS[k]!r}e0)" for k in hyperspectral.needed_bands(WAVELENGTHS)) + ") AS t(band, nm)")
+def hyperspectral_needed_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of a cube that any measurable absorption reads, found by the tables' nearest bands."""
+    listed = F.transform(F.array(*[F.lit(w) for w in WAVELENGTHS]), lambda w, i: F.struct(i.alias("band"), w.alias("nm")))
+    bands = spark.range(1).select(F.inline(listed))
+    wanted = spark.createDataFrame([(float(nm), reach) for f in hyperspectral.measurable(WAVELENGTHS) for nm, reach in zip(f, hyperspectral.REACH)], "target double, reach double").distinct()
+    near = F.broadcast(wanted).join(bands, F.abs(F.col("nm") - F.col("target")) <= F.col("reach"))  # a few dozen wavelengths
+    best = near.groupBy("target", "reach").agg(F.min_by("band", F.struct(F.abs(F.col("nm") - F.col("target")), "band")).alias("band"))
+    return bands.join(best.select("band").distinct(), "band", "left_semi").select("band", F.round("nm", 9).alias("nm"))
 
 
 _SAM = _CUBE + """, t AS (SELECT list_transform(range(0, 64), lambda i: i / 63e0) AS t),
 dep AS (SELECT vec_id, list_transform(range(1, 65), lambda i: 1 - s[i] / (greatest(s[1] * (1 - t[i]) + s[64] * t[i], s[i]) + 1e-6)) AS x FROM cube, t),
 n AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v))) + 1e-6 AS norm FROM dep),
 a AS (SELECT p.vec_id, l.vec_id AS lib, acos(least(greatest(list_sum(list_transform(range(1, 65), lambda i: p.x[i] * l.x[i])) / p.norm / l.norm, -1e0), 1e0)) AS angle, list_max(p.x) AS deepest FROM n p, n l WHERE l.vec_id < 8)
-SELECT vec_id, round(min(angle), 4) AS angle, (CASE WHEN min(angle) <= 1.2e0 AND any_value(deepest) >= 0.03e0 THEN arg_min(lib, angle) + 1 ELSE 0 END)::INT AS class FROM a GROUP BY vec_id"""
+SELECT vec_id, round(min(angle), 4) AS angle, (CASE WHEN min(angle) <= 0.25e0 AND any_value(deepest) >= 0.03e0 THEN arg_min(lib, angle) + 1 ELSE 0 END)::INT AS class FROM a GROUP BY vec_id"""
 
 
 @query("sam_classify", _SAM)
@@ -184,7 +214,7 @@ def sam_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = F.broadcast(depths.filter("vec_id < 8").select(F.col("vec_id").alias("lib"), F.col("x").alias("y")))  # a library of eight spectra
     angles = depths.crossJoin(library).withColumn("angle", hyperspectral.angle(F.col("x"), F.col("y")))
     best = angles.groupBy("vec_id").agg(F.min("angle").alias("angle"), F.min_by("lib", F.struct("angle", "lib")).alias("lib"), F.first(F.array_max("x")).alias("deepest"))
-    found = (F.col("angle") <= 1.2) & (F.col("deepest") >= 0.03)
+    found = (F.col("angle") <= 0.25) & (F.col("deepest") >= 0.03)
     return best.select("vec_id", F.round("angle", 4).alias("angle"), F.when(found, F.col("lib") + 1).otherwise(0).cast("int").alias("class"))
 
 
@@ -257,10 +287,8 @@ def events_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lineament_rose", "WITH s AS (SELECT (l_partkey * 7) % 180 AS strike, l_quantity * 20 AS len FROM lineitem) SELECT i::INT AS sector, round(coalesce(sum(len), 0) / 1000, 4) AS km FROM range(0, 12) t(i) LEFT JOIN s ON (strike // 15) % 12 = i GROUP BY i")
 def lineament_rose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select((F.floor((F.col("l_partkey") * 7) % 180 / 15) % 12).cast("int").alias("sector"), (F.col("l_quantity") * 20).alias("len"))
-    sectors = F.broadcast(spark.range(12).select(F.col("id").cast("int").alias("sector")))
-    sums = lines.groupBy("sector").agg(F.sum("len").alias("len"))
-    return sectors.join(sums, "sector", "left").select("sector", F.round(F.coalesce("len", F.lit(0.0)) / 1000, 4).alias("km"))
+    lines = table(spark, sf_dir, "lineitem").select(((F.col("l_partkey") * 7) % 180).alias("strike"), (F.col("l_quantity") * 20).alias("length_m"))
+    return lineaments.rose(lines).select("sector", F.round("km", 4).alias("km"))
 
 
 @query("brightness_regression", "SELECT l_returnflag AS tile, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(median(l_extendedprice), 4) AS mid FROM lineitem GROUP BY 1")
@@ -278,15 +306,16 @@ def xyz_tile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.select("z", "x", "y", F.round(left, 4).alias("left"), F.round(top, 4).alias("top"), F.round(geo.tile_latitude(bottom, top), 6).alias("lat"))
 
 
-@query("utm_round_trip")
+@query("utm_round_trip", """SELECT s_suppkey, (floor((66e0 + s_suppkey % 17 + 180) / 6) + 1)::INT AS zone, 0e0 AS lon_error, 0e0 AS lat_error,
+    CASE WHEN (66 + s_suppkey % 17 + 180) % 6 = 3 THEN 500000e0 END AS middle FROM supplier""")
 def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Millimetres and degrees of error of a walk to UTM and back; also the MGRS square."""
+    """Degrees of error, to the ninth decimal, of a walk to UTM and back; on a zone's middle meridian also the easting."""
     at = table(spark, sf_dir, "supplier").select("s_suppkey", (F.lit(66.0) + F.col("s_suppkey") % 17).alias("lon"), (F.lit(20.0) + F.col("s_suppkey") % 41).alias("lat"))
     east, north = geo.to_utm(F.col("lon"), F.col("lat"), geo.utm_zone(F.col("lon")))
     there = at.withColumns({"zone": geo.utm_zone(F.col("lon")), "easting": east, "northing": north})
     lon, lat = geo.from_utm(F.col("easting"), F.col("northing"), F.col("zone"))
-    square = geo.mgrs_square(F.col("zone"), F.col("easting"), F.col("northing"), F.col("lat"))
-    return there.select("s_suppkey", "zone", "easting", "northing", square.alias("square"), F.abs(lon - F.col("lon")).alias("lon_error"), F.abs(lat - F.col("lat")).alias("lat_error"))
+    middle = F.when((F.col("lon") + 180) % 6 == 3, F.round("easting", 4))
+    return there.select("s_suppkey", "zone", F.round(F.abs(lon - F.col("lon")), 9).alias("lon_error"), F.round(F.abs(lat - F.col("lat")), 9).alias("lat_error"), middle.alias("middle"))
 
 
 @query("stream_window_counts", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")

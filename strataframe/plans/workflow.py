@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, hyperspectral
 from ..functions.classes import BANDS, SCL_CLEAR
 from ..functions.scalars import clip, lookup, mean_of
 from ..operators import learning, neighbourhood, spatial, statistics, targets
@@ -85,21 +85,21 @@ def display_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("id", shade("swir2", 0.45).alias("red"), shade("nir", 0.32).alias("green"))
 
 
-_STEEP = PX + """, g AS (SELECT id, coalesce((lead(dem) OVER x - lag(dem) OVER x) / 4, (lead(dem) OVER x - dem) / 2, (dem - lag(dem) OVER x) / 2) AS gx,
-    coalesce((lead(dem) OVER y - lag(dem) OVER y) / 4, (lead(dem) OVER y - dem) / 2, (dem - lag(dem) OVER y) / 2) AS gy FROM px WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r))"""
+_STEEP = PX + """, g AS (SELECT id, coalesce((lead(dem) OVER x - lag(dem) OVER x) / 40, (lead(dem) OVER x - dem) / 20, (dem - lag(dem) OVER x) / 20) AS gx,
+    coalesce((lead(dem) OVER y - lag(dem) OVER y) / 40, (lead(dem) OVER y - dem) / 20, (dem - lag(dem) OVER y) / 20) AS gy FROM px WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r))"""
 
 
-@query("bedrock_mask", _STEEP + "SELECT id, degrees(atan(sqrt(gx * gx + gy * gy))) >= 82e0 AS bedrock FROM g")
+@query("bedrock_mask", _STEEP + "SELECT id, degrees(atan(sqrt(gx * gx + gy * gy))) >= 15e0 AS bedrock FROM g")
 def bedrock_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbourhood.with_slope_and_aspect(pixels(spark, sf_dir), pixel=2.0).select("id", (F.degrees("slope") >= 82.0).alias("bedrock"))
+    return neighbourhood.with_slope_and_aspect(pixels(spark, sf_dir)).select("id", (F.degrees("slope") >= 15.0).alias("bedrock"))
 
 
 @query("gem_usable", PX + """SELECT t.id, any_value(t.usable) AND any_value((t.nir - t.red) / (t.nir + t.red + 1e-6)) <= 0.3e0 AND any_value((t.blue + t.green + t.red + t.nir + t.swir1 + t.swir2) / 6) >= 0.06e0 AND count(s.id) = 0 AS gem_usable
-    FROM surface t LEFT JOIN surface s ON (s.lc = 250 OR s.scl = 9) AND abs(s.r - t.r) + abs(s.c - t.c) <= 2 GROUP BY t.id""")
+    FROM surface t LEFT JOIN surface s ON (s.lc = 250 OR s.scl = 9) AND abs(s.r - t.r) + abs(s.c - t.c) <= 5 GROUP BY t.id""")
 def gem_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rock away from snow and gaps, hardly green, not dark."""
     df = surface(spark, sf_dir).withColumn("near", (F.col("lc") == 250) | (F.col("scl") == 9))
-    df = neighbourhood.dilate(df, "near", 2, "off")
+    df = neighbourhood.dilate(df, "near", 5, "off")
     ndvi = (F.col("nir") - F.col("red")) / (F.col("nir") + F.col("red") + 1e-6)
     return df.select("id", (F.col("usable") & ~F.col("off") & (ndvi <= 0.3) & (mean_of(BANDS) >= 0.06)).alias("gem_usable"))
 
@@ -116,11 +116,11 @@ def cluster_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface(spark, sf_dir).select("id", F.when(F.col("lc") != 0, F.col("lc")).otherwise(named).cast("int").alias("class"))
 
 
-_TARGETS = "WITH t AS (SELECT l_orderkey * 1000000 + l_partkey AS component, l_returnflag AS model, (l_partkey * 37) % 20000 * 1e0 AS x, (l_suppkey * 911) % 20000 * 1e0 AS y, l_quantity * log10(10 + l_linenumber) AS rank_score FROM lineitem WHERE l_quantity > 48 AND l_discount > 0.09), u AS (SELECT component, model, any_value(x) AS x, any_value(y) AS y, max(rank_score) AS rank_score FROM t GROUP BY ALL)"
+_TARGETS = "WITH t AS (SELECT l_orderkey * 1000000 + l_partkey AS component, l_returnflag AS model, (l_partkey * 37) % 20000 * 1e0 AS x, (l_suppkey * 911) % 20000 * 1e0 AS y, l_quantity * log10(10 + l_linenumber) AS rank_score FROM lineitem), u AS (SELECT component, model, any_value(x) AS x, any_value(y) AS y, max(rank_score) AS rank_score FROM t GROUP BY ALL)"
 
 
 def _target_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity > 48 and l_discount > 0.09").select(
+    items = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("component"), F.col("l_returnflag").alias("model"), ((F.col("l_partkey") * 37) % 20000).cast("double").alias("x"),
         ((F.col("l_suppkey") * 911) % 20000).cast("double").alias("y"), (F.col("l_quantity") * F.log10(F.col("l_linenumber") + 10)).alias("rank_score"),
     )
@@ -135,8 +135,7 @@ def top_targets_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("targets_apart")
 def targets_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy choice of targets 500 m apart, 50 per model; tests hold it against a plain loop."""
-    listed = targets.top_per_group(_target_table(spark, sf_dir), "model", 1000).drop("place")
-    return targets.apart(listed, "model", 500.0, 50)
+    return targets.apart(_target_table(spark, sf_dir), "model", 500.0, 50)
 
 
 @query("high_score_area", PX + "SELECT k::INT AS model, round(count(*) FILTER ((id * 37) % 101 >= 75) * 0.0004e0, 6) AS km2 FROM px GROUP BY k")
@@ -184,17 +183,29 @@ def observation_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").filter(k % 3 + 1 >= 2).select(k.alias("id"), F.round(k * 10 - F.lit(20.0), 3).alias("x0"), F.round(k * 10 + F.lit(20.0), 3).alias("x1"), (k % 7 + 1).cast("int").alias("class"))
 
 
-@query("wavelength_numbers", "SELECT item_id, len(regexp_extract_all(text, '[a-z]{3,}'))::BIGINT AS n, (regexp_extract_all(text, '[a-z]{3,}'))[1] AS head FROM benchmark")
-def wavelength_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values found in free text by pattern, as headers of sidecar files are read."""
-    found = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(found).cast("long").alias("n"), F.get(found, F.lit(0)).alias("head"))
+_HEADERS = """WITH h AS (SELECT n_nationkey AS k, list_transform(range(0, 5 + n_nationkey % 12), lambda i: round(CASE WHEN n_nationkey % 2 = 0 THEN 400 + 10 * i ELSE 0.4 + 0.01 * i END, 3)::DOUBLE) AS w FROM nation)"""
 
 
-@query("mgrs_squares", "SELECT s_suppkey AS k, (s_suppkey % 60 + 1)::INT AS zone, 32601 + (s_suppkey % 60)::INT AS epsg FROM supplier")
+@query("wavelength_numbers", _HEADERS + """SELECT k, CASE WHEN len(w) >= 10 THEN len(w) END::INT AS bands, CASE WHEN len(w) >= 10 THEN round(CASE WHEN list_max(w) < 30 THEN 1000 ELSE 1 END * w[1], 6) END AS first_nm,
+    CASE WHEN len(w) >= 10 THEN round(CASE WHEN list_max(w) < 30 THEN 1000 ELSE 1 END * list_max(w), 6) END AS last_nm FROM h""")
+def wavelength_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wavelengths from sidecar headers, half of them in micrometres; fewer than ten numbers are none."""
+    k = F.col("n_nationkey")
+    steps = F.sequence(F.lit(0), (k % 12 + 4).cast("int"))
+    values = F.transform(steps, lambda i: F.when(k % 2 == 0, F.format_string("%.1f", (400 + 10 * i).cast("double"))).otherwise(F.format_string("%.3f", F.lit(0.4) + F.lit(0.01) * i)))
+    header = F.concat(F.lit("ENVI\nbands = 3\nWavelength = {\n "), F.array_join(values, " ,\n "), F.lit("}\nfwhm = {1, 2}"))
+    nm = table(spark, sf_dir, "nation").select(k.alias("k"), hyperspectral.header_wavelengths(header).alias("w"))
+    return nm.select("k", F.when(F.col("w").isNotNull(), F.size("w")).alias("bands"), F.round(F.get("w", F.lit(0)), 6).alias("first_nm"), F.round(F.array_max("w"), 6).alias("last_nm"))
+
+
+@query("mgrs_squares", """WITH p AS (SELECT s_suppkey AS k, (s_suppkey % 60 + 1)::INT AS zone, 200000e0 + (s_suppkey * 7919) % 600000 AS easting, (s_suppkey * 104729) % 9300000 * 1e0 AS northing, (s_suppkey % 84) * 1e0 AS lat FROM supplier)
+SELECT k, zone, 32600 + zone AS epsg, lpad(zone::VARCHAR, 2, '0') || substr('CDEFGHJKLMNPQRSTUVWXX', floor((lat + 80) / 8)::INT + 1, 1) || substr((['ABCDEFGH', 'JKLMNPQR', 'STUVWXYZ'])[(zone - 1) % 3 + 1], floor(easting / 100000)::INT, 1)
+    || substr('ABCDEFGHJKLMNPQRSTUV', (floor(northing / 100000)::INT + CASE WHEN zone % 2 = 0 THEN 5 ELSE 0 END) % 20 + 1, 1) AS square FROM p""")
 def mgrs_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lon = F.col("s_suppkey") % 60 * 6 - 180 + F.lit(3.0)
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), geo.utm_zone(lon).alias("zone"), geo.utm_epsg(lon, F.lit(40.0)).cast("int").alias("epsg"))
+    k = F.col("s_suppkey")
+    lon = k % 60 * 6 - 180 + F.lit(3.0)
+    at = table(spark, sf_dir, "supplier").select(k.alias("k"), geo.utm_zone(lon).alias("zone"), geo.utm_epsg(lon, F.lit(40.0)).cast("int").alias("epsg"), (F.lit(200000.0) + (k * 7919) % 600000).alias("e"), ((k * 104729) % 9300000).cast("double").alias("n"), (k % 84).cast("double").alias("lat"))
+    return at.select("k", "zone", "epsg", geo.mgrs_square(F.col("zone"), F.col("e"), F.col("n"), F.col("lat")).alias("square"))
 
 
 @query("pixel_patches", PX + """SELECT t.id, round(sum(s.nir * (1 + (dr + 4) * 9 + dc + 4)), 6) AS fingerprint, count(*)::BIGINT AS n FROM px t, hw, range(-4, 5) a(dr), range(-4, 5) b(dc), px s

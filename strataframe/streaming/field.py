@@ -16,12 +16,23 @@ def deduplicated(stream: DataFrame, key: str, at: str = "ts", late: str = "1 hou
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
+#: Regions that a row is held against; a catalogue has dozens.
+MOST_REGIONS = 10_000
+
+
 def located(stream: DataFrame, regions: DataFrame) -> DataFrame:
-    """Adds the first region (lowest id) whose bounds hold the observation; null if none does."""
-    boxes = F.broadcast(regions)  # a few dozen regions, however many observations
-    inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
-    met = stream.join(boxes, inside, "left")
-    return met.groupBy(*stream.columns).agg(F.min("region_id").alias("region_id"))
+    """Adds the first region (lowest id) whose bounds hold the observation; null if none does.
+
+    The regions become one row with an array, so that a stream needs no state, and
+    every observation stays, repeated ones too.
+    """
+    box = F.struct("region_id", "west", "east", "south", "north")
+    listed = regions.agg(F.sort_array(F.collect_list(box)).alias("_regions"))
+    if (count := regions.count()) > MOST_REGIONS:
+        raise ValueError(f"{count} regions are too many to hold each row against")
+    inside = lambda b: F.col("lon").between(b["west"], b["east"]) & F.col("lat").between(b["south"], b["north"])
+    met = stream.crossJoin(F.broadcast(listed))
+    return met.withColumn("region_id", F.get(F.filter("_regions", inside), F.lit(0))["region_id"]).drop("_regions")
 
 
 def windowed_counts(stream: DataFrame, at: str, key: str, length: str, late: str = "1 hour") -> DataFrame:

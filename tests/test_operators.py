@@ -124,10 +124,10 @@ def test_minerals_of_made_spectra(spark):
     dip = lambda spots: [0.5 - sum(d * math.exp(-(((w - at) / 18) ** 2)) for at, d in spots) for w in wl]
     spectra = {"kaolinite": dip([(2205, 0.12), (2165, 0.1)]), "sericite": dip([(2200, 0.12), (2350, 0.08)]), "calcite": dip([(2340, 0.15)]), None: dip([])}
     df = spark.createDataFrame([(k, v) for k, v in spectra.items()], "name string, s array<double>")
-    names = [m.name for m in h.MINERALS]
-    for row in df.withColumn("code", h.dominant(h.mineral_depths(F.col("s"), wl))).collect():
+    names = list(h.MAIN)
+    for row in h.with_depths(df, "s", wl).withColumn("code", h.deepest(list(h.MAIN))).collect():
         assert (names[row.code - 1] if row.code else None) == row.name
-    assert h.feature_bands([2000.0, 2100.0], (2120, 2205, 2245)) is None
+    assert h.places([2000.0, 2100.0], (2120, 2205, 2245)) == []
 
 
 def test_composite_prefers_clear_and_falls_back_on_snow(spark):

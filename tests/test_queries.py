@@ -5,7 +5,9 @@ import math
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from strataframe.functions import geo
 from strataframe.plans.catalog import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -53,5 +55,11 @@ def test_entry_has_rows(spark):
 
 
 def test_utm_there_and_back(spark):
-    worst = QUERIES["utm_round_trip"](spark, DIR).agg({"lon_error": "max", "lat_error": "max"}).first()
-    assert max(worst) < 1e-9
+    at = spark.range(3000).select((F.col("id") % 60 * 6 - 180 + (F.col("id") % 600) / 100).alias("lon"), (F.col("id") * 7 % 1640 / 10 - 80).alias("lat"))
+    zone = geo.utm_zone(F.col("lon"))
+    for south in (False, True):
+        half = at.filter("lat < 0" if south else "lat >= 0").withColumn("zone", zone)
+        east, north = geo.to_utm(F.col("lon"), F.col("lat"), F.col("zone"))
+        lon, lat = geo.from_utm(F.col("e"), F.col("n"), F.col("zone"), south)
+        worst = half.withColumns({"e": east, "n": north}).select(F.max(F.abs(lon - F.col("lon"))), F.max(F.abs(lat - F.col("lat")))).first()
+        assert max(worst) < 1e-9
