@@ -9,7 +9,9 @@ from ..functions.classes import BANDS, EPS, GEM_WEIGHTS, HAZARD_CUTS, HAZARD_WEI
 from ..functions.scalars import clip, digitize, interpolate, lookup, mean_of
 from ..functions.spectral import alteration_parts, alteration_ratios
 from .neighbourhood import box
+from .spatial import distances
 from .statistics import robust_scales, with_row
+from .targets import settled
 
 
 def alteration_score(df: DataFrame, usable: Column) -> DataFrame:
@@ -36,6 +38,7 @@ def gem_evidence(df: DataFrame, usable: Column) -> DataFrame:
     made = df.withColumns({f"_{k}": v for k, v in raw.items()}).withColumn("_square", F.col("_brightness") * F.col("_brightness"))
     made = box(made, {"_m1": "_brightness", "_m2": "_square"}, 5).withColumn("_texture", F.col("_m2") - F.col("_m1") * F.col("_m1"))
     keys = ["brightness", "iron_ratio", "ferrous", "swir_ratio", "texture"]
+    made = settled(made)  # read three times: for medians, for deviations and for the evidence
     stats = robust_scales(made.filter(usable), {k: F.col(f"_{k}") for k in keys}, 1e-4)
     z = {k: (F.col(f"_{k}") - F.col(f"{k}_median")) / F.col(f"{k}_scale") for k in keys}
     swir, bright, iron, ferr = (_positive(z[k]) for k in ("swir_ratio", "brightness", "iron_ratio", "ferrous"))
@@ -51,6 +54,29 @@ def gem_evidence(df: DataFrame, usable: Column) -> DataFrame:
     return made.select(*df.columns, *[F.when(usable, v).otherwise(0.0).alias(k) for k, v in evidence.items()])
 
 
+def bedrock(least: float = 15.0) -> Column:
+    """Whether a slope (radians) is so steep that rock crops out rather than sediment."""
+    return F.degrees("slope") >= least
+
+
+def with_lithology(evidence: DataFrame, usable: Column, lithology: str, contact_m: float = 80.0, pixel: float = 20.0) -> DataFrame:
+    """Gem evidence sharpened by a rock map, and the contacts between strong evidence.
+
+    The map's rocks raise their evidence to at least 0.6, 0.4 and 0.5; nothing is left on alluvium.
+    A contact falls off with the mean distance to strong cells of both kinds; without
+    either kind there is none.
+    """
+    ok = usable & (F.col(lithology) != 7)
+    raised = {"carbonate": (1, 0.6), "felsic": (4, 0.4), "mafic": (5, 0.5)}
+    made = evidence.withColumns({k: F.greatest(F.col(k), F.when(F.col(lithology) == rock, least).otherwise(0.0)) for k, (rock, least) in raised.items()})
+    made = made.withColumns({f"_strong_{k}": (F.col(k) > 0.6) & ok for k in raised})
+    made = distances(made, {f"_d_{k}": f"_strong_{k}" for k in raised}, pixel)
+    near = lambda a: F.coalesce(F.exp(-(F.col(f"_d_{a}") + F.col("_d_mafic")) / (2 * contact_m)), F.lit(0.0))
+    made = made.withColumns({"carb_contact": near("carbonate"), "felsic_contact": near("felsic")})
+    layers = ("carbonate", "felsic", "mafic", "mgoh", "texture", "carb_contact", "felsic_contact")
+    return made.withColumns({k: F.when(ok, F.col(k)).otherwise(0.0) for k in layers}).drop(*[f"{x}{k}" for k in raised for x in ("_strong_", "_d_")])
+
+
 def weighted_scores(df: DataFrame, weights: dict[str, dict[str, float]], scale: dict[str, Column] | None = None) -> DataFrame:
     """Adds a score of 0 to 100 for each model: the smoothed weighted mean, 0.7 giving 100."""
     raw = {}
@@ -71,7 +97,7 @@ def gem_scores(evidence: DataFrame) -> DataFrame:
 def mineral_evidence(df: DataFrame, usable: Column, density: str, distance: str) -> DataFrame:
     """Adds memberships of clay, iron oxide, gossan, silica, lineament density and nearness."""
     raw = {k: v for k, v in alteration_ratios().items() if k != "ferrous"} | {"brightness": mean_of(BANDS), "lineament": F.col(density)}
-    made = df.withColumns({f"_{k}": v for k, v in raw.items()})
+    made = settled(df.withColumns({f"_{k}": v for k, v in raw.items()}))
     stats = robust_scales(made.filter(usable), {k: F.col(f"_{k}") for k in raw}, 1e-4)
     pos = {k: _positive((F.col(f"_{k}") - F.col(f"{k}_median")) / F.col(f"{k}_scale")) for k in raw}
     evidence = {

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,3 +34,21 @@ def stratified(df: DataFrame, label: str, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each class, those of lowest hash."""
     order = Window.partitionBy(label).orderBy(portable_hash(F.col(key)), key)
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+
+
+# Least numbers of samples of the checking and testing parts of a class.
+LEAST_CHECK, LEAST_TEST = 500, 1000
+
+
+def caps(per_class: int, share: float = 1.0) -> dict[str, int]:
+    """Samples a class may give to each part; ``share`` is a tile's part of them."""
+    base = {"train": per_class, "val": max(LEAST_CHECK, per_class // 4), "test": max(LEAST_TEST, per_class // 2)}
+    return {part: max(1, math.ceil(n * share)) for part, n in base.items()}
+
+
+def pooled(samples: DataFrame, source: str, part: str, label: str, order: str, per_class: int, sources: int) -> DataFrame:
+    """Samples of several tiles or areas: each gives its share, then each class is held to its cap again."""
+    limit = lambda share: functools.reduce(lambda out, x: F.when(F.col(part) == x[0], x[1]).otherwise(out), caps(per_class, share).items(), F.lit(0))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(portable_hash(F.col(order)), order))
+    each = samples.withColumn("_n", place(source, part, label)).filter(F.col("_n") <= limit(min(1.0, 3 / sources)))
+    return each.withColumn("_n", place(part, label)).filter(F.col("_n") <= limit(1.0)).drop("_n")

@@ -58,3 +58,21 @@ def overview(df: DataFrame, factor: int, values: list[str], labels: list[str]) -
     return df.groupBy(F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c")).agg(
         *[F.avg(v).alias(v) for v in values], *[F.min_by(x, place).alias(x) for x in labels]
     )
+
+
+def chosen(reads: DataFrame, granule: str, item: str, cloud: str, cells: str, total: int, quota: int, share: float, least: int = 2) -> DataFrame:
+    """Scenes in turns over granules, the clearest first, until ``share`` of ``total`` cells is covered.
+
+    Adds ``turn`` and ``covered``.  A granule gives ``quota`` scenes at most, so that the list
+    in which turns are counted has ``quota`` rows a granule, however many scenes there are.
+    """
+    own = Window.partitionBy(granule).orderBy(cloud, item)
+    few = reads.withColumn("_place", F.row_number().over(own)).filter(F.col("_place") <= quota)
+    turns = few.withColumn("turn", F.row_number().over(Window.orderBy("_place", granule)))
+    first = turns.select("turn", F.explode(cells).alias("_cell")).groupBy("_cell").agg(F.min("turn").alias("turn"))
+    gained = first.groupBy("turn").agg(F.count(F.lit(1)).alias("_new"))
+    upto = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    summed = turns.join(gained, "turn", "left").withColumn("covered", F.sum(F.coalesce("_new", F.lit(0))).over(upto) / total)
+    enough = (F.col("covered") >= share) & (F.col("turn") >= least)
+    done = summed.withColumn("_done", F.sum(enough.cast("int")).over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)))
+    return done.filter(F.coalesce("_done", F.lit(0)) == 0).drop("_place", "_new", "_done")

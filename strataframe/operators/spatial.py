@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,17 +55,53 @@ def window_max(points: DataFrame, raster: DataFrame, value: str, key: str, reach
     return cells.join(raster.select("r", "c", value), ["r", "c"], "left").groupBy(key).agg(F.max(value).alias(value))
 
 
-def nearest_within(cells: DataFrame, marked: DataFrame, reach: int, pixel: float, out: str) -> DataFrame:
-    """Adds the distance to the nearest marked cell, exact up to ``reach`` cells and null beyond.
-
-    Marked cells spread along their row and the best of each row is then taken
-    along columns, so work grows with reach, not with its square.
+def _envelope(c: np.ndarray, height2: np.ndarray) -> np.ndarray:
+    """Least of ``height2[j] + (c - c[j]) ** 2`` over all j, by the lower envelope of those parabolas."""
+    sites = np.flatnonzero(np.isfinite(height2))
+    if len(sites) == 0:
+        return np.full(len(c), np.nan)
+    at, high = c[sites].tolist(), height2[sites].tolist()
+    hull, begins = [0], [-math.inf]
+    for q in range(1, len(at)):
+        while True:
+            p = hull[-1]
+            meets = (high[q] + at[q] ** 2 - high[p] - at[p] ** 2) / (2 * (at[q] - at[p]))
+            if meets > begins[-1]:
+                break
+            hull.pop()
+            begins.pop()
+        hull.append(q)
+        begins.append(meets)
+    lowest = sites[np.array(hull)[np.searchsorted(begins, c, side="right") - 1]]
+    return height2[lowest] + (c - c[lowest]) ** 2
+
+
+def distances(cells: DataFrame, flags: dict[str, str], pixel: float) -> DataFrame:
+    """Adds, for each (new, flag), the exact distance to the nearest flagged cell; null if there is none.
+
+    First the nearest flagged cell of a cell's own column, by two windows; then, line
+    by line, the lower envelope of the parabolas that stand on these.  Work is
+    in proportion to the raster, whatever the distances.
     """
-    step = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    across = marked.select("r", "c", step.alias("d")).groupBy("r", (F.col("c") + F.col("d")).alias("c")).agg(F.min(F.col("d") * F.col("d")).alias("dx2"))
-    down = across.select("r", "c", "dx2", step.alias("d")).groupBy((F.col("r") + F.col("d")).alias("r"), "c").agg(F.min(F.col("dx2") + F.col("d") * F.col("d")).alias("d2"))
-    near = down.filter(F.col("d2") <= reach * reach)
-    return cells.join(near, ["r", "c"], "left").withColumn(out, F.sqrt("d2") * pixel).drop("d2")
+    column = Window.partitionBy("c").orderBy("r")
+    upto, onward = column.rowsBetween(Window.unboundedPreceding, 0), column.rowsBetween(0, Window.unboundedFollowing)
+    made = cells
+    for new, flag in flags.items():
+        own = F.when(F.col(flag), F.col("r"))
+        made = made.withColumn(new, F.least(F.col("r") - F.last(own, True).over(upto), F.first(own, True).over(onward) - F.col("r")).cast("double"))
+    names = made.columns
+
+    def along(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("c").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        c = table.column("c").to_numpy().astype(np.float64)
+        for new in flags:
+            d2 = _envelope(c, table.column(new).to_numpy(zero_copy_only=False).astype(np.float64) ** 2)
+            table = table.set_column(names.index(new), new, pa.array(np.sqrt(d2) * pixel, from_pandas=True))
+        return table
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
+    return made.groupBy("r").applyInArrow(along, schema)
 
 
 def ring_area(ring: Column) -> Column:

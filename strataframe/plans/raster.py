@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spectral
 from ..functions.classes import ALTERATION_WEIGHTS, BANDS, GEM_WEIGHTS, MINERAL_WEIGHTS
 from ..functions.scalars import clip
-from ..operators import neighbourhood, prospect, spatial, statistics, targets
+from ..operators import lineaments, neighbourhood, prospect, spatial, statistics, targets
 from ..sources.pixels import WIDTH, pixels
 from .registry import PX, around, query
 
@@ -21,7 +21,11 @@ def rounded(**columns: Column | str) -> list[Column]:
 
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels with ``lc`` (what hides the rock), ``label`` (rock or mask) and ``usable``."""
-    px = pixels(spark, sf_dir).withColumn("lc", spectral.landcover(F.col("scl")))
+    return as_surface(pixels(spark, sf_dir))
+
+
+def as_surface(px: DataFrame) -> DataFrame:
+    px = px.withColumn("lc", spectral.landcover(F.col("scl")))
     return px.withColumn("label", F.when(F.col("lc") == 0, F.col("k")).otherwise(F.col("lc"))).withColumn("usable", (F.col("lc") == 0) & ~spectral.scl_masked(F.col("scl")))
 
 
@@ -181,7 +185,7 @@ def c_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("box_mean_and_texture", PX + around("px", "avg(s.nir) AS m3", 1, "a") + around("px", "avg(s.nir * s.nir) - avg(s.nir) * avg(s.nir) AS tex", 2, "b") + "SELECT a.r, a.c, round(m3, 6) AS mean3, round(tex, 6) AS texture5 FROM a JOIN b ON a.r = b.r AND a.c = b.c")
 def box_mean_and_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = neighbourhood.box(pixels(spark, sf_dir).withColumn("_sq", F.col("nir") * F.col("nir")), {"_m3": "nir"}, 3)
-    px = neighbourhood.box(px, {"_m5": "nir", "_q5": "_sq"}, 5)
+    px = neighbourhood.box(px, {"_m5": "nir", "_q5": "_sq"}, 5, first="r")
     return px.select("r", "c", *rounded(mean3="_m3", texture5=F.col("_q5") - F.col("_m5") * F.col("_m5")))
 
 
@@ -193,7 +197,7 @@ rel AS (SELECT r, c, max(hi) OVER w - min(lo) OVER w AS relief FROM across WINDO
 
 @query("relief_minmax", PX + _RELIEF + "SELECT r, c, round(relief, 6) AS relief FROM rel")
 def relief_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = neighbourhood.box(neighbourhood.box(pixels(spark, sf_dir), {"_hi": "dem"}, 15, "max"), {"_lo": "dem"}, 15, "min")
+    px = neighbourhood.box(neighbourhood.box(pixels(spark, sf_dir), {"_hi": "dem"}, 15, "max"), {"_lo": "dem"}, 15, "min", first="r")
     return px.select("r", "c", *rounded(relief=F.col("_hi") - F.col("_lo")))
 
 
@@ -220,19 +224,57 @@ def contact_erosion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbourhood.inside_class(surface(spark, sf_dir), "label", "inside").select("r", "c", "inside")
 
 
+# Patches of known rock in the raster: first and last row, first and last column, and the six bands.
+_PLANTED = (
+    ("marble", (2, 7, 20, 29), (0.42, 0.44, 0.40, 0.50, 0.60, 0.40)),
+    ("ultramafic", (2, 7, 32, 41), (0.07, 0.09, 0.07, 0.07, 0.08, 0.12)),
+    ("leucogranite", (2, 7, 44, 53), (0.52, 0.50, 0.55, 0.60, 0.52, 0.50)),
+)
+
+
+def _planted_sql() -> str:
+    def band(k: int) -> str:
+        cases = " ".join(f"WHEN r BETWEEN {a} AND {b} AND c BETWEEN {x} AND {y} THEN {spectrum[k]}e0" for _, (a, b, x, y), spectrum in _PLANTED)
+        return f"CASE {cases} ELSE {BANDS[k]} END AS {BANDS[k]}"
+
+    bands = ", ".join(band(k) for k in range(6))
+    return PX.replace("), px AS (", "), plain AS (").replace("), hw AS (", f"), px AS (SELECT id, r, c, k, {bands}, dem, scl FROM plain), hw AS (")
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels with patches of marble, ultramafic rock and leucogranite in them, as ``surface``."""
+    px = pixels(spark, sf_dir)
+    for k, name in enumerate(BANDS):
+        value = F.col(name)
+        for _, (a, b, x, y), spectrum in _PLANTED:
+            value = F.when(F.col("r").between(a, b) & F.col("c").between(x, y), spectrum[k]).otherwise(value)
+        px = px.withColumn(name, value)
+    return as_surface(px)
+
+
 _GEM = {"brightness": "(blue + green + red + nir + swir1 + swir2) / 6", "iron_ratio": "red / (blue + 1e-6)", "ferrous": "swir2 / (nir + 1e-6) + green / (red + 1e-6)", "swir_ratio": "swir1 / (swir2 + 1e-6)"}
 _POS = lambda k: f"least(greatest(z_{k} / 3e0, 0e0), 1e0)"
-_GEM_EVIDENCE = PX + ", g0 AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in _GEM.items()) + " FROM surface)" + around("g0", "avg(s.brightness * s.brightness) - avg(s.brightness) * avg(s.brightness) AS texture", 2, "tx") + ", g1 AS (SELECT g0.*, tx.texture FROM g0 JOIN tx ON tx.r = g0.r AND tx.c = g0.c), gm AS (SELECT " + ", ".join(f"median({k}) AS m_{k}" for k in (*_GEM, "texture")) + " FROM g1 WHERE usable), gs AS (SELECT " + ", ".join(f"greatest(median(abs({k} - m_{k})) * 1.4826e0, 1e-4) AS s_{k}" for k in (*_GEM, "texture")) + " FROM g1, gm WHERE usable), gz AS (SELECT g1.id, g1.r, g1.c, usable, " + ", ".join(f"({k} - m_{k}) / s_{k} AS z_{k}" for k in (*_GEM, "texture")) + f""" FROM g1, gm, gs), ge AS (SELECT id, r, c,
+_GEM_EVIDENCE = _planted_sql() + ", g0 AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in _GEM.items()) + " FROM surface)" + around("g0", "avg(s.brightness * s.brightness) - avg(s.brightness) * avg(s.brightness) AS texture", 2, "tx") + ", g1 AS (SELECT g0.*, tx.texture FROM g0 JOIN tx ON tx.r = g0.r AND tx.c = g0.c), gm AS (SELECT " + ", ".join(f"median({k}) AS m_{k}" for k in (*_GEM, "texture")) + " FROM g1 WHERE usable), gs AS (SELECT " + ", ".join(f"greatest(median(abs({k} - m_{k})) * 1.4826e0, 1e-4) AS s_{k}" for k in (*_GEM, "texture")) + " FROM g1, gm WHERE usable), gz AS (SELECT g1.id, g1.r, g1.c, usable, " + ", ".join(f"({k} - m_{k}) / s_{k} AS z_{k}" for k in (*_GEM, "texture")) + f""" FROM g1, gm, gs), ge AS (SELECT id, r, c,
     CASE WHEN usable THEN least(greatest(z_swir_ratio / 2e0, 0e0), 1e0) * least(greatest((z_brightness + 1) / 2, 0e0), 1e0) * (1 - {_POS("iron_ratio")}) ELSE 0e0 END AS carbonate,
     CASE WHEN usable THEN {_POS("brightness")} * (1 - {_POS("swir_ratio")}) * (1 - {_POS("ferrous")}) * (1 - {_POS("iron_ratio")}) ELSE 0e0 END AS felsic,
     CASE WHEN usable THEN {_POS("ferrous")} * least(greatest((1 - z_brightness) / 2, 0e0), 1e0) ELSE 0e0 END AS mafic,
     CASE WHEN usable THEN {_POS("swir_ratio")} * least(greatest((1 - z_brightness) / 2, 0e0), 1e0) ELSE 0e0 END AS mgoh,
-    CASE WHEN usable THEN {_POS("texture")} ELSE 0e0 END AS texture, 0e0 AS carb_contact, 0e0 AS felsic_contact FROM gz)"""
+    CASE WHEN usable THEN {_POS("texture")} ELSE 0e0 END AS texture FROM gz)"""
+#: Evidence with the rock map k, on slopes of 15 degrees, and contacts by the distance to the nearest strong cells.
+_GEM_LITHOLOGY = _GEM_EVIDENCE + """, gg AS (SELECT id, coalesce((lead(dem) OVER x - lag(dem) OVER x) / 40, (lead(dem) OVER x - dem) / 20, (dem - lag(dem) OVER x) / 20) AS gx,
+    coalesce((lead(dem) OVER y - lag(dem) OVER y) / 40, (lead(dem) OVER y - dem) / 20, (dem - lag(dem) OVER y) / 20) AS gy FROM px WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r)),
+gl AS (SELECT ge.id, ge.r, ge.c, greatest(carbonate, CASE WHEN k = 1 THEN 0.6e0 ELSE 0e0 END) AS carbonate, greatest(felsic, CASE WHEN k = 4 THEN 0.4e0 ELSE 0e0 END) AS felsic, greatest(mafic, CASE WHEN k = 5 THEN 0.5e0 ELSE 0e0 END) AS mafic, mgoh, texture,
+    usable AND k <> 7 AND degrees(atan(sqrt(gx * gx + gy * gy))) >= 15e0 AS ok FROM ge JOIN surface USING (id) JOIN gg USING (id)),
+sa AS (SELECT t.id, min((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c)) AS d FROM gl t, gl s WHERE s.ok AND s.carbonate > 0.6e0 GROUP BY t.id),
+sb AS (SELECT t.id, min((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c)) AS d FROM gl t, gl s WHERE s.ok AND s.felsic > 0.6e0 GROUP BY t.id),
+sm0 AS (SELECT t.id, min((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c)) AS d FROM gl t, gl s WHERE s.ok AND s.mafic > 0.6e0 GROUP BY t.id),
+gc AS (SELECT gl.*, coalesce(exp(-(sqrt(sa.d) + sqrt(sm0.d)) * 20 / 160e0), 0e0) AS carb_contact, coalesce(exp(-(sqrt(sb.d) + sqrt(sm0.d)) * 20 / 160e0), 0e0) AS felsic_contact FROM gl LEFT JOIN sa USING (id) LEFT JOIN sb USING (id) LEFT JOIN sm0 USING (id)),
+gk AS (SELECT r, c, """ + ", ".join(f"CASE WHEN ok THEN {k} ELSE 0e0 END AS {k}" for k in ("carbonate", "felsic", "mafic", "mgoh", "texture", "carb_contact", "felsic_contact")) + " FROM gc)"
 
 
 @query("gem_evidence", _GEM_EVIDENCE + "SELECT id, " + ", ".join(f"round({k}, 4) AS {k}" for k in ("carbonate", "felsic", "mafic", "mgoh", "texture")) + " FROM ge")
 def gem_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = prospect.gem_evidence(surface(spark, sf_dir), F.col("usable"))
+    made = prospect.gem_evidence(planted(spark, sf_dir), F.col("usable"))
     return made.select("id", *[F.round(k, 4).alias(k) for k in ("carbonate", "felsic", "mafic", "mgoh", "texture")])
 
 
@@ -243,26 +285,33 @@ def _scores_sql(source: str, weights: dict, scale: dict | None = None) -> str:
     return f", sc AS (SELECT r, c, {columns} FROM {source})" + around("sc", means, 1, "sm") + f"SELECT r, c, {out} FROM sm"
 
 
-@query("gem_model_scores", _GEM_EVIDENCE + _scores_sql("ge", GEM_WEIGHTS))
+@query("gem_model_scores", _GEM_LITHOLOGY + _scores_sql("gk", GEM_WEIGHTS))
 def gem_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = prospect.gem_evidence(surface(spark, sf_dir), F.col("usable")).withColumns({"carb_contact": F.lit(0.0), "felsic_contact": F.lit(0.0)})
-    return prospect.gem_scores(evidence).select("r", "c", *[F.round(m, 3).alias(m) for m in GEM_WEIGHTS])
+    """Scores of all models from evidence, rock map, bedrock and contacts."""
+    evidence = prospect.gem_evidence(planted(spark, sf_dir), F.col("usable"))
+    rock = neighbourhood.with_slope_and_aspect(evidence).withColumn("ok", F.col("usable") & prospect.bedrock())
+    return prospect.gem_scores(prospect.with_lithology(rock, F.col("ok"), "k")).select("r", "c", *[F.round(m, 3).alias(m) for m in GEM_WEIGHTS])
 
 
-_MINERAL = {"clay": _RATIOS["clay"], "iron_oxide": _RATIOS["iron_oxide"], "gossan": _RATIOS["gossan"], "brightness": _GEM["brightness"], "lineament": "(id % 17) / 10e0"}
-_MINERAL_EVIDENCE = PX + ", v AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in _MINERAL.items()) + ", (id % 300) * 1e0 AS distance FROM surface), mm AS (SELECT " + ", ".join(f"median({k}) AS m_{k}" for k in _MINERAL) + " FROM v WHERE usable), ms AS (SELECT " + ", ".join(f"greatest(median(abs({k} - m_{k})) * 1.4826e0, 1e-4) AS s_{k}" for k in _MINERAL) + " FROM v, mm WHERE usable), mz AS (SELECT r, c, usable, distance, " + ", ".join(f"least(greatest((({k} - m_{k}) / s_{k}) / 3e0, 0e0), 1e0) AS p_{k}" for k in _MINERAL) + """ FROM v, mm, ms),
+_MINERAL = {"clay": _RATIOS["clay"], "iron_oxide": _RATIOS["iron_oxide"], "gossan": _RATIOS["gossan"], "brightness": _GEM["brightness"], "lineament": "density"}
+_LINES = around("px", "sum(s.dem * dc * (2 - abs(dr))) AS gx, sum(s.dem * dr * (2 - abs(dc))) AS gy", 1, "sob") + """, cut AS (SELECT quantile_cont(sqrt(gx * gx + gy * gy), 0.97) AS q FROM sob), ln AS (SELECT r, c, (sqrt(gx * gx + gy * gy) >= q)::INT::DOUBLE AS line FROM sob, cut)""" + around("ln", "avg(s.line) * 50 AS density", 2, "dn") + """,
+ld AS (SELECT t.r, t.c, sqrt(min((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c))) * 20 AS distance FROM ln t, ln s WHERE s.line = 1 GROUP BY t.r, t.c), lined AS (SELECT surface.*, density, distance FROM surface JOIN dn ON dn.r = surface.r AND dn.c = surface.c JOIN ld ON ld.r = surface.r AND ld.c = surface.c)"""
+_MINERAL_EVIDENCE = PX + _LINES + ", v AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in _MINERAL.items()) + " FROM lined), mm AS (SELECT " + ", ".join(f"median({k}) AS m_{k}" for k in _MINERAL) + " FROM v WHERE usable), ms AS (SELECT " + ", ".join(f"greatest(median(abs({k} - m_{k})) * 1.4826e0, 1e-4) AS s_{k}" for k in _MINERAL) + " FROM v, mm WHERE usable), mz AS (SELECT r, c, usable, distance, " + ", ".join(f"least(greatest((({k} - m_{k}) / s_{k}) / 3e0, 0e0), 1e0) AS p_{k}" for k in _MINERAL) + """ FROM v, mm, ms),
 me AS (SELECT r, c, """ + ", ".join(f"CASE WHEN usable THEN {e} ELSE 0e0 END AS {k}" for k, e in {"clay": "p_clay", "iron_oxide": "p_iron_oxide", "gossan": "p_gossan", "silica": "p_brightness * (1 - p_iron_oxide)", "lineament": "p_lineament", "proximity": "exp(-distance / 100e0)"}.items()) + " FROM mz)"
 
 
 @query("mineral_model_scores", _MINERAL_EVIDENCE + _scores_sql("me", MINERAL_WEIGHTS, {"vein": "least(greatest(silica + 0.4e0, 0e0), 1e0)"}))
 def mineral_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = surface(spark, sf_dir).withColumns({"density": (F.col("id") % 17) / 10.0, "distance": (F.col("id") % 300).cast("double")})
+    """Scores from ratios and from density and nearness of steep edges of relief."""
+    df = neighbourhood.sobel(surface(spark, sf_dir), "dem", "steep")
+    df = statistics.with_row(df, df.agg(F.percentile("steep", 0.97).alias("cut"))).withColumn("line", F.col("steep") >= F.col("cut"))
+    df = spatial.distances(lineaments.density(df, "line", 2, 20.0, "density"), {"distance": "line"}, 20.0)
     scored = prospect.mineral_scores(prospect.mineral_evidence(df, F.col("usable"), "density", "distance"))
     return scored.select("r", "c", *[F.round(m, 3).alias(m) for m in MINERAL_WEIGHTS])
 
 
-_HAZARD = _TERRAIN + _RELIEF + """, hz AS (SELECT sl.id, degrees(slope) AS deg, relief, label, (nir - red) / (nir + red + 1e-6) AS ndvi, CASE WHEN sl.id % 9 = 0 THEN NULL ELSE (sl.id % 700) * 1e0 END AS river
-    FROM sl JOIN rel ON rel.r = sl.r AND rel.c = sl.c JOIN surface ON surface.id = sl.id), hx AS (SELECT id, (
+_HAZARD = _TERRAIN + _RELIEF + """, hz AS (SELECT sl.id, degrees(slope) AS deg, relief, label, (nir - red) / (nir + red + 1e-6) AS ndvi, wd.d AS river
+    FROM sl LEFT JOIN (SELECT t.id, sqrt(min((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c))) * 20 AS d FROM surface t, surface s WHERE s.lc = 251 GROUP BY t.id) wd ON wd.id = sl.id JOIN rel ON rel.r = sl.r AND rel.c = sl.c JOIN surface ON surface.id = sl.id), hx AS (SELECT id, (
     0.40e0 * CASE WHEN deg <= 0 THEN 0e0 WHEN deg <= 10 THEN 0.01e0 * deg WHEN deg <= 20 THEN 0.1e0 + 0.03e0 * (deg - 10) WHEN deg <= 30 THEN 0.4e0 + 0.03e0 * (deg - 20) WHEN deg <= 40 THEN 0.7e0 + 0.025e0 * (deg - 30)
         WHEN deg <= 50 THEN 0.95e0 + 0.005e0 * (deg - 40) WHEN deg <= 90 THEN 1e0 - 0.0025e0 * (deg - 50) ELSE 0.9e0 END
     + 0.15e0 * least(relief / 400, 1e0) + 0.15e0 * coalesce(exp(-river / 400), 0e0) + 0.20e0 * CASE label WHEN 1 THEN 0.4e0 WHEN 2 THEN 0.5e0 WHEN 3 THEN 0.8e0 WHEN 4 THEN 0.3e0 WHEN 5 THEN 0.35e0 WHEN 6 THEN 0.6e0 WHEN 7 THEN 0.9e0 ELSE 0.5e0 END
@@ -272,9 +321,9 @@ _HAZARD_CLASS = "1 + (ix >= 0.35e0)::INT + (ix >= 0.50e0)::INT + (ix >= 0.65e0):
 
 def _hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = neighbourhood.with_slope_and_aspect(surface(spark, sf_dir))
-    df = neighbourhood.box(neighbourhood.box(df, {"_hi": "dem"}, 15, "max"), {"_lo": "dem"}, 15, "min")
-    river = F.when(F.col("id") % 9 != 0, (F.col("id") % 700).cast("double"))
-    return prospect.landslide(df, "label", F.degrees("slope"), F.col("_hi") - F.col("_lo"), river, spectral.normalized_difference(F.col("nir"), F.col("red")))
+    df = neighbourhood.box(neighbourhood.box(df, {"_hi": "dem"}, 15, "max"), {"_lo": "dem"}, 15, "min", first="r")
+    df = spatial.distances(df.withColumn("_water", F.col("lc") == 251), {"_river": "_water"}, 20.0)
+    return prospect.landslide(df, "label", F.degrees("slope"), F.col("_hi") - F.col("_lo"), F.col("_river"), spectral.normalized_difference(F.col("nir"), F.col("red")))
 
 
 @query("landslide_classes", _HAZARD + f"SELECT id, round(ix, 6) AS hazard_index, ({_HAZARD_CLASS})::INT AS hazard FROM hx")
@@ -292,10 +341,10 @@ def quartz_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("id", *rounded(qi=spectral.quartz_index(F.col("red") - 0.1, F.col("swir1"), F.col("nir"))))
 
 
-@query("distance_decay", PX + "SELECT t.id, round(exp(-sqrt(min((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c))) * 20 / 80e0), 6) AS decay FROM surface t LEFT JOIN surface s ON s.lc = 251 AND (s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c) <= 36 GROUP BY t.id")
+@query("distance_decay", PX + "SELECT t.id, round(exp(-sqrt(min((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c))) * 20 / 80e0), 6) AS decay FROM surface t LEFT JOIN surface s ON s.lc = 251 GROUP BY t.id")
 def distance_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = surface(spark, sf_dir)
-    near = spatial.nearest_within(df, df.filter("lc = 251"), 6, 20.0, "d")
+    """Nearness to water, from the exact distance however far."""
+    near = spatial.distances(surface(spark, sf_dir).withColumn("water", F.col("lc") == 251), {"d": "water"}, 20.0)
     return near.select("id", *rounded(decay=F.exp(-F.col("d") / 80.0)))
 
 

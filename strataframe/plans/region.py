@@ -16,7 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import geo, spectral
 from ..functions.classes import BANDS, GEM_WEIGHTS, MINERAL_WEIGHTS
-from ..operators import learning, neighbourhood, prospect, scenes, spatial, statistics, targets
+from ..operators import learning, lineaments, neighbourhood, prospect, scenes, spatial, statistics, targets
 from ..sinks import tiles
 
 
@@ -85,15 +85,14 @@ class Region:
         lon, lat = geo.from_utm(x, y, F.lit(self.zone))
         return found.withColumns({"x": x, "y": y}).withColumns({"lon": lon, "lat": lat})
 
-    def gems(self, force: bool = False) -> DataFrame:
-        """Scores of the four gem models; contacts count within 300 m."""
+    def gems(self, lithology: DataFrame | None = None, force: bool = False) -> DataFrame:
+        """Scores of the four gem models on bedrock, sharpened by a rock map (r, c, label) if there is one."""
 
         def make() -> DataFrame:
-            evidence = prospect.gem_evidence(self.surface(), F.col("usable"))
-            for name in ("carbonate", "felsic", "mafic"):
-                evidence = spatial.nearest_within(evidence, evidence.filter(F.col(name) > 0.6), 15, self.pixel, f"_d_{name}")
-            near = lambda a: F.coalesce(F.exp(-(F.col(f"_d_{a}") + F.col("_d_mafic")) / 160.0), F.lit(0.0))
-            evidence = evidence.withColumns({"carb_contact": near("carbonate"), "felsic_contact": near("felsic")})
+            df = neighbourhood.with_slope_and_aspect(self.surface(), pixel=self.pixel).withColumn("_rock", F.col("usable") & prospect.bedrock()).drop("usable")
+            df = df.withColumnRenamed("_rock", "usable")
+            df = df.withColumn("lithology", F.lit(0)) if lithology is None else df.join(lithology.select("r", "c", F.col("label").alias("lithology")), ["r", "c"], "left").fillna(0, ["lithology"])
+            evidence = prospect.with_lithology(prospect.gem_evidence(df, F.col("usable")), F.col("usable"), "lithology", pixel=self.pixel)
             return prospect.gem_scores(evidence).select("r", "c", *GEM_WEIGHTS)
 
         return self._step("gems", make, force)
@@ -103,8 +102,8 @@ class Region:
 
         def make() -> DataFrame:
             df = self.surface().join(lines.select("r", "c").distinct().withColumn("line", F.lit(True)), ["r", "c"], "left").withColumn("line", F.coalesce("line", F.lit(False)))
-            df = neighbourhood.box(df.withColumn("_one", F.col("line").cast("double")), {"density": "_one"}, 2 * round(1000 / self.pixel) + 1)
-            df = spatial.nearest_within(df, df.filter("line"), 50, self.pixel, "distance").withColumn("distance", F.coalesce("distance", F.lit(1e6)))
+            df = lineaments.density(df, "line", round(1000 / self.pixel), self.pixel, "density")
+            df = spatial.distances(df, {"distance": "line"}, self.pixel).withColumn("distance", F.coalesce("distance", F.lit(1e6)))
             return prospect.mineral_scores(prospect.mineral_evidence(df, F.col("usable"), "density", "distance")).select("r", "c", *MINERAL_WEIGHTS)
 
         return self._step("minerals", make, force)

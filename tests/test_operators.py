@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import hyperspectral as h
 from strataframe.functions import scalars, spectral
-from strataframe.operators import jobs, neighbourhood, scenes, spatial, statistics, targets
+from strataframe.operators import grids, jobs, neighbourhood, scenes, spatial, statistics, targets
 from strataframe.sinks import tiles, vectors
 from strataframe.sources.vectors import geojson_features, occurrences, out_of_range, polygons, unit_classes
 from strataframe.streaming import field
@@ -136,13 +136,74 @@ def test_composite_prefers_clear_and_falls_back_on_snow(spark):
     assert got == {1: (3000, 4), 2: (8000, 11), 3: (0, 0), 4: (1000, 6)}
 
 
-def test_distances_within_reach(spark):
-    cells = grid(spark, 12, 12, lambda r, c: 0.0)
-    marked = [(2, 3), (9, 9)]
-    out = spatial.nearest_within(cells, spark.createDataFrame(marked, "r long, c long"), 4, 10.0, "d").collect()
-    for x in out:
-        best = min(math.hypot(x.r - a, x.c - b) for a, b in marked)
-        assert (x.d is None) if best > 4 else abs(x.d - best * 10) < 1e-9
+def test_distances_are_exact_however_far(spark):
+    rng = random.Random(8)
+    marked = {(rng.randrange(30), rng.randrange(40)) for _ in range(9)}
+    cells = grid(spark, 30, 40, lambda r, c: 0.0)
+    flagged = cells.withColumns({"a": F.lit(False), "none": F.lit(False)})
+    for r, c in marked:
+        flagged = flagged.withColumn("a", F.col("a") | ((F.col("r") == r) & (F.col("c") == c)))
+    for x in spatial.distances(flagged, {"d": "a", "e": "none"}, 10.0).collect():
+        assert abs(x.d - 10 * min(math.hypot(x.r - r, x.c - c) for r, c in marked)) < 1e-9 and x.e is None
+
+
+def test_a_box_reads_the_raster_once(spark, tmp_path):
+    grid(spark, 8, 8, lambda r, c: float(r * c)).write.parquet(str(tmp_path / "g"))
+    df = spark.read.parquet(str(tmp_path / "g"))
+    name = next(c for c in df.columns if c not in ("r", "c"))
+    plan = neighbourhood.box(neighbourhood.box(df, {"m": name}, 3), {"n": "m"}, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "NestedLoop" not in plan
+
+
+def test_tiles_halos_and_resampling(spark):
+    box = spark.createDataFrame([(1, 3.0, 2.0, 25.0, 19.0)], "k int, west double, south double, east double, north double")
+    tiles = grids.tile_grid(box, "k", 10.0).collect()
+    assert sorted(t.tile for t in tiles) == ["000_000", "000_001", "001_000", "001_001", "002_000", "002_001"]
+    assert min(t.left for t in tiles) == 0 and max(t.top for t in tiles) == 20
+    df = grid(spark, 6, 6, lambda r, c: float(10 * r + c))
+    name = next(c for c in df.columns if c not in ("r", "c"))
+    halo = grids.with_halo(df, 3, 1)
+    assert halo.filter("inner").count() == 36 and halo.filter("tr = 0 and tc = 0").count() == 16
+    coarse = spark.createDataFrame([(0, 0), (1, 1), (9, 9)], "r long, c long")
+    near = {(x.r, x.c): x[name] for x in grids.resampled(coarse, df, name, F.col("c") * 2 + 1.0, F.col("r") * 2 + 1.0, "bilinear").collect()}
+    assert near == {(0, 0): 5.5, (1, 1): 27.5, (9, 9): None}
+    one = {(x.r, x.c): x[name] for x in grids.resampled(coarse, df, name, F.col("c") * 2 + 0.5, F.col("r") * 2 + 0.5).collect()}
+    assert one == {(0, 0): 0.0, (1, 1): 22.0, (9, 9): None}
+    assert sorted((x.r, x.c) for x in grids.crop(df, 2, 3, 2, 2).collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_pooled_samples_keep_to_their_caps(spark, monkeypatch):
+    from strataframe.operators import sampling
+
+    monkeypatch.setattr(sampling, "LEAST_CHECK", 4)
+    monkeypatch.setattr(sampling, "LEAST_TEST", 4)
+    rows = [(i, i % 6, ("train", "val", "test")[i % 3], 1) for i in range(600)]
+    got = sampling.pooled(spark.createDataFrame(rows, "id long, area int, part string, label int"), "area", "part", "label", "id", 12, 6)
+    assert {x.part: x.n for x in got.groupBy("part").agg(F.count("*").alias("n")).collect()} == {"train": 12, "val": 4, "test": 4}
+    assert max(x.n for x in got.groupBy("area", "part").agg(F.count("*").alias("n")).collect()) <= 6
+
+
+def test_lines_and_polygons_in_a_geopackage(spark, tmp_path):
+    import sqlite3
+
+    df = spark.createDataFrame([(1, [[0.0, 0.0], [3.0, 4.0]], [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 0.0]]])], "k int, line array<array<double>>, rings array<array<array<double>>>")
+    path = str(tmp_path / "y.gpkg")
+    vectors.write_geopackage(path, {"lines": vectors.Layer(df.select("k", "line"), "LINESTRING", "line"), "areas": vectors.Layer(df.select("k", "rings"), "POLYGON", "rings")})
+    with sqlite3.connect(path) as db:
+        assert {r[0] for r in db.execute("SELECT srs_id FROM gpkg_spatial_ref_sys")} == {-1, 0, 4326}
+        assert db.execute("SELECT min_x, min_y, max_x, max_y FROM gpkg_contents WHERE table_name = 'lines'").fetchone() == (0.0, 0.0, 3.0, 4.0)
+        blob = db.execute("SELECT geom FROM lines").fetchone()[0]
+        assert blob[:2] == b"GP" and blob[40:45] == b"\x01\x02\x00\x00\x00"
+    line, polygon = df.select(vectors.line_feature(F.col("line"), ["k"]).alias("a"), vectors.polygon_feature(F.col("rings"), ["k"]).alias("b")).first()
+    assert json.loads(line)["geometry"] == {"type": "LineString", "coordinates": [[0.0, 0.0], [3.0, 4.0]]}
+    assert json.loads(polygon)["geometry"]["type"] == "Polygon"
+
+
+def test_infinities_are_not_valid(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(0.1,), (inf,), (-inf,), (nan,), (None,)], "x double")
+    assert [r[0] for r in df.select(scalars.is_finite(F.col("x"))).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in df.select(scalars.finite(F.col("x"))).collect()] == [0.1, scalars.LARGEST, -scalars.LARGEST, 0.0, 0.0]
 
 
 def test_polygons_last_one_wins_and_holes_stay_open(spark, tmp_path):
