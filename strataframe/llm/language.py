@@ -226,6 +226,8 @@ def identify(docs: DataFrame, profiles: Profiles, doc: str = "doc_id", text: str
     ``und`` with score 0 if the text is null, empty or without letters, or if no
     language was learned.  ``score`` is the second nearest distance over the sum
     of the two nearest (1 if there is only one language); equal distances go
-    to the first language by name.
+    to the first language by name.  Repeated rows are judged alike and all stay; an
+    empty table gives an empty one; a very long text is counted whole, within one task.
+    Other columns, whatever their names, are not read.
     """
-    return docs.select(doc, predictor(profiles)(F.col(text)).alias("_found")).select(doc, "_found.lang_pred", "_found.score")
+    return docs.select(F.col(doc), predictor(profiles)(F.col(text)).alias("_found")).select(doc, "_found.lang_pred", "_found.score")

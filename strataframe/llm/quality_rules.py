@@ -128,8 +128,9 @@ def count_block(block: Block) -> dict[str, np.ndarray]:
 def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of counts per document.
 
-    A null or empty text has zero of everything.  Repeated ids stay separate
-    rows; other columns of ``docs`` are ignored.
+    A null or empty text has zero of everything.  Repeated ids and rows stay separate
+    rows; other columns of ``docs`` are ignored, whatever their names.  A very long text is
+    counted whole, within one task.  An empty table gives an empty one.  Counts have no ties.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 

@@ -229,8 +229,11 @@ def judge(pages: DataFrame, rules: list[Rule], seeds: tuple[str, ...] = SEEDS, p
     ``verdict`` is the rule's, else ``block`` where the model's log odds are above
     zero, else ``allow``; ``score`` holds those log odds.  A null url or one
     without a scheme has empty host and path and is judged by the prior.
-    Repeated pages are judged alike and all stay.
+    Repeated pages are judged alike and all stay.  Log odds of exactly zero allow.  An
+    empty table gives an empty one.  A very long name is cut in time in proportion to its
+    length; a null page has no words.  Other columns, whatever their names, are not read.
     """
+    pages = pages.select(page, url, html)
     host, path = split_url(F.col(url))
     parsed = pages.select(page, host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(rules, F.col("host"), F.col("path"))

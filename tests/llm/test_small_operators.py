@@ -176,3 +176,28 @@ def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
     assert d.judge(doubled, bench).count() == 2 * len(texts)
     assert sorted((x.n_words, x.n_hit) for x in d.judge(doubled, bench).collect()) == sorted(2 * [(x.n_words, x.n_hit) for x in got.values()])
     assert d.decontaminate(doubled, bench).count() == 2 * (len(texts) - len(dirty))
+
+
+def test_language_of_repeated_rows_and_clashing_names(spark):
+    train = spark.createDataFrame([("en", "the cat and the dog " * 5, 1), ("de", "der hund und die katze " * 5, 2)], "lang string, text string, gram long")
+    profiles = g.learn(train)
+    docs = spark.createDataFrame([(1, "the dog and the cat " * 2000, "x", "y", "z")] * 2 + [(2, "der hund", "x", "y", "z")], "doc_id long, text string, lang_pred string, score string, _found string")
+    got = sorted((x.doc_id, x.lang_pred) for x in g.identify(docs, profiles).collect())
+    assert got == [(1, "en"), (1, "en"), (2, "de")]
+
+
+def test_rules_of_no_rows_and_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "n_words", 5)] * 3 + [(None, None, "x", 6)], "doc_id long, text string, failed string, n_words int")
+    got = r.ledger(r.measure(docs)).collect()
+    assert sorted((x.doc_id or 0, x.n_words) for x in got) == [(0, 0), (1, 2), (1, 2), (1, 2)]
+    assert r.measure(docs.limit(0)).count() == 0
+
+
+def test_many_short_rows_in_a_block(spark):
+    """More rows in one batch than row numbers of a block have room for."""
+    texts = ["the"] * 70_000 + ["der hund"]
+    profiles = g.learn(spark.createDataFrame([("en", "the the the"), ("de", "der hund der hund")], "lang string, text string"))
+    blocks = list(text_blocks(pa.array(texts)))
+    assert max(b.hi - b.lo for b in blocks) <= 1 << 15 and sum(b.hi - b.lo for b in blocks) == len(texts)
+    far = np.concatenate([g.distances(b, profiles)[0] for b in blocks])
+    assert (far[:-1, 1] < far[:-1, 0]).all() and far[-1, 0] < far[-1, 1]

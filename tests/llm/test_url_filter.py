@@ -92,3 +92,26 @@ def test_judged_alike_with_words_held_or_joined(spark, monkeypatch):
     held = sorted(u.judge(frame(spark), URL_RULES).collect())
     monkeypatch.setattr(u, "BROADCAST_WORDS", 0)
     assert sorted(u.judge(frame(spark), URL_RULES).collect()) == held
+
+
+def test_segments_are_the_cheapest_of_all(spark):
+    """Every way to cut short names, by price."""
+    counts = {"cat": 9, "at": 20, "a": 30, "catm": 1, "mat": 4, "ma": 2, "tc": 1, "on": 3, "ton": 2}
+    s = u.Segmenter(counts)
+
+    def price(words):
+        return sum(s.cost.get(w, s.unknown + math.log(10) * len(w)) for w in words)
+
+    def ways(name):
+        if not name:
+            return [[]]
+        return [[name[:k], *rest] for k in range(1, len(name) + 1) for rest in ways(name[k:])]
+
+    for name in ("catmat", "matcaton", "xyz", "a", "tcatonma", "onatcatm"):
+        assert abs(price(s.cut(name)) - min(map(price, ways(name)))) < 1e-9 and "".join(s.cut(name)) == name
+
+
+def test_no_pages_and_clashing_names(spark):
+    assert u.judge(frame(spark, []), URL_RULES).collect() == []
+    more = frame(spark).selectExpr("*", "'h' AS host", "'p' AS path", "1 AS n", "'w' AS word", "2 AS score")
+    assert u.judge(more, URL_RULES).count() == len(PAGES)
