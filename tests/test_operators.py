@@ -179,7 +179,7 @@ def test_pooled_samples_keep_to_their_caps(spark, monkeypatch):
     monkeypatch.setattr(sampling, "LEAST_TEST", 4)
     rows = [(i, i % 6, ("train", "val", "test")[i % 3], 1) for i in range(600)]
     got = sampling.pooled(spark.createDataFrame(rows, "id long, area int, part string, label int"), "area", "part", "label", "id", 12, 6)
-    assert {x.part: x.n for x in got.groupBy("part").agg(F.count("*").alias("n")).collect()} == {"train": 12, "val": 4, "test": 4}
+    assert {x.part: x.n for x in got.groupBy("part").agg(F.count("*").alias("n")).collect()} == {"train": 12, "val": 4, "test": 6}
     assert max(x.n for x in got.groupBy("area", "part").agg(F.count("*").alias("n")).collect()) <= 6
 
 

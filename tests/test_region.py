@@ -30,3 +30,9 @@ def test_region_from_observations_to_statistics(spark, tmp_path):
     points = px.filter("id % 7 = 0").select(F.col("id").alias("key"), lon.alias("lon"), lat.alias("lat"), F.col("k").cast("int").alias("class_id"))
     row = region.validate(points).first()
     assert row.n > 50 and row.overall > 0.7
+    gems = region.gems(labels)
+    assert gems.count() == px.count() and gems.filter("marble between 0 and 100 and pegmatite between 0 and 100 and contact between 0 and 100 and ultramafic between 0 and 100").count() == px.count()
+    minerals = region.minerals(px.filter("c = 50").select("r", "c"))
+    assert minerals.count() == px.count() and minerals.filter("iron between 0 and 100 and copper between 0 and 100 and vein between 0 and 100").count() == px.count()
+    found = region.alteration_targets(threshold=10.0, least=2)
+    assert {"lon", "lat", "kind", "rank_score"} <= set(found.columns) and found.filter("lon is null or lat is null").count() == 0
