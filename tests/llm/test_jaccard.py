@@ -59,7 +59,8 @@ def corpus(seed):
 @pytest.mark.parametrize("everything_frequent", [False, True])
 def test_links_against_brute_force(spark, monkeypatch, everything_frequent):
     if everything_frequent:
-        monkeypatch.setattr(j, "frequent_slots", lambda passed: np.ones(1 << j.SKETCH_BITS, bool))
+        monkeypatch.setattr(j, "slot_levels", lambda passed: np.full(1 << j.SKETCH_BITS, j.FREQUENT, np.uint8))
+        monkeypatch.setattr(j, "BLOCK_SETS", 4)
     rows = corpus(3)
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, component string, a string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.link(df).collect()}
@@ -69,7 +70,7 @@ def test_links_against_brute_force(spark, monkeypatch, everything_frequent):
 @pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
 def test_similar_sets_share_a_signature(share):
     rng = np.random.Generator(np.random.PCG64(5))
-    frequent = rng.random(1 << j.SKETCH_BITS) < share
+    frequent = np.where(rng.random(1 << j.SKETCH_BITS) < share, j.FREQUENT, rng.integers(0, 200, 1 << j.SKETCH_BITS)).astype(np.uint8)
     for _ in range(400):
         n = int(rng.integers(1, 200))
         m = int(np.ceil(n * 0.8 + rng.random() * n * 0.2))
@@ -78,7 +79,42 @@ def test_similar_sets_share_a_signature(share):
         x, y = np.unique(x), np.unique(y)
         common = len(np.intersect1d(x, y))
         if 100 * common >= 80 * (len(x) + len(y) - common):
-            assert len(np.intersect1d(j.signatures(x, frequent), j.signatures(y, frequent)))
+            (one, led), (two, leads) = j.signatures(x, frequent), j.signatures(y, frequent)
+            small, large = (one[led], two) if len(x) <= len(y) else (two[leads], one)
+            assert len(np.intersect1d(small, large))
+
+
+def test_long_sets_that_share_signatures_but_are_not_similar(spark, monkeypatch):
+    """Hundreds of long sets with a common passage: few pairs leave a task and no link is lost."""
+    monkeypatch.setattr(j, "slot_levels", lambda passed: np.full(1 << j.SKETCH_BITS, j.FREQUENT, np.uint8))
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    passage = rng.choices(vocabulary, k=200)
+    rows = [" ".join(passage + rng.choices(vocabulary, k=600)) for _ in range(150)]
+    near = rows[7].split()
+    for k in range(0, 800, 100):
+        near[k] = "other"
+    rows += [" ".join(near), " ".join(near[20:])]
+    seen = []
+    real = j.contested_pairs
+    monkeypatch.setattr(j, "contested_pairs", lambda *a: seen.append(real(*a)) or seen[-1])
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.link(df).collect()}
+    assert got == brute(list(enumerate(rows)))
+    assert sum(x.count() for x in seen) < 20
+
+
+@pytest.mark.parametrize("percent", [60, 95])
+def test_other_thresholds(percent):
+    rng = np.random.Generator(np.random.PCG64(6))
+    levels = np.where(rng.random(1 << j.SKETCH_BITS) < 0.5, j.FREQUENT, 3).astype(np.uint8)
+    for _ in range(200):
+        n = int(rng.integers(5, 150))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        y = np.unique(x[: int(np.ceil(len(x) * percent / 100))])
+        if 100 * len(y) >= percent * len(x):
+            (one, _), (two, led) = j.signatures(x, levels, percent), j.signatures(y, levels, percent)
+            assert len(np.intersect1d(one, two[led]))
 
 
 def test_same_ids_nulls_and_nothing(spark):
