@@ -77,6 +77,19 @@ def test_targets_apart_against_a_loop(spark):
         assert got[m] == {i for i, _, _ in kept}
 
 
+def test_targets_apart_beyond_the_first_head(spark, monkeypatch):
+    """Nearly all good targets lie in one place, so that the choice must go on below them."""
+    monkeypatch.setattr(targets, "HEAD", 10)
+    rng = random.Random(3)
+    rows = [(i, "a", rng.uniform(0, 100), rng.uniform(0, 100), 100.0 + i) for i in range(60)] + [(100 + i, "a", rng.uniform(0, 5000), rng.uniform(0, 5000), float(i)) for i in range(60)]
+    out = targets.apart(spark.createDataFrame(rows, "component long, model string, x double, y double, rank_score double"), "model", 500.0, 8)
+    kept = []
+    for i, _, x, y, _ in sorted(rows, key=lambda r: (-r[4], r[0])):
+        if len(kept) < 8 and all(math.hypot(x - a, y - b) >= 500 for _, a, b in kept):
+            kept.append((i, x, y))
+    assert {r.component for r in out.collect()} == {i for i, _, _ in kept}
+
+
 def test_accuracy_of_fifty_and_fifty_with_fifteen_swaps(spark):
     rows = [(1, 1)] * 35 + [(1, 2)] * 15 + [(2, 2)] * 35 + [(2, 1)] * 15 + [(9, 1)]
     row = statistics.accuracy(statistics.confusion(spark.createDataFrame(rows, "t int, p int"), "t", "p", [1, 2])).first()
