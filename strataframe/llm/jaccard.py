@@ -276,18 +276,24 @@ def _meeting(rows: dict[str, np.ndarray], percent: int, best: bool) -> tuple[np.
             for k in range(0, len(at), 4096):
                 apart[at[k : k + 4096]] = np.bitwise_count(maps[x[k : k + 4096]] ^ maps[y[k : k + 4096]]).sum(axis=1)
         ok = _room(n[left] + n[right], apart, percent)
-        found.append((left[ok], right[ok], apart[ok]))
-    left, right, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    more = np.zeros(len(left), bool)
-    if best and len(left):
-        a, b = rows["component"][left], rows["component"][right]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((apart / (n[left] + n[right]), high, low, cell[left]))
-        keys = np.stack([cell[left], low, high])[:, order]
-        first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-        more = np.diff(np.append(first, len(order))) > 1
-        left, right = left[order[first]], right[order[first]]
-    return left, right, more
+        some = left[ok], right[ok], apart[ok], np.ones(ok.sum(), np.int64)
+        found.append(_likeliest(rows, *some) if best else some)
+    left, right, apart, times = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+    if best:
+        left, right, apart, times = _likeliest(rows, left, right, apart, times)
+    return left, right, times > 1
+
+
+def _likeliest(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, apart: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs of the same cell and components the one least apart, and how many it stands for."""
+    if len(left) == 0:
+        return left, right, apart, times
+    a, b = rows["component"][left], rows["component"][right]
+    low, high, cell = np.minimum(a, b), np.maximum(a, b), rows["cell"][left]
+    order = np.lexsort((apart / (rows["n"][left] + rows["n"][right]), high, low, cell))
+    keys = np.stack([cell, low, high])[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    return left[order[first]], right[order[first]], apart[order[first]], np.add.reduceat(times[order], first)
 
 
 def _words_of(packed: bytes, width: int) -> np.ndarray:
