@@ -20,11 +20,14 @@ def portable_hash(*values: Column) -> Column:
 def block_split(df: DataFrame, block: int = 32, shares: tuple[float, float] = (0.6, 0.15)) -> DataFrame:
     """Adds ``split``: 0 train, 1 validation, 2 test; whole blocks go to one of them."""
     placed = df.withColumn("by", F.floor(F.col("r") / block)).withColumn("bx", F.floor(F.col("c") / block))
-    blocks = placed.select("by", "bx").distinct()
-    # A raster has thousands of times fewer blocks than pixels.
-    order = F.row_number().over(Window.orderBy(portable_hash(F.col("by"), F.col("bx")), "by", "bx"))
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = blocks.withColumn("_rank", order).withColumn("_n", total)
+    hashed = placed.select("by", "bx").distinct().withColumn("_h", portable_hash(F.col("by"), F.col("bx")))
+    # Ranked within slices of the hashes; the slices before one are summed over a few hundred rows.
+    sliced = hashed.withColumn("_slice", F.shiftright("_h", 23))
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy("_h", "by", "bx"))
+    ranked = sliced.withColumn("_place", place).join(F.broadcast(offsets), "_slice").withColumn("_rank", F.col("_before") + F.col("_place"))
     train, val = F.bround(F.col("_n") * shares[0]), F.bround(F.col("_n") * shares[1])
     split = F.when(F.col("_rank") <= train, 0).when(F.col("_rank") <= train + val, 1).otherwise(2)
     return placed.join(ranked.select("by", "bx", split.alias("split")), ["by", "bx"]).drop("by", "bx")

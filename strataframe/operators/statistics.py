@@ -80,6 +80,10 @@ def regression(df: DataFrame, y: str, x: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n"))
 
 
+#: Slices of scores within which occurrences are ranked.
+SLICES = 1024
+
+
 def success_rates(occurrences: DataFrame, background: DataFrame, score: str = "score") -> DataFrame:
     """(n, auc, top10, top20): where occurrences stand among background scores.
 
@@ -87,8 +91,16 @@ def success_rates(occurrences: DataFrame, background: DataFrame, score: str = "s
     """
     both = occurrences.select(F.col(score).alias("s"), F.lit(1).alias("is_occ")).unionByName(background.select(F.col(score).alias("s"), F.lit(0).alias("is_occ"))).filter("s is not null and not isnan(s)")
     levels = both.groupBy("s").agg(F.sum(1 - F.col("is_occ")).alias("bg"), F.sum("is_occ").alias("occ"))
-    below = levels.withColumn("upto", F.sum("bg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
-    size = levels.agg(F.sum("bg").alias("n_bg"))
+    # Summed within slices of the scores; the slices before one are summed over ``SLICES`` rows.
+    ends = both.agg(F.min("s").alias("_lo"), F.max("s").alias("_hi"), F.sum(1 - F.col("is_occ")).alias("n_bg"))
+    slice_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(SLICES - 1), F.floor((F.col("s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SLICES))).otherwise(0)
+    sliced = with_row(levels, ends.select("_lo", "_hi")).withColumn("_slice", slice_of).drop("_lo", "_hi")
+    sums = sliced.groupBy("_slice").agg(F.sum("bg").alias("_bg"))
+    before = F.sum("_bg").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum("bg").over(Window.partitionBy("_slice").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    below = sliced.withColumn("_within", within).join(F.broadcast(offsets), "_slice").withColumn("upto", F.col("_before") + F.col("_within"))
+    size = ends.select("n_bg")
     placed = with_row(below.filter("occ > 0"), size).filter("n_bg > 0").withColumn("pct", F.col("upto") / F.col("n_bg"))
     share = lambda cut: F.sum(F.when(F.col("pct") >= cut, F.col("occ")).otherwise(0)) / F.sum("occ")
     return placed.agg(F.coalesce(F.sum("occ"), F.lit(0)).cast("long").alias("n"), (F.sum(F.col("pct") * F.col("occ")) / F.sum("occ")).alias("auc"), share(0.9).alias("top10"), share(0.8).alias("top20"))
