@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, decontaminate, jaccard, language, packing, quality_model, quality_rules, records, suffix_dedup, url_filter
+from . import attention_lm, decontaminate, hard_negatives, jaccard, language, line_dedup, packing, quality_model, quality_rules, records, resampling, suffix_dedup, url_filter
 from .textarrays import crc32_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +212,58 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(spark, documents, tokenizer_file("word_bpe_49k.json"), end_id=1, digest=True)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
+_OP12_SQL = """
+WITH e AS (
+    SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+           [floor(256 * x::DOUBLE) for x in embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT anchor_id, id, score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id))::INTEGER AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.clean_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_OP13_SQL = """
+WITH l AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents
+), k AS (
+    SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, i, line, keeper IS NOT NULL AND doc_id <> keeper AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_model": op1_quality_model,
     "op2_language": op2_language,
@@ -223,6 +275,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_attention_lm": op9_attention_lm,
     "op10_token_records": op10_token_records,
+    "op11_resampling": op11_resampling,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -230,4 +285,6 @@ ORACLES: dict[str, str] = {
     "op5_suffix_dedup": _OP5_SQL,
     "op6_quality_rules": _OP6_SQL,
     "op8_decontamination": _OP8_SQL,
+    "op12_hard_negatives": _OP12_SQL,
+    "op13_line_dedup": _OP13_SQL,
 }
