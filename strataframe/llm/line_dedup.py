@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -268,7 +267,8 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_
             for block in text_blocks(batch.column(text)):
                 rows = batch.slice(block.lo, block.hi - block.lo)
                 found = _cleaned(rows.column(text), rows.column("__sf_drops"), block, least_chars)[2]
-                found = pc.if_else(rows.column(text).is_valid(), found, pa.scalar(None, found.type))
+                if rows.column(text).null_count:
+                    found = pa.array(found.to_pylist(), found.type, mask=rows.column(text).is_null().to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([found if c == text else rows.column(c) for c in names], names)
 
     names = docs.columns
