@@ -76,3 +76,15 @@ def chosen(reads: DataFrame, granule: str, item: str, cloud: str, cells: str, to
     enough = (F.col("covered") >= share) & (F.col("turn") >= least)
     done = summed.withColumn("_done", F.sum(enough.cast("int")).over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)))
     return done.filter(F.coalesce("_done", F.lit(0)) == 0).drop("_place", "_new", "_done")
+
+
+def stacked(assets: DataFrame, cell: list[str], asset: str, dn: str, code: str, bands: dict[int, str], scene_code: int, offset: int = 0, scale: int = 10000) -> DataFrame:
+    """One row per cell from single-band assets of a scene: mean reflectance of each band, and its scene code.
+
+    Digital numbers are whole, so that sums are exact and one division makes the
+    mean; after the offset none is below 0.  A band without rows is null.
+    """
+    value = F.greatest(F.col(dn).cast("long") + offset, F.lit(0))
+    mean = lambda i: F.sum(F.when(F.col(asset) == i, value)).cast("double") / (F.count_if(F.col(asset) == i) * F.lit(float(scale)))
+    guarded = [F.when(F.count_if(F.col(asset) == i) > 0, mean(i)).alias(b) for i, b in bands.items()]
+    return assets.groupBy(*cell).agg(*guarded, F.max(F.when(F.col(asset) == scene_code, F.col(code))).cast("int").alias("scl"))

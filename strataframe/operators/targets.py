@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,20 @@ def _runs(cells: DataFrame, label: str | None) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Computed once: checkpointed where a folder for that is set, else persisted."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """Computed once: written to the folder in ``spark.checkpoint.dir`` and read again.
+
+    Where that is unset, a local session gets a folder of its own and another one persists.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            return df.persist()
+        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    place = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def connected(cells: DataFrame, width: int, label: str | None = None, corners: bool = True) -> DataFrame:

@@ -79,22 +79,20 @@ def align_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", *rounded(nir="nir"))
 
 
-@query("align_bilinear", PX + _TARGET + """SELECT t.id, round(sum(s.dem * (1 - abs(t.y - 0.5e0 - s.r)) * (1 - abs(t.x - 0.5e0 - s.c))) / sum((1 - abs(t.y - 0.5e0 - s.r)) * (1 - abs(t.x - 0.5e0 - s.c))), 2) AS dem
+@query("align_bilinear", PX + _TARGET + """SELECT t.id, round(sum(s.dem * (1 - abs(t.y - 0.5e0 - s.r)) * (1 - abs(t.x - 0.5e0 - s.c))) / sum((1 - abs(t.y - 0.5e0 - s.r)) * (1 - abs(t.x - 0.5e0 - s.c))), 8) AS dem
     FROM t LEFT JOIN px s ON s.r BETWEEN floor(t.y - 0.5e0) AND floor(t.y - 0.5e0) + 1 AND s.c BETWEEN floor(t.x - 0.5e0) AND floor(t.x - 0.5e0) + 1 AND abs(t.y - 0.5e0 - s.r) < 1 AND abs(t.x - 0.5e0 - s.c) < 1 GROUP BY t.id""")
 def align_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elevation on another grid, each cell from the four it lies between."""
     px = pixels(spark, sf_dir)
     made = grids.resampled(px.select("id", "r", "c"), px.select("r", "c", "dem"), "dem", (F.col("c") + 0.5) * 0.7 + 3, (F.col("r") + 0.5) * 0.6 + 1, "bilinear")
-    return made.select("id", F.round("dem", 2).alias("dem"))
+    return made.select("id", F.round("dem", 8).alias("dem"))
 
 
-@query("scene_assets", "SELECT l_orderkey AS cell, " + ", ".join(f"round(avg(CASE WHEN l_linenumber = {i} THEN greatest(l_extendedprice * 1e-4 - 0.1e0, 0e0) END), 6) AS {b}" for i, b in enumerate(BANDS, 1)) + ", max(CASE WHEN l_linenumber = 7 THEN l_quantity::INT % 12 END)::INT AS scl FROM lineitem GROUP BY l_orderkey")
+@query("scene_assets", "WITH a AS (SELECT l_orderkey AS cell, l_linenumber AS asset, round(l_extendedprice * 100)::BIGINT AS dn, l_quantity::INT % 12 AS code FROM lineitem) SELECT cell, " + ", ".join(f"sum(CASE WHEN asset = {i} THEN greatest(dn - 100000, 0) END)::DOUBLE / nullif(count(*) FILTER (asset = {i}) * 1000000e0, 0) AS {b}" for i, b in enumerate(BANDS, 1)) + ", max(CASE WHEN asset = 7 THEN code END)::INT AS scl FROM a GROUP BY cell")
 def scene_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven single-band assets of a scene, each of its own rows, as one relation."""
-    items = table(spark, sf_dir, "lineitem")
-    value = F.greatest(F.col("l_extendedprice") * 1e-4 - 0.1, F.lit(0.0))
-    bands = [F.round(F.avg(F.when(F.col("l_linenumber") == i, value)), SIX).alias(b) for i, b in enumerate(BANDS, 1)]
-    return items.groupBy(F.col("l_orderkey").alias("cell")).agg(*bands, F.max(F.when(F.col("l_linenumber") == 7, F.col("l_quantity").cast("int") % 12)).cast("int").alias("scl"))
+    assets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_linenumber").alias("asset"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("dn"), (F.col("l_quantity").cast("int") % 12).alias("code"))
+    return scenes.stacked(assets, ["cell"], "asset", "dn", "code", dict(enumerate(BANDS, 1)), scene_code=7, offset=-100000, scale=1000000)
 
 
 @query("safe_bands", """WITH f AS (SELECT s_suppkey % 5 AS scene, 'T43_2024_' || (['B02', 'B03', 'B04', 'B8A', 'B11', 'B12', 'SCL'])[s_suppkey % 7 + 1] || (['_10m', '_20m', '', '_60m'])[s_suppkey % 4 + 1] || '.jp2' AS name FROM supplier)

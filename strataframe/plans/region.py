@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions import geo, spectral
+from ..functions import classes, geo, scalars, spectral
 from ..functions.classes import BANDS, GEM_WEIGHTS, MINERAL_WEIGHTS
-from ..operators import learning, lineaments, neighbourhood, prospect, scenes, spatial, statistics, targets
-from ..sinks import tiles
+from ..operators import learning, lineaments, neighbourhood, polygons, prospect, scenes, spatial, statistics, targets
+from ..sinks import tiles, vectors
 
 
 @dataclass
@@ -108,6 +108,28 @@ class Region:
 
         return self._step("minerals", make, force)
 
+    def polygons(self, least: int = 25, masks: bool = False) -> DataFrame:
+        """(tile, class_id, lithology, pixels, area_ha, rings) of the class map, patches split at the edges of tiles.
+
+        Patches of fewer than ``least`` pixels go to their largest neighbour first; without
+        ``masks`` only rocks make polygons.  Rings are in longitude and latitude.
+        """
+        shown = {**classes.ROCKS, **(classes.MASKS if masks else {})}
+        df = self.table("classes").filter(F.col("label").isin(*shown)).select("r", "c", "label")
+        if least > 1:
+            df = targets.sieve(df, "label", self.width, least, "_kept").select("r", "c", F.col("_kept").alias("label"))
+        made = polygons.polygonise(df, "label", self.width, self.tile)
+        first = made.withColumns({"_r": F.floor(F.col("component") / self.width), "_c": F.col("component") % self.width})
+        tile = F.concat_ws("_", *[F.lpad(F.floor(F.col(x) / self.tile).cast("string"), 3, "0") for x in ("_c", "_r")])
+        placed = first.withColumn("rings", polygons.in_map(F.col("rings"), self.left, self.top, self.pixel))
+        degrees = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(*geo.from_utm(p[0], p[1], F.lit(self.zone)))))
+        name = scalars.lookup(F.col("label"), shown, "")
+        return placed.select(tile.alias("tile"), F.col("label").cast("int").alias("class_id"), name.alias("lithology"), "pixels", (F.col("pixels") * (self.pixel**2 / 1e4)).alias("area_ha"), degrees.alias("rings"))
+
+    def export_polygons(self, folder: str, least: int = 25, masks: bool = False) -> None:
+        """Writes the polygons as GeoJSON features, one a line, each task a file."""
+        vectors.write_polygons(self.polygons(least, masks), folder)
+
     def statistics(self) -> DataFrame:
         return statistics.area_statistics(self.table("classes"), "label", self.pixel)
 

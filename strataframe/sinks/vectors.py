@@ -49,6 +49,12 @@ def polygon_feature(rings: Column, properties: list[str]) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")))
 
 
+def write_polygons(df: DataFrame, folder: str, rings: str = "rings") -> None:
+    """One JSON polygon feature a line, in as many files as there are tasks; other columns are its properties."""
+    properties = [c for c in df.columns if c != rings]
+    df.select(polygon_feature(F.col(rings), properties).alias("value")).write.mode("overwrite").text(folder)
+
+
 def _wkb_points(points: list) -> bytes:
     return struct.pack(f"<I{2 * len(points)}d", len(points), *(float(v) for p in points for v in p[:2]))
 
