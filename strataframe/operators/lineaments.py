@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neighbourhood import box, illumination, sobel, with_slope_and_aspect
+from .selection import quantile_row
 from .targets import connected, settled
 
 ANGLES = 12
@@ -27,7 +28,7 @@ def edges(df: DataFrame, dem: str = "dem", pixel: float = 20.0, suns: tuple[int,
         # Settled each time: a mirrored edge reads the raster twice, so a chain of them would grow by powers of two.
         made = settled(sobel(made.withColumn("_shade", illumination(float(sun), 30.0)), "_shade", f"_s{sun}").drop("_shade"))
         names.append(f"_s{sun}")
-    cuts = made.agg(*[F.percentile(n, share).alias(f"{n}_cut") for n in names])
+    cuts = quantile_row(made, {f"{n}_cut": (F.col(n), share) for n in names})
     found = made.crossJoin(F.broadcast(cuts))
     any_edge = F.lit(False)
     for n in names:

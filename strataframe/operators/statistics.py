@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.classes import MASKS, ROCKS
+from . import selection
 
 
 def class_dimension(spark: SparkSession) -> DataFrame:
@@ -58,11 +59,7 @@ def accuracy(matrix: DataFrame) -> DataFrame:
 
 def robust_scales(df: DataFrame, columns: dict[str, Column], floor: float = 1e-3) -> DataFrame:
     """One row of ``{name}_median`` and ``{name}_scale`` (1.4826 times the median deviation, floored)."""
-    values = df.select(*[v.alias(k) for k, v in columns.items()])
-    medians = values.agg(*[F.coalesce(F.median(k), F.lit(0.0)).alias(f"{k}_median") for k in columns])
-    deviations = values.crossJoin(F.broadcast(medians))
-    scales = deviations.agg(*[F.greatest(F.coalesce(F.median(F.abs(F.col(k) - F.col(f"{k}_median"))) * 1.4826, F.lit(1.0)), F.lit(floor)).alias(f"{k}_scale") for k in columns])
-    return medians.crossJoin(scales)
+    return selection.robust_row(df, columns, floor)
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -106,6 +103,7 @@ def success_rates(occurrences: DataFrame, background: DataFrame, score: str = "s
     return placed.agg(F.coalesce(F.sum("occ"), F.lit(0)).cast("long").alias("n"), (F.sum(F.col("pct") * F.col("occ")) / F.sum("occ")).alias("auc"), share(0.9).alias("top10"), share(0.8).alias("top20"))
 
 
-def target_cutoff(df: DataFrame, score: str, floor: float = 75.0, share: float = 0.99) -> DataFrame:
-    """Score from which ground is a target: the top percentile, within ``floor`` and 99."""
-    return df.agg(F.least(F.lit(99.0), F.greatest(F.lit(floor), F.coalesce(F.percentile(score, share), F.lit(100.0)))).alias("cutoff"))
+def target_cutoff(df: DataFrame, scores: dict[str, Column], floor: float = 75.0, share: float = 0.99) -> DataFrame:
+    """One row of scores from which ground is a target: the top percentile of each, within ``floor`` and 99."""
+    top = selection.quantile_row(df, {k: (v, share) for k, v in scores.items()})
+    return top.select(*[F.least(F.lit(99.0), F.greatest(F.lit(floor), F.coalesce(k, F.lit(100.0)))).alias(k) for k in scores])

@@ -72,7 +72,7 @@ def connected(cells: DataFrame, width: int, label: str | None = None, corners: b
         if total == before:
             break
         before = total
-    return runs.withColumn("node", F.col("r") * width + F.col("run")).join(labels, "node").withColumnRenamed("label", "component").drop("node", "run")
+    return runs.withColumn("node", F.col("r") * width + F.col("run")).join(labels.withColumnRenamed("label", "component"), "node").drop("node", "run")
 
 
 def component_statistics(cells: DataFrame, score: str, kind: str, least: int, area_ha: float = 0.04) -> DataFrame:

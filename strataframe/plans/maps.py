@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import neighbourhood, polygons, spatial
-from ..sources.pixels import WIDTH
+from ..functions.classes import BANDS
+from ..operators import neighbourhood, polygons, presence, spatial
+from ..sources.pixels import WIDTH, table
 from .raster import surface
-from .registry import ORACLES, query
+from .registry import ORACLES, PX, query
 
 #: Patches of the smoothed map: the lowest pixel of all that are reached by sides.  Holes follow from
 #: corners, sides and cells (a patch is one piece), corners of rings from how many cells meet in a place.
@@ -30,3 +31,53 @@ def class_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = polygons.polygonise(smooth, "label", WIDTH)
     corners = F.aggregate(F.transform("rings", lambda ring: F.size(ring) - 1), F.lit(0), lambda a, n: a + n)
     return made.select("component", "label", "pixels", F.col("holes").cast("long").alias("holes"), corners.cast("long").alias("corners"), spatial.polygon_area(F.col("rings")).alias("area"))
+
+
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable pixels of the 3 x 3 windows around a place for each nation: (occurrence, id, bands)."""
+    k = F.col("n_nationkey").cast("long")
+    places = table(spark, sf_dir, "nation").select(k.alias("occurrence"), (k * 37 % 97).alias("_c"), (k * 23 % 61).alias("_r"))
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    cells = places.withColumn("_dr", steps).withColumn("_dc", steps).select("occurrence", (F.col("_r") + F.col("_dr")).alias("r"), (F.col("_c") + F.col("_dc")).alias("c"))
+    return surface(spark, sf_dir).filter("usable").join(F.broadcast(cells), ["r", "c"]).select("occurrence", "id", *BANDS)
+
+
+def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence.presence_table(_occurrences(spark, sf_dir), surface(spark, sf_dir).filter("usable"), "occurrence", "id", list(BANDS))
+
+
+def _hash_sql(*values: str) -> str:
+    out = "0"
+    for v in values:
+        out = f"((({out} * 31 + ({v})) % 2147483648) * 1103515245 + 12345) % 2147483648"
+    return out
+
+
+_PRESENCE = PX + f""", places AS (SELECT n_nationkey AS occurrence, (n_nationkey * 37) % 97 + dc AS c, (n_nationkey * 23) % 61 + dr AS r FROM nation, range(-1, 2) a(dr), range(-1, 2) b(dc)),
+pos AS (SELECT id AS key, occurrence::BIGINT AS grp, 1 AS y, nir FROM places JOIN surface USING (r, c) WHERE usable),
+bg AS (SELECT id AS key, -1 - ({_hash_sql("id + 1")}) % 5 AS grp, 0 AS y, nir FROM surface WHERE usable QUALIFY row_number() OVER (ORDER BY {_hash_sql("id")}, id) <= 20 * (SELECT count(*) FROM pos)),
+rows_ AS (SELECT * FROM pos UNION ALL SELECT * FROM bg),
+sizes AS (SELECT grp, count(*) AS n, {_hash_sql("abs(grp)", "(grp < 0)::BIGINT")} AS h FROM rows_ GROUP BY grp),
+turns AS (SELECT grp, (row_number() OVER (ORDER BY n DESC, h, grp) - 1) % 10 AS turn FROM sizes),
+dealt AS (SELECT rows_.*, least(turn, 9 - turn)::INT AS fold FROM rows_ JOIN turns USING (grp))"""
+
+
+@query("presence_folds", _PRESENCE + "SELECT fold, count(DISTINCT grp)::BIGINT AS groups, sum(y)::BIGINT AS positives, sum(1 - y)::BIGINT AS negatives FROM dealt GROUP BY fold")
+def presence_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in each of five folds of occurrences against background."""
+    dealt = presence.with_folds(_presence(spark, sf_dir))
+    return dealt.groupBy("fold").agg(F.count_distinct("group").alias("groups"), F.sum("y").alias("positives"), F.sum(1 - F.col("y")).cast("long").alias("negatives"))
+
+
+@query("presence_ranks", _PRESENCE + """SELECT a.fold, count(DISTINCT a.key * 100 + a.grp)::BIGINT AS positives, count(DISTINCT b.key)::BIGINT AS negatives, round(avg(CASE WHEN a.nir > b.nir THEN 1e0 WHEN a.nir = b.nir THEN 0.5e0 ELSE 0e0 END), 8) AS auc
+FROM dealt a JOIN dealt b ON a.fold = b.fold AND a.y = 1 AND b.y = 0 GROUP BY a.fold""")
+def presence_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the near infrared alone ranks occurrences above background, fold by fold."""
+    ranked = presence.rank_auc(presence.with_folds(_presence(spark, sf_dir)), "fold", "nir")
+    return ranked.select("fold", "positives", "negatives", F.round("auc", 8).alias("auc"))
+
+
+@query("presence_model")
+def presence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy by ranks of forests on folds of occurrences that they haven't seen; tests hold it against pairs."""
+    return presence.fit(_presence(spark, sf_dir), list(BANDS), trees=20).folds

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spectral
 from ..functions.classes import ALTERATION_WEIGHTS, BANDS, GEM_WEIGHTS, MINERAL_WEIGHTS
 from ..functions.scalars import clip
-from ..operators import lineaments, neighbourhood, prospect, spatial, statistics, targets
+from ..operators import lineaments, neighbourhood, prospect, selection, spatial, statistics, targets
 from ..sources.pixels import WIDTH, pixels
 from .registry import PX, around, query
 
@@ -89,14 +89,14 @@ def surface_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dark_object_subtraction", PX + ", d AS (SELECT " + ", ".join(f"quantile_cont({b}, 0.005) AS d_{b}" for b in BANDS) + " FROM px) SELECT id, " + ", ".join(f"round(greatest({b} - d_{b}, 0e0), 6) AS {b}" for b in BANDS) + " FROM px, d")
 def dark_object_subtraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
-    dark = px.agg(*[F.percentile(b, 0.005).alias(f"d_{b}") for b in BANDS])
+    dark = selection.quantile_row(px, {f"d_{b}": (F.col(b), 0.005) for b in BANDS})
     return statistics.with_row(px, dark).select("id", *rounded(**{b: F.greatest(F.col(b) - F.col(f"d_{b}"), F.lit(0.0)) for b in BANDS}))
 
 
 @query("percentile_stretch", PX + ", d AS (SELECT quantile_cont(swir1, 0.02) AS lo, quantile_cont(swir1, 0.98) AS hi FROM px) SELECT id, floor(least(greatest((swir1 - lo) / (hi - lo + 1e-6), 0e0), 1e0) * 255)::INT AS grey FROM px, d")
 def percentile_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
-    ends = px.agg(F.percentile("swir1", 0.02).alias("lo"), F.percentile("swir1", 0.98).alias("hi"))
+    ends = selection.quantile_row(px, {"lo": (F.col("swir1"), 0.02), "hi": (F.col("swir1"), 0.98)})
     share = clip((F.col("swir1") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6), 0.0, 1.0)
     return statistics.with_row(px, ends).select("id", (share * 255).cast("int").alias("grey"))
 
@@ -303,8 +303,8 @@ me AS (SELECT r, c, """ + ", ".join(f"CASE WHEN usable THEN {e} ELSE 0e0 END AS
 @query("mineral_model_scores", _MINERAL_EVIDENCE + _scores_sql("me", MINERAL_WEIGHTS, {"vein": "least(greatest(silica + 0.4e0, 0e0), 1e0)"}))
 def mineral_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores from ratios and from density and nearness of steep edges of relief."""
-    df = neighbourhood.sobel(surface(spark, sf_dir), "dem", "steep")
-    df = statistics.with_row(df, df.agg(F.percentile("steep", 0.97).alias("cut"))).withColumn("line", F.col("steep") >= F.col("cut"))
+    df = targets.settled(neighbourhood.sobel(surface(spark, sf_dir), "dem", "steep"))
+    df = statistics.with_row(df, selection.quantile_row(df, {"cut": (F.col("steep"), 0.97)})).withColumn("line", F.col("steep") >= F.col("cut"))
     df = spatial.distances(lineaments.density(df, "line", 2, 20.0, "density"), {"distance": "line"}, 20.0)
     scored = prospect.mineral_scores(prospect.mineral_evidence(df, F.col("usable"), "density", "distance"))
     return scored.select("r", "c", *[F.round(m, 3).alias(m) for m in MINERAL_WEIGHTS])
@@ -364,9 +364,10 @@ def kappa_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("target_cutoffs", PX + "SELECT k::INT AS model, round(least(99e0, greatest(75e0, quantile_cont((id * 37) % 101 * 1e0, 0.99))), 6) AS cutoff FROM px GROUP BY k")
 def target_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = pixels(spark, sf_dir).withColumn("score", ((F.col("id") * 37) % 101).cast("double"))
-    cut = F.least(F.lit(99.0), F.greatest(F.lit(75.0), F.percentile("score", 0.99)))
-    return scored.groupBy(F.col("k").cast("int").alias("model")).agg(F.round(cut, SIX).alias("cutoff"))
+    score = ((F.col("id") * 37) % 101).cast("double")
+    cuts = statistics.target_cutoff(pixels(spark, sf_dir), {str(k): F.when(F.col("k") == k, score) for k in range(1, 8)})
+    each = F.array(*[F.struct(F.lit(k).alias("model"), F.round(str(k), SIX).alias("cutoff")) for k in range(1, 8)])
+    return cuts.select(F.inline(each))
 
 
 @query("success_rates", PX + """, b AS (SELECT (id * 37) % 101 AS s FROM px), o AS (SELECT (s_suppkey * 53) % 101 AS s FROM supplier),
