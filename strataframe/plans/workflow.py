@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, hyperspectral
 from ..functions.classes import BANDS, SCL_CLEAR
 from ..functions.scalars import clip, lookup, mean_of
-from ..operators import learning, neighbourhood, spatial, statistics, targets
+from ..operators import convnet, halos, learning, neighbourhood, spatial, statistics, targets
 from ..sinks import tiles
 from ..sources.pixels import pixels, table
 from .raster import SIX, rounded, surface
@@ -208,22 +208,17 @@ def mgrs_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("k", "zone", "epsg", geo.mgrs_square(F.col("zone"), F.col("e"), F.col("n"), F.col("lat")).alias("square"))
 
 
-@query("pixel_patches", PX + """SELECT t.id, round(sum(s.nir * (1 + (dr + 4) * 9 + dc + 4)), 6) AS fingerprint, count(*)::BIGINT AS n FROM px t, hw, range(-4, 5) a(dr), range(-4, 5) b(dc), px s
-    WHERE t.id % 97 = 0 AND s.r = CASE WHEN t.r + dr < 0 THEN -(t.r + dr) WHEN t.r + dr >= h THEN 2 * h - 2 - (t.r + dr) ELSE t.r + dr END AND s.c = CASE WHEN t.c + dc < 0 THEN -(t.c + dc) WHEN t.c + dc >= w THEN 2 * w - 2 - (t.c + dc) ELSE t.c + dc END GROUP BY t.id""")
+@query("pixel_patches", PX + """, pat AS (SELECT r, c, id, nir FROM px),
+rows_ AS (SELECT t.r, t.c, dr, s.nir FROM pat t, hw, range(-4, 5) a(dr), pat s WHERE s.c = t.c AND s.r = CASE WHEN t.r + dr < 0 THEN -(t.r + dr) WHEN t.r + dr >= h THEN 2 * h - 2 - (t.r + dr) ELSE t.r + dr END),
+sums AS (SELECT r, c, sum(nir) AS s0, sum(nir * (dr + 4)) AS s1 FROM rows_ GROUP BY r, c)
+SELECT t.id, round(sum(s.s1) * 9 + sum(s.s0 * (1 + dc + 4)), 6) AS fingerprint FROM pat t, hw, range(-4, 5) b(dc), sums s
+    WHERE s.r = t.r AND s.c = CASE WHEN t.c + dc < 0 THEN -(t.c + dc) WHEN t.c + dc >= w THEN 2 * w - 2 - (t.c + dc) ELSE t.c + dc END GROUP BY t.id""")
 def pixel_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """9 x 9 patches around sampled pixels; beyond the edge they are mirrored, the edge itself not repeated."""
+    """A weighted sum over the 9 x 9 patch of every pixel; beyond the edge patches are mirrored, the edge itself not repeated."""
     px = pixels(spark, sf_dir)
-    size = px.agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
-    steps = F.explode(F.sequence(F.lit(-4), F.lit(4)))
-    spread = statistics.with_row(px.filter("id % 97 = 0").select("id", "r", "c"), size).withColumn("dr", steps).withColumn("dc", steps)
-
-    def mirrored(at: Column, n: str) -> Column:
-        return F.when(at < 0, -at).when(at >= F.col(n), F.col(n) * 2 - 2 - at).otherwise(at)
-
-    wanted = spread.select("id", "dr", "dc", mirrored(F.col("r") + F.col("dr"), "h").alias("r"), mirrored(F.col("c") + F.col("dc"), "w").alias("c"))
-    patch = wanted.join(px.select("r", "c", "nir"), ["r", "c"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dr", "dc", "nir"))).alias("p"))
-    weighted = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["nir"] * (F.lit(1) + (x["dr"] + 4) * 9 + x["dc"] + 4))
-    return patch.select("id", F.round(weighted, SIX).alias("fingerprint"), F.size("p").cast("long").alias("n"))
+    weights = {(dr, dc): 1.0 + (dr + 4) * 9 + dc + 4 for dr in range(-4, 5) for dc in range(-4, 5)}
+    sums = halos.patch_sums(px, "nir", weights, "fingerprint")
+    return sums.join(px.select("r", "c", "id"), ["r", "c"]).select("id", F.round("fingerprint", SIX).alias("fingerprint"))
 
 
 _LEARN = ["blue", "green", "red", "nir", "swir1", "swir2"]
@@ -260,6 +255,17 @@ def perceptron_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.accuracy(statistics.confusion(scored, "y", "p", list(range(7))))
 
 
+@query("convolution_accuracy")
+def convolution_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy on unseen blocks of a network that looks at 9 x 9 cells; tests hold its gradients against differences."""
+    from ..operators.sampling import block_split
+
+    labelled = block_split(surface(spark, sf_dir), 16).withColumn("y", F.when(F.col("usable"), F.col("k")))
+    net = convnet.fit(labelled.withColumn("y", F.when(F.col("split") == 0, F.col("y"))), _LEARN, "y", rounds=30, rate=6e-3)
+    scored = net.predict(labelled).join(labelled.filter("split = 2 and y is not null").select("r", "c", "y"), ["r", "c"])
+    return statistics.accuracy(statistics.confusion(scored, "y", "class", list(range(1, 8))))
+
+
 @query("spectral_units")
 def spectral_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means units of usable pixels, with how sure each is."""
