@@ -81,6 +81,114 @@ def over_tiles(df: DataFrame, reads: list[str], reach: int, schema: str, functio
     return sent.filter(inside).groupBy("tr", "tc").applyInArrow(whole, schema)
 
 
+@dataclass(frozen=True)
+class Kernel:
+    """What makes the columns ``makes`` from one column, which it sees ``reach`` cells around; beyond the raster NaN or mirrored."""
+
+    makes: tuple[str, ...]
+    reads: str
+    reach: int
+    function: Callable[[np.ndarray], tuple[np.ndarray, ...]]
+    mirrored: bool = True
+
+
+def mean(out: str, value: str, size: int) -> Kernel:
+    """Mean of the known cells in a square of odd ``size``."""
+
+    def make(a: np.ndarray) -> tuple[np.ndarray, ...]:
+        known = ~np.isnan(a)
+        total, n = (_boxed(x, size) for x in (np.where(known, a, 0.0), known.astype(float)))
+        return (np.where(n > 0, total / np.maximum(n, 1), np.nan),)
+
+    return Kernel((out,), value, size // 2, make)
+
+
+def _boxed(a: np.ndarray, size: int) -> np.ndarray:
+    """Sums over squares; cells are added one by one, so that nothing is lost by subtraction."""
+    h, w = a.shape[0] - size + 1, a.shape[1] - size + 1
+    across = sum(a[:, k : k + w] for k in range(size))
+    return sum(across[k : k + h] for k in range(size))
+
+
+def extreme(out: str, value: str, size: int, how: str) -> Kernel:
+    """Largest (``max``) or lowest (``min``) known cell in a square of odd ``size``."""
+    pick = np.fmax if how == "max" else np.fmin
+
+    def make(a: np.ndarray) -> tuple[np.ndarray, ...]:
+        for axis in (1, 0):
+            n = a.shape[axis] - size + 1
+            parts = [np.take(a, range(k, k + n), axis) for k in range(size)]
+            a = parts[0]
+            for x in parts[1:]:
+                a = pick(a, x)
+        return (a,)
+
+    return Kernel((out,), value, size // 2, make)
+
+
+def slopes(dz_dx: str, dz_dy: str, value: str, pixel: float) -> Kernel:
+    """Central differences, one-sided beside unknown cells and at the edges, 0 between two of these."""
+
+    def make(a: np.ndarray) -> tuple[np.ndarray, ...]:
+        own, out = a[1:-1, 1:-1], []
+        for before, after in ((a[1:-1, :-2], a[1:-1, 2:]), (a[:-2, 1:-1], a[2:, 1:-1])):
+            found = np.zeros(own.shape)
+            for x in ((own - before) / pixel, (after - own) / pixel, (after - before) / (2 * pixel)):
+                found = np.where(np.isnan(x), found, x)
+            out.append(found)
+        return tuple(out)
+
+    return Kernel((dz_dx, dz_dy), value, 1, make, mirrored=False)
+
+
+def steepness(out: str, value: str) -> Kernel:
+    """Magnitude of the 3 x 3 Sobel gradient."""
+
+    def make(a: np.ndarray) -> tuple[np.ndarray, ...]:
+        smooth = [a[:, :-2] + 2 * a[:, 1:-1] + a[:, 2:], a[:-2] + 2 * a[1:-1] + a[2:]]
+        return (np.hypot(smooth[1][:, 2:] - smooth[1][:, :-2], smooth[0][2:] - smooth[0][:-2]),)
+
+    return Kernel((out,), value, 1, make)
+
+
+def with_kernels(df: DataFrame, kernels: list[Kernel], size: tuple[int, int] | None = None, tile: int = TILE) -> DataFrame:
+    """``df`` and the columns that kernels make, all after one shuffle by tile with the widest kernel's halo.
+
+    Rows outside the raster of ``size`` (rows, columns; found if not given) don't come back, nor do
+    pixels of null place; every other column goes along untouched.
+    """
+    height, width = size or raster_size(df)
+    reach, reads = max(k.reach for k in kernels), sorted({k.reads for k in kernels})
+    made = [m for k in kernels for m in k.makes]
+    kept = [c for c in df.columns if c not in made]
+
+    def whole(table: pa.Table) -> pa.Table:
+        first = int(table.column("tr")[0].as_py()) * tile, int(table.column("tc")[0].as_py()) * tile
+        here = Tile(*first, min(tile, height - first[0]), min(tile, width - first[1]), reach)
+        span = here.height + 2 * reach, here.width + 2 * reach
+        r, c = (table.column(x).to_numpy() - b + reach for x, b in zip(("r", "c"), first, strict=True))
+        places = [_folded(np.arange(b - reach, b - reach + n), m, "symmetric") - b + reach for b, n, m in zip(first, span, (height, width), strict=True)]
+        plain, mirrored = {}, {}
+        for name in reads:
+            held = np.full(span, np.nan)
+            held[r, c] = table.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            plain[name] = held
+            mirrored[name] = held[np.ix_(*(np.clip(p, 0, n - 1) for p, n in zip(places, span, strict=True)))]
+        own = table.column("inner").combine_chunks().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
+        out = table.filter(pa.array(own)).select(kept)
+        r, c = r[own] - reach, c[own] - reach
+        for k in kernels:
+            cut = reach - k.reach
+            a = (mirrored if k.mirrored else plain)[k.reads]
+            for name, values in zip(k.makes, k.function(a[cut : a.shape[0] - cut, cut : a.shape[1] - cut]), strict=True):
+                out = out.append_column(name, pa.array(values[r, c], from_pandas=True))
+        return out
+
+    sent = with_halo(df.select(*kept), tile, reach).filter((F.col("tr") * tile < height) & (F.col("tc") * tile < width))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept] + [f"`{m}` double" for m in made]
+    return sent.groupBy("tr", "tc").applyInArrow(whole, ", ".join(fields))
+
+
 def cells(here: Tile, columns: dict[str, np.ndarray], present: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows (r, c, columns) of the tile's own cells; NaN is null."""
     r, c = (x.ravel() for x in np.mgrid[here.row : here.row + here.height, here.col : here.col + here.width])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbourhood import box, illumination, sobel, with_slope_and_aspect
+from .halos import Kernel, mean, raster_size, shifted_sum, slopes, steepness, with_kernels
+from .neighbourhood import illumination, slope_and_aspect
 from .selection import quantile_row
 from .targets import connected, settled
 
@@ -20,40 +22,56 @@ def kernel(length: int, angle: int) -> list[tuple[int, int]]:
     return sorted({(round(-t * math.cos(strike)), round(t * math.sin(strike))) for t in range(-half, half + 1)})
 
 
-def edges(df: DataFrame, dem: str = "dem", pixel: float = 20.0, suns: tuple[int, ...] = (0, 45, 90, 135), share: float = 0.85) -> DataFrame:
-    """Adds ``edge``: whether the shaded relief under any of the suns is among its steepest 15 percent."""
-    made = settled(with_slope_and_aspect(df, dem, pixel))
-    names = []
-    for sun in suns:
-        # Settled each time: a mirrored edge reads the raster twice, so a chain of them would grow by powers of two.
-        made = settled(sobel(made.withColumn("_shade", illumination(float(sun), 30.0)), "_shade", f"_s{sun}").drop("_shade"))
-        names.append(f"_s{sun}")
+def edges(df: DataFrame, dem: str = "dem", pixel: float = 20.0, suns: tuple[int, ...] = (0, 45, 90, 135), share: float = 0.85, size: tuple[int, int] | None = None) -> DataFrame:
+    """Adds ``edge``: whether the shaded relief under any of the suns is among its steepest 15 percent.
+
+    One shuffle by tile for slopes, one for the steepness of all shades.
+    """
+    size = size or raster_size(df)
+    lit = slope_and_aspect(with_kernels(df, [slopes("dz_dx", "dz_dy", dem, pixel)], size))
+    lit = lit.withColumns({f"_l{sun}": illumination(float(sun), 30.0) for sun in suns})
+    names = [f"_s{sun}" for sun in suns]
+    made = settled(with_kernels(lit, [steepness(f"_s{sun}", f"_l{sun}") for sun in suns], size))
     cuts = quantile_row(made, {f"{n}_cut": (F.col(n), share) for n in names})
-    found = made.crossJoin(F.broadcast(cuts))
     any_edge = F.lit(False)
     for n in names:
-        any_edge = any_edge | (F.col(n) >= F.col(f"{n}_cut"))
-    return found.withColumn("edge", any_edge).select(*df.columns, "edge")
+        any_edge = any_edge | F.coalesce(F.col(n) >= F.col(f"{n}_cut"), F.lit(False))
+    return made.crossJoin(F.broadcast(cuts)).withColumn("edge", any_edge).select(*df.columns, "edge")
+
+
+def line_filter(length: int, edge: str = "edge") -> Kernel:
+    """``straight``, the share of a line's cells that are edges, and ``angle``, the first of the best of twelve."""
+    lines = [kernel(length, angle) for angle in range(ANGLES)]
+    reach = length // 2
 
+    def make(a: np.ndarray) -> tuple[np.ndarray, ...]:
+        a = np.nan_to_num(a)
+        share = np.stack([np.round(shifted_sum(a, dict.fromkeys(line, 1.0), reach) / len(line), 9) for line in lines])
+        best = share.max(axis=0)
+        return best, np.where(best > 0, share.argmax(axis=0), np.nan)
 
-def straightness(df: DataFrame, length: int, edge: str = "edge") -> DataFrame:
-    """Adds ``straight`` (share of a line's cells that are edges, 0 to 1) and ``angle``, the best of twelve.
+    return Kernel(("straight", "angle"), edge, reach, make, mirrored=False)
 
-    Only edge cells are sent to the cells whose line they lie on; beyond the
-    raster there are no edges.  Of equal angles the first counts.
+
+def straightness(df: DataFrame, length: int, edge: str = "edge", size: tuple[int, int] | None = None) -> DataFrame:
+    """Adds ``straight`` (0 to 1) and ``angle`` by the line filter, as shifted sums on tiles.
+
+    Beyond the raster there are no edges.  ``angle`` is null where no line holds one.
     """
-    cells = [(angle, dr, dc, 1.0 / len(line)) for angle in range(ANGLES) for line in [kernel(length, angle)] for dr, dc in line]
-    moves = F.broadcast(df.sparkSession.createDataFrame(cells, "angle int, dr int, dc int, part double"))  # twelve short lines
-    sent = df.filter(edge).select("r", "c").crossJoin(moves).select((F.col("r") - F.col("dr")).alias("r"), (F.col("c") - F.col("dc")).alias("c"), "angle", "part")
-    sums = sent.groupBy("r", "c", "angle").agg(F.sum("part").alias("v"))
-    best = sums.groupBy("r", "c").agg(F.max("v").alias("straight"), F.max_by("angle", F.struct(F.round("v", 9), -F.col("angle"))).alias("angle"))
-    return df.join(best, ["r", "c"], "left").withColumn("straight", F.coalesce("straight", F.lit(0.0)))
+    return with_kernels(df, [line_filter(length, edge)], size).withColumn("angle", F.col("angle").cast("int"))
+
+
+def lines(df: DataFrame, length: int, dem: str = "dem", pixel: float = 20.0, least: float = 0.7, size: tuple[int, int] | None = None) -> DataFrame:
+    """Adds ``line`` (whether a cell is an edge on a straight line), ``straight`` and ``angle``."""
+    size = size or raster_size(df)
+    found = straightness(edges(df, dem, pixel, size=size), length, size=size)
+    return found.withColumn("line", F.col("edge") & (F.col("straight") >= least)).drop("edge")
 
 
-def density(df: DataFrame, flag: str, radius_cells: int, pixel: float, out: str) -> DataFrame:
+def density(df: DataFrame, flag: str, radius_cells: int, pixel: float, out: str, size: tuple[int, int] | None = None) -> DataFrame:
     """Adds the length of lines per area around each cell."""
-    made = df.withColumn("_one", F.col(flag).cast("double"))
-    return box(made, {"_mean": "_one"}, 2 * radius_cells + 1).withColumn(out, F.col("_mean") * (1000.0 / pixel)).drop("_one", "_mean")
+    made = with_kernels(df.withColumn("_one", F.col(flag).cast("double")), [mean("_mean", "_one", 2 * radius_cells + 1)], size)
+    return made.withColumn(out, F.col("_mean") * (1000.0 / pixel)).drop("_one", "_mean")
 
 
 def segments(df: DataFrame, width: int, pixel: float = 20.0, straight: float = 0.7, least_m: float = 400.0) -> DataFrame:

@@ -62,8 +62,12 @@ def gradient(df: DataFrame, value: str, pixel: float) -> DataFrame:
 
 def with_slope_and_aspect(df: DataFrame, dem: str = "dem", pixel: float = 20.0) -> DataFrame:
     """Adds ``slope`` and ``aspect`` in radians (aspect 0 faces north)."""
-    steep = gradient(df, dem, pixel)
-    return steep.withColumn("slope", F.atan(F.hypot("dz_dx", "dz_dy"))).withColumn("aspect", F.atan2(-F.col("dz_dx"), F.col("dz_dy"))).drop("dz_dx", "dz_dy")
+    return slope_and_aspect(gradient(df, dem, pixel))
+
+
+def slope_and_aspect(df: DataFrame) -> DataFrame:
+    """``slope`` and ``aspect`` in place of ``dz_dx`` and ``dz_dy``."""
+    return df.withColumn("slope", F.atan(F.hypot("dz_dx", "dz_dy"))).withColumn("aspect", F.atan2(-F.col("dz_dx"), F.col("dz_dy"))).drop("dz_dx", "dz_dy")
 
 
 def illumination(azimuth: float, elevation: float) -> Column:

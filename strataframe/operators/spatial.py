@@ -76,11 +76,30 @@ def _envelope(c: np.ndarray, height2: np.ndarray) -> np.ndarray:
     return height2[lowest] + (c - c[lowest]) ** 2
 
 
+#: Lines whose nearest cells are sought together, and steps to either side before a line is solved by itself.
+LINES, STEPS = 32, 64
+
+
+def _nearest_along(height2: np.ndarray) -> np.ndarray:
+    """``_envelope`` of every line, infinite without sites: near sites by steps to either side, far ones by parabolas."""
+    best = height2.copy()
+    for k in range(1, min(STEPS, height2.shape[1] - 1) + 1):
+        if not (best > k * k).any():
+            return best
+        np.minimum(best[:, k:], height2[:, :-k] + k * k, out=best[:, k:])
+        np.minimum(best[:, :-k], height2[:, k:] + k * k, out=best[:, :-k])
+    if height2.shape[1] - 1 > STEPS:
+        c = np.arange(height2.shape[1], dtype=np.float64)
+        for i in np.flatnonzero((best > STEPS * STEPS).any(axis=1) & np.isfinite(height2).any(axis=1)):
+            best[i] = _envelope(c, height2[i])
+    return best
+
+
 def distances(cells: DataFrame, flags: dict[str, str], pixel: float) -> DataFrame:
     """Adds, for each (new, flag), the exact distance to the nearest flagged cell; null if there is none.
 
-    First the nearest flagged cell of a cell's own column, by two windows; then, line
-    by line, the lower envelope of the parabolas that stand on these.  Work is
+    First the nearest flagged cell of a cell's own column, by two windows; then, some lines
+    at a time, the lower envelope of the parabolas that stand on these.  Work is
     in proportion to the raster, whatever the distances.
     """
     column = Window.partitionBy("c").orderBy("r")
@@ -92,16 +111,18 @@ def distances(cells: DataFrame, flags: dict[str, str], pixel: float) -> DataFram
     names = made.columns
 
     def along(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("c").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        c = table.column("c").to_numpy().astype(np.float64)
+        r, c = (table.column(x).to_numpy() for x in ("r", "c"))
+        base, last = c.min(), r.min()
+        held = np.full((r.max() - last + 1, c.max() - base + 1), np.inf)
         for new in flags:
-            d2 = _envelope(c, table.column(new).to_numpy(zero_copy_only=False).astype(np.float64) ** 2)
-            table = table.set_column(names.index(new), new, pa.array(np.sqrt(d2) * pixel, from_pandas=True))
-        return table
+            held[:] = np.inf
+            held[r - last, c - base] = np.nan_to_num(table.column(new).to_numpy(zero_copy_only=False).astype(np.float64) ** 2, nan=np.inf)
+            d = np.sqrt(_nearest_along(held)[r - last, c - base]) * pixel
+            table = table.set_column(names.index(new), new, pa.array(np.where(np.isinf(d), np.nan, d), from_pandas=True))
+        return table.drop_columns(["_lines"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
-    return made.groupBy("r").applyInArrow(along, schema)
+    return made.withColumn("_lines", F.floor(F.col("r") / LINES)).groupBy("_lines").applyInArrow(along, schema)
 
 
 def ring_area(ring: Column) -> Column:

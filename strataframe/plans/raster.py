@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spectral
 from ..functions.classes import ALTERATION_WEIGHTS, BANDS, GEM_WEIGHTS, MINERAL_WEIGHTS
 from ..functions.scalars import clip
-from ..operators import lineaments, neighbourhood, prospect, selection, spatial, statistics, targets
+from ..operators import halos, lineaments, neighbourhood, prospect, selection, spatial, statistics, targets
 from ..sources.pixels import WIDTH, pixels
 from .registry import PX, around, query
 
@@ -161,7 +161,7 @@ _TERRAIN = PX + """, g AS (
     round(least(greatest(sin(radians(45)) * cos(slope) + cos(radians(45)) * sin(slope) * cos(radians(315) - aspect), 0e0), 1e0), 6) AS hillshade, round(least(greatest((dem - m) / 50, -5e0), 5e0), 6) AS roughness
     FROM sl JOIN tpi ON tpi.r = sl.r AND tpi.c = sl.c""")
 def terrain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = neighbourhood.box(neighbourhood.with_slope_and_aspect(pixels(spark, sf_dir)), {"_m": "dem"}, 5)
+    made = neighbourhood.slope_and_aspect(halos.with_kernels(pixels(spark, sf_dir), [halos.slopes("dz_dx", "dz_dy", "dem", 20.0), halos.mean("_m", "dem", 5)]))
     return made.select("id", *rounded(
         elevation=F.col("dem") / 1000, steepness=F.degrees("slope") / 90, aspect_sin=F.sin("aspect"), aspect_cos=F.cos("aspect"),
         hillshade=clip(neighbourhood.illumination(315.0, 45.0), 0.0, 1.0), roughness=clip((F.col("dem") - F.col("_m")) / 50, -5.0, 5.0),
@@ -288,25 +288,44 @@ def _scores_sql(source: str, weights: dict, scale: dict | None = None) -> str:
 @query("gem_model_scores", _GEM_LITHOLOGY + _scores_sql("gk", GEM_WEIGHTS))
 def gem_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all models from evidence, rock map, bedrock and contacts."""
-    evidence = prospect.gem_evidence(planted(spark, sf_dir), F.col("usable"))
-    rock = neighbourhood.with_slope_and_aspect(evidence).withColumn("ok", F.col("usable") & prospect.bedrock())
-    return prospect.gem_scores(prospect.with_lithology(rock, F.col("ok"), "k")).select("r", "c", *[F.round(m, 3).alias(m) for m in GEM_WEIGHTS])
+    size = halos.raster_size(pixels(spark, sf_dir))
+    evidence = prospect.gem_evidence(planted(spark, sf_dir), F.col("usable"), [halos.slopes("dz_dx", "dz_dy", "dem", 20.0)], size)
+    rock = neighbourhood.slope_and_aspect(evidence).withColumn("ok", F.col("usable") & prospect.bedrock())
+    return prospect.gem_scores(prospect.with_lithology(rock, F.col("ok"), "k"), size).select("r", "c", *[F.round(m, 3).alias(m) for m in GEM_WEIGHTS])
 
 
 _MINERAL = {"clay": _RATIOS["clay"], "iron_oxide": _RATIOS["iron_oxide"], "gossan": _RATIOS["gossan"], "brightness": _GEM["brightness"], "lineament": "density"}
-_LINES = around("px", "sum(s.dem * dc * (2 - abs(dr))) AS gx, sum(s.dem * dr * (2 - abs(dc))) AS gy", 1, "sob") + """, cut AS (SELECT quantile_cont(sqrt(gx * gx + gy * gy), 0.97) AS q FROM sob), ln AS (SELECT r, c, (sqrt(gx * gx + gy * gy) >= q)::INT::DOUBLE AS line FROM sob, cut)""" + around("ln", "avg(s.line) * 50 AS density", 2, "dn") + """,
-ld AS (SELECT t.r, t.c, sqrt(min((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c))) * 20 AS distance FROM ln t, ln s WHERE s.line = 1 GROUP BY t.r, t.c), lined AS (SELECT surface.*, density, distance FROM surface JOIN dn ON dn.r = surface.r AND dn.c = surface.c JOIN ld ON ld.r = surface.r AND ld.c = surface.c)"""
-_MINERAL_EVIDENCE = PX + _LINES + ", v AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in _MINERAL.items()) + " FROM lined), mm AS (SELECT " + ", ".join(f"median({k}) AS m_{k}" for k in _MINERAL) + " FROM v WHERE usable), ms AS (SELECT " + ", ".join(f"greatest(median(abs({k} - m_{k})) * 1.4826e0, 1e-4) AS s_{k}" for k in _MINERAL) + " FROM v, mm WHERE usable), mz AS (SELECT r, c, usable, distance, " + ", ".join(f"least(greatest((({k} - m_{k}) / s_{k}) / 3e0, 0e0), 1e0) AS p_{k}" for k in _MINERAL) + """ FROM v, mm, ms),
-me AS (SELECT r, c, """ + ", ".join(f"CASE WHEN usable THEN {e} ELSE 0e0 END AS {k}" for k, e in {"clay": "p_clay", "iron_oxide": "p_iron_oxide", "gossan": "p_gossan", "silica": "p_brightness * (1 - p_iron_oxide)", "lineament": "p_lineament", "proximity": "exp(-distance / 100e0)"}.items()) + " FROM mz)"
+#: Cells of a line, and the share of them that must be edges.
+LINE_CELLS, LINE_SHARE = 9, 0.8
+
+
+def _lines_sql() -> str:
+    """Edges of four shades of relief, the best of twelve lines through each, density and distance of straight edges."""
+    suns = (0, 45, 90, 135)
+    shade = ", ".join(f"cos(radians(60)) * cos(slope) + sin(radians(60)) * sin(slope) * cos(radians({s}) - aspect) AS l{s}" for s in suns)
+    sums = ", ".join(f"sqrt(pow(sum(s.l{s} * dc * (2 - abs(dr))), 2) + pow(sum(s.l{s} * dr * (2 - abs(dc))), 2)) AS s{s}" for s in suns)
+    cells = ", ".join(f"({angle}, {dr}, {dc}, {len(line)})" for angle in range(lineaments.ANGLES) for line in [lineaments.kernel(LINE_CELLS, angle)] for dr, dc in line)
+    return f""", lit AS (SELECT r, c, {shade} FROM sl)""" + around("lit", sums, 1, "sob") + f""",
+cut AS (SELECT {", ".join(f"quantile_cont(s{s}, 0.85) AS q{s}" for s in suns)} FROM sob),
+edges AS (SELECT r, c FROM sob, cut WHERE {" OR ".join(f"s{s} >= q{s}" for s in suns)}),
+moves(angle, dr, dc, n) AS (VALUES {cells}),
+votes AS (SELECT e.r - dr AS r, e.c - dc AS c, angle, count(*) / any_value(n)::DOUBLE AS v FROM edges e, moves GROUP BY ALL),
+best AS (SELECT r, c, max(v) AS v FROM votes GROUP BY r, c),
+ln AS (SELECT px.r, px.c, (e.r IS NOT NULL AND coalesce(round(b.v, 9), 0) >= {LINE_SHARE})::INT::DOUBLE AS line FROM px LEFT JOIN edges e USING (r, c) LEFT JOIN best b USING (r, c))""" + around("ln", "avg(s.line) * 50 AS density", 2, "dn") + """,
+ld AS (SELECT t.r, t.c, sqrt(min((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c))) * 20 AS distance FROM ln t, ln s WHERE s.line = 1 GROUP BY t.r, t.c), lined AS (SELECT surface.*, density, distance FROM surface JOIN dn ON dn.r = surface.r AND dn.c = surface.c LEFT JOIN ld ON ld.r = surface.r AND ld.c = surface.c)"""
+
+
+_MINERAL_EVIDENCE = _TERRAIN + _lines_sql() + ", v AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in _MINERAL.items()) + " FROM lined), mm AS (SELECT " + ", ".join(f"median({k}) AS m_{k}" for k in _MINERAL) + " FROM v WHERE usable), ms AS (SELECT " + ", ".join(f"greatest(median(abs({k} - m_{k})) * 1.4826e0, 1e-4) AS s_{k}" for k in _MINERAL) + " FROM v, mm WHERE usable), mz AS (SELECT r, c, usable, distance, " + ", ".join(f"least(greatest((({k} - m_{k}) / s_{k}) / 3e0, 0e0), 1e0) AS p_{k}" for k in _MINERAL) + """ FROM v, mm, ms),
+me AS (SELECT r, c, """ + ", ".join(f"CASE WHEN usable THEN {e} ELSE 0e0 END AS {k}" for k, e in {"clay": "p_clay", "iron_oxide": "p_iron_oxide", "gossan": "p_gossan", "silica": "p_brightness * (1 - p_iron_oxide)", "lineament": "p_lineament", "proximity": "coalesce(exp(-distance / 100e0), 0e0)"}.items()) + " FROM mz)"
 
 
 @query("mineral_model_scores", _MINERAL_EVIDENCE + _scores_sql("me", MINERAL_WEIGHTS, {"vein": "least(greatest(silica + 0.4e0, 0e0), 1e0)"}))
 def mineral_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores from ratios and from density and nearness of steep edges of relief."""
-    df = targets.settled(neighbourhood.sobel(surface(spark, sf_dir), "dem", "steep"))
-    df = statistics.with_row(df, selection.quantile_row(df, {"cut": (F.col("steep"), 0.97)})).withColumn("line", F.col("steep") >= F.col("cut"))
-    df = spatial.distances(lineaments.density(df, "line", 2, 20.0, "density"), {"distance": "line"}, 20.0)
-    scored = prospect.mineral_scores(prospect.mineral_evidence(df, F.col("usable"), "density", "distance"))
+    """Scores from ratios and from density and nearness of lineaments in the relief."""
+    size = halos.raster_size(pixels(spark, sf_dir))
+    df = targets.settled(lineaments.lines(surface(spark, sf_dir), LINE_CELLS, least=LINE_SHARE, size=size))
+    df = spatial.distances(lineaments.density(df, "line", 2, 20.0, "density", size), {"distance": "line"}, 20.0)
+    scored = prospect.mineral_scores(prospect.mineral_evidence(df, F.col("usable"), "density", "distance"), size)
     return scored.select("r", "c", *[F.round(m, 3).alias(m) for m in MINERAL_WEIGHTS])
 
 
@@ -320,8 +339,8 @@ _HAZARD_CLASS = "1 + (ix >= 0.35e0)::INT + (ix >= 0.50e0)::INT + (ix >= 0.65e0):
 
 
 def _hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = neighbourhood.with_slope_and_aspect(surface(spark, sf_dir))
-    df = neighbourhood.box(neighbourhood.box(df, {"_hi": "dem"}, 15, "max"), {"_lo": "dem"}, 15, "min", first="r")
+    wide = [halos.slopes("dz_dx", "dz_dy", "dem", 20.0), halos.extreme("_hi", "dem", 15, "max"), halos.extreme("_lo", "dem", 15, "min")]
+    df = neighbourhood.slope_and_aspect(halos.with_kernels(surface(spark, sf_dir), wide))
     df = spatial.distances(df.withColumn("_water", F.col("lc") == 251), {"_river": "_water"}, 20.0)
     return prospect.landslide(df, "label", F.degrees("slope"), F.col("_hi") - F.col("_lo"), F.col("_river"), spectral.normalized_difference(F.col("nir"), F.col("red")))
 

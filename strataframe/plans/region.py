@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 from ..functions import classes, geo, scalars, spectral
 from ..functions.classes import BANDS, GEM_WEIGHTS, MINERAL_WEIGHTS
 from ..operators import learning, lineaments, neighbourhood, polygons, prospect, scenes, spatial, statistics, targets
+from ..operators.halos import raster_size
 from ..sinks import tiles, vectors
 
 
@@ -97,14 +98,30 @@ class Region:
 
         return self._step("gems", make, force)
 
-    def minerals(self, lines: DataFrame, force: bool = False) -> DataFrame:
-        """Scores of the three mineral models from cells (r, c) of lineaments."""
+    def lineaments(self, length_m: float = 600.0, force: bool = False) -> DataFrame:
+        """(r, c, line, straight, angle) from the relief of the composite."""
+        cells = max(9, round(length_m / self.pixel) | 1)
+        return self._step("lineaments", lambda: lineaments.lines(self.table("composite").select("r", "c", "dem"), cells, pixel=self.pixel), force)
+
+    def minerals(self, lines: DataFrame | None = None, layers: DataFrame | None = None, force: bool = False) -> DataFrame:
+        """Scores of the three mineral models.
+
+        ``lines`` are cells (r, c) of lineaments; without them those of the relief are used.
+        ``layers`` (r, c, and any of quartz_index_raw, clay_depth, iron_depth) switch
+        weights to the quartz index and, where there is cover, to absorption depths.
+        """
 
         def make() -> DataFrame:
-            df = self.surface().join(lines.select("r", "c").distinct().withColumn("line", F.lit(True)), ["r", "c"], "left").withColumn("line", F.coalesce("line", F.lit(False)))
-            df = lineaments.density(df, "line", round(1000 / self.pixel), self.pixel, "density")
-            df = spatial.distances(df, {"distance": "line"}, self.pixel).withColumn("distance", F.coalesce("distance", F.lit(1e6)))
-            return prospect.mineral_scores(prospect.mineral_evidence(df, F.col("usable"), "density", "distance")).select("r", "c", *MINERAL_WEIGHTS)
+            cells = (lines if lines is not None else self.lineaments().filter("line")).select("r", "c").distinct().withColumn("line", F.lit(True))
+            df = self.surface().join(cells, ["r", "c"], "left").withColumn("line", F.coalesce("line", F.lit(False)))
+            there = set(layers.columns) if layers is not None else set()
+            df = df.join(layers, ["r", "c"], "left") if layers is not None else df
+            size = raster_size(self.table("composite"))
+            df = lineaments.density(df, "line", round(1000 / self.pixel), self.pixel, "density", size)
+            df = spatial.distances(df, {"distance": "line"}, self.pixel)
+            depths = {k: v for k, v in (("hyper_clay", "clay_depth"), ("hyper_iron", "iron_depth")) if v in there}
+            evidence = prospect.mineral_evidence(df, F.col("usable"), "density", "distance", "quartz_index_raw" if "quartz_index_raw" in there else None, depths)
+            return prospect.mineral_scores(evidence, size).select("r", "c", *MINERAL_WEIGHTS)
 
         return self._step("minerals", make, force)
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import convnet, halos, learning
+from strataframe.operators import convnet, halos, learning, spatial
+from strataframe.plans.region import Region
 
 
 def frame(spark, **arrays):
@@ -86,3 +87,67 @@ def test_network_learns_texture_where_single_cells_tell_nothing(spark):
     assert single.select(F.avg((F.col("prediction") == F.col("k") - 3).cast("double"))).first()[0] < 0.65
     with pytest.raises(ValueError, match="label"):
         convnet.fit(df.withColumn("y", F.lit(None).cast("int")), ["v"], "y")
+
+
+def test_kernels_share_one_shuffle_and_are_right(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0, 1, (2, 17, 23))
+    a[5, 7] = np.nan
+    df = frame(spark, a=a, b=b)
+    kernels = [halos.mean("m", "a", 5), halos.extreme("hi", "a", 3, "max"), halos.extreme("lo", "b", 7, "min"), halos.slopes("dx", "dy", "b", 2.0), halos.steepness("st", "b")]
+    made = halos.with_kernels(df, kernels, tile=6)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(x.r, x.c): x for x in made.collect()}
+    assert len(got) == 17 * 23 and made.columns == ["r", "c", "a", "b", "m", "hi", "lo", "dx", "dy", "st"]
+    pad = lambda x, n: np.pad(x, n, mode="symmetric")
+    pa_, p3, q3, q1 = pad(a, 2), pad(a, 1), pad(b, 3), pad(b, 1)
+    gy, gx = np.gradient(b, 2.0)
+    for (r, c), x in got.items():
+        assert abs(x.m - np.nanmean(pa_[r : r + 5, c : c + 5])) < 1e-12 and x.hi == np.nanmax(p3[r : r + 3, c : c + 3]) and x.lo == q3[r : r + 7, c : c + 7].min()
+        assert abs(x.dx - gx[r, c]) < 1e-12 and abs(x.dy - gy[r, c]) < 1e-12
+        w = q1[r : r + 3, c : c + 3]
+        sx, sy = (w[:, 2] - w[:, 0]) @ [1, 2, 1], (w[2] - w[0]) @ [1, 2, 1]
+        assert abs(x.st - np.hypot(sx, sy)) < 1e-12
+        assert x.a == a[r, c] or x.a is None
+
+
+@pytest.mark.parametrize(("steps", "lines"), [(64, 32), (2, 3), (0, 1)])
+def test_distances_near_and_far(spark, monkeypatch, steps, lines):
+    monkeypatch.setattr(spatial, "STEPS", steps)
+    monkeypatch.setattr(spatial, "LINES", lines)
+    rng = np.random.default_rng(steps)
+    near, far = (rng.random((11, 40)) < 0.05).astype(float), np.zeros((11, 40))
+    far[2, 3] = 1
+    df = frame(spark, n=near, f=far).withColumns({"n": F.col("n") > 0, "f": F.col("f") > 0, "none": F.lit(False), "text": F.lit("k")})
+    rows = spatial.distances(df, {"dn": "n", "df": "f", "d0": "none"}, 20.0).collect()
+    assert len(rows) == 440
+    for x in rows:
+        for name, sites in (("dn", near), ("df", far)):
+            want = min(np.hypot(x.r - i, x.c - j) for i, j in zip(*np.nonzero(sites))) * 20
+            assert abs(x[name] - want) < 1e-9
+        assert x.d0 is None and x.text == "k"
+
+
+def test_a_fault_raises_veins_and_layers_switch_weights(spark, tmp_path):
+    """Along a straight trench veins score higher; quartz and depths count where they are known."""
+    rng = np.random.default_rng(0)
+    h = w = 48
+    r, c = np.mgrid[:h, :w]
+    dem = 1000 + rng.normal(0, 0.3, (h, w)) - 150 * np.exp(-((c - r) / 2.0) ** 2)
+    bands = {b: 0.2 + 0.02 * rng.random((h, w)) + (0.25 if b != "blue" else 0.2) * ((r // 6 + c // 6) % 2) for b in ("blue", "green", "red", "nir", "swir1", "swir2")}
+    df = frame(spark, dem=dem, **bands).withColumn("scl", F.lit(5))
+    region = Region(spark, str(tmp_path / "region"), 500000.0, 3900000.0, 43, w, tile=32)
+    df.write.parquet(str(tmp_path / "region" / "composite"))
+    found = region.lineaments(300.0)
+    near = found.filter("line and abs(c - r) <= 4").count()
+    assert near > 20 and near > 5 * found.filter("line and abs(c - r) > 12").count()
+    plain = region.minerals().cache()
+    by_distance = plain.join(found, ["r", "c"]).groupBy((F.abs(F.col("c") - F.col("r")) <= 4).alias("near")).agg(F.avg("vein").alias("v"))
+    score = {x.near: x.v for x in by_distance.collect()}
+    assert score[True] > score[False]
+    layers = frame(spark, quartz_index_raw=1 + 0.01 * rng.random((h, w)) + (c > 40), clay_depth=np.where(r < 10, 0.2, np.nan), iron_depth=np.where(r < 10, 0.0, np.nan))
+    plain_rows = {(x.r, x.c): x for x in plain.collect()}
+    switched = {(x.r, x.c): x for x in region.minerals(layers=layers, force=True).collect()}
+    assert np.mean([switched[k].vein for k in switched if k[1] > 42]) > np.mean([plain_rows[k].vein for k in plain_rows if k[1] > 42])
+    assert np.mean([switched[k].copper for k in switched if k[0] < 9]) > np.mean([plain_rows[k].copper for k in plain_rows if k[0] < 9])
+    assert all(abs(switched[k].copper - plain_rows[k].copper) < 1e-9 for k in switched if k[0] > 12)
