@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,32 +25,8 @@ def forest(train: DataFrame, features: list[str], label: str, trees: int = 200,
     return Pipeline(stages=stages).fit(balanced(train, label))
 
 
-def fourier_features(columns: list[str], n: int = 64, gamma: float = 0.5, seed: int = 0) -> Column:
-    """Random Fourier features whose dot product is near the radial basis kernel.
-
-    Columns are taken as scaled already.  Spark has no kernel machine; a linear
-    one over these features stands in for it.
-    """
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(0, np.sqrt(2 * gamma), (n, len(columns)))
-    shifts = rng.uniform(0, 2 * np.pi, n)
-    scale = float(np.sqrt(2.0 / n))
-    row = F.array(*[F.col(c) for c in columns])
-
-    def feature(w: np.ndarray, b: float) -> Column:
-        dot = F.aggregate(F.zip_with(row, F.array(*[F.lit(float(x)) for x in w]), lambda x, y: x * y), F.lit(float(b)), lambda a, v: a + v)
-        return F.cos(dot) * scale
-
-    return array_to_vector(F.array(*[feature(w, b) for w, b in zip(weights, shifts, strict=True)]))
-
-
-def kernel_machine(train: DataFrame, label: str, features: str = "features", steps: int = 20) -> PipelineModel:
-    """One linear support vector machine per class over ``features``."""
-    return Pipeline(stages=[OneVsRest(classifier=LinearSVC(maxIter=steps, featuresCol=features), labelCol=label, featuresCol=features)]).fit(train)
-
-
 def perceptron(train: DataFrame, features: list[str], label: str, classes: int, hidden: int = 24, seed: int = 0) -> PipelineModel:
-    """A small network on scaled features, where the reference has a convolutional one."""
+    """A small network on scaled features of single pixels."""
     stages = [
         VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True),
         MultilayerPerceptronClassifier(labelCol=label, layers=[len(features), hidden, classes], maxIter=60, seed=seed),
@@ -74,8 +49,3 @@ def with_unit_confidence(model: PipelineModel, df: DataFrame) -> DataFrame:
     margin = F.lit(1.0) - near[0] / (near[1] + 1e-6) if len(centres) > 1 else F.lit(1.0)
     scored = model.transform(df)
     return scored.withColumn("confidence", F.least(F.greatest(margin, F.lit(0.0)) * 2, F.lit(1.0))).withColumn("unit", F.col("unit") + 1)
-
-
-def first_by_kappa(scores: DataFrame, name: str = "algorithm") -> DataFrame:
-    """The algorithm of highest kappa, the first by name of equal ones."""
-    return scores.orderBy(F.col("kappa").desc(), name).limit(1)
