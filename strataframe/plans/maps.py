@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classes import BANDS
-from ..operators import neighbourhood, polygons, presence, spatial
+from ..operators import neighbourhood, polygons, presence, prospecting, spatial
 from ..sources.pixels import WIDTH, table
 from .raster import surface
 from .registry import ORACLES, PX, query
@@ -81,3 +81,28 @@ def presence_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def presence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy by ranks of forests on folds of occurrences that they haven't seen; tests hold it against pairs."""
     return presence.fit(_presence(spark, sf_dir), list(BANDS), trees=20).folds
+
+
+_SCORES = PX + """, sc AS (SELECT r, c, usable, least(100e0, 40e0 * k / 3 + (id * 37) % 23) AS iron, CASE WHEN k IN (2, 5) THEN 80e0 + (id * 13) % 19 ELSE 30e0 + (id * 7) % 31 END AS vein FROM surface),
+ground AS (SELECT r, c, iron, vein, greatest(iron, vein) AS best FROM sc WHERE usable),
+places AS (SELECT n_nationkey AS key, (n_nationkey * 23) % 61 AS r, (n_nationkey * 37) % 97 AS c, CASE WHEN n_regionkey < 3 THEN 'iron' ELSE 'vein' END AS model FROM nation),
+occ AS (SELECT key, any_value(p.model) AS model, max(CASE WHEN usable THEN iron ELSE 0 END) AS iron, max(CASE WHEN usable THEN vein ELSE 0 END) AS vein, max(CASE WHEN usable THEN greatest(iron, vein) ELSE 0 END) AS best
+    FROM places p JOIN sc ON abs(sc.r - p.r) <= 1 AND abs(sc.c - p.c) <= 1 WHERE EXISTS (SELECT 1 FROM px WHERE px.r = p.r AND px.c = p.c) GROUP BY key)"""
+_RATES = "count(*) FILTER (pct IS NOT NULL)::BIGINT AS n, round(avg(pct), 6) AS auc, round(avg((pct >= 0.9)::INT), 6) AS top10, round(avg((pct >= 0.8)::INT), 6) AS top20"
+
+
+def _model_sql(name: str, column: str, who: str, cut: str) -> str:
+    return f"SELECT '{name}' AS model, (SELECT round(count(*) FILTER ({column} >= 75) * 0.0004e0, 6) FROM ground) AS high_km2, {cut} AS cutoff, {_RATES} FROM (SELECT (SELECT count(*) FROM ground g WHERE g.{column} <= o.{column}) / (SELECT count(*) FROM ground)::DOUBLE AS pct FROM occ o WHERE {who})"
+
+
+@query("prospect_report", _SCORES + _model_sql("overall", "best", "true", "NULL::DOUBLE") + " UNION ALL " + " UNION ALL ".join(_model_sql(m, m, f"model = '{m}'", f"(SELECT round(least(99e0, greatest(75e0, quantile_cont({m}, 0.99))), 6) FROM ground)") for m in ("iron", "vein")))
+def prospect_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas, cutoffs and how known occurrences rank, for two models and the best of them."""
+    k, i = F.col("k"), F.col("id")
+    iron = F.least(F.lit(100.0), F.lit(40.0) * k / 3 + (i * 37) % 23)
+    vein = F.when(k.isin(2, 5), F.lit(80.0) + (i * 13) % 19).otherwise(F.lit(30.0) + (i * 7) % 31)
+    scored = surface(spark, sf_dir).select("r", "c", "usable", "dem", iron.alias("iron"), vein.alias("vein"))
+    n = F.col("n_nationkey").cast("long")
+    points = table(spark, sf_dir, "nation").select(n.alias("key"), (n * 23 % 61).alias("r"), (n * 37 % 97).alias("c"), F.when(F.col("n_regionkey") < 3, "iron").otherwise("vein").alias("model"))
+    made = prospecting.prospects(scored, ["iron", "vein"], WIDTH, points, least=2)
+    return made.models.select("model", "n", *[F.round(c, 6).alias(c) for c in ("high_km2", "cutoff", "auc", "top10", "top20")])

@@ -16,7 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import classes, geo, scalars, spectral
 from ..functions.classes import BANDS, GEM_WEIGHTS, MINERAL_WEIGHTS
-from ..operators import learning, lineaments, neighbourhood, polygons, prospect, scenes, spatial, statistics, targets
+from ..operators import learning, lineaments, neighbourhood, polygons, prospect, prospecting, scenes, spatial, statistics, targets
 from ..operators.halos import raster_size
 from ..sinks import tiles, vectors
 
@@ -125,6 +125,29 @@ class Region:
 
         return self._step("minerals", make, force)
 
+    def prospects(self, table: str, models: list[str], points: DataFrame | None = None, **parameters) -> prospecting.Prospects:
+        """Targets, areas and success rates from a table of scores; ``points`` are known occurrences (key, lon, lat, model).
+
+        Targets get map coordinates, longitude and latitude.
+        """
+        scored = self.table(table).join(self.surface().select("r", "c", "usable", "dem"), ["r", "c"])
+        placed = None
+        if points is not None:
+            x, y = geo.to_utm(F.col("lon"), F.col("lat"), F.lit(self.zone))
+            placed = spatial.to_cell(points, x, y, self.left, self.top, self.pixel)
+        made = prospecting.prospects(scored, models, self.width, placed, pixel=self.pixel, **parameters)
+        x, y = F.col("x") * self.pixel + self.left, F.lit(self.top) - F.col("y") * self.pixel
+        lon, lat = geo.from_utm(x, y, F.lit(self.zone))
+        return prospecting.Prospects(made.models, made.targets.withColumns({"lon": F.round(lon, 6), "lat": F.round(lat, 6), "x": x, "y": y}))
+
+    def gem_analysis(self, points: DataFrame | None = None, **parameters) -> prospecting.Prospects:
+        self.gems(self.table("classes") if self.has("classes") else None)
+        return self.prospects("gems", list(GEM_WEIGHTS), points, **parameters)
+
+    def mineral_analysis(self, points: DataFrame | None = None, **parameters) -> prospecting.Prospects:
+        self.minerals()
+        return self.prospects("minerals", list(MINERAL_WEIGHTS), points, **parameters)
+
     def polygons(self, least: int = 25, masks: bool = False) -> DataFrame:
         """(tile, class_id, lithology, pixels, area_ha, rings) of the class map, patches split at the edges of tiles.
 

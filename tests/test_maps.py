@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import polygons, presence, selection, targets
+from strataframe.operators import polygons, presence, prospecting, selection, targets
 from strataframe.plans.region import Region
 
 
@@ -189,3 +189,40 @@ def test_presence_model_finds_what_is_there(spark):
     assert all((x.code == 0) == (not x.ok) and x.code <= 101 for x in coded)
     with pytest.raises(ValueError, match="missing"):
         made.code(back.drop("z"), F.lit(True))
+
+
+def test_prospects_from_scores_to_targets(spark):
+    """Two blocks of high scores and one too small; occurrences on and off them, and off the raster."""
+    rng = random.Random(4)
+    score = {(r, c): rng.uniform(0, 60) for r in range(40) for c in range(50)}
+    for r0, c0, size, value in ((2, 3, 5, 97), (30, 40, 4, 92), (20, 20, 2, 99)):
+        score |= {(r0 + i, c0 + j): value + rng.random() / 10 for i in range(size) for j in range(size)}
+    df = spark.createDataFrame([(r, c, c != 49, v, 10.0, 100.0 * r) for (r, c), v in score.items()], "r long, c long, usable boolean, iron double, vein double, dem double").repartition(4)
+    points = spark.createDataFrame([(1, 4, 4, "iron"), (2, 10, 10, "vein"), (3, 90, 4, "iron")], "key long, r long, c long, model string")
+    made = prospecting.prospects(df, ["iron", "vein"], 50, points, distance=100.0)
+    rows = {x.model: x for x in made.models.collect()}
+    ground = sorted(v for (r, c), v in score.items() if c != 49)
+    cut = min(99.0, max(75.0, float(np.percentile(ground, 99))))
+    assert abs(rows["iron"].cutoff - cut) < 1e-9 and rows["vein"].cutoff == 75.0 and rows["vein"].targets == 0
+    assert abs(rows["iron"].high_km2 - 45 * 0.0004) < 1e-12 and rows["overall"].n == 2 and rows["iron"].n == 1 and rows["iron"].top10 == 1.0
+    best = max(score[r, c] for r in (3, 4, 5) for c in (3, 4, 5))
+    assert abs(rows["iron"].auc - sum(v <= best for v in ground) / len(ground)) < 1e-12
+    targets = made.targets.collect()
+    assert [t.id for t in targets] == list(range(1, len(targets) + 1)) and all(t.pixels >= 12 for t in targets)
+    high = [(r, c) for (r, c), v in score.items() if v >= cut and r < 10]
+    assert len(targets) == 1 and targets[0].model == "iron" and targets[0].pixels == len(high) and abs(targets[0].area_ha - 0.04 * len(high)) < 1e-9
+    assert np.allclose([targets[0].x, targets[0].y, targets[0].elevation], [np.mean([c + 0.5 for _, c in high]), np.mean([r + 0.5 for r, _ in high]), np.mean([100.0 * r for r, _ in high])])
+    assert prospecting.prospects(df, ["iron"], 50).models.filter("n is null").count() == 2
+
+
+def test_region_analyses_end_in_targets(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(r, c, 5, 1000.0 + 12 * c + float(rng.normal(0, 1)), *(0.2 + 0.02 * rng.random(6) + (0.3 if 8 < r < 14 and 8 < c < 14 else 0)).tolist()) for r in range(32) for c in range(32)]
+    spark.createDataFrame(rows, "r long, c long, scl int, dem double, blue double, green double, red double, nir double, swir1 double, swir2 double").write.parquet(str(tmp_path / "composite"))
+    region = Region(spark, str(tmp_path), 500000.0, 3900000.0, 43, 32, tile=32)
+    points = spark.createDataFrame([(1, 75.0022, 35.2385, "pegmatite")], "key long, lon double, lat double, model string")
+    made = region.gem_analysis(points)
+    assert {x.model for x in made.models.collect()} == {"overall", "marble", "pegmatite", "contact", "ultramafic"}
+    assert made.models.filter("model = 'overall' and n = 1").count() == 1
+    assert {"lon", "lat", "id", "model"} <= set(made.targets.columns)
+    assert made.targets.filter("lon not between 74.99 and 75.02 or lat not between 35.2 and 35.3").count() == 0
