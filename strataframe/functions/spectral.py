@@ -78,19 +78,24 @@ def valid(cloud: Column) -> Column:
 
 
 def landcover(scl: Column | None = None, cos_i: Column | None = None) -> Column:
-    """0 for bare ground, else the class that hides the rock; scene codes rank first, shadow last."""
-    b, g, r, n, s1, s2 = (_band(x) for x in BANDS)
-    ndsi, ndvi, ndwi = normalized_difference(g, s1), normalized_difference(n, r), normalized_difference(g, n)
-    dark = (b + g + r + n + s1 + s2) / 6 < 0.035
-    if cos_i is not None:
-        dark = dark | (cos_i < 0.02)
-    out = F.when(dark, SHADOW).otherwise(0)
-    out = F.when(ndvi > 0.45, VEGETATION).otherwise(out)
-    out = F.when(((ndsi > 0.1) & (n < 0.10)) | ((ndwi > 0.15) & (n < 0.15)), WATER).otherwise(out)
-    out = F.when((ndsi > 0.4) & (g > 0.15) & (n > 0.11), SNOW).otherwise(out)
-    if scl is not None:
-        out = F.when(scl == 6, WATER).when(scl == 11, SNOW).otherwise(out)
-    return out
+    """0 for bare ground, else the class that hides the rock; scene codes rank first, shadow last.
+
+    Finite bands are bound once: filters copy this expression, and generated code that
+    repeats them is too long to be compiled.
+    """
+
+    def cover(v: Column) -> Column:
+        b, g, r, n, s1, s2 = (v[x] for x in BANDS)
+        ndsi, ndvi, ndwi = normalized_difference(g, s1), normalized_difference(n, r), normalized_difference(g, n)
+        dark = (b + g + r + n + s1 + s2) / 6 < 0.035
+        if cos_i is not None:
+            dark = dark | (cos_i < 0.02)
+        out = F.when((ndsi > 0.4) & (g > 0.15) & (n > 0.11), SNOW).when(((ndsi > 0.1) & (n < 0.10)) | ((ndwi > 0.15) & (n < 0.15)), WATER)
+        return out.when(ndvi > 0.45, VEGETATION).when(dark, SHADOW).otherwise(0)
+
+    bands = F.struct(*[_band(x).alias(x) for x in BANDS])
+    out = F.get(F.transform(F.array(bands), cover), F.lit(0))
+    return out if scl is None else F.when(scl == 6, WATER).when(scl == 11, SNOW).otherwise(out)
 
 
 def alteration_parts(stats: dict[str, tuple[str, str]]) -> tuple[Column, Column, Column]:
