@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,6 +86,27 @@ def from_utm(easting: Column, northing: Column, zone: Column, south: bool = Fals
     return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(lat)
 
 
+def metres_of(lon: np.ndarray, lat: np.ndarray, zone: int, south: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``to_utm`` for arrays of one zone, whose northings count from the equator or from its southern origin."""
+    e = 2 * math.sqrt(_N) / (1 + _N)
+    phi, lam = np.radians(lat), np.radians(lon - (zone * 6 - 183))
+    t = np.sinh(np.arctanh(np.sin(phi)) - e * np.arctanh(e * np.sin(phi)))
+    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+    east = eta + sum(a * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    north = xi + sum(a * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    return 500000 + _K0 * _RADIUS * east, (1e7 if south else 0.0) + _K0 * _RADIUS * north
+
+
+def degrees_of(easting: np.ndarray, northing: np.ndarray, zone: int, south: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``from_utm`` for arrays."""
+    xi0, eta0 = (northing - (1e7 if south else 0.0)) / (_K0 * _RADIUS), (easting - 500000) / (_K0 * _RADIUS)
+    xi = xi0 - sum(b * np.sin(2 * j * xi0) * np.cosh(2 * j * eta0) for j, b in enumerate(_BETA, 1))
+    eta = eta0 - sum(b * np.cos(2 * j * xi0) * np.sinh(2 * j * eta0) for j, b in enumerate(_BETA, 1))
+    chi = np.arcsin(np.sin(xi) / np.cosh(eta))
+    lat = chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(_DELTA, 1))
+    return zone * 6 - 183 + np.degrees(np.arctan2(np.sinh(eta), np.cos(xi))), np.degrees(lat)
+
+
 def mgrs_square(zone: Column, easting: Column, northing: Column, lat: Column) -> Column:
     """Name of the 100 km square (northern hemisphere)."""
     column = F.lit("")

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,19 +23,25 @@ def _runs(cells: DataFrame, label: str | None) -> DataFrame:
     return grouped.withColumn("run", F.min("c").over(Window.partitionBy("r", "_g"))).drop("_new", "_g")
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder in ``spark.checkpoint.dir``; a local session without one gets a folder of its own, others None."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local["):
+        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder and folder.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Computed once: written to the folder in ``spark.checkpoint.dir`` and read again.
 
     Where that is unset, a local session gets a folder of its own and another one persists.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            return df.persist()
-        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    place = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+        return df.persist()
+    place = f"{folder}/settled-{uuid.uuid4().hex}"
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
