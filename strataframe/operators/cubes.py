@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hyperspectral
 from ..sources import cubes
+from . import datasets
 
 #: Depth above which a mineral is called strong.
 STRONG = 0.3
@@ -20,11 +21,10 @@ def read(spark: SparkSession, path: str, bands: list[int]) -> DataFrame:
 def scale_of(spark: SparkSession, path: str, band: int) -> float:
     """1e-4 where the median of a band's positive values is above 2, that is of digital numbers; else 1.
 
-    Half of the values decide, so that counts do and nothing is sorted; the scan reads one band.
+    The scan reads one band, and counts decide.
     """
-    v = F.get("spectrum", 0)
-    high, all_ = read(spark, path, [band]).agg(F.count_if(v > 2), F.count_if(v > 0)).first()
-    return 1e-4 if high * 2 > all_ else 1.0
+    low = read(spark, path, [band]).select(F.get("spectrum", 0).alias("v")).filter("v > 0").agg(datasets.at_most("v", 0.5, 2.0)).first()[0]
+    return 1e-4 if low is False else 1.0
 
 
 def mineral_map(spark: SparkSession, path: str, scale: float | None = None) -> DataFrame:

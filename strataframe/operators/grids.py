@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
+
+from ..functions import geo
 
 
 def nested_bounds(rings: Column) -> Column:
@@ -72,3 +76,39 @@ def resampled(target: DataFrame, source: DataFrame, value: str, x: Column, y: Co
     met = named.join(source.select(F.col("r").alias("_sr"), F.col("c").alias("_sc"), F.col(value).alias("_v")), ["_sr", "_sc"])
     sums = met.groupBy("r", "c").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_t"))
     return target.join(sums, ["r", "c"], "left").withColumn(value, F.col("_s") / F.col("_t")).drop("_s", "_t")
+
+
+@F.pandas_udf(StructType().add("x", DoubleType()).add("y", DoubleType()))
+def _metres(lon: pd.Series, lat: pd.Series, zone: pd.Series) -> pd.DataFrame:
+    x, y = geo.metres_of(lon.to_numpy(), lat.to_numpy(), zone.to_numpy())
+    return pd.DataFrame({"x": x, "y": y})
+
+
+@F.pandas_udf(StructType().add("lon", DoubleType()).add("lat", DoubleType()))
+def _degrees(x: pd.Series, y: pd.Series, zone: pd.Series) -> pd.DataFrame:
+    lon, lat = geo.degrees_of(x.to_numpy(), y.to_numpy(), zone.to_numpy())
+    return pd.DataFrame({"lon": lon, "lat": lat})
+
+
+def squares_for(boxes: DataFrame, key: str) -> DataFrame:
+    """(key, square): the 100 km squares whose scenes may touch a box (west, south, east, north), each once.
+
+    For each zone of a box, points of 12 by 12 tell the metres it spans; a scene is its square and
+    9.8 km more to the east and south.  A square is named for the band of its centre and of half a
+    degree to either side.  Northern hemisphere.
+    """
+    zone = lambda lon: (F.floor((F.col(lon) + 180) / 6) + 1).cast("long")
+    zones = boxes.select(key, "west", "south", "east", "north", F.explode(F.sequence(zone("west"), zone("east"))).alias("zone"))
+    low, high = F.greatest("west", F.col("zone") * 6 - 186), F.least("east", F.col("zone") * 6 - 180)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(11)))
+    spread = zones.withColumn("_i", steps).withColumn("_j", steps)
+    lon, lat = low + (high - low) * F.col("_i") / 11, F.col("south") + (F.col("north") - F.col("south")) * F.col("_j") / 11
+    metres = spread.withColumn("_at", _metres(lon.cast("double"), lat.cast("double"), F.col("zone")))
+    span = metres.groupBy(key, "zone").agg(F.min("_at.x").alias("x0"), F.max("_at.x").alias("x1"), F.min("_at.y").alias("y0"), F.max("_at.y").alias("y1"))
+    hundred = lambda v: F.floor(v / 100000)
+    across = span.filter(hundred(F.col("x1")) >= 1).withColumns({"_e0": F.greatest(hundred(F.col("x0") - 10000), F.lit(1)), "_e1": F.least(hundred(F.col("x1")), F.lit(8))}).filter("_e0 <= _e1")
+    cells = across.withColumn("_e", F.explode(F.sequence("_e0", "_e1"))).withColumn("_n", F.explode(F.sequence(hundred(F.col("y0")), hundred(F.col("y1") + 10000))))
+    centre = cells.select(key, "zone", (F.col("_e") * 100000.0 + 50000).alias("x"), (F.col("_n") * 100000.0 + 50000).alias("y"))
+    placed = centre.withColumn("_at", _degrees("x", "y", "zone"))
+    bands = placed.withColumn("_lat", F.explode(F.array(*[F.col("_at.lat") + d for d in (-0.5, 0.0, 0.5)]))).filter("_lat >= -80 and _lat < 84")
+    return bands.select(key, geo.mgrs_square(F.col("zone"), F.col("x"), F.col("y"), F.col("_lat")).alias("square")).distinct()

@@ -11,7 +11,7 @@ from ..functions import spectral
 from ..functions.classes import BANDS, ROCKS
 from ..functions.geo import MERCATOR
 from ..functions.scalars import clip, finite, is_finite
-from ..operators import grids, jobs, neighbourhood, sampling, scenes, statistics
+from ..operators import datasets, grids, jobs, neighbourhood, sampling, scenes, statistics
 from ..sources.pixels import pixels, table
 from .raster import _INDICES, _TERRAIN, SIX, rounded, surface
 from .registry import PX, around, query
@@ -101,8 +101,7 @@ def safe_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file of each band of a scene: the wanted resolution first, then by name."""
     pick = lambda n, *x: F.get(F.array(*map(F.lit, x)), (F.col("s_suppkey") % n).cast("int"))
     files = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).alias("scene"), F.concat(F.lit("T43_2024_"), pick(7, "B02", "B03", "B04", "B8A", "B11", "B12", "SCL"), pick(4, "_10m", "_20m", "", "_60m"), F.lit(".jp2")).alias("name"))
-    found = files.withColumn("band", F.regexp_extract("name", r"_(B[0-9A-Z]{2}|SCL)(_\d+m)?\.", 1)).filter("band != ''")
-    return found.groupBy("scene", "band").agg(F.min_by("name", F.struct(~F.contains("name", F.lit("_20m")), "name")).alias("name"))
+    return datasets.band_files(files, "scene", "name")
 
 
 @query("spectral_library", "SELECT (0.4e0 + 0.01e0 * n_nationkey) * 1000 AS nm, m AS mineral, CASE WHEN (n_nationkey + i) % 6 <> 0 THEN round(n_nationkey * 0.01e0 + i, 6) END AS reflectance FROM nation, (VALUES ('kaolinite', 0), ('calcite', 1), ('alunite', 2)) AS t(m, i)")
@@ -111,28 +110,22 @@ def spectral_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     cell = lambda i: F.when((k + i) % 6 != 0, F.format_string("%.6f", k * F.lit(0.01) + i)).otherwise("")
     lines = table(spark, sf_dir, "nation").select(F.concat_ws(",", F.format_string("%.2f", F.lit(0.4) + F.lit(0.01) * k), cell(0), cell(1), cell(2)).alias("line"))
-    parts = F.split("line", ",")
-    value = lambda i: F.when(F.trim(parts[i]) != "", parts[i].cast("double"))
-    each = F.array(*[F.struct(F.lit(m).alias("mineral"), value(i).alias("reflectance")) for i, m in enumerate(("kaolinite", "calcite", "alunite"), 1)])
-    return lines.select((F.round(parts[0].cast("double") * 1000, 6)).alias("nm"), F.inline(each))
+    return datasets.library_rows(lines, "line", ["kaolinite", "calcite", "alunite"])
 
 
 @query("sensor_guess", "SELECT l_returnflag AS file, CASE WHEN quantile_cont(v, 0.99) <= 1.5 THEN 'reflectance' ELSE 'composite' END AS sensor, CASE WHEN median(v) > 2 THEN 0.0001e0 ELSE 1e0 END AS scale FROM (SELECT l_returnflag, CASE WHEN l_returnflag = 'A' THEN l_tax + 0.01 ELSE l_extendedprice END AS v FROM lineitem) WHERE v > 0 GROUP BY 1")
 def sensor_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What kind of numbers a file has, from its 99th percentile, and the scale of a cube from its median."""
     value = F.when(F.col("l_returnflag") == "A", F.col("l_tax") + 0.01).otherwise(F.col("l_extendedprice"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("file"), value.alias("v")).filter("v > 0")
-    kind = F.when(F.percentile("v", 0.99) <= 1.5, "reflectance").otherwise("composite")
-    return rows.groupBy("file").agg(kind.alias("sensor"), F.when(F.median("v") > 2, 1e-4).otherwise(1.0).alias("scale"))
+    return datasets.kind_and_scale(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("file"), value.alias("v")), "file", "v")
 
 
 @query("preset_boxes", "SELECT n_nationkey AS k, round(lon - d / cos(radians(lat)), 9) AS west, round(lat - d, 9) AS south, round(lon + d / cos(radians(lat)), 9) AS east, round(lat + d, 9) AS north FROM (SELECT n_nationkey, 70e0 + n_nationkey % 9 AS lon, 30e0 + n_nationkey % 8 AS lat, (10e0 + n_nationkey) / 111.32e0 AS d FROM nation)")
 def preset_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of so many kilometres around a place, in degrees."""
     k = F.col("n_nationkey")
-    lon, lat, d = F.lit(70.0) + k % 9, F.lit(30.0) + k % 8, (F.lit(10.0) + k) / 111.32
-    wide = d / F.cos(F.radians(lat))
-    return table(spark, sf_dir, "nation").select(k.alias("k"), *[F.round(v, 9).alias(n) for n, v in (("west", lon - wide), ("south", lat - d), ("east", lon + wide), ("north", lat + d))])
+    box = datasets.box_around(F.lit(70.0) + k % 9, F.lit(30.0) + k % 8, F.lit(10.0) + k)
+    return table(spark, sf_dir, "nation").select(k.alias("k"), *[F.round(v, 9).alias(n) for n, v in box.items()])
 
 
 @query("feature_table", _TERRAIN + around("px", "avg(s.dem) AS m", 2, "tpi") + f""", ix AS (SELECT id, {_INDICES}, {", ".join(f"round({b}, 6) AS {b}" for b in BANDS)} FROM px)
@@ -152,8 +145,8 @@ def mask_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rule reads a cloud layer: by its largest code and the sensor (O one family, F the other)."""
     code = F.col("l_linenumber") + F.when(F.col("l_returnflag") == "R", 20).otherwise(0)
     layers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("scene"), F.col("l_linestatus").alias("sensor")).agg(F.max(code).alias("top"))
-    rule = F.when((F.col("top") <= 11) & (F.col("sensor") == "O"), "scl").when(F.col("sensor") == "F", "qa").otherwise("binary")
-    return layers.select("scene", "sensor", rule.alias("rule"))
+    family = F.when(F.col("sensor") == "O", "sentinel2").when(F.col("sensor") == "F", "landsat89")
+    return layers.select("scene", "sensor", F.coalesce(datasets.mask_rule(F.col("top"), family), F.lit("binary")).alias("rule"))
 
 
 # Colours of the classes.
@@ -163,10 +156,8 @@ _COLORS = {1: "#4fa3e0", 2: "#f2c14e", 3: "#8c6d46", 4: "#e377c2", 5: "#3b3b3b",
 @query("class_colours", PX + ", col(label, red8, green8, blue8) AS (VALUES " + ", ".join(f"({k}, {int(v[1:3], 16)}, {int(v[3:5], 16)}, {int(v[5:], 16)})" for k, v in _COLORS.items()) + ") SELECT id, red8::INT AS red8, green8::INT AS green8, blue8::INT AS blue8, CASE WHEN label = 255 THEN 0 ELSE 255 END AS alpha FROM surface JOIN col USING (label)")
 def class_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Red, green, blue and opacity of each pixel's class; no data is clear."""
-    listed = spark.createDataFrame(list(_COLORS.items()), "label long, colour string")  # twelve rows
-    part = lambda at: F.conv(F.substring("colour", at, 2), 16, 10).cast("int")
-    met = surface(spark, sf_dir).join(F.broadcast(listed), "label")
-    return met.select("id", part(2).alias("red8"), part(4).alias("green8"), part(6).alias("blue8"), F.when(F.col("label") == 255, 0).otherwise(255).alias("alpha"))
+    made = datasets.colours(surface(spark, sf_dir), "label", _COLORS).filter("alpha is not null")
+    return made.select("id", "red8", "green8", "blue8", "alpha")
 
 
 @query("dataset_checks", """WITH a AS (SELECT s_nationkey AS area, count(*) AS bands, max(s_suppkey % 3) AS crs, max(s_suppkey % 50) AS top FROM supplier GROUP BY 1), l AS (SELECT c_nationkey AS area, c_custkey % 11 AS v FROM customer WHERE c_nationkey % 4 <> 3),
@@ -175,14 +166,9 @@ p AS (SELECT area, 'few bands' AS problem FROM a WHERE bands < 6 UNION ALL SELEC
 SELECT area, problem FROM p""")
 def dataset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would stop training on an area, one row a problem."""
-    areas = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("area")).agg(F.count(F.lit(1)).alias("bands"), F.max(F.col("s_suppkey") % 3).alias("crs"), F.max(F.col("s_suppkey") % 50).alias("top"))
+    seen = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("area")).agg(F.count(F.lit(1)).alias("bands"), (F.max(F.col("s_suppkey") % 3) > 0).alias("has_crs"), (F.max(F.col("s_suppkey") % 50) >= 5).alias("overlaps"))
     labels = table(spark, sf_dir, "customer").filter("c_nationkey % 4 != 3").select(F.col("c_nationkey").alias("area"), (F.col("c_custkey") % 11).alias("v"))
-    known = spark.createDataFrame([(k,) for k in (0, *ROCKS)], "v long")
-    own = [("few bands", F.col("bands") < 6), ("no coordinate system", F.col("crs") == 0), ("no overlap", F.col("top") < 5)]
-    found = areas.select("area", F.explode(F.array_compact(F.array(*[F.when(bad, name) for name, bad in own]))).alias("problem"))
-    unlabelled = areas.join(labels.select("area").distinct(), "area", "left_anti").select("area", F.lit("no labels").alias("problem"))
-    strange = labels.distinct().join(F.broadcast(known), "v", "left_anti").join(areas.select("area"), "area", "left_semi")
-    return found.unionByName(unlabelled).unionByName(strange.select("area", F.concat(F.lit("unknown class "), F.col("v").cast("string")).alias("problem")))
+    return datasets.problems(seen, labels)
 
 
 @query("newest_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 20")
@@ -201,14 +187,15 @@ def best_of_several(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The district with most pixels of each region; of equal ones the first."""
     sizes = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("v"))
     each = table(spark, sf_dir, "nation").join(sizes, "n_nationkey", "left").fillna(0, ["v"])
-    return each.groupBy(F.col("n_regionkey").alias("region")).agg(F.max_by("n_name", F.struct("v", -F.col("n_nationkey"))).alias("largest"), F.max("v").alias("size"))
+    return datasets.largest(each.withColumnRenamed("n_regionkey", "region"), "region", "n_name", "v", "n_nationkey")
 
 
 @query("coverage_of_tiles", PX + "SELECT count(*)::BIGINT AS tiles, round(avg(m), 6) AS coverage FROM (SELECT avg((scl IN (4, 5))::INT) AS m FROM px GROUP BY r // 16, c // 16)")
 def coverage_of_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over tiles of each tile's own mean."""
-    tiles = pixels(spark, sf_dir).groupBy(F.floor(F.col("r") / 16), F.floor(F.col("c") / 16)).agg(F.avg(F.col("scl").isin(4, 5).cast("int")).alias("m"))
-    return tiles.agg(F.count(F.lit(1)).alias("tiles"), F.round(F.avg("m"), SIX).alias("coverage"))
+    tile = [F.floor(F.col(axis) / 16) for axis in ("r", "c")]
+    made = datasets.mean_of_tiles(pixels(spark, sf_dir), tile, F.col("scl").isin(4, 5))
+    return made.select("tiles", F.round("coverage", SIX).alias("coverage"))
 
 
 @query("distinct_dates", "SELECT DISTINCT strftime(o_orderdate, '%Y%m%d')::INT AS day, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
@@ -233,8 +220,8 @@ def pooled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("layers_everywhere", "SELECT l_returnflag AS layer, bool_and(n >= 5) AS everywhere, count(*)::BIGINT AS tiles FROM (SELECT l_returnflag, l_suppkey % 9 AS tile, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
 def layers_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every tile has enough bands of a layer."""
-    tiles = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("layer"), F.col("l_suppkey") % 9).agg(F.count_distinct("l_linenumber").alias("n"))
-    return tiles.groupBy("layer").agg(F.bool_and(F.col("n") >= 5).alias("everywhere"), F.count(F.lit(1)).alias("tiles"))
+    bands = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("layer"), (F.col("l_suppkey") % 9).alias("tile"), "l_linenumber")
+    return datasets.layers_everywhere(bands, "layer", "tile", "l_linenumber", 5)
 
 
 @query("zoom_hints", f"SELECT p_partkey AS k, greatest(0, least(18, round_even(log2(2 * {MERCATOR!r}e0 / 256 / (p_size * 3e0)), 0)))::INT AS zoom FROM part")
@@ -281,8 +268,7 @@ def accuracy_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a report warns of: accuracy below 0.6, fewer than 2,000 pixels."""
     hit = (F.col("s_suppkey") % 7 == F.col("s_suppkey") * 3 % 7).cast("int")
     models = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("model")).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("overall"))
-    told = F.array_compact(F.array(F.when(F.col("overall") < 0.6, "low accuracy"), F.when(F.col("n") < 2000, "few pixels")))
-    return models.select("model", F.explode(told).alias("warning"))
+    return datasets.warnings(models, "model")
 
 
 @query("rock_insights", PX + """, n AS (SELECT label, count(*) AS n FROM surface WHERE label <= 7 GROUP BY 1), t AS (SELECT label, n, round(100e0 * n / sum(n) OVER (), 0)::INT AS share, row_number() OVER (ORDER BY n DESC, label) AS place FROM n)

@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Compared on larger tables, and by all that the driver compares, too: ties of rounding don't show on a thousand pixels.
-LARGER = ["align_bilinear", "class_polygons", "percentile_stretch", "pixel_patches", "presence_folds", "presence_ranks", "prospect_report", "scene_assets", "target_cutoffs"]
+LARGER = ["align_bilinear", "class_polygons", "composite_choice", "cube_areas", "overview_pyramid", "percentile_stretch", "pixel_patches", "presence_folds", "presence_ranks", "prospect_report", "scene_assets", "sensor_guess", "target_cutoffs", "warp_average"]
 
 
 def connected_to(folder):
