@@ -100,14 +100,15 @@ def distances(cells: DataFrame, flags: dict[str, str], pixel: float) -> DataFram
 
     First the nearest flagged cell of a cell's own column, by two windows; then, some lines
     at a time, the lower envelope of the parabolas that stand on these.  Work is
-    in proportion to the raster, whatever the distances.
+    in proportion to the raster, whatever the distances: both windows run from their
+    line's end, as Spark begins a frame that ends there anew for each row.
     """
-    column = Window.partitionBy("c").orderBy("r")
-    upto, onward = column.rowsBetween(Window.unboundedPreceding, 0), column.rowsBetween(0, Window.unboundedFollowing)
+    column = Window.partitionBy("c")
+    upto, onward = (column.orderBy(way).rowsBetween(Window.unboundedPreceding, 0) for way in (F.asc("r"), F.desc("r")))
     made = cells
     for new, flag in flags.items():
         own = F.when(F.col(flag), F.col("r"))
-        made = made.withColumn(new, F.least(F.col("r") - F.last(own, True).over(upto), F.first(own, True).over(onward) - F.col("r")).cast("double"))
+        made = made.withColumn(new, F.least(F.col("r") - F.last(own, True).over(upto), F.last(own, True).over(onward) - F.col("r")).cast("double"))
     names = made.columns
 
     def along(table: pa.Table) -> pa.Table:

@@ -128,6 +128,16 @@ def test_distances_near_and_far(spark, monkeypatch, steps, lines):
         assert x.d0 is None and x.text == "k"
 
 
+def test_distances_along_tall_columns_need_no_frame_anew_for_each_row(spark):
+    cells = spark.range(40_000).select((F.col("id") / 2).cast("long").alias("r"), (F.col("id") % 2).alias("c")).withColumn("n", F.col("r") % 7000 == 50)
+    found = spatial.distances(cells, {"d": "n"}, 1.0)
+    # Spark begins a frame up to the last row anew for each row: time with the square of a column's length.
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    sites = np.arange(50, 20_000, 7000)
+    rows = found.collect()
+    assert len(rows) == 40_000 and all(x.d == np.abs(sites - x.r).min() for x in rows)
+
+
 def test_a_fault_raises_veins_and_layers_switch_weights(spark, tmp_path):
     """Along a straight trench veins score higher; quartz and depths count where they are known."""
     rng = np.random.default_rng(0)
