@@ -39,26 +39,30 @@ def initial(n_features: int, n_classes: int, width: int, seed: int = 0) -> Weigh
     return out
 
 
+def _patches(x: np.ndarray, k: int) -> np.ndarray:
+    """The k x k cells that each cell of the next layer sees, a row each: one large product does what k * k small ones would."""
+    if k == 1:
+        return np.ascontiguousarray(x).reshape(-1, x.shape[2])
+    seen = np.lib.stride_tricks.sliding_window_view(x, (k, k), axis=(0, 1))
+    return seen.transpose(0, 1, 3, 4, 2).reshape(-1, k * k * x.shape[2])
+
+
 def _convolved(x: np.ndarray, w: np.ndarray, offset: np.ndarray) -> np.ndarray:
     k = w.shape[0]
-    h, v = x.shape[0] - k + 1, x.shape[1] - k + 1
-    out = np.broadcast_to(offset, (h, v, len(offset))).copy()
-    for i in range(k):
-        for j in range(k):
-            out += x[i : i + h, j : j + v] @ w[i, j]
-    return out
+    out = _patches(x, k) @ w.reshape(-1, w.shape[3])
+    out += offset
+    return out.reshape(x.shape[0] - k + 1, x.shape[1] - k + 1, -1)
 
 
 def _back(x: np.ndarray, w: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of a layer's weights and of what went into it."""
-    h, v, n = grad.shape
-    flat, dw, dx = grad.reshape(-1, n), np.empty_like(w), np.zeros_like(x)
-    for i in range(w.shape[0]):
-        for j in range(w.shape[0]):
-            part = x[i : i + h, j : j + v]
-            dw[i, j] = part.reshape(-1, part.shape[2]).T @ flat
-            dx[i : i + h, j : j + v] += grad @ w[i, j].T
-    return dw, dx
+    k, n = w.shape[0], grad.shape[2]
+    dw = (_patches(x, k).T @ grad.reshape(-1, n)).reshape(w.shape)
+    # A cell got into the next layer's cells around it, by the weights turned around.
+    wide = np.zeros((grad.shape[0] + 2 * k - 2, grad.shape[1] + 2 * k - 2, n), grad.dtype)
+    wide[k - 1 : k - 1 + grad.shape[0], k - 1 : k - 1 + grad.shape[1]] = grad
+    dx = _patches(wide, k) @ w[::-1, ::-1].transpose(0, 1, 3, 2).reshape(-1, w.shape[2])
+    return dw, dx.reshape(x.shape)
 
 
 def forward(weights: Weights, x: np.ndarray) -> list[np.ndarray]:
@@ -79,16 +83,20 @@ def chances(weights: Weights, x: np.ndarray) -> np.ndarray:
 
 
 def loss_and_gradient(weights: Weights, x: np.ndarray, y: np.ndarray, class_weight: np.ndarray) -> tuple[float, Weights]:
-    """Mean weighted cross entropy of smoothed labels, and its gradient; cells with ``y`` below 0 have no label."""
+    """Mean weighted cross entropy of smoothed labels, and its gradient; cells with ``y`` below 0 have no label.
+
+    All in the precision of ``x`` and the weights.
+    """
     held = forward(weights, x)
+    class_weight = class_weight.astype(x.dtype)
     scores, n = held[-1], len(class_weight)
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
     p = e / e.sum(axis=2, keepdims=True)
     there = y >= 0
     # The labels' shares, each class by its own weight.
-    target = np.where(there[..., None], (1 - SMOOTHING) * (np.arange(n) == y[..., None]) + SMOOTHING / n, 0.0) * class_weight
+    target = np.where(there[..., None], (1 - SMOOTHING) * (np.arange(n) == y[..., None]) + SMOOTHING / n, 0.0).astype(x.dtype) * class_weight
     total = max(1e-12, class_weight[y[there]].sum())
-    loss = -(target * np.log(np.maximum(p, 1e-300))).sum() / total
+    loss = -(target * np.log(np.maximum(p, np.finfo(p.dtype).tiny))).sum() / total
     grad = (p * target.sum(axis=2, keepdims=True) - target) / total
     out: Weights = [np.empty(0)] * len(weights)
     for k in range(len(weights) - 2, -1, -2):
@@ -187,12 +195,13 @@ def _round(tiles: DataFrame, weights: Weights, class_weight: np.ndarray, rate: f
     sent = tiles.sparkSession.sparkContext.broadcast(packed(weights))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, step = unpacked(sent.value, weights), 0, 0
+        # Single precision, as tiles have it; what tasks send is summed in double precision.
+        own, seen, step = [w.astype(np.float32) for w in unpacked(sent.value, weights)], 0, 0
         first, second = [np.zeros_like(w) for w in own], [np.zeros_like(w) for w in own]
         for batch in batches:
             for row in batch.to_pylist():
                 shape = row["height"], row["width"]
-                x = np.frombuffer(row["features"], "<f4").reshape(shape[0] + 2 * REACH, shape[1] + 2 * REACH, n_features).astype(float)
+                x = np.frombuffer(row["features"], "<f4").reshape(shape[0] + 2 * REACH, shape[1] + 2 * REACH, n_features)
                 x, y = _turned(x, np.frombuffer(row["labels"], np.int16).reshape(shape), np.random.default_rng([seed, number, row["row"], row["col"]]))
                 _, grad = loss_and_gradient(own, x, y, class_weight)
                 step, seen = step + 1, seen + row["n"]
@@ -201,7 +210,7 @@ def _round(tiles: DataFrame, weights: Weights, class_weight: np.ndarray, rate: f
                     v += 0.001 * (g * g - v)
                     w -= rate * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + DECAY * w)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([packed([w * seen for w in own])]), pa.array([seen])], ["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([packed([w.astype(np.float64) * seen for w in own])]), pa.array([seen])], ["w", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0

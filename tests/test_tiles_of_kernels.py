@@ -56,6 +56,15 @@ def test_gradient_against_differences():
             assert abs((losses[0] - losses[1]) / (2 * step) - grad[k][i]) < 1e-6
 
 
+def test_gradient_stays_in_single_precision():
+    rng = np.random.default_rng(3)
+    weights, x, y = convnet.initial(3, 4, 5), rng.normal(size=(17, 13, 3)), rng.integers(-1, 4, (9, 5))
+    loss, want = convnet.loss_and_gradient(weights, x, y, np.array([1.0, 2.0, 0.5, 1.0]))
+    single, got = convnet.loss_and_gradient([w.astype(np.float32) for w in weights], x.astype(np.float32), y, np.array([1.0, 2.0, 0.5, 1.0]))
+    assert abs(single - loss) < 1e-4 and {g.dtype for g in got} == {np.dtype(np.float32)}
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, want, strict=True))
+
+
 def test_dense_scores_are_those_of_each_patch(spark):
     rng = np.random.default_rng(1)
     net = convnet.ConvNet([2, 5, 9], ["a", "b"], [0.1, 0.2], [1.5, 0.7], convnet.initial(2, 3, 4, seed=3))
