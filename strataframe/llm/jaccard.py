@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import limit_batches, written
+from .shared import lean, limit_batches, written
 from .textarrays import ASCII_LOWER, Block, Words, find_words, gram_hashes, gram_starts, mix64, range_hashes, text_blocks
 
 SHINGLE = 5
@@ -100,6 +100,7 @@ def digests(docs: DataFrame, doc: str, text: str) -> DataFrame:
     kind = docs.schema[doc].dataType.simpleString()
     names = ["doc", "n", "h1", "h2", "short", "bits", "chunk", "counts"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[tuple[int, int]] = set()
@@ -138,6 +139,7 @@ def slot_levels(passed: DataFrame) -> np.ndarray:
     """How frequent the shingles of each slot of the sketch are: ``FREQUENT`` if the count stands
     out from chance, else its distance from the mean in quarters of a standard deviation."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -208,6 +210,7 @@ def signature_rows(docs: DataFrame, levels: np.ndarray, doc: str, text: str) ->
     kind = docs.schema[doc].dataType.simpleString()
     packed = docs.sparkSession.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(zlib.decompress(packed.value), np.uint8)
         seen: set[tuple[int, int]] = set()
@@ -345,6 +348,7 @@ def contested_pairs(cells: DataFrame, parts: DataFrame, passed: DataFrame, perce
         docs = table.column("doc").combine_chunks()
         return pa.RecordBatch.from_arrays([*(_flat(docs.take(pa.array(x))) for x in (left, right)), _flat(table.column("sig").take(pa.array(left))), pa.array(more)], ["a", "b", "sig", "more"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -374,6 +378,7 @@ def plausible(pairs: DataFrame, passed: DataFrame, percent: int = PERCENT) -> Da
     """Those of (a, b) whose sizes and whole bitmaps leave room for the similarity."""
     kind = pairs.schema["a"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (large.slice(k, 500) for large in batches for k in range(0, large.num_rows, 500)):
             keep = []
@@ -398,6 +403,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, percent: in
     """
     kind = docs.schema[doc].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (large.slice(k, 100) for large in batches for k in range(0, large.num_rows, 100)):
             sets = [[s for block in text_blocks(batch.column(k)) for s in shingle_sets(block)] for k in (2, 3)]

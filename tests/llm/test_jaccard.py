@@ -1,5 +1,8 @@
 import random
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -134,3 +137,20 @@ def test_components_of_long_chains(spark):
     rng.shuffle(edges)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {200: 150, 150: 150, 170: 150}
+
+
+def test_a_task_gives_its_memory_back():
+    """In a process of its own, as freed memory of other tests would count too."""
+    code = """
+from strataframe.llm.shared import lean
+def held():
+    return int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) // 1024
+def run(batches):
+    for x in batches:
+        many, keep = [bytes(3000) for _ in range(100_000)], bytes(10)
+        yield x
+before = held()
+assert list(lean(run)(iter([1, 2]))) == [1, 2]
+assert held() < before + 100, (before, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2])
