@@ -1,66 +1,106 @@
-"""Class maps as polygons: cell edges, cancelled and linked into rings."""
+"""Class maps as polygons: cell edges, followed within tiles and linked into rings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .halos import TILE, Tile, over_tiles
 from .targets import connected, settled
 
 
-def cell_edges(cells: DataFrame) -> DataFrame:
-    """(component, d, x, y): directed unit edges between a cell (r, c, component) and what isn't its component.
+#: For a side heading east, south, west or north: (rows, columns) ahead and to the left, (x, y) where it begins.
+_AHEAD, _LEFT, _BEGIN = ((0, 1), (1, 0), (0, -1), (-1, 0)), ((-1, 0), (0, 1), (1, 0), (0, -1)), ((0, 0), (1, 0), (1, 1), (0, 1))
+_PIECES = "component long, node long, next long, closed boolean, cross long, points array<array<double>>"
 
-    An edge that two cells of a component share cancels out: neither side makes it.  Edges
-    begin at (x, y) and run east, south, west or north (``d`` 0 to 3), their cell on the right.
+
+def _edges(here: Tile, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, column, side, and those of the edge after it) of the unit edges of a tile's cells.
+
+    ``parts`` are components with one more cell on each side, -1 where there is none.  An edge lies
+    between a cell and what isn't its component, the cell on its right.  Where two edges of
+    a component begin at one corner the ring turns left, so that no ring passes a corner twice.
     """
-    made = cells.select("r", "c", "component")
-    apart = []
-    for axis, other in (("r", "c"), ("c", "r")):
-        line = Window.partitionBy(other).orderBy(axis)
-        for move, step in ((F.lag, -1), (F.lead, 1)):
-            same = (move(axis).over(line) == F.col(axis) + step) & (move("component").over(line) == F.col("component"))
-            name = f"_{axis}{step}"
-            made = made.withColumn(name, ~F.coalesce(same, F.lit(False)))
-            apart.append(name)
-    r, c = F.col("r"), F.col("c")
-    sides = [("_r-1", 0, c, r), ("_c1", 1, c + 1, r), ("_r1", 2, c + 1, r + 1), ("_c-1", 3, c, r + 1)]
-    edges = F.array_compact(F.array(*[F.when(F.col(n), F.struct(F.lit(d).alias("d"), x.cast("long").alias("x"), y.cast("long").alias("y"))) for n, d, x, y in sides]))
-    return made.select("component", F.explode(edges).alias("e")).select("component", "e.*")
-
-
-def straight_edges(edges: DataFrame) -> DataFrame:
-    """Unit edges joined into the longest straight ones: (component, d, x, y, x2, y2)."""
-    flat = F.col("d") % 2 == 0
-    placed = edges.withColumn("_line", F.when(flat, F.col("y")).otherwise(F.col("x"))).withColumn("_at", F.when(flat, F.col("x")).otherwise(F.col("y")))
-    line = Window.partitionBy("_line", "d", "component").orderBy("_at")
-    island = placed.withColumn("_island", F.col("_at") - F.row_number().over(line))
-    forward = F.col("d") < 2
-    grouped = island.groupBy("component", "d", "_line", "_island").agg(F.min("_at").alias("_a"), F.max("_at").alias("_b"))
-    # Against the axis an edge begins at its far end; unit edges are named by where they begin.
-    begin = F.when(forward, F.col("_a")).otherwise(F.col("_b"))
-    end = F.when(forward, F.col("_b") + 1).otherwise(F.col("_a") - 1)
-    at = lambda v: (F.when(flat, v).otherwise(F.col("_line")), F.when(flat, F.col("_line")).otherwise(v))
-    (x, y), (x2, y2) = at(begin), at(end)
-    return grouped.select("component", "d", x.alias("x"), y.alias("y"), x2.alias("x2"), y2.alias("y2"))
-
-
-def linked_rings(straight: DataFrame, width: int) -> DataFrame:
-    """Adds ``ring``, the lowest edge of its ring, and ``far``, the steps from an edge on to that one, by pointer jumping.
-
-    Where two edges of a component begin at one corner the ring turns left, so that no
-    ring passes a corner twice.  Every round doubles how far each edge has looked ahead.
+    at = lambda step: parts[1 + step[0] : 1 + step[0] + here.height, 1 + step[1] : 1 + step[1] + here.width]
+    own, found = at((0, 0)), []
+    for d, (ahead, left) in enumerate(zip(_AHEAD, _LEFT, strict=True)):
+        across = ahead[0] + left[0], ahead[1] + left[1]
+        i, j = np.nonzero((own >= 0) & (at(left) != own))
+        turns, goes_on = (at(across) == own)[i, j], (at(ahead) == own)[i, j]
+        step = [np.where(turns, across[k], np.where(goes_on, ahead[k], 0)) for k in range(2)]
+        found.append((i, j, np.full(len(i), d), i + step[0], j + step[1], np.where(turns, d - 1, np.where(goes_on, d, d + 1)) % 4))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _heads(after: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each edge's chain begins and how many steps before it: at an edge that none of these leads to, on a ring at the lowest.
+
+    ``after`` is the next edge, or their number where that one isn't here.
     """
-    # One cell only has an edge of this place and direction.
-    node = (F.col("y") * (width + 1) + F.col("x")) * 4 + F.col("d")
-    edges = settled(straight.withColumn("node", node))
-    after = edges.select("component", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("d").alias("_d"), F.col("node").alias("_to"))
-    turns = F.pmod(F.col("_d") - F.col("d") - 3, F.lit(4))  # 0 for a left turn
-    succ = edges.join(after, ["component", "x2", "y2"]).groupBy("node").agg(F.min_by("_to", turns).alias("jump"))
-    state = settled(succ.select("node", "jump", F.col("node").alias("best"), F.lit(0).cast("long").alias("far")))
+    n = len(after)
+    jump, best = np.append(after, n), np.append(key, np.iinfo(np.int64).max)
+    seen = -1
+    while True:
+        # Chains that end and rings' lowest are found when twice as far a look finds no more of either.
+        lower, on = np.minimum(best, best[jump]), jump[jump]
+        ended = int((on == n).sum())
+        if ended == seen and (lower == best).all():
+            break
+        jump, best, seen = on, lower, ended
+    before = np.arange(n)
+    inside = after < n
+    before[after[inside]] = np.flatnonzero(inside)
+    lowest = (jump[:n] < n) & (best[:n] == key)
+    before[lowest] = np.flatnonzero(lowest)
+    steps = (before != np.arange(n)).astype(np.int64)
+    while (before[before] != before).any():
+        steps, before = steps + steps[before], before[before]
+    return before, steps
+
+
+def _traced(width: int, here: Tile, parts: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_PIECES``: rings that close within a tile and stretches of those that leave it.
+
+    ``node`` is the edge that a piece begins with and ``next`` the one after it, ``points`` are the corners at
+    which its edges end.  A stretch is cut at its lowest edge, so that each ring's lowest begins a piece.
+    """
+    i, j, d, *to = _edges(here, parts)
+    x, y, x2, y2 = (f + place + np.array([b[k] for b in _BEGIN])[side % 4] for side in (d, d + 1) for k, (f, place) in enumerate(((here.col, j), (here.row, i))))
+    key = (y * (width + 1) + x) * 4 + d
+    inside = (to[0] >= 0) & (to[0] < here.height) & (to[1] >= 0) & (to[1] < here.width)
+    index = np.full(here.height * here.width * 4, -1)
+    index[(i * here.width + j) * 4 + d] = np.arange(len(d))
+    after = np.full(len(d), len(d))
+    after[inside] = index[((to[0] * here.width + to[1]) * 4 + to[2])[inside]]
+    head, steps = _heads(after, key)
+    order = np.lexsort((steps, head))
+    first = np.flatnonzero(np.concatenate([[True], head[order][1:] != head[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    if len(first):
+        low = np.minimum.reduceat(key[order], first)
+        first = np.union1d(first, np.flatnonzero(key[order] == np.repeat(low, np.diff(np.append(first, len(order))))))
+    begin, end = order[first], order[np.append(first[1:], len(order)) - 1] if len(first) else first
+    corner = (to[2] != d)[order]
+    cross = (x * y2 - x2 * y)[order]
+    counts, crosses = (np.add.reduceat(v, first) if len(first) else first for v in (corner.astype(np.int64), cross))
+    flat = np.stack([x2[order][corner], y2[order][corner]], 1).astype(float).ravel()
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2), pa.int32()), pa.array(flat))
+    points = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pairs)
+    following = ((y2 * (width + 1) + x2) * 4 + to[2])[end]
+    columns = [pa.array(v) for v in (parts[1:-1, 1:-1][i, j][begin], key[begin], following, following == key[begin], crosses)]
+    return pa.RecordBatch.from_arrays([*columns, points], ["component", "node", "next", "closed", "cross", "points"])
+
+
+def _places(pieces: DataFrame) -> DataFrame:
+    """(node, ring, far) of pieces (node, next): the lowest piece of each one's ring and the steps on to it, by pointer jumping.
+
+    Every round doubles how far each piece has looked ahead.
+    """
+    state = settled(pieces.select("node", F.col("next").alias("jump"), F.col("node").alias("best"), F.lit(0).cast("long").alias("far")))
     span, before = 1, None
     while True:
-        # ``best`` is the lowest of the next ``span`` edges, ``far`` how many steps on it lies.
+        # ``best`` is the lowest of the next ``span`` pieces, ``far`` how many steps on it lies.
         ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("best").alias("_best"), (F.col("far") + span).alias("_far"))
         closer = F.col("_best") < F.col("best")
         best, far = F.when(closer, F.col("_best")).otherwise(F.col("best")), F.when(closer, F.col("_far")).otherwise(F.col("far"))
@@ -71,39 +111,45 @@ def linked_rings(straight: DataFrame, width: int) -> DataFrame:
         if total == before:
             break
         before = total
-    return edges.join(state.select("node", F.col("best").alias("ring"), "far"), "node").drop("node")
+    return state.select("node", F.col("best").alias("ring"), "far")
 
 
-def rings(cells: DataFrame, width: int) -> DataFrame:
+def rings(cells: DataFrame, width: int, block: int = TILE) -> DataFrame:
     """(component, ring, area, points) of cells (r, c, component): closed rings of (x, y) pixel corners.
 
     ``area`` is in cells, positive for the outer ring of a component and negative for holes.
+    Edges are followed within tiles of ``block`` pixels; only what leaves a tile is linked by joins.
     """
-    linked = linked_rings(straight_edges(cell_edges(cells)), width)
-    cross = (F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2.0
-    # The ring's first edge is nought steps from itself, the next ones most steps.
-    point = F.struct(F.when(F.col("far") == 0, F.lit(-(1 << 62))).otherwise(-F.col("far")).alias("k"), F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("p"))
-    found = linked.groupBy("component", "ring").agg(F.sum(cross).alias("area"), F.array_sort(F.collect_list(point)).alias("_points"))
-    points = F.transform("_points", lambda q: q["p"])
-    return found.select("component", "ring", "area", F.concat(points, F.slice(points, 1, 1)).alias("points"))
+
+    def trace(here: Tile, arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return _traced(width, here, np.nan_to_num(arrays["component"], nan=-1).astype(np.int64))
+
+    height = (cells.agg(F.max("r")).first()[0] or 0) + 1
+    pieces = settled(over_tiles(cells, ["component"], 1, _PIECES, trace, (height, width), "none", block))
+    closed = pieces.filter("closed").select("component", F.col("node").alias("ring"), "cross", "points")
+    linked = pieces.filter("not closed")
+    linked = linked.join(_places(linked), "node")
+    # The ring's first piece is nought steps from itself, the next ones most steps.
+    piece = F.struct(F.when(F.col("far") == 0, F.lit(-(1 << 62))).otherwise(-F.col("far")).alias("k"), F.col("points").alias("p"))
+    whole = linked.groupBy("component", "ring").agg(F.sum("cross").alias("cross"), F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    found = closed.unionByName(whole.select("component", "ring", "cross", F.flatten(F.transform("_pieces", lambda q: q["p"])).alias("points")))
+    # The last edge ends where the first begins.
+    return found.select("component", "ring", (F.col("cross") / 2.0).alias("area"), F.concat(F.slice("points", -1, 1), F.col("points")).alias("points"))
 
 
-def polygonise(df: DataFrame, label: str, width: int, tile: int | None = None) -> DataFrame:
+def polygonise(df: DataFrame, label: str, width: int, tile: int | None = None, block: int = TILE) -> DataFrame:
     """(component, label, pixels, holes, rings) of every patch of one label that touches by sides.
 
     ``rings`` are closed arrays of (x, y) pixel corners, the outer ring first, clockwise
     where rows run down, then holes by where they begin.  A null label makes no polygon.
     With ``tile`` patches are split at the edges of tiles of so many pixels, which bounds
     what one polygon holds.  A component is named by its first pixel, r * width + c.
+    Tasks work on blocks of ``block`` pixels, on which the result doesn't depend.
     """
     named = df.filter(F.col(label).isNotNull()).select("r", "c", F.col(label).alias("_label"))
-    if tile:
-        zone = F.struct("_label", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
-    else:
-        zone = F.struct("_label")
-    cells = settled(connected(named.withColumn("_zone", zone), width, "_zone", corners=False))
-    sizes = cells.groupBy("component").agg(F.first("_zone._label").alias(label), F.count(F.lit(1)).alias("pixels"))
-    made = rings(cells, width)
+    cells = settled(connected(named, width, "_label", corners=False, cut=tile, tile=block))
+    sizes = cells.groupBy("component").agg(F.first("_label").alias(label), F.count(F.lit(1)).alias("pixels"))
+    made = rings(cells.select("r", "c", "component"), width, block)
     first = F.struct((F.col("area") < 0).alias("hole"), "ring", "points")
     shapes = made.groupBy("component").agg(F.array_sort(F.collect_list(first)).alias("_rings"))
     out = F.transform("_rings", lambda x: x["points"])

@@ -8,19 +8,58 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def _runs(cells: DataFrame, label: str | None) -> DataFrame:
-    """Adds ``run``: the lowest column of the unbroken stretch (of one label) of its row."""
-    line = Window.partitionBy("r").orderBy("c")
-    apart = F.col("c") - F.coalesce(F.lag("c").over(line), F.lit(-9)) > 1
-    if label:
-        apart = apart | ~F.lag(label).over(line).eqNullSafe(F.col(label))
-    breaks = cells.withColumn("_new", apart.cast("int"))
-    grouped = breaks.withColumn("_g", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.withColumn("run", F.min("c").over(Window.partitionBy("r", "_g"))).drop("_new", "_g")
+from .halos import TILE
+
+
+def _lowest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lowest that each of ``n`` nodes reaches by links between ``a`` and ``b``."""
+    root = np.arange(n)
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
+def _named(cells: DataFrame, width: int, label: str | None, corners: bool, cut: int | None, tile: int) -> DataFrame:
+    """Adds ``node``: the lowest r * width + c that a cell reaches within its tile."""
+    columns = cells.columns
+
+    def name(table: pa.Table) -> pa.Table:
+        top, left = (int(table.column(k)[0].as_py()) * tile for k in ("_tr", "_tc"))
+        i, j = (table.column(k).cast(pa.int64()).to_numpy() - b for k, b in (("r", top), ("c", left)))
+        # Kinds of cells: -1 is none; null (-2) is alike along a row only.
+        kinds = np.full((tile, tile), -1)
+        kinds[i, j] = table.column(label).combine_chunks().dictionary_encode().indices.fill_null(-2).to_numpy(zero_copy_only=False) if label else 0
+        places = np.arange(tile * tile).reshape(tile, tile)
+        free = [np.ones(tile, bool) if cut is None else np.arange(b + 1, b + tile + 1) % cut != 0 for b in (top, left)]
+        ends = []
+        for dr, dc in STEPS if corners else STEPS[:2]:
+            near = np.s_[: tile - dr, max(0, -dc) : tile - max(0, dc)]
+            far = np.s_[dr:, max(0, dc) : tile + min(0, dc)]
+            alike = (kinds[near] == kinds[far]) & (kinds[near] > (-2 if dr else -3)) & (kinds[near] != -1)
+            if dr:
+                alike &= free[0][: tile - dr, None]
+            if dc:
+                alike &= free[1][None, : tile - 1]  # of the two columns the left one's right side
+            ends.append((places[near][alike], places[far][alike]))
+        low = _lowest_reached(tile * tile, *(np.concatenate(x) for x in zip(*ends, strict=True)))[places[i, j]]
+        node = (top + low // tile) * width + left + low % tile
+        return table.select(columns).append_column("node", pa.array(node))
+
+    placed = cells.filter(F.col("r").isNotNull() & F.col("c").isNotNull()).withColumn("_tr", F.floor(F.col("r") / tile)).withColumn("_tc", F.floor(F.col("c") / tile))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema]
+    return placed.groupBy("_tr", "_tc").applyInArrow(name, ", ".join([*fields, "node long"]))
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -46,28 +85,35 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-def connected(cells: DataFrame, width: int, label: str | None = None, corners: bool = True) -> DataFrame:
+#: (rows, columns) to the cells that touch one by a side, then by a corner; each pair once.
+STEPS = ((0, 1), (1, 0), (1, 1), (1, -1))
+
+
+def connected(cells: DataFrame, width: int, label: str | None = None, corners: bool = True, cut: int | None = None, tile: int = TILE) -> DataFrame:
     """Adds ``component`` to cells (r, c) that touch: the lowest r * width + c.
 
-    Cells touch by a side or, with ``corners``, by a corner, and with ``label`` only
-    where it is the same.  Stretches of rows are joined to those they touch in
-    the next row; then lowest labels spread over these links, a label's own
-    label being followed each time, until none changes.  Stretches shrink the
-    graph before the first round.
+    Cells touch by a side or, with ``corners``, by a corner, with ``label`` only where it is
+    the same, and with ``cut`` not across rows and columns that it divides.  Each tile of ``tile``
+    pixels is gone through in one task; then lowest labels spread over links between tiles, a
+    label's own label being followed each time, until none changes.
     """
-    runs = settled(_runs(cells, label))
-    ends = runs.groupBy("r", "run").agg(F.max("c").alias("last")).withColumn("node", F.col("r") * width + F.col("run"))
-    keys = ["r", "c"] + ([label] if label else [])
-    also = [label] if label else []
-    node = F.col("r") * width + F.col("run")
+    columns = cells.columns
+    named = settled(_named(cells, width, label, corners, cut, tile))
+    zone = lambda r, c, size: F.struct(F.floor(r / size), F.floor(c / size))
+    r, c = F.col("r"), F.col("c")
+    kind = F.col(label) if label else F.lit(0)
+    rim = named.filter(F.pmod(r, F.lit(tile)).isin(0, tile - 1) | F.pmod(c, F.lit(tile)).isin(0, tile - 1)).select("r", "c", "node", kind.alias("_kind"))
     links = None
-    for step in (-1, 0, 1) if corners else (0,):
-        moved = runs.select((F.col("r") + 1).alias("r"), (F.col("c") + step).alias("c"), *also, node.alias("a"))
-        met = moved.join(runs.select("r", "c", *also, node.alias("b")), keys).select("a", "b")
+    for dr, dc in STEPS if corners else STEPS[:2]:
+        leaves = zone(r, c, tile) != zone(r + dr, c + dc, tile)
+        if cut:
+            leaves = leaves & (zone(r, c, cut) == zone(r + dr, c + dc, cut))
+        moved = rim.filter(leaves).select((r + dr).alias("r"), (c + dc).alias("c"), F.col("node").alias("a"), F.col("_kind").alias("_other"))
+        alike = F.col("_other") == F.col("_kind") if dr else F.col("_other").eqNullSafe(F.col("_kind"))
+        met = moved.join(rim, ["r", "c"]).filter(alike).select("a", F.col("node").alias("b"))
         links = met if links is None else links.unionByName(met)
-    links = links.distinct()
-    edges = settled(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = ends.select("node", F.col("node").alias("label"))
+    edges = settled(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     before = None
     while True:
         spread = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -78,7 +124,8 @@ def connected(cells: DataFrame, width: int, label: str | None = None, corners: b
         if total == before:
             break
         before = total
-    return runs.withColumn("node", F.col("r") * width + F.col("run")).join(labels.withColumnRenamed("label", "component"), "node").drop("node", "run")
+    moved = labels.filter("node != label").select("node", F.col("label").alias("_to"))
+    return named.join(moved, "node", "left").select(*columns, F.coalesce("_to", "node").alias("component"))
 
 
 def component_statistics(cells: DataFrame, score: str, kind: str, least: int, area_ha: float = 0.04) -> DataFrame:

@@ -226,3 +226,27 @@ def test_region_analyses_end_in_targets(spark, tmp_path):
     assert made.models.filter("model = 'overall' and n = 1").count() == 1
     assert {"lon", "lat", "id", "model"} <= set(made.targets.columns)
     assert made.targets.filter("lon not between 74.99 and 75.02 or lat not between 35.2 and 35.3").count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 5])
+def test_polygons_that_leave_their_blocks(spark, block):
+    """Rings that wind over many blocks come out as in one block; chess boards meet by corners only."""
+    rng = random.Random(block)
+    snake = [[1 if r % 2 == 0 or c == (18 if r % 4 == 1 else 0) else 2 for c in range(19)] for r in range(17)]
+    noise = [[rng.choice([1, 2, None] if c > 12 else [1, 2]) for c in range(19)] for _ in range(17)]
+    chess = [[(r + c) % 2 for c in range(19)] for r in range(17)]
+    for values in (snake, noise, chess):
+        whole, parts = ({x.component: x for x in polygons.polygonise(grid(spark, values), "label", 19, None, size).collect()} for size in (32, block))
+        assert whole == parts and set(parts) == set(flood(values))
+        assert all(x.pixels == len(flood(values)[k]) == sum(map(signed, x.rings)) for k, x in parts.items())
+
+
+@pytest.mark.parametrize(("corners", "cut"), [(True, None), (False, None), (False, 6)])
+def test_components_over_tiles(spark, corners, cut):
+    rng = random.Random(11)
+    values = [[rng.choice([1, 1, 2]) for _ in range(23)] for _ in range(21)]
+    cells = grid(spark, values)
+    got, want = ({(x.r, x.c): x.component for x in targets.connected(cells, 23, "label", corners, cut, size).collect()} for size in (4, 64))
+    assert got == want and len(got) == 21 * 23
+    if not corners:
+        assert {k: {p for p, v in got.items() if v == k} for k in set(got.values())} == flood(values, cut)
