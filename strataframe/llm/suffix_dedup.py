@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import limit_batches, written
+from .shared import lean, limit_batches, written
 from .textarrays import Block, Words, find_words, gram_hashes, gram_starts, mix64, range_hashes, text_blocks
 
 PASSAGE = 50
@@ -120,6 +120,7 @@ def _scan(docs: DataFrame, doc: str, text: str) -> DataFrame:
         kept = ~again
         yield _batch(_SUFFIXES, doc_ids[kept], anchor[kept].view(np.int64), content[kept].view(np.int64), start[kept], windows[kept], lead[kept])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         pending = 0
@@ -154,6 +155,7 @@ class _Parts:
 def _of_parts(docs: DataFrame, parts: DataFrame, doc: str, text: str, make: Callable, schema: str) -> DataFrame:
     """``make(words, hashes, doc ids of rows, parts)`` for blocks of the texts that have ``parts``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch.column(0)):
@@ -253,6 +255,7 @@ def neighbour_marks(sides: DataFrame) -> DataFrame:
         begin = start[rows] + first
         return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(begin, pa.int32()), pa.array(start[rows] + last + PASSAGE, pa.int32())], ["doc", "start", "end"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -362,6 +365,7 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     hit = _only(keyed, spans.select("doc"), "__sf_doc").join(spans.select(F.col("doc").alias("__sf_hit"), F.col("spans").alias("__sf_spans")), F.col("__sf_doc") == F.col("__sf_hit"))
     hit = hit.select(*docs.columns, "__sf_spans")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cleaned = pa.array(cut_words(batch.column(text), batch.column("__sf_spans")), pa.string())

@@ -134,3 +134,15 @@ def test_long_patterned_words_have_hashes_of_their_own():
     words = find_words(block)
     one, other = range_hashes(block.data, words.starts, words.ends)
     assert one != other
+
+
+def test_tasks_give_memory_back(spark, monkeypatch):
+    """All of the passages' steps in Python are made lean, those of a hot anchor too."""
+    made, lean = [], s.lean
+    monkeypatch.setattr(s, "lean", lambda run: made.append(run.__qualname__.split(".")[0]) or lean(run))
+    monkeypatch.setattr(s, "HOT_ROWS", 1)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([f"a{k}", *words, f"b{k}"])) for k in range(3)]
+    got = {r.doc_id: r.text for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: "a1 b1", 2: "a2 b2"}
+    assert set(made) == {"_scan", "_of_parts", "neighbour_marks", "remove_repeats"}
