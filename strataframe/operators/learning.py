@@ -19,6 +19,13 @@ def balanced(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     return df.join(F.broadcast(weights), label)  # one row per class
 
 
+def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of all rows in equal parts for every core: a compressed table may be read in fewer parts than there are
+    cores, and every pass of a fit would run on those few.  Parts are in order, so that draws from them are the same each time."""
+    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.select(*columns).repartition(parts).sortWithinPartitions(*columns)
+
+
 def forest(train: DataFrame, features: list[str], label: str, trees: int = 200, least: int = 2, seed: int = 0) -> PipelineModel:
     """Random forest on class-balanced weights; labels are whole numbers from 0."""
     stages = [VectorAssembler(inputCols=features, outputCol="features"), RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=least, maxDepth=12, seed=seed)]
@@ -31,7 +38,7 @@ def perceptron(train: DataFrame, features: list[str], label: str, classes: int,
         VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True),
         MultilayerPerceptronClassifier(labelCol=label, layers=[len(features), hidden, classes], maxIter=60, seed=seed),
     ]
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=stages).fit(dealt(train, [*features, label]))
 
 
 def units(df: DataFrame, features: list[str], k: int = 10, seed: int = 0) -> PipelineModel:

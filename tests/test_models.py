@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import bundle, svm
+from strataframe.operators import bundle, learning, svm
 
 
 def blobs(seed=2, n=240, spread=0.7, kinds=3):
@@ -97,3 +97,12 @@ def test_bundle_is_fitted_saved_and_loaded(spark, tmp_path):
     assert bundle.current_version(spark, root, names) == "model_v2"
     with pytest.raises(ValueError, match="whole"):
         bundle.set_current(spark, root, "model_v3")
+
+
+def test_fits_read_rows_in_parts_for_every_core(spark):
+    """A table read as one part is dealt out, all rows in it and repeated ones too."""
+    df = spark.range(4000).selectExpr("cast(id % 500 as double) as v", "cast(id % 2 as double) as y", "id as other").coalesce(1)
+    got = learning.dealt(df, ["v", "y"])
+    sizes = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes)
+    assert got.columns == ["v", "y"] and sorted(got.collect()) == sorted(df.select("v", "y").collect())
