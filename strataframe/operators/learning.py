@@ -29,7 +29,7 @@ def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
 def forest(train: DataFrame, features: list[str], label: str, trees: int = 200, least: int = 2, seed: int = 0) -> PipelineModel:
     """Random forest on class-balanced weights; labels are whole numbers from 0."""
     stages = [VectorAssembler(inputCols=features, outputCol="features"), RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=least, maxDepth=12, seed=seed)]
-    return Pipeline(stages=stages).fit(balanced(train, label))
+    return Pipeline(stages=stages).fit(dealt(balanced(train, label), [*features, label, "weight"]))
 
 
 def perceptron(train: DataFrame, features: list[str], label: str, classes: int, hidden: int = 24, seed: int = 0) -> PipelineModel:
