@@ -22,6 +22,27 @@ def test_pieces_give_the_ids_of_whole_texts(name):
         assert [np.frombuffer(x, encode.dtype).tolist() for x in encode.encode(texts)] == whole
 
 
+def test_a_word_is_learned_once_whatever_stands_behind_it():
+    encode = Encoder(queries.tokenizer_file("byte_bpe_50k.json"))
+    words = [f"{a}{b}word" for a in "abcdé" for b in "vwxyz"]
+    marks = ["", ",", ".", "$$$", "!?", "-", "1", ")", "\n"]
+    texts = ["".join(f" {w}{m}" for w in words) for m in marks] + ["".join(f" {w}{m}{w}" for w in words) for m in marks[1:6]]
+    ids = encode.encode(texts)
+    assert [np.frombuffer(x, encode.dtype).tolist() for x in ids] == [e.ids for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    # With and without a space before them; marks, the text's end and the like are few.
+    assert len({*encode.first.young, *encode.later.young}) < 2 * len(words) + 2 * len(marks)
+
+
+def test_cuts_of_random_texts_give_the_ids_of_whole_texts():
+    encode, draw = Encoder(queries.tokenizer_file("byte_bpe_50k.json")), np.random.default_rng(5)
+    kinds = [" \n", " \t\r\v\f", "abXYé", "012", ".,$#_<|>", "'stdmrel", "ªºµ²¼ŒΣσжя", "\x1c\x1f\x85\xa0\u2003\u3000\u1680\u180e", "日한עⅧ½\u0301\u0345", "\0\x01\x7f😀\u1c89"]
+    letters = [[c for k in draw.choice(len(kinds), draw.integers(1, 5), replace=False) for c in kinds[k]] for _ in range(3000)]
+    texts = ["".join(draw.choice(x, draw.integers(0, 30))) for x in letters] + ["a  <|endoftext|> b", "<|endoftext|>", ""]
+    whole = [e.ids for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, encode.dtype).tolist() for x in encode.encode(texts)] == whole
+    assert encode.encode([]) == []
+
+
 def frame(spark, texts=TEXTS):
     rows = [(i, t, "x", i) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, part string, key long").repartition(3)
