@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import limit_batches, written
+from .shared import kept, limit_batches, written
 from .textarrays import ASCII_LOWER, Block, Words, find_words, range_hashes, text_blocks
 
 #: Classes of words; a class is ``group * MEMBERS + place in the group``.  Class 0 is the end of a text.
@@ -65,7 +65,7 @@ _SHAPES = {
     "bias_group": (1, GROUPS), "bias_place": (GROUPS, MEMBERS),
 }
 _SIZE = sum(int(np.prod(x)) for x in _SHAPES.values())
-_pieces: dict[str, "Pieces"] = {}
+_pieces: dict[str, "Pieces"] = kept()
 
 
 class Pieces:

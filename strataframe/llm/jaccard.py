@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import lean, limit_batches, written
+from .shared import SMALL_BATCH_BYTES, lean, limit_batches, written
 from .textarrays import ASCII_LOWER, Block, Words, find_words, gram_hashes, gram_starts, mix64, range_hashes, text_blocks
 
 SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 80
+#: Bytes of text at once; some forty times as much memory is in use meanwhile, in each task.
+BLOCK_BYTES = 1 << 19
 #: Counters of the frequency sketch: 2 to this power.  Wider keeps more classes apart at scale.
 SKETCH_BITS = 22
 #: Candidate ids up to which they are broadcast to the texts; beyond it both sides shuffle.
@@ -105,7 +107,7 @@ def digests(docs: DataFrame, doc: str, text: str) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for block in text_blocks(batch.column(text)):
+            for block in text_blocks(batch.column(text), BLOCK_BYTES):
                 sets = shingle_sets(block)
                 maps = [parity_bitmap(s) for s in sets]
                 rows = [(len(s), *_digest(s)) for s in sets]
@@ -215,7 +217,7 @@ def signature_rows(docs: DataFrame, levels: np.ndarray, doc: str, text: str) ->
         levels = np.frombuffer(zlib.decompress(packed.value), np.uint8)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for block in text_blocks(batch.column(text)):
+            for block in text_blocks(batch.column(text), BLOCK_BYTES):
                 found, picks = [], []
                 for i, values in enumerate(shingle_sets(block)):
                     key = _digest(values)
@@ -406,7 +408,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, percent: in
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (large.slice(k, 100) for large in batches for k in range(0, large.num_rows, 100)):
-            sets = [[s for block in text_blocks(batch.column(k)) for s in shingle_sets(block)] for k in (2, 3)]
+            sets = [[s for block in text_blocks(batch.column(k), BLOCK_BYTES) for s in shingle_sets(block)] for k in (2, 3)]
             keep = []
             for x, y in zip(*sets, strict=True):
                 small, large = min(len(x), len(y)), max(len(x), len(y))
@@ -435,7 +437,7 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
     of equally good neighbours the lowest is tried first.  An empty table gives an
     empty one.  Other columns, whatever their names, are not read.
     """
-    limit_batches(docs.sparkSession)
+    limit_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     docs = docs.select(doc, text)
     passed = written(digests(docs, doc, text), "digests")
     rows = passed.filter("chunk is null").select("doc", "n", "h1", "h2")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import limit_batches
+from .shared import lean, limit_batches
 from .textarrays import Block, text_blocks
 
 PROFILE = 300
@@ -100,6 +100,7 @@ class Profiles:
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, n) over all rows whose language isn't null."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []

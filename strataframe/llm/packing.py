@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import limit_batches, written
+from .shared import give_back, lean, limit_batches, written
 from .textarrays import ASCII_LOWER, Block, find_words, range_hashes, text_blocks
 from .tokens import encoder, text_slices
 
@@ -131,6 +131,7 @@ def _tokenized(ordered: DataFrame, doc: str, text: str, kind: str, tokenizer: st
                     before = int(starts[hi - 1] + counts[hi - 1])
                 columns = [rows.column(doc), rows.column("key"), rows.column("stretch"), pa.array(starts), pa.array(counts), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [doc, "key", "stretch", "before", "n_tokens", "ids"])
+        give_back()  # but for the encoder, which the next task needs
 
     return ordered.mapInArrow(run, f"{doc} {kind}, key long, stretch int, before long, n_tokens long, ids binary")
 
@@ -169,6 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = SEQUENC
         base[part] = at
         at += totals[part]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []

@@ -17,20 +17,46 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = "8m"
 
 
-def limit_batches(spark: SparkSession) -> None:
+#: The same for steps that run in many tasks beside each other's leavings: their buffers grow by doubling, in the JVM too.
+SMALL_BATCH_BYTES = "2m"
+#: What Python workers keep from task to task, such as tokenizers.
+_kept: list[dict] = []
+
+
+def limit_batches(spark: SparkSession, size: str = BATCH_BYTES) -> None:
     """Sets the size of Arrow batches for what is planned from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def kept() -> dict:
+    """A dict for what tasks of one step keep in a Python worker; a lean task of another step empties it."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def forget() -> None:
+    """Empties what other steps kept in this worker."""
+    if any(_kept):
+        for held in _kept:
+            held.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Gives freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than GNU's
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` that gives memory back to the system at its end: Python workers live on beside the next step's JVM."""
+    """``run`` that drops what other steps kept and gives memory back to the system at its end: Python workers live on beside the next step's JVM."""
 
     @functools.wraps(run)
     def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # another C library than GNU's
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return lean_run
 

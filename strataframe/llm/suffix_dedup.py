@@ -25,16 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, limit_batches, written
+from .shared import SMALL_BATCH_BYTES, lean, limit_batches, written
 from .textarrays import Block, Words, find_words, gram_hashes, gram_starts, mix64, range_hashes, text_blocks
 
 PASSAGE = 50
 ANCHOR = 25
+#: Bytes of text at once; some forty times as much memory is in use meanwhile, in each task.
+BLOCK_BYTES = 1 << 19
 #: Document ids up to which they are broadcast to the texts; beyond it both sides shuffle.
 BROADCAST_IDS = 2_000_000
 _BASE = 0xD1342543DE82EF95
 #: Different suffixes of one anchor that are sorted in one task; more go by their windows.
 HOT_ROWS = 20_000
+#: Suffixes that go to the JVM at once.
+BATCH_ROWS = 1 << 15
 #: Suffixes that a task compares at once.
 ROWS_AT_ONCE = 40_000
 _SIDE = PASSAGE - ANCHOR
@@ -102,6 +106,12 @@ def _batch(kind: int, doc: np.ndarray, anchor, content, start, size, lead=None)
     return pa.RecordBatch.from_arrays(columns, ["kind", "doc", "anchor", "content", "start", "size", "lead"])
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, as the JVM takes each one whole."""
+    for lo in range(0, batch.num_rows, BATCH_ROWS):
+        yield batch.slice(lo, BATCH_ROWS)
+
+
 def _ids(batch: pa.RecordBatch, block: Block) -> np.ndarray:
     return batch.column(1).slice(block.lo, block.hi - block.lo).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
@@ -116,16 +126,16 @@ def _scan(docs: DataFrame, doc: str, text: str) -> DataFrame:
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
         lowest = doc_ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         again = doc_ids > lowest
-        yield _batch(_MARKS, doc_ids[again], None, None, start[again], windows[again] - 1 + PASSAGE)
+        yield from _slices(_batch(_MARKS, doc_ids[again], None, None, start[again], windows[again] - 1 + PASSAGE))
         kept = ~again
-        yield _batch(_SUFFIXES, doc_ids[kept], anchor[kept].view(np.int64), content[kept].view(np.int64), start[kept], windows[kept], lead[kept])
+        yield from _slices(_batch(_SUFFIXES, doc_ids[kept], anchor[kept].view(np.int64), content[kept].view(np.int64), start[kept], windows[kept], lead[kept]))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         pending = 0
         for batch in batches:
-            for block in text_blocks(batch.column(0)):
+            for block in text_blocks(batch.column(0), BLOCK_BYTES):
                 ids, words = _ids(batch, block), find_words(block)
                 yield _batch(_DOCS, ids, None, None, None, words.counts)
                 row, *rest = suffixes(words, range_hashes(block.data, words.starts, words.ends))
@@ -158,7 +168,7 @@ def _of_parts(docs: DataFrame, parts: DataFrame, doc: str, text: str, make: Call
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(batch.column(0)):
+            for block in text_blocks(batch.column(0), BLOCK_BYTES):
                 words = find_words(block)
                 hashes = range_hashes(block.data, words.starts, words.ends)
                 lists = batch.column(2).slice(block.lo, block.hi - block.lo)
@@ -297,7 +307,7 @@ def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     task.  An empty table gives two empty ones.  Other columns, whatever their names,
     are not read.
     """
-    limit_batches(docs.sparkSession)
+    limit_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     docs = docs.select(doc, text)
     scanned = written(_scan(docs, doc, text), "suffixes")
     suffix = scanned.filter(F.col("kind") == _SUFFIXES).select("anchor", "content", "doc", "start", "size", "lead")
@@ -336,7 +346,7 @@ def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 def cut_words(texts: pa.Array, spans: pa.Array) -> list[str]:
     """Each text without the words of its spans and the white space after them."""
     out = []
-    for block in text_blocks(texts):
+    for block in text_blocks(texts, BLOCK_BYTES):
         words = find_words(block)
         for i in range(block.hi - block.lo):
             lo, end = int(words.bounds[i]), int(block.offsets[i + 1])

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import kept
+
 #: Bytes of kept pieces in a Python worker, over all caches of an encoder.
 CACHE_BYTES = 128 << 20
 #: Bytes that an entry takes besides its letters and ids, as measured over 360,000.
@@ -43,7 +45,7 @@ _CUT = "\0"
 #: Letters from here on may be newer than the tokenizer's tables; no white space stands beyond the second.
 _LETTERS_END, _SPACE_END = 0x530, 0x3001
 _UNSURE, _LETTER, _DIGIT, _MARK, _OTHER, _SPACE, _BREAK = range(7)
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[str, "Encoder"] = kept()
 
 
 def _kind(c: str) -> int:

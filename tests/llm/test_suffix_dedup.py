@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from strataframe.llm import packing, tokens
 from strataframe.llm import suffix_dedup as s
+from strataframe.llm.queries import tokenizer_file
 
 
 def brute(rows):
@@ -146,3 +149,30 @@ def test_tasks_give_memory_back(spark, monkeypatch):
     got = {r.doc_id: r.text for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: rows[0][1], 1: "a1 b1", 2: "a2 b2"}
     assert set(made) == {"_scan", "_of_parts", "neighbour_marks", "remove_repeats"}
+
+
+def test_passages_drop_what_other_steps_kept_in_their_workers(spark):
+    """A worker that packed texts goes on without the tokenizer and its pieces once it looks for passages."""
+    docs = spark.createDataFrame([(k, f"some text {k}") for k in range(16)], "doc_id long, text string").repartition(8).cache()
+
+    def held(batches):
+        from strataframe.llm import tokens
+
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(x) for x in batches)]), pa.array([len(tokens._encoders)])], ["n", "held"])
+
+    def most():
+        return docs.mapInArrow(held, "n long, held long").agg(F.max("held")).first()[0]
+
+    packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), with_ids=False).count()
+    s._scan(docs, "doc_id", "text").count()
+    tokens.encoder(tokenizer_file("byte_bpe_50k.json"))
+    assert list(s.lean(lambda batches: batches)(iter([1]))) == [1]
+    assert not tokens._encoders and most() == 0
+
+
+def test_suffixes_leave_a_task_in_parts(monkeypatch):
+    monkeypatch.setattr(s, "BATCH_ROWS", 3)
+    numbers = np.arange(8)
+    parts = list(s._slices(s._batch(s._SUFFIXES, numbers, numbers, numbers, numbers, numbers, numbers)))
+    assert [x.num_rows for x in parts] == [3, 3, 2]
+    assert [x for part in parts for x in part.column("doc").to_pylist()] == numbers.tolist()
